@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,14 @@ def strip(text: Column) -> Column:
 
 def join_tokens(tokens: Column) -> Column:
     return F.array_join(tokens, " ")
+
+
+def compute_once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns that later filters and projections read without computing them again.
+
+    The optimizer copies an expression into every filter it pushes below a projection; it
+    does not push through a generator, so a one-row ``inline`` keeps the work single.
+    """
+    kept = [c for c in df.columns if c not in cols]
+    row = F.struct(*[v.alias(k) for k, v in cols.items()])
+    return df.select(*kept, F.inline(F.array(row)))

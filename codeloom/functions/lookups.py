@@ -75,22 +75,22 @@ def reserved_list(lang: str) -> list[str]:
     return sorted(set(KEYWORDS.get(base, "").split()) | set(EXTRA_RESERVED.get(base, "").split()))
 
 
-def _array_by_lang(lang: Column, values: dict[str, list[str]]) -> Column:
-    out = F.array().cast("array<string>")
+def _in_list(token: Column, lang: Column, values: dict[str, list[str]]) -> Column:
+    """Hash-set membership per language; the lists are fixed, so they travel with the plan."""
+    out = F.lit(False)
     for name, items in values.items():
-        lit = F.array(*[F.lit(i) for i in items]) if items else F.array().cast("array<string>")
-        out = F.when(lang == name, lit).otherwise(out)
+        if items:
+            out = F.when(lang == name, token.isin(*items)).otherwise(out)
     return out
 
 
-def keywords_of(lang: Column) -> Column:
-    """Keyword array of a language; empty where no list exists."""
-    return _array_by_lang(lang, {k: keyword_list(k) for k in KEYWORDS})
+def is_keyword(token: Column, lang: Column) -> Column:
+    return _in_list(token, lang, {k: keyword_list(k) for k in KEYWORDS})
 
 
-def reserved_of(lang: Column) -> Column:
+def is_reserved(token: Column, lang: Column) -> Column:
     """Words that are never variables, per language."""
-    return _array_by_lang(lang, {k: reserved_list(k) for k in (*LANGUAGES, "cpp")})
+    return _in_list(token, lang, {k: reserved_list(k) for k in (*LANGUAGES, "cpp")})
 
 
 def keyword_table(spark: SparkSession) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import lookups as K
 from codeloom.functions import rand
 from codeloom.functions import text as X
-from codeloom.functions.arrays import join_tokens, words
+from codeloom.functions.arrays import compute_once, join_tokens, words
 from codeloom.operators import rewrites as R
 
 
@@ -71,22 +71,25 @@ def rewritten(
 
     ``nl`` rows only know noising.
     """
+    is_nl = F.col("lang") == "nl"
     df = df.withColumn("code", wrap_php(F.col("code"), F.col("lang")))
-    df = R.with_context(df)
-    df = df.withColumn("tokens", F.when(F.col("lang") == "nl", X.word_tokens(F.col("code"))).otherwise(F.col("tokens")))
-    df = df.withColumn("norm", F.when(F.col("lang") == "nl", join_tokens(F.col("tokens"))).otherwise(F.col("norm")))
+    df = compute_once(
+        df.select("id", "lang", "code"),
+        tokens=F.when(is_nl, X.word_tokens(F.col("code"))).otherwise(X.tokenize_code(F.col("code"), F.col("lang"))),
+    )
+    df = compute_once(
+        df.select("id", "lang", "tokens"),
+        norm=X.normalized_code(F.col("tokens")),
+        masked=join_tokens(X.mask_strings(F.col("tokens"))),
+    )
     df = filter_length(df, "norm", max_words)
-    chosen = F.when(
-        F.col("lang") == "nl",
-        F.struct(
-            F.lit("SyntacticNoisingTransformation").alias("name"),
-            join_tokens(R.noise_choose(F.col("tokens"), F.col("id"), seed=seed)).alias("code"),
-        ),
-    ).otherwise(R.choose_weighted(R.column_context(seed), rewrites))
-    df = df.withColumn("chosen", chosen)
-    code = F.when(F.col("lang") == "nl", F.col("chosen.code")).otherwise(
-        R.finish(F.col("chosen.code"), F.col("tokens"))
+    noised = F.struct(
+        F.lit("SyntacticNoisingTransformation").alias("name"),
+        join_tokens(R.noise_choose(F.col("tokens"), F.col("id"), seed=seed)).alias("code"),
     )
+    chosen = F.when(is_nl, noised).otherwise(R.choose_weighted(R.column_context(seed), rewrites))
+    df = compute_once(df, chosen=chosen)
+    code = F.when(is_nl, F.col("chosen.code")).otherwise(R.finish(F.col("chosen.code"), F.col("tokens")))
     return df.select(
         "id", "lang", "norm",
         F.when(F.col("chosen.code").isNotNull(), F.col("chosen.name")).alias("transformer"),

@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from codeloom.functions import lookups as K
 from codeloom.functions import rand
 from codeloom.functions import text as X
-from codeloom.functions.arrays import indices, join_tokens, let, let_all
+from codeloom.functions.arrays import compute_once, indices, join_tokens, let, let_all
 
 # Marks that stand in for words while matching, so that one character class can exclude them.
-OPEN, CLOSE, LINE, STOP, SEMI = "", "", "", "", ""
+OPEN, CLOSE, LINE, STOP, SEMI, CUT = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005"
 
 BRACE_LANGS = ("c", "cpp", "c_sharp", "java", "javascript", "php")
 RELATIONAL = ("<", ">", "<=", ">=", "==", "!=")
@@ -75,9 +75,10 @@ RUBY_CONTROL = r"\b(?:if|unless|while|until|for|begin|case|def|class|module|do|e
 
 def with_context(df: DataFrame, code: str = "code", lang: str = "lang") -> DataFrame:
     """Add ``tokens``, ``norm`` (normalised code) and ``masked`` to a code table."""
-    df = df.withColumn("tokens", X.tokenize_code(F.col(code), F.col(lang)))
-    df = df.withColumn("norm", X.normalized_code(F.col("tokens")))
-    return df.withColumn("masked", join_tokens(X.mask_strings(F.col("tokens"))))
+    df = compute_once(df, tokens=X.tokenize_code(F.col(code), F.col(lang)))
+    return compute_once(
+        df, norm=X.normalized_code(F.col("tokens")), masked=join_tokens(X.mask_strings(F.col("tokens")))
+    )
 
 
 @dataclass(frozen=True)
@@ -118,35 +119,26 @@ def _replace_one(
     ``valid`` sees the match and the text pieces right before and after it.
     """
 
-    def with_pieces(s: Column) -> Column:
+    # one pass of the pattern marks the matches; cutting at the marks is cheap
+    marked = F.regexp_replace(text, f"({pattern})", f"{CUT}$1{CUT}")
+
+    def with_parts(parts: Column) -> Column:
+        # even places hold the text between matches, odd places the matches
         ok = F.filter(
-            indices(s["found"]),
-            lambda i: valid(F.get(s["found"], i), F.get(s["pieces"], i), F.get(s["pieces"], i + 1)),
+            F.filter(indices(parts), lambda i: i % 2 == 1),
+            lambda i: valid(F.get(parts, i), F.get(parts, i - 1), F.get(parts, i + 1)),
         )
 
         def rebuild(cand: Column) -> Column:
-            def at(k: Column) -> Column:
-                return F.array_join(
-                    F.transform(
-                        s["pieces"],
-                        lambda p, i: F.concat(
-                            p,
-                            F.when(i == k, new(F.get(s["found"], i))).otherwise(
-                                F.coalesce(F.get(s["found"], i), F.lit(""))
-                            ),
-                        ),
-                    ),
-                    "",
-                )
-
             chosen = F.get(cand, rand.pick(F.size(cand), ctx.id, salt=salt, seed=ctx.seed))
-            return F.when(F.size(cand) > 0, let(chosen, at))
+            return F.when(
+                F.size(cand) > 0,
+                let(chosen, lambda k: F.array_join(F.transform(parts, lambda p, i: F.when(i == k, new(p)).otherwise(p)), "")),
+            )
 
         return let(ok, rebuild)
 
-    return let_all(
-        {"pieces": F.split(text, pattern), "found": F.regexp_extract_all(text, F.lit(pattern), F.lit(0))}, with_pieces
-    )
+    return let(F.split(marked, CUT), with_parts)
 
 
 # --- layout and word marks ---------------------------------------------------------------
@@ -422,45 +414,47 @@ def dead_block(ctx: Context, body: Column) -> Column:
 
 
 def _balanced(stmt: Column) -> Column:
-    return F.regexp_count(stmt, F.lit(r"[(]")) == F.regexp_count(stmt, F.lit(r"[)]"))
+    return F.length(F.replace(stmt, F.lit("("), F.lit(""))) == F.length(F.replace(stmt, F.lit(")"), F.lit("")))
 
 
 def statement_parts(ctx: Context) -> Column:
-    """struct(pieces, found, ok): text cut at simple statements, and which qualify.
+    """struct(parts, ok): text cut at simple statements (odd places), and which qualify.
 
     A statement qualifies with balanced parentheses, more than one token and fewer tokens
     than half of the row.
     """
-    text = (
-        F.when(ctx.lang == "python", _python_marks(ctx.masked))
-        .when(ctx.lang == "ruby", F.regexp_replace(ctx.masked, RUBY_HEADS, f"$1 {LINE}"))
-        .otherwise(F.regexp_replace(ctx.masked, FOR_HEADER, f"for $1{SEMI} $2{SEMI} $3"))
-    )
-
-    def cut(t: Column) -> Column:
-        python = ctx.lang == "python"
-        return F.struct(
-            F.when(python, F.split(t, STATEMENT_PYTHON)).otherwise(F.split(t, STATEMENT)).alias("pieces"),
-            F.when(python, F.regexp_extract_all(t, F.lit(STATEMENT_PYTHON), F.lit(0)))
-            .otherwise(F.regexp_extract_all(t, F.lit(STATEMENT), F.lit(0)))
-            .alias("found"),
+    marked = (
+        F.when(
+            ctx.lang == "python",
+            F.regexp_replace(_python_marks(ctx.masked), f"({STATEMENT_PYTHON})", f"{CUT}$1{CUT}"),
         )
-
-    def mark(s: Column) -> Column:
-        size = F.size(F.split(ctx.masked, " "))
-        ok = F.filter(
-            indices(s["found"]),
-            lambda i: let(
-                F.get(s["found"], i),
-                lambda m: _balanced(m)
-                & ~((ctx.lang == "ruby") & F.rlike(m, F.lit(RUBY_CONTROL)))
-                & (F.size(F.split(m, " ")) > 1)
-                & (F.size(F.split(m, " ")) * 2 < size),
+        .when(
+            ctx.lang == "ruby",
+            F.regexp_replace(
+                F.regexp_replace(ctx.masked, RUBY_HEADS, f"$1 {LINE}"), f"({STATEMENT})", f"{CUT}$1{CUT}"
             ),
         )
-        return F.struct(s["pieces"].alias("pieces"), s["found"].alias("found"), ok.alias("ok"))
+        .otherwise(
+            F.regexp_replace(
+                F.regexp_replace(ctx.masked, FOR_HEADER, f"for $1{SEMI} $2{SEMI} $3"), f"({STATEMENT})", f"{CUT}$1{CUT}"
+            )
+        )
+    )
 
-    return let(text, lambda t: let(cut(t), mark))
+    def mark(s: Column) -> Column:
+        def qualifies(m: Column) -> Column:
+            return let(
+                F.size(F.split(m, " ")),
+                lambda n: (n > 1)
+                & (n * 2 < s["size"])
+                & _balanced(m)
+                & ~((ctx.lang == "ruby") & F.rlike(m, F.lit(RUBY_CONTROL))),
+            )
+
+        ok = F.filter(F.filter(indices(s["parts"]), lambda i: i % 2 == 1), lambda i: qualifies(F.get(s["parts"], i)))
+        return F.struct(s["parts"].alias("parts"), ok.alias("ok"))
+
+    return let_all({"parts": F.split(marked, CUT), "size": F.size(F.split(ctx.masked, " "))}, mark)
 
 
 def _statement_text(ctx: Context, found: Column) -> Column:
@@ -483,7 +477,7 @@ def dead_body(ctx: Context) -> Column:
     return let(
         statement_parts(ctx),
         lambda s: _statement_text(
-            ctx, F.get(s["found"], F.get(s["ok"], rand.pick(F.size(s["ok"]), ctx.id, salt="dead_body", seed=ctx.seed)))
+            ctx, F.get(s["parts"], F.get(s["ok"], rand.pick(F.size(s["ok"]), ctx.id, salt="dead_body", seed=ctx.seed)))
         ),
     )
 
@@ -493,18 +487,14 @@ def dead_code(ctx: Context) -> Column:
 
     def build(s: Column) -> Column:
         n = F.size(s["ok"])
-        body = F.get(s["found"], F.get(s["ok"], rand.pick(n, ctx.id, salt="dead_body", seed=ctx.seed)))
+        body = F.get(s["parts"], F.get(s["ok"], rand.pick(n, ctx.id, salt="dead_body", seed=ctx.seed)))
         target = F.get(s["ok"], rand.pick(n, ctx.id, salt="dead_target", seed=ctx.seed))
 
         def insert(p: Column) -> Column:
             rebuilt = F.array_join(
                 F.transform(
-                    s["pieces"],
-                    lambda piece, i: F.concat(
-                        piece,
-                        F.when(i == p["target"], F.concat(p["dead"], F.lit(" "))).otherwise(F.lit("")),
-                        F.coalesce(F.get(s["found"], i), F.lit("")),
-                    ),
+                    s["parts"],
+                    lambda part, i: F.when(i == p["target"], F.concat(p["dead"], F.lit(" "), part)).otherwise(part),
                 ),
                 "",
             )
@@ -515,25 +505,29 @@ def dead_code(ctx: Context) -> Column:
     return let(statement_parts(ctx), build)
 
 
+def name_flags(tokens: Column, lang: Column) -> Column:
+    """Per token, whether it is a name and not a reserved word."""
+    name = F.lit(f"^{X.NAME_DOLLAR}$")
+    return F.transform(tokens, lambda t: F.rlike(t, name) & ~K.is_reserved(t, lang))
+
+
 def variable_names(ctx: Context) -> Column:
     """Distinct names that may be renamed: not reserved, not called, not a type before a name."""
-    name = F.lit(f"^{X.NAME_DOLLAR}$")
 
     def body(s: Column) -> Column:
-        def is_name(t: Column) -> Column:
-            return F.coalesce(F.rlike(t, name) & ~F.array_contains(s["reserved"], t), F.lit(False))
-
         return F.array_distinct(
             F.filter(
                 s["t"],
-                lambda t, i: is_name(t)
+                lambda t, i: F.get(s["flags"], i)
                 & F.coalesce(F.get(s["t"], i + 1) != "(", F.lit(True))
-                & ~is_name(F.get(s["t"], i + 1))
+                & ~F.coalesce(F.get(s["flags"], i + 1), F.lit(False))
                 & ((ctx.lang != "php") | F.startswith(t, F.lit("$"))),
             )
         )
 
-    return let_all({"t": F.split(ctx.masked, " "), "reserved": K.reserved_of(ctx.lang)}, body)
+    return let(
+        F.split(ctx.masked, " "), lambda t: let_all({"t": t, "flags": name_flags(t, ctx.lang)}, body)
+    )
 
 
 def renamed_names(ctx: Context, share: float = 0.2) -> Column:
@@ -614,14 +608,13 @@ def choose_weighted(ctx: Context, rewrites: list[Rewrite] | None = None) -> Colu
     rewrites = [r for r in (rewrites or default_registry()) if r.weight > 0]
     result = "struct<name:string,code:string>"
 
+    def named(name: str) -> Callable[[Column], Column]:
+        return lambda c: F.when(c.isNotNull(), F.struct(F.lit(name).alias("name"), c.alias("code")).cast(result))
+
     def attempt(name: Column) -> Column:
         out = F.lit(None).cast(result)
         for r in rewrites:
-            tried = let(
-                r.apply(ctx),
-                lambda c, n=r.name: F.when(c.isNotNull(), F.struct(F.lit(n).alias("name"), c.alias("code"))),
-            )
-            out = F.when(name == r.name, tried).otherwise(out)
+            out = F.when(name == r.name, let(r.apply(ctx), named(r.name))).otherwise(out)
         return out
 
     return F.aggregate(

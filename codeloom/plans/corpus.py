@@ -75,9 +75,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when a source comes in fewer splits than there are cores.
+
+    A large table has splits enough and is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, lang, code) over all orders."""
-    return table(spark, sf_dir, "orders").selectExpr(*SEED_EXPRS).selectExpr("id", "lang", f"{CODE_EXPR} AS code")
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")).selectExpr(*SEED_EXPRS).selectExpr("id", "lang", f"{CODE_EXPR} AS code")
 
 
 def corpus_oracle() -> str:
