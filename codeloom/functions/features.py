@@ -71,21 +71,22 @@ def vocabulary(df: DataFrame, tokens: str, size: int) -> DataFrame:
     )
 
 
+BROADCAST_LIMIT = 1_000_000
+
+
 def encode_pad(
-    df: DataFrame, keys: list[str], tokens: str, vocab: DataFrame, max_length: int, out: str = "ids",
-    broadcast_limit: int = 1_000_000,
+    df: DataFrame, keys: list[str], tokens: str, vocab: DataFrame, max_length: int, vocab_size: int, out: str = "ids",
 ) -> DataFrame:
     """(keys, out): token ids cut to leave room for one end mark, then padded.
 
-    Rows are placed by id first; the lookup is a broadcast of the bounded vocabulary, so
-    putting the ids of a row together again is local. A vocabulary larger than
-    ``broadcast_limit`` rows is joined by shuffle instead.
+    Rows are placed by id first; a vocabulary of at most ``BROADCAST_LIMIT`` tokens
+    (``vocab_size`` is the bound it was built with) is broadcast, so putting the ids of a row
+    together again is local. A larger one is joined as the planner sees fit.
     """
     cut = df.select(*keys, F.slice(tokens, 1, max_length - 1).alias("t")).repartition("id")
     exploded = cut.select(*keys, F.posexplode_outer("t").alias("pos", "token"))
     lookup = vocab.select("token", "token_id")
-    small = vocab.count() <= broadcast_limit
-    joined = exploded.join(F.broadcast(lookup) if small else lookup.hint("shuffle_hash"), "token", "left")
+    joined = exploded.join(F.broadcast(lookup) if vocab_size <= BROADCAST_LIMIT else lookup, "token", "left")
     found = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK)).alias("token_id")))
     ids = joined.groupBy(*keys).agg(F.array_sort(F.collect_list(found)).alias("found"))
     body = F.concat(F.transform("found", lambda x: x["token_id"]), F.array(F.lit(EOS)))

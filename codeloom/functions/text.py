@@ -340,3 +340,17 @@ def ancestor_chains(tokens: Column) -> Column:
 
     return let(tokens, lambda t: let_all({"toks": t, "spans": bracket_spans(t)}, body))
 
+
+
+def node_count(n_tokens: Column, spans: Column) -> Column:
+    """Nodes of the whole row: its tokens, its spans and the root."""
+    return n_tokens + F.size(spans) + 1
+
+
+def span_node_counts(spans: Column) -> Column:
+    """Per span, its tokens and the spans inside it, itself included."""
+    return F.transform(
+        spans,
+        lambda a: a["close_pos"] - a["open_pos"] + 1
+        + F.size(F.filter(spans, lambda b: (b["open_pos"] >= a["open_pos"]) & (b["close_pos"] <= a["close_pos"]))),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,34 +26,40 @@ def sample_fraction(
 ) -> DataFrame:
     """Exactly floor(share * n) rows, those with the smallest keyed hash.
 
-    The 32-bit hash is cut into 4096 buckets. Bucket counts tell the bucket in which the
-    quota ends; only that bucket's rows (about n / 4096) are ranked one by one.
+    Bucket counts over the hash tell where the quota ends; the bucket it ends in is cut
+    again. Only about n / 2**24 rows are ranked one by one, and the driver sees two numbers
+    per level.
     """
-    hashed = df.withColumn("_h", rand.hash32(F.col(id_col), salt=salt, seed=seed)).withColumn(
-        "_b", F.shiftright("_h", 20).cast("int")
-    )
-    counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("c"))
-    packed = counts.agg(
-        F.sum("c").alias("n"), F.array_sort(F.collect_list(F.struct("_b", "c"))).alias("buckets")
+    hashed = df.withColumn("_h", rand.hash32(F.col(id_col), salt=salt, seed=seed))
+    n = hashed.count()
+    quota = int(math.floor(share * n))
+    taken, rest = [], hashed
+    for shift in (20, 8):
+        bucket = F.shiftright("_h", shift)
+        edge, before = _edge(rest.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c")), quota)
+        taken.append(rest.where(bucket < edge))
+        rest, quota = rest.where(bucket == edge), quota - before
+    taken.append(rest.orderBy("_h", id_col).limit(quota))
+    out = taken[0]
+    for part in taken[1:]:
+        out = out.unionByName(part)
+    return out.drop("_h")
+
+
+def _edge(counts: DataFrame, quota: int) -> tuple[int, int]:
+    """Bucket in which ``quota`` rows are reached and the rows before it (at most 4096 buckets)."""
+    packed = counts.agg(F.array_sort(F.collect_list(F.struct("b", "c"))).alias("buckets"))
+    start = F.struct(
+        F.lit(0).cast("bigint").alias("seen"), F.lit(-1).cast("bigint").alias("edge"), F.lit(0).cast("bigint").alias("before")
     )
-    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(-1).alias("edge"), F.lit(0).cast("bigint").alias("before"))
-    quota = F.floor(F.lit(share) * F.col("n"))
 
     def walk(acc: Column, b: Column) -> Column:
-        reaches = (acc["edge"] < 0) & (acc["seen"] + b["c"] > F.col("quota"))
+        reaches = (acc["edge"] < 0) & (acc["seen"] + b["c"] > quota)
         return F.struct(
             (acc["seen"] + b["c"]).alias("seen"),
-            F.when(reaches, b["_b"]).otherwise(acc["edge"]).alias("edge"),
+            F.when(reaches, b["b"]).otherwise(acc["edge"]).alias("edge"),
             F.when(reaches, acc["seen"]).otherwise(acc["before"]).alias("before"),
         )
 
-    found = packed.withColumn("quota", quota).withColumn("w", F.aggregate("buckets", start, walk)).select(
-        F.when(F.col("w.edge") < 0, F.lit(4096)).otherwise(F.col("w.edge")).alias("edge"),
-        (F.col("quota") - F.col("w.before")).alias("rest"),
-    )
-    # at most 4096 bucket counts are folded into this one row: two plain numbers for the plan
-    row = found.first()
-    edge, rest = row["edge"], row["rest"]
-    whole = hashed.where(F.col("_b") < edge)
-    part = hashed.where(F.col("_b") == edge).orderBy("_h", id_col).limit(int(rest))
-    return whole.unionByName(part).drop("_h", "_b")
+    row = packed.select(F.aggregate("buckets", start, walk).alias("w")).first()["w"]
+    return (row["edge"], row["before"]) if row["edge"] >= 0 else (1 << 32, row["seen"])

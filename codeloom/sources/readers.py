@@ -157,8 +157,8 @@ def read_pairs(spark: SparkSession, path: str, languages: list[str] | None = Non
 def read_pair_files(spark: SparkSession, pattern: str) -> DataFrame:
     """Pairs of files named ``{lang}_{train|valid}.jsonl``; language and split come from the name."""
     df = spark.read.schema(PAIR_SCHEMA).json(pattern)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_(train|valid)\.jsonl(?:/[^/]*)?$", 1)
-    split = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_(train|valid)\.jsonl(?:/[^/]*)?$", 2)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)_(train|valid)\.jsonl(?:/[^/]*)?$", 1)
+    split = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)_(train|valid)\.jsonl(?:/[^/]*)?$", 2)
     return df.select(name.alias("lang"), split.alias("split"), "source", "target", "transformer")
 
 
