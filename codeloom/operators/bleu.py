@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import lookups as K
+from codeloom.functions import text as X
 from codeloom.functions.arrays import compute_once, strip, words
 from codeloom.operators import matching as M
 
@@ -89,6 +90,12 @@ def sums(stats: DataFrame, by: list[str], max_order: int = 4) -> DataFrame:
     return stats.groupBy(*by).agg(*aggs)
 
 
+def sums_per_row(stats: DataFrame, max_order: int = 4) -> DataFrame:
+    """The row statistics shaped like ``sums`` of one row each: the key is the row."""
+    floors = {f"pd_{n}": F.greatest(F.lit(1), F.col(f"d_{n}")) for n in range(1, max_order + 1)}
+    return stats.select("*", F.lit(1).cast("bigint").alias("n_rows"), *[c.alias(k) for k, c in floors.items()])
+
+
 def _mean_log(ps: list[Column], weights: list[float] | None = None) -> Column:
     weights = weights or [1.0 / len(ps)] * len(ps)
     total = F.lit(0.0)
@@ -235,6 +242,11 @@ def sentence_bleu(max_order: int = 4, ref_len: str = "ref_min", smooth: bool = T
     return [F.exp(total / max_order + penalty), *logs]
 
 
+def sentence_tokens(text: Column) -> Column:
+    """Tokens the sentence BLEU counts: trimmed, lower case, punctuation apart, normalised."""
+    return X.mteval_tokens(X.split_punct(F.lower(strip(text))))
+
+
 def exp_smoothed_bleu(max_order: int = 4) -> Column:
     """Corpus BLEU in percent with exponential smoothing of zero orders, one reference."""
     zeros, total, effective = F.lit(0), F.lit(0.0), F.lit(0)

@@ -19,8 +19,6 @@ ENDS = (";", "{", "}", "NEWLINE", "INDENT", "DEDENT")
 ASSIGNS = ("=", ":=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=")
 STEPS = ("++", "--")
 
-EDGE_TYPE = "array<struct<pos:int,name:string,rel:string,parents:array<string>,parent_pos:array<int>>>"
-
 
 def occurrences(tokens: Column, lang: Column) -> Column:
     """array<struct(pos, name, target, step, tgt, def)> of the variable occurrences.
@@ -99,31 +97,43 @@ def occurrences(tokens: Column, lang: Column) -> Column:
     return let(tokens, lambda t: let_all({"t": t, "flags": name_flags(t, lang)}, flagged))
 
 
-def edges(tokens: Column, lang: Column) -> Column:
-    """One edge per variable position, ordered by position, parents by their position."""
+def raw_edges(occ: Column) -> Column:
+    """array<struct(pos, name, rel, parents)> per occurrence; parents are (pos, name) by position."""
+
+    def edge(o: Column) -> Column:
+        right = F.when(o["target"], F.filter(occ, lambda r: r["tgt"] == o["pos"])).otherwise(F.slice(occ, 1, 0))
+        use = ~o["target"] & ~o["step"]
+        own = F.when(o["step"], F.array(F.struct(o["pos"].alias("pos"), o["name"].alias("name")))).when(
+            use & o["def"].isNotNull(), F.array(F.struct(o["def"].alias("pos"), o["name"].alias("name")))
+        ).otherwise(F.array().cast("array<struct<pos:int,name:string>>"))
+        parents = F.concat(own, F.transform(right, lambda r: F.struct(r["pos"].alias("pos"), r["name"].alias("name"))))
+        return F.struct(
+            o["pos"].alias("pos"),
+            o["name"].alias("name"),
+            F.when(use, F.lit("comesFrom")).otherwise(F.lit("computedFrom")).alias("rel"),
+            F.array_sort(parents).alias("parents"),
+        )
 
-    def build(occ: Column) -> Column:
-        def edge(o: Column) -> Column:
-            right = F.when(o["target"], F.filter(occ, lambda r: r["tgt"] == o["pos"])).otherwise(F.slice(occ, 1, 0))
-            use = ~o["target"] & ~o["step"]
-            own = F.when(o["step"], F.array(F.struct(o["pos"].alias("pos"), o["name"].alias("name")))).when(
-                use & o["def"].isNotNull(), F.array(F.struct(o["def"].alias("pos"), o["name"].alias("name")))
-            ).otherwise(F.array().cast("array<struct<pos:int,name:string>>"))
-            parents = F.concat(own, F.transform(right, lambda r: F.struct(r["pos"].alias("pos"), r["name"].alias("name"))))
-            return let(
-                F.array_sort(parents),
-                lambda ps: F.struct(
-                    o["pos"].alias("pos"),
-                    o["name"].alias("name"),
-                    F.when(use, F.lit("comesFrom")).otherwise(F.lit("computedFrom")).alias("rel"),
-                    F.array_distinct(F.transform(ps, lambda p: p["name"])).alias("parents"),
-                    F.array_distinct(F.transform(ps, lambda p: p["pos"])).alias("parent_pos"),
-                ),
-            )
+    return F.transform(occ, edge)
 
-        return F.transform(occ, edge)
 
-    return let(occurrences(tokens, lang), build)
+def merged(raw: Column) -> Column:
+    """One edge per position: distinct parent names and positions, both by position."""
+    return F.transform(
+        raw,
+        lambda e: F.struct(
+            e["pos"].alias("pos"),
+            e["name"].alias("name"),
+            e["rel"].alias("rel"),
+            F.array_distinct(F.transform(e["parents"], lambda p: p["name"])).alias("parents"),
+            F.array_distinct(F.transform(e["parents"], lambda p: p["pos"])).alias("parent_pos"),
+        ),
+    )
+
+
+def edges(tokens: Column, lang: Column) -> Column:
+    """One edge per variable position, ordered by position, parents by their position."""
+    return let(occurrences(tokens, lang), lambda occ: let(raw_edges(occ), merged))
 
 
 def connected(edge_array: Column) -> Column:
