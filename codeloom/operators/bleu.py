@@ -36,42 +36,46 @@ def _at_least_one(n: int) -> Callable[[Column], Column]:
     return lambda size: F.greatest(F.lit(1), size - (n - 1))
 
 
-def pair_stats(df: DataFrame, keys: list[str], max_order: int = 4, weighted: bool = False) -> DataFrame:
+def pair_stats(
+    df: DataFrame, keys: list[str], max_order: int = 4, weighted: bool = False, n_refs: int = 1
+) -> DataFrame:
     """One row of integer sums per scored pair; row-local, no shuffle.
 
     ``df`` holds the ``keys``, ``hyp`` (tokens) and ``refs`` (array of token arrays). Per
     order n: ``m_n`` matches clipped by the best reference, ``d_n`` n-grams of the
     hypothesis, ``rm_n``/``rd_n`` recall matches and n-grams over the references.
-    ``weighted`` needs ``lang`` and adds ``wm_1``/``wd_1``, in fifths.
+    ``weighted`` needs ``lang`` and adds ``wm_1``/``wd_1``, in fifths. ``n_refs`` is the usual
+    number of references; rows with another number are scored all the same, only slower.
     """
-    cols = {"match": M.ngram_matches(F.col("hyp"), F.col("refs"), max_order)}
-    if weighted:
-        lang = F.col("lang")
-        matched_keywords = M.common_where(F.col("hyp"), F.col("refs"), lambda t: K.is_keyword(t, lang))
-        ref_weights = F.transform(
-            "refs",
-            lambda r: F.greatest(
-                F.lit(KEYWORD_SCALE),
-                F.size(r) + (KEYWORD_SCALE - 1) * F.size(F.filter(r, lambda t: K.is_keyword(t, lang))),
-            ),
-        )
-        cols["matched_keywords"] = matched_keywords
-        cols["wd_1"] = _total(ref_weights)
     ref_lengths = F.transform("refs", lambda r: F.size(r))
-    hyp_len = F.size("hyp")
-    cols |= {
-        "hyp_len": hyp_len,
-        "ref_min": F.array_min(ref_lengths),
-        "ref_closest": closest_length(ref_lengths, hyp_len),
-        "ref_avg": _total(ref_lengths) / F.size("refs"),
+    df = df.select(
+        *dict.fromkeys([*keys, "hyp", "refs"]), F.size("hyp").alias("hyp_len"), ref_lengths.alias("_ref_lens")
+    )
+    hyp_len, lens = F.col("hyp_len"), F.col("_ref_lens")
+    cols = {
+        "ref_min": F.array_min(lens),
+        "ref_closest": closest_length(lens, hyp_len),
+        "ref_avg": _total(lens) / F.size("refs"),
     }
     for n in range(1, max_order + 1):
         cols[f"d_{n}"] = F.greatest(F.lit(0), hyp_len - (n - 1))
-        cols[f"rd_{n}"] = _total(F.transform(ref_lengths, _at_least_one(n)))
-    out = compute_once(df.select(*dict.fromkeys([*keys, "hyp", "refs"])), **cols).drop("hyp", "refs")
-    out = out.select("*", "match.*").drop("match")
+        cols[f"rd_{n}"] = _total(F.transform(lens, _at_least_one(n)))
+    if weighted:
+        lang = F.col("lang")
+
+        def keywords(tokens: Column) -> Column:
+            return F.filter(tokens, lambda t: K.is_keyword(t, lang))
+
+        df = df.select("*", keywords(F.col("hyp")).alias("_hyp_kw"), F.transform("refs", keywords).alias("_ref_kw"))
+        cols["_kw"] = _total(F.transform("_ref_kw", lambda r: M.multiset_match(F.col("_hyp_kw"), r)))
+        weights = F.zip_with(
+            lens, "_ref_kw", lambda n, kw: F.greatest(F.lit(KEYWORD_SCALE), n + (KEYWORD_SCALE - 1) * F.size(kw))
+        )
+        cols["wd_1"] = _total(weights)
+    df = df.select(*dict.fromkeys([*keys, "hyp", "refs"]), "hyp_len", *[c.alias(k) for k, c in cols.items()])
+    out = M.with_ngram_matches(df, max_order, n_refs).drop("hyp", "refs")
     if weighted:
-        out = out.withColumn("wm_1", F.col("rm_1") + (KEYWORD_SCALE - 1) * F.col("matched_keywords"))
+        out = out.withColumn("wm_1", F.col("rm_1") + (KEYWORD_SCALE - 1) * F.col("_kw")).drop("_kw")
     return out
 
 
@@ -197,12 +201,16 @@ def precision_bleu(
     max_order: int = 4, smoothing: Smoothing = smooth_epsilon, weights: list[float] | None = None,
     auto_reweigh: bool = False,
 ) -> Column:
-    """Micro-averaged BLEU with the closest reference length, over ``sums`` of one order more.
+    """Micro-averaged BLEU with the closest reference length, over ``sums``.
+
+    The neighbour smoothings need sums of one order more than is scored.
 
     ``auto_reweigh`` spreads the weight evenly over the orders a hypothesis shorter than four
     tokens has.
     """
-    orders = range(1, max_order + 2)
+    # only the neighbour average reads the order beyond the scored ones
+    beyond = max_order + 1 if smoothing in (smooth_neighbours, smooth_length_neighbours) else max_order
+    orders = [*range(1, max_order + 1), beyond]
     num = [F.col(f"m_{n}") for n in orders]
     den = [F.col(f"pd_{n}") for n in orders]
     grams = [F.col(f"d_{n}") for n in orders]

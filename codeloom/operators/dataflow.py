@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.arrays import join_tokens, let, let_all
+from codeloom.functions.arrays import indices, join_tokens, let, let_all
 from codeloom.functions import text as X
 from codeloom.operators.rewrites import name_flags
 
@@ -33,66 +33,53 @@ def occurrences(tokens: Column, lang: Column) -> Column:
         def at(i: Column, allowed: tuple[str, ...]) -> Column:
             return F.coalesce(F.get(t, i).isin(*allowed), F.lit(False))
 
-        everything = F.transform(
-            t,
-            lambda x, i: F.struct(
+        is_variable = F.filter(
+            indices(t),
+            lambda i: F.get(flags, i) & ~at(i + 1, ("(",)) & ~F.coalesce(F.get(flags, i + 1), F.lit(False)),
+        )
+        variables = F.transform(
+            is_variable,
+            lambda i: F.struct(
                 i.alias("pos"),
-                x.alias("name"),
-                (
-                    F.get(flags, i)
-                    & ~at(i + 1, ("(",))
-                    & ~F.coalesce(F.get(flags, i + 1), F.lit(False))
-                ).alias("var"),
+                F.get(t, i).alias("name"),
                 at(i + 1, ASSIGNS).alias("target"),
                 (at(i + 1, STEPS) | (at(i - 1, STEPS) & (i > 0))).alias("step"),
-                x.isin(*ENDS).alias("ends"),
             ),
         )
-
-        def resolve(e: Column) -> Column:
-            variables = F.filter(e, lambda o: o["var"])
-            events = F.transform(
-                F.filter(e, lambda o: o["ends"] | (o["var"] & o["target"])),
-                lambda o: F.struct(o["pos"].alias("pos"), F.when(o["ends"], F.lit(-1)).otherwise(o["pos"]).alias("tgt")),
-            )
-            ends = F.transform(F.filter(e, lambda o: o["ends"]), lambda o: o["pos"])
-            defs = F.filter(e, lambda o: o["var"] & (o["target"] | o["step"]))
-
-            def latest_definition(v: Column, o: Column) -> Column:
+        ends = F.filter(indices(t), lambda i: F.get(t, i).isin(*ENDS))
+        return let_all({"vars": variables, "ends": ends}, lambda v: let_all(
+            {
+                "vars": v["vars"],
+                "ends": v["ends"],
+                "targets": F.transform(F.filter(v["vars"], lambda o: o["target"]), lambda o: o["pos"]),
+                "defs": F.filter(v["vars"], lambda o: o["target"] | o["step"]),
+            },
+            link,
+        ))
+
+    def link(v: Column) -> Column:
+        def resolve(o: Column) -> Column:
+            def before(places: Column) -> Column:
+                return F.coalesce(F.array_max(F.filter(places, lambda p: p < o["pos"])), F.lit(-1))
+
+            def found(at: Column) -> Column:
                 # an assignment takes effect when its statement ends, a step at once
-                begin = F.coalesce(F.array_max(F.filter(v["ends"], lambda p: p < o["pos"])), F.lit(-1))
-                return let(
-                    begin,
-                    lambda b: F.array_max(
-                        F.transform(
-                            F.filter(
-                                v["defs"],
-                                lambda d: (d["name"] == o["name"])
-                                & (d["pos"] < F.when(d["target"], b).otherwise(o["pos"])),
-                            ),
-                            lambda d: d["pos"],
-                        )
-                    ),
+                visible = F.filter(
+                    v["defs"],
+                    lambda d: (d["name"] == o["name"]) & (d["pos"] < F.when(d["target"], at["begin"]).otherwise(o["pos"])),
                 )
-
-            def link(v: Column) -> Column:
-                return F.transform(
-                    v["vars"],
-                    lambda o: F.struct(
-                        o["pos"].alias("pos"),
-                        o["name"].alias("name"),
-                        o["target"].alias("target"),
-                        o["step"].alias("step"),
-                        F.coalesce(
-                            F.array_max(F.filter(v["events"], lambda ev: ev["pos"] < o["pos"]))["tgt"], F.lit(-1)
-                        ).alias("tgt"),
-                        latest_definition(v, o).alias("def"),
-                    ),
+                return F.struct(
+                    o["pos"].alias("pos"),
+                    o["name"].alias("name"),
+                    o["target"].alias("target"),
+                    o["step"].alias("step"),
+                    F.when(at["goal"] > at["begin"], at["goal"]).otherwise(F.lit(-1)).alias("tgt"),
+                    F.array_max(F.transform(visible, lambda d: d["pos"])).alias("def"),
                 )
 
-            return let_all({"vars": variables, "events": events, "ends": ends, "defs": defs}, link)
+            return let_all({"begin": before(v["ends"]), "goal": before(v["targets"])}, found)
 
-        return let(everything, resolve)
+        return F.transform(v["vars"], resolve)
 
     return let(tokens, lambda t: let_all({"t": t, "flags": name_flags(t, lang)}, flagged))
 

@@ -16,22 +16,50 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.arrays import let, let_all
+from codeloom.functions.arrays import compute_once, let, let_all
 
 SEP = "\u0001"
 MAX_PACKED = 2000  # distinct tokens of a row up to which n-grams are packed into one bigint
 
 
-def bag(items: Column) -> Column:
-    """struct(base, tail) of an item array."""
+def numbered_copies(extra: Column) -> Column:
+    """Number the copies in each run of a sorted array: ``x, x, y`` to ``x 1, x 2, y 1``.
 
-    def numbered(extra: Column) -> Column:
-        return F.transform(
-            extra, lambda x, i: F.concat(x.cast("string"), F.lit(SEP), (i + 1 - F.array_position(extra, x)).cast("string"))
+    Linear in the array: run starts first, then one sequence per run.
+    """
+
+    def runs(x: Column) -> Column:
+        starts = F.filter(
+            F.transform(x, lambda v, i: F.when(F.coalesce(v != F.get(x, i - 1), F.lit(True)), i)), lambda i: i.isNotNull()
         )
 
-    def further_copies(g: Column) -> Column:
-        return let(F.sort_array(g), lambda s: let(F.filter(s, lambda x, i: x == F.get(s, i - 1)), numbered))
+        def number(st: Column) -> Column:
+            def one_run(first: Column, j: Column) -> Column:
+                size = F.coalesce(F.get(st, j + 1), F.size(x)) - first
+                return let(
+                    F.get(x, first).cast("string"),
+                    lambda v: F.transform(
+                        F.sequence(F.lit(1), size), lambda k: F.concat(v, F.lit(SEP), k.cast("string"))
+                    ),
+                )
+
+            return F.flatten(F.transform(st, one_run))
+
+        return let(starts, number)
+
+    return F.when(F.size(extra) == 0, F.array().cast("array<string>")).otherwise(let(extra, runs))
+
+
+def further_copies(sorted_items: Column) -> Column:
+    """All copies of a sorted array beyond the first of each item."""
+    return F.filter(sorted_items, lambda x, i: x == F.get(sorted_items, i - 1))
+
+
+def bag(items: Column) -> Column:
+    """struct(base, tail) of an item array."""
+
+    def tail(g: Column) -> Column:
+        return let(F.sort_array(g), lambda s: numbered_copies(further_copies(s)))
 
     return let(
         items,
@@ -39,7 +67,7 @@ def bag(items: Column) -> Column:
             F.array_distinct(g),
             lambda d: F.struct(
                 d.alias("base"),
-                F.when(F.size(d) == F.size(g), F.array().cast("array<string>")).otherwise(further_copies(g)).alias("tail"),
+                F.when(F.size(d) == F.size(g), F.array().cast("array<string>")).otherwise(tail(g)).alias("tail"),
             ),
         ),
     )
@@ -140,24 +168,67 @@ def _common_at(h: Column, n: int) -> Callable[[Column], Column]:
     return lambda b: common(h[n], b[n])
 
 
-def common_where(hyp: Column, refs: Column, keep: Callable[[Column], Column]) -> Column:
-    """Clipped matches of single tokens that satisfy ``keep``, summed over the references."""
-
-    def per_ref(h: Column) -> Callable[[Column], Column]:
-        def count(b: Column) -> Column:
-            base = F.filter(F.array_intersect(h["base"], b["base"]), keep)
-            tail = F.filter(
-                F.array_intersect(h["tail"], b["tail"]), lambda x: keep(F.substring_index(x, SEP, 1))
-            )
-            return F.size(base) + F.size(tail)
-
-        return count
+def with_ngram_matches(df: DataFrame, max_order: int = 4, n_refs: int = 1) -> DataFrame:
+    """Add ``m_n`` and ``rm_n`` for rows that mostly hold ``n_refs`` references.
 
-    return let_all(
-        {"h": bag(hyp), "r": F.transform(refs, bag)},
-        lambda s: F.aggregate(F.transform(s["r"], per_ref(s["h"])), F.lit(0), lambda a, x: a + x),
+    The same counts as ``ngram_matches``, laid out as a chain of projections: as plain
+    columns the sorts and intersections run as generated code on bigint arrays. Rows that do
+    not fit (other reference count, very many distinct tokens) take the general expression.
+    """
+    kept = df.columns
+    sides = {"h": F.col("hyp"), **{f"r{i}": F.get("refs", F.lit(i)) for i in range(n_refs)}}
+    refs = [s for s in sides if s != "h"]
+    limit = min(MAX_PACKED, int(9e18 ** (1.0 / max_order)) - 2)
+    df = df.select("*", F.array_distinct(F.concat("hyp", F.flatten("refs"))).alias("_vocab"))
+    df = df.select(
+        "*",
+        ((F.size("_vocab") <= limit) & (F.size("refs") == n_refs)).alias("_fits"),
+        (F.size("_vocab") + 1).cast("bigint").alias("_width"),
     )
 
+    def code(t: Column) -> Column:
+        # never null, so that the arrays are sorted as primitive numbers
+        return F.coalesce(F.array_position("_vocab", t), F.lit(0).cast("bigint"))
+
+    df = df.select("*", *[F.when(F.col("_fits"), F.transform(c, code)).alias(f"_{s}_1") for s, c in sides.items()])
+    for n in range(2, max_order + 1):
+        longer = []
+        for s in sides:
+            left = F.greatest(F.size(f"_{s}_1") - (n - 1), F.lit(0))
+            longer.append(
+                F.zip_with(
+                    F.slice(f"_{s}_{n - 1}", F.lit(1), left),
+                    F.slice(f"_{s}_1", F.lit(n), left),
+                    lambda a, b: F.coalesce(a * F.col("_width") + b, F.lit(0).cast("bigint")),
+                ).alias(f"_{s}_{n}")
+            )
+        df = df.select("*", *longer)
+    every = [f"{s}_{n}" for s in sides for n in range(1, max_order + 1)]
+    df = df.select("*", *[F.sort_array(f"_{e}").alias(f"_s_{e}") for e in every])
+    df = df.select("*", *[further_copies(F.col(f"_s_{e}")).alias(f"_x_{e}") for e in every])
+    df = df.select("*", *[numbered_copies(F.col(f"_x_{e}")).alias(f"_t_{e}") for e in every])
+
+    def overlap(n: int, others: list[str]) -> Column:
+        base = F.concat(*[F.col(f"_{r}_{n}") for r in others])
+        tail = F.concat(*[F.col(f"_t_{r}_{n}") for r in others])
+        return F.size(F.array_intersect(f"_h_{n}", base)) + F.size(F.array_intersect(f"_t_h_{n}", tail))
+
+    general = F.when(~F.col("_fits"), ngram_matches(F.col("hyp"), F.col("refs"), max_order))
+    cols = []
+    for n in range(1, max_order + 1):
+        each = [overlap(n, [r]) for r in refs]
+        cols.append(overlap(n, refs).alias(f"_m_{n}"))
+        cols.append(sum(each[1:], each[0]).alias(f"_rm_{n}"))
+    df = df.select(*kept, "_fits", general.alias("_general"), *cols)
+    counts = {
+        f"{k}_{n}": F.when(F.col("_fits"), F.col(f"_{k}_{n}")).otherwise(F.col("_general")[f"{k}_{n}"])
+        for k in ("m", "rm")
+        for n in range(1, max_order + 1)
+    }
+    # a filter on the counts must not be pushed into the chain: copied through every step, its
+    # expression would double each time
+    return compute_once(df, **counts).select(*kept, *counts)
+
 
 def multiset_match(hyp: Column, ref: Column) -> Column:
     """Size of the clipped intersection of two item arrays."""

@@ -73,6 +73,12 @@ RUBY_HEADS = r"(def \S+ \( [^()]*\)|\b(?:then|else|do|end|begin)) "
 RUBY_CONTROL = r"\b(?:if|unless|while|until|for|begin|case|def|class|module|do|end|then|else|elsif|when)\b"
 
 
+def with_norm(df: DataFrame, code: str = "code", lang: str = "lang") -> DataFrame:
+    """Add ``tokens`` and ``norm`` (normalised code) to a code table."""
+    df = compute_once(df, tokens=X.tokenize_code(F.col(code), F.col(lang)))
+    return df.withColumn("norm", X.normalized_code(F.col("tokens")))
+
+
 def with_context(df: DataFrame, code: str = "code", lang: str = "lang") -> DataFrame:
     """Add ``tokens``, ``norm`` (normalised code) and ``masked`` to a code table."""
     df = compute_once(df, tokens=X.tokenize_code(F.col(code), F.col(lang)))
@@ -506,9 +512,12 @@ def dead_code(ctx: Context) -> Column:
 
 
 def name_flags(tokens: Column, lang: Column) -> Column:
-    """Per token, whether it is a name and not a reserved word."""
-    name = F.lit(f"^{X.NAME_DOLLAR}$")
-    return F.transform(tokens, lambda t: F.rlike(t, name) & ~K.is_reserved(t, lang))
+    """Per token, whether it is a name and not a reserved word.
+
+    Tokens come from the lexer, so the first character tells a name.
+    """
+    begins = F.lit(r"^[\p{L}_$]")
+    return F.transform(tokens, lambda t: F.rlike(t, begins) & ~K.is_reserved(t, lang))
 
 
 def variable_names(ctx: Context) -> Column:

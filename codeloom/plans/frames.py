@@ -17,7 +17,7 @@ def context(spark: SparkSession, sf: str) -> DataFrame:
 
 def normalized(spark: SparkSession, sf: str) -> DataFrame:
     """(id, lang, norm, w) with the blank-separated words of the normalised code."""
-    return context(spark, sf).select("id", "lang", "norm", F.split("norm", " ").alias("w"))
+    return R.with_norm(code_corpus(spark, sf)).select("id", "lang", "norm", F.split("norm", " ").alias("w"))
 
 
 def prediction_pairs(spark: SparkSession, sf: str) -> DataFrame:

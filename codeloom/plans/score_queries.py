@@ -33,7 +33,7 @@ def r6(c, name):
     ),
 )
 def _bleu_corpus(spark, sf):
-    total = B.sums(B.pair_stats(T.multi_pairs(spark, sf), ["id", "lang"]), ["lang"])
+    total = B.sums(B.pair_stats(T.multi_pairs(spark, sf), ["id", "lang"], n_refs=2), ["lang"])
     return total.select(
         "lang", "n_rows", r6(B.corpus_bleu(), "bleu"), r6(B.corpus_bleu(smooth=True), "bleu_smooth"),
         F.round(100 * B.corpus_bleu(smooth=True), 2).alias("score"),
@@ -42,7 +42,7 @@ def _bleu_corpus(spark, sf):
 
 @register("bleu_nltk", O.query(f"SELECT lang, count(*) AS n_rows, round({SO.BLEU}, 6) AS bleu FROM multi_stats GROUP BY lang", "multi_stats"))
 def _bleu_nltk(spark, sf):
-    total = B.sums(B.pair_stats(T.multi_pairs(spark, sf), ["id", "lang"], 5), ["lang"], 5)
+    total = B.sums(B.pair_stats(T.multi_pairs(spark, sf), ["id", "lang"], n_refs=2), ["lang"])
     return total.select("lang", "n_rows", r6(B.precision_bleu(), "bleu"))
 
 
@@ -86,7 +86,7 @@ def _bleu_smoothing(spark, sf):
     O.query(f"SELECT lang, round({SO.WBLEU}, 6) AS recall, round({SO.WBLEU_CLOSEST}, 6) AS recall_real_length FROM multi_stats GROUP BY lang", "multi_stats"),
 )
 def _recall(spark, sf):
-    total = B.sums(B.pair_stats(T.multi_pairs(spark, sf), ["id", "lang"], weighted=True), ["lang"])
+    total = B.sums(B.pair_stats(T.multi_pairs(spark, sf), ["id", "lang"], weighted=True, n_refs=2), ["lang"])
     return total.select("lang", r6(B.weighted_recall(), "recall"), r6(B.weighted_recall(ref_len="closest"), "recall_real_length"))
 
 
@@ -129,7 +129,7 @@ def _bleu_sentence(spark, sf):
         texts.select("id", "lang", "pred", "text", "second"),
         hyp=B.sentence_tokens(F.col("pred")), refs=F.array(B.sentence_tokens(F.col("text")), B.sentence_tokens(F.col("second"))),
     )
-    rows = B.pair_stats(pairs.select("id", "lang", "hyp", "refs"), ["id", "lang"])
+    rows = B.pair_stats(pairs.select("id", "lang", "hyp", "refs"), ["id", "lang"], n_refs=2)
     names = ["bleu", "bleu_1", "bleu_2", "bleu_3", "bleu_4"]
     scored = rows.select("lang", *[c.alias(n) for c, n in zip(B.sentence_bleu(), names)])
     return scored.groupBy("lang").agg(
