@@ -11,8 +11,6 @@ intersection, and the maximum of several multisets is a set union.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,86 +84,46 @@ def bag_max(bags: Column) -> Column:
     )
 
 
-def gram_bags(units: Column, combine: Callable[[Column, Column], Column], max_order: int) -> Column:
-    """Array of bags, one per n-gram order; ``combine`` extends an n-gram by one unit."""
+def gram_bags(tokens: Column, max_order: int) -> Column:
+    """Array of bags, one per n-gram order, with the n-grams spelled out."""
 
     def orders(c: Column) -> Column:
         def extend(prev: Column, n: int, done: list[Column]) -> Column:
-            done = [*done, bag(prev)]
+            done = [*done, prev]
             if n == max_order:
-                return F.array(*done)
+                return F.transform(F.array(*done), bag)
             left = F.greatest(F.size(c) - n, F.lit(0))
-            longer = F.zip_with(F.slice(prev, F.lit(1), left), F.slice(c, F.lit(n + 1), left), combine)
+            longer = F.zip_with(
+                F.slice(prev, F.lit(1), left), F.slice(c, F.lit(n + 1), left), lambda a, b: F.concat(a, F.lit(SEP), b)
+            )
             return let(longer, lambda g: extend(g, n + 1, done))
 
         return extend(c, 1, [])
 
-    return let(units, orders)
+    return let(tokens, orders)
 
 
 def ngram_matches(hyp: Column, refs: Column, max_order: int = 4) -> Column:
-    """struct(m_1.., rm_1..) for one row.
+    """array<struct(m, rm)> by order for one row, any number of references.
 
-    ``m_n``: hypothesis n-grams matched, clipped by the largest count of any reference.
-    ``rm_n``: per reference the n-grams found in the hypothesis, clipped, and summed.
+    ``m``: hypothesis n-grams matched, clipped by the largest count of any reference.
+    ``rm``: per reference the n-grams found in the hypothesis, clipped, and summed.
     """
 
-    def matches(h: Column, r: Column) -> Column:
-        def stats(s: Column) -> Column:
-            out = []
-            for n in range(max_order):
-                one = F.size(s["r"]) == 1
-                found = F.aggregate(F.transform(s["r"], _common_at(s["h"], n)), F.lit(0), lambda acc, x: acc + x)
-                out.append((n, one, found))
-            return let_all(
-                {f"rm_{n + 1}": found for n, _one, found in out},
-                lambda got: F.struct(
-                    *[
-                        F.when(one, got[f"rm_{n + 1}"]).otherwise(common(s["h"][n], bag_max(F.transform(s["r"], _at(n))))).alias(f"m_{n + 1}")
-                        for n, one, _found in out
-                    ],
-                    *[got[f"rm_{n + 1}"].alias(f"rm_{n + 1}") for n, _one, _found in out],
+    def matches(sides: Column) -> Column:
+        def of_order(h: Column, n: Column) -> Column:
+            refs_n = F.transform(F.slice(sides, F.lit(2), F.size(sides)), lambda r: r[n])
+            return let(
+                refs_n,
+                lambda r: F.struct(
+                    common(h, bag_max(r)).alias("m"),
+                    F.aggregate(F.transform(r, lambda b: common(h, b)), F.lit(0), lambda acc, x: acc + x).alias("rm"),
                 ),
             )
 
-        return let_all({"h": h, "r": r}, stats)
-
-    def choose(s: Column) -> Column:
-        limit = min(MAX_PACKED, int(9e18 ** (1.0 / max_order)) - 2)
-        width = (F.size(s["vocab"]) + 1).cast("bigint")
-
-        def coded(tokens: Column) -> Column:
-            return F.transform(tokens, lambda t: F.array_position(s["vocab"], t))
-
-        def packed(w: Column) -> Column:
-            # exact: with codes 1..V every n-gram is a number of its own to the base V + 1
-            def grow(a: Column, b: Column) -> Column:
-                return a * w + b
-
-            return matches(
-                gram_bags(coded(s["hyp"]), grow, max_order),
-                F.transform(s["refs"], lambda r: gram_bags(coded(r), grow, max_order)),
-            )
-
-        def spelled(a: Column, b: Column) -> Column:
-            return F.concat(a, F.lit(SEP), b)
-
-        return F.when(F.size(s["vocab"]) <= limit, let(width, packed)).otherwise(
-            matches(
-                gram_bags(s["hyp"], spelled, max_order),
-                F.transform(s["refs"], lambda r: gram_bags(r, spelled, max_order)),
-            )
-        )
-
-    return let_all({"hyp": hyp, "refs": refs, "vocab": F.array_distinct(F.concat(hyp, F.flatten(refs)))}, choose)
-
-
-def _at(n: int) -> Callable[[Column], Column]:
-    return lambda b: b[n]
-
+        return F.transform(sides[0], of_order)
 
-def _common_at(h: Column, n: int) -> Callable[[Column], Column]:
-    return lambda b: common(h[n], b[n])
+    return let(F.transform(F.concat(F.array(hyp), refs), lambda t: gram_bags(t, max_order)), matches)
 
 
 def with_ngram_matches(df: DataFrame, max_order: int = 4, n_refs: int = 1) -> DataFrame:
@@ -204,14 +162,14 @@ def with_ngram_matches(df: DataFrame, max_order: int = 4, n_refs: int = 1) -> Da
             )
         df = df.select("*", *longer)
     every = [f"{s}_{n}" for s in sides for n in range(1, max_order + 1)]
-    df = df.select("*", *[F.sort_array(f"_{e}").alias(f"_s_{e}") for e in every])
-    df = df.select("*", *[further_copies(F.col(f"_s_{e}")).alias(f"_x_{e}") for e in every])
-    df = df.select("*", *[numbered_copies(F.col(f"_x_{e}")).alias(f"_t_{e}") for e in every])
+    df = df.select("*", F.array(*[F.sort_array(f"_{e}") for e in every]).alias("_sorted"))
+    df = df.select("*", F.transform("_sorted", lambda s: numbered_copies(further_copies(s))).alias("_tails"))
 
     def overlap(n: int, others: list[str]) -> Column:
         base = F.concat(*[F.col(f"_{r}_{n}") for r in others])
-        tail = F.concat(*[F.col(f"_t_{r}_{n}") for r in others])
-        return F.size(F.array_intersect(f"_h_{n}", base)) + F.size(F.array_intersect(f"_t_h_{n}", tail))
+        tail = F.concat(*[F.col("_tails")[every.index(f"{r}_{n}")] for r in others])
+        mine = F.col("_tails")[every.index(f"h_{n}")]
+        return F.size(F.array_intersect(f"_h_{n}", base)) + F.size(F.array_intersect(mine, tail))
 
     general = F.when(~F.col("_fits"), ngram_matches(F.col("hyp"), F.col("refs"), max_order))
     cols = []
@@ -221,7 +179,7 @@ def with_ngram_matches(df: DataFrame, max_order: int = 4, n_refs: int = 1) -> Da
         cols.append(sum(each[1:], each[0]).alias(f"_rm_{n}"))
     df = df.select(*kept, "_fits", general.alias("_general"), *cols)
     counts = {
-        f"{k}_{n}": F.when(F.col("_fits"), F.col(f"_{k}_{n}")).otherwise(F.col("_general")[f"{k}_{n}"])
+        f"{k}_{n}": F.when(F.col("_fits"), F.col(f"_{k}_{n}")).otherwise(F.col("_general")[n - 1][k])
         for k in ("m", "rm")
         for n in range(1, max_order + 1)
     }

@@ -17,6 +17,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "cod
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # large expressions are built call by call; tracing each call's origin doubles that
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
