@@ -26,7 +26,7 @@ from codeloom.llm.storage import kept
 from codeloom.llm.tokens import encoder
 
 CAPACITY = 2048
-FAN = 64
+FAN = 16
 _FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("grp", pa.int64()), ("ids", pa.binary())]
 SCHEMA = pa.schema(_FIELDS)
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, grp long, ids binary"
