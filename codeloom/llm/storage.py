@@ -51,7 +51,7 @@ def publish(base: str, suffix: str, data: list[bytes]) -> str:
     place, path = _place(base)
     place.create_dir(path, recursive=True)
     name = f"{uuid.uuid4().hex}{suffix}"
-    with place.open_output_stream(f"{path}/.{name}") as out:
+    with place.open_output_stream(f"{path}/.{name}", compression=None) as out:
         for x in data:
             out.write(x)
     place.move(f"{path}/.{name}", f"{path}/{name}")
