@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeloom.llm import packing, rans
+from codeloom.llm import chat, hnsw, jaccard, langid, mixing, packing, rans, rules, suffix, warc
 from codeloom.llm.registry import ORACLES, QUERIES, register, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -25,3 +26,107 @@ def token_files(spark: SparkSession, sf: str) -> DataFrame:
 @register("op9_packing")
 def pack_documents(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), vocabulary(), end_id=1, with_ids=False)
+
+
+CHAT_SQL = r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), turns AS (
+    SELECT *, coalesce(role = lag(role) OVER w, false) AS goes_on,
+        length(text) + (length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '#', ''))) AS esc,
+        length(role) + (length(role) - length(replace(replace(replace(replace(role, '\', ''), '<', ''), '#', ''), ':', ''))) AS esc_role
+    FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+    CAST(sum(esc + CASE WHEN goes_on THEN 6 ELSE 4 + esc_role + 2 + 8 END) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
+@register("op1_chat_format", CHAT_SQL)
+def chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    chats = chat.format_chats(rows.unionByName(extra))
+    read = chats.select("conv_id", chat.parse_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_mask")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    digest = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(lines).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), digest(F.col("loss")).alias("loss_sha256"), "formatted_chars")
+
+
+#: Weights of the mixing query; values not named weigh 1.
+MIX_WEIGHTS = {"domain": {"a": 5, "b": 3, "c": 2}, "lang": {"en": 4, "fr": 2, "de": 2, "es": 2}, "source": {"src0": 3}}
+MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 60, 2, 42
+MIX_DOMAINS = "CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN 'a' WHEN source IN ('src4', 'src5', 'src6', 'src7', 'src8', 'src9') THEN 'b' ELSE 'c' END"
+
+
+def _mix_sql() -> str:
+    cases = lambda c, w: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in w.items()) + " ELSE 1 END"
+    level = lambda name, nodes, keys, source: f"""
+{name}_w AS (SELECT *, capacity * sum(weight) OVER (PARTITION BY {keys} ORDER BY capacity / weight, {nodes} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+        <= (budget - coalesce(sum(capacity) OVER (PARTITION BY {keys} ORDER BY capacity / weight, {nodes} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight AS is_full FROM ({source})),
+{name}_t AS (SELECT *, coalesce(sum(CASE WHEN is_full THEN capacity END) OVER (PARTITION BY {keys}), 0) AS taken, sum(CASE WHEN NOT is_full THEN weight END) OVER (PARTITION BY {keys}) AS rest FROM {name}_w),
+{name} AS (SELECT * EXCLUDE (budget, capacity, weight, is_full, taken, rest), CASE WHEN is_full THEN capacity ELSE (budget - taken) * weight // rest END AS budget FROM {name}_t)"""
+    caps = lambda keys: f"SELECT {keys}, sum(n_tokens) * {MIX_EPOCHS} AS capacity FROM leaves GROUP BY {keys}"
+    w = MIX_WEIGHTS
+    return rf"""
+WITH counted AS (SELECT * FROM (SELECT doc_id, {MIX_DOMAINS} AS domain, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents) WHERE n_tokens > 0),
+leaves AS (SELECT domain, lang, source, sum(n_tokens) AS n_tokens FROM counted GROUP BY ALL),
+{level("l1", "domain", "1", f"SELECT c.*, {cases('domain', w['domain'])} AS weight, (SELECT sum(n_tokens) * {MIX_PERCENT} // 100 FROM leaves) AS budget FROM ({caps('domain')}) c")},
+{level("l2", "lang", "domain", f"SELECT c.*, {cases('lang', w['lang'])} AS weight, l1.budget FROM ({caps('domain, lang')}) c JOIN l1 USING (domain)")},
+{level("l3", "source", "domain, lang", f"SELECT c.*, {cases('source', w['source'])} AS weight, l2.budget FROM ({caps('domain, lang, source')}) c JOIN l2 USING (domain, lang)")},
+plan AS (SELECT domain, lang, source, CAST(budget // n_tokens AS BIGINT) AS epochs, CAST(budget % n_tokens AS BIGINT) AS rest FROM leaves JOIN l3 USING (domain, lang, source)),
+whole AS (SELECT doc_id, domain, lang, source, unnest(range(epochs)) AS epoch, n_tokens, n_tokens AS taken FROM counted JOIN plan USING (domain, lang, source) WHERE epochs > 0),
+part AS (SELECT *, ('0x' || substr(md5(concat_ws('|', doc_id, epochs, {MIX_SEED})), 1, 8))::BIGINT AS h FROM counted JOIN plan USING (domain, lang, source)),
+run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS before FROM part)
+SELECT doc_id, domain, lang, source, epoch, n_tokens, taken FROM whole UNION ALL
+SELECT doc_id, domain, lang, source, epochs, n_tokens, CAST(least(n_tokens, rest - before) AS BIGINT) FROM run WHERE before < rest
+"""
+
+
+@register("op2_mixing", _mix_sql())
+def mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").withColumn("domain", F.expr(MIX_DOMAINS))
+    return mixing.mix(docs, ["domain", "lang", "source"], MIX_WEIGHTS, MIX_PERCENT, MIX_EPOCHS, MIX_SEED)
+
+
+@register("op3_warc")
+def warc_archives(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(table(spark, sf, "pages"))).drop("url")
+
+
+@register("op4_ngram_jaccard")
+def ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf, "documents"), percent=75)
+
+
+@register("op8_quality_rules")
+def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    judged = rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return judged.drop("n_lines").withColumn("rejected_by", F.array_join("rejected_by", ","))
+
+
+@register("op10_suffix_dedup")
+def dedup_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.suffix_digests(table(spark, sf, "documents"))
+
+
+@register("op5_embedding_near_dup")
+def embedding_near_dup(spark: SparkSession, sf: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf, "embeddings"), threshold=0.9)
+
+
+@register("op6_language_id")
+def language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    model = langid.train(docs.filter(~held_out), F.col("doc_id"))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
