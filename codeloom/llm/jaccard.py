@@ -4,8 +4,9 @@
    each occurs. A shingle of one document can't be common to two, so a document whose shared shingles are less than
    the threshold's share of its set has no partner; the others are candidates and keep their shared shingles, rarest
    first. Documents with equal sets are one from here on.
-2. Candidates that agree in a minimum hash are compared with the first of them, by exact intersection. This is linear,
-   and salted, so that a large group of near copies is neither in one task nor compared pair by pair.
+2. Candidates that agree in a minimum hash are compared with the leaders among them (those not similar to an earlier
+   leader), by exact intersection behind the bitmap bound of 3. This is salted, and the leaders of all salts are compared
+   once more, so that a large group of near copies is neither in one task nor compared pair by pair.
 3. What that leaves: tiles of a shingle of the prefix (rarest shingles, enough that two similar sets share one) and a
    band of set sizes. Only tiles with documents of different components are opened. Within a tile, the bit count of the
    XOR of two parity bitmaps bounds the overlap from above; pairs that pass are intersected exactly as sorted arrays.
@@ -35,7 +36,7 @@ FLUSH = 1 << 21
 DOCS = 60_000
 BITMAP = 1024
 SALTS = 64
-HASHES = 2
+HASHES = 3
 CANDIDATES = "doc_id long, n_shingles long, key1 long, key2 long, prefix int, shingles binary"
 
 
@@ -180,6 +181,19 @@ def similar(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, percent: int) -> b
     return 100 * both >= percent * (n_a + n_b - both)
 
 
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles hashed to each of ``BITMAP`` bits, in 64-bit words."""
+    parity = np.bincount((mix(h.astype(U64)) % U64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def overlap_bound(maps: np.ndarray, own: np.ndarray, held: np.ndarray, own_held: int) -> np.ndarray:
+    """The most that each set of ``held`` shingles has in common with one: each bit in which the parities differ stands
+    for a shingle that only one of the two has."""
+    apart = np.bitwise_count(maps ^ own).sum(1).astype(np.int64)
+    return np.minimum((held + own_held - apart) // 2, np.minimum(held, own_held))
+
+
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -201,17 +215,29 @@ def _leaders(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, [pa.int64()] * 4 + [pa.binary()])], ["least", "salt", "doc_id", "n_shingles", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows of edges, and of each group's first document, which meets those of other salts next
-        group = first = None
+        # rows of edges, and of each group's leaders, which meet those of other salts next
+        group, leaders = None, []
         for batch in batches:
             edges, heads = [], []
             for r in batch.to_pylist():
                 if (r["least"], r["salt"]) != group:
-                    group = r["least"], r["salt"]
-                    first = r["doc_id"], r["n_shingles"], _set(r["shingles"])
+                    group, leaders, maps, sizes = (r["least"], r["salt"]), [], np.zeros((0, BITMAP // 64), U64), np.zeros((0, 2), np.int64)
+                own = _set(r["shingles"])
+                bits = bitmap(own)
+                linked = False
+                if leaders:
+                    most = overlap_bound(maps[: len(leaders)], bits, sizes[: len(leaders), 1], len(own))
+                    for k in np.flatnonzero(100 * most >= percent * (sizes[: len(leaders), 0] + r["n_shingles"] - most)).tolist():
+                        if similar(leaders[k][1], own, int(sizes[k, 0]), r["n_shingles"], percent):
+                            edges.append((r["doc_id"], leaders[k][0], None, None, None, None, None))
+                            linked = True
+                if not linked:
+                    if len(leaders) == len(maps):
+                        maps = np.concatenate([maps, np.zeros((len(maps) + 4, maps.shape[1]), U64)])
+                        sizes = np.concatenate([sizes, np.zeros((len(sizes) + 4, 2), np.int64)])
+                    maps[len(leaders)], sizes[len(leaders)] = bits, (r["n_shingles"], len(own))
+                    leaders.append((r["doc_id"], own))
                     heads.append((None, None, r["least"], 0, r["doc_id"], r["n_shingles"], r["shingles"]))
-                elif similar(first[2], _set(r["shingles"]), first[1], r["n_shingles"], percent):
-                    edges.append((r["doc_id"], first[0], None, None, None, None, None))
             out = edges + heads
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, [pa.int64()] * 6 + [pa.binary()])], ["a", "b", "least", "salt", "doc_id", "n_shingles", "shingles"])
 
@@ -244,9 +270,7 @@ def _tile_pairs(percent: int):
                 j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (home[i + 1 :] | home[i])) + i + 1
                 if not len(j):
                     continue
-                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1)
-                most = (held[j] + held[i] - apart.astype(np.int64)) // 2
-                most = np.minimum(most, np.minimum(held[j], held[i]))
+                most = overlap_bound(bits[j], bits[i], held[j], int(held[i]))
                 for k in j[100 * most >= percent * (n[j] + n[i] - most)].tolist():
                     out.append((int(min(ids[i], ids[k])), int(max(ids[i], ids[k]))))
             return out
@@ -274,12 +298,11 @@ def _tiles(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 h = np.frombuffer(r["shingles"], "<u8")
-                parity = np.bincount((mix(h.astype(U64)) % U64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
-                bitmap = np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+                bits = bitmap(h).tobytes()
                 # bands grow by the threshold's inverse, so similar sets lie in one or in neighbouring bands
                 band = int(np.floor(np.log(r["n_shingles"]) / np.log(100 / percent) + 1e-9))
                 p = r["prefix"]
-                own = [h[:p].view("<i8"), *(np.full(p, x) for x in (band, r["doc_id"], r["component_id"], r["n_shingles"], len(h))), [bitmap] * p]
+                own = [h[:p].view("<i8"), *(np.full(p, x) for x in (band, r["doc_id"], r["component_id"], r["n_shingles"], len(h))), [bits] * p]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(own, types)], names)
 
     rows = sets.select("doc_id", "component_id", "n_shingles", "prefix", "shingles").mapInArrow(prefixes, fields)
