@@ -168,7 +168,7 @@ def _send(bits: int, span: int, gram: int):
         for batch in batches:
             ids = _ids(batch.column(0))
             buf, off = flat(batch.column(1))
-            for i, j in chunks(off):
+            for i, j in chunks(off, 1 << 20):
                 a = off[i]
                 doc, begin, n, f, whole = segments(buf[a : off[j]], off[i : j + 1] - a, span, gram)
                 if len(doc):
@@ -299,7 +299,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     marks = kept(ranges.by_batch(scanned, _gather, ddl), "suffix-segments")
     contested = marks.filter("contested is not null").groupBy("key").agg(F.array_join(F.collect_set(F.hex("contested")), "").alias("contested"))
     contested = contested.select("key", F.unhex("contested").alias("contested"))
-    asked = texts.join(contested, "key").mapInArrow(_send_windows(bits, span), ranges.BLOBS)
+    # merge joins at every size: the side of the marks grows with the corpus
+    asked = texts.join(contested.hint("merge"), "key").mapInArrow(_send_windows(bits, span), ranges.BLOBS)
     windows = ranges.by_batch(ranges.by_range(asked, _scan_windows), _gather, ddl)
     pieces = marks.select("key", "repeats").unionByName(windows.select("key", "repeats")).filter("repeats is not null")
 
@@ -361,7 +362,7 @@ def _applied(docs: DataFrame, carry: tuple[str, ...], row, added: str, span: int
     """The ``carry`` columns and what ``row`` makes of each text and its spans."""
     spans = repeated_spans(docs, span, gram).withColumnsRenamed({"key": "__key", "spans": "__spans"})
     own = docs.select(*carry, F.col("text").alias("__text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__key"))
-    joined = own.join(spans, "__key", "left").select(*carry, "__text", "__spans")
+    joined = own.join(spans.hint("merge"), "__key", "left").select(*carry, "__text", "__spans")
     names = [f.split()[0] for f in added.split(", ")]
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     kinds = [types[f.split()[1]] for f in added.split(", ")]
