@@ -68,19 +68,29 @@ def numbered() -> Iterator[int]:
     yield from range(base, base + (1 << 24))
 
 
-def by_range(blobs: DataFrame, compare: Callable[[list[dict]], list[tuple]]) -> DataFrame:
-    """``compare`` gets the rows of a range and returns rows of answers."""
+def _grouped(df: DataFrame, key: str, make: Callable[[list[dict]], pa.RecordBatch], ddl: str) -> DataFrame:
+    """``make`` gets all rows of a key; rows come sorted by key, so a task holds one group and one Arrow batch."""
 
-    def run(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([rows(compare(table.to_pylist()))])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and held[0][key] != r[key]:
+                    yield make(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield make(held)
 
-    return blobs.groupBy("rng").applyInArrow(run, BLOBS)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).sortWithinPartitions(key).mapInArrow(run, ddl)
 
 
-def by_batch(answers: DataFrame, collect: Callable[[list[dict]], pa.RecordBatch], ddl: str) -> DataFrame:
-    """``collect`` gets all answers to one batch."""
+def by_range(blobs: DataFrame, compare: Callable[[list[dict]], list[tuple]]) -> DataFrame:
+    """``compare`` gets the rows of a range and returns rows of answers."""
+    return _grouped(blobs, "rng", lambda found: rows(compare(found)), BLOBS)
 
-    def run(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([collect(table.to_pylist())])
 
-    return answers.groupBy("batch").applyInArrow(run, ddl)
+def by_batch(answers: DataFrame, collect: Callable[[list[dict]], pa.RecordBatch], ddl: str) -> DataFrame:
+    """``collect`` gets all answers to one batch."""
+    return _grouped(answers, "batch", collect, ddl)

@@ -36,7 +36,7 @@ from codeloom.llm.storage import kept
 
 SPAN = 100
 GRAM = 24
-FLUSH = 1 << 23
+FLUSH = 1 << 22
 NO_ID = -(2**63)
 REPEAT, CONTESTED = 1, 2
 
@@ -72,7 +72,8 @@ def segments(buf: np.ndarray, off: np.ndarray, span: int, gram: int) -> tuple[np
     np.cumsum(_TABLE[buf] * up[: len(buf)], out=sums[1:])
     end = begin + n - 1 + span
     whole = mix((sums[end] - sums[begin]) * down[begin] + n.astype(U64) * U64(0x51ED270B))
-    return doc[head], begin, n, f[at[head]], whole
+    # chosen for being least, the grams' fingerprints are small numbers; mixed again they spread evenly over ranges
+    return doc[head], begin, n, mix(f[at[head]] + U64(1)), whole
 
 
 class Family:
@@ -168,7 +169,7 @@ def _send(bits: int, span: int, gram: int):
         for batch in batches:
             ids = _ids(batch.column(0))
             buf, off = flat(batch.column(1))
-            for i, j in chunks(off, 1 << 20):
+            for i, j in chunks(off):
                 a = off[i]
                 doc, begin, n, f, whole = segments(buf[a : off[j]], off[i : j + 1] - a, span, gram)
                 if len(doc):
