@@ -298,7 +298,7 @@ class Shard:
             r, c = np.nonzero(nodes[audit] >= 0)
             got[r, nodes[audit][r, c]] = True
             hits = int((got & true).sum())
-            recall = hits / max(1, int(true.sum()))
+            recall = hits / int(true.sum()) if true.any() else 1.0
             if width >= g.n or (recall >= target and not len(narrow)):
                 break
             if recall >= target:
