@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.arrays import compute_once
-
 # Special token ids; vocabulary ids follow.
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
 FIRST_ID = 4
@@ -65,34 +66,44 @@ def vocabulary(df: DataFrame, tokens: str, size: int) -> DataFrame:
         F.count(F.lit(1)).alias("cnt")
     )
     top = counts.orderBy(F.col("cnt").desc(), "token").limit(size)
-    ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("neg"), "token"))).alias("v"))
-    return ranked.select(F.posexplode("v").alias("i", "e")).select(
-        F.col("e.token").alias("token"), (-F.col("e.neg")).alias("cnt"), (F.col("i") + FIRST_ID).alias("token_id")
-    )
+    ranked = top.withColumn("i", F.row_number().over(Window.orderBy(F.col("cnt").desc(), "token")) - 1)  # of size rows
+    return ranked.select("token", "cnt", (F.col("i") + FIRST_ID).alias("token_id"))
+
 
+MOST_TOKENS = 1 << 20
 
-BROADCAST_LIMIT = 1_000_000
 
+def vocabulary_key(vocab: DataFrame) -> str:
+    """A name for a vocabulary's content, for folders of encoded features."""
+    return vocab.agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_id", "token"))), lambda t: t["token"]), "\u0001")).alias("k")).first()["k"][:12]
 
-def encode_pad(
-    df: DataFrame, keys: list[str], tokens: str, vocab: DataFrame, max_length: int, vocab_size: int, out: str = "ids",
-) -> DataFrame:
-    """(keys, out): token ids cut to leave room for one end mark, then padded.
 
-    Rows are placed by id first; a vocabulary of at most ``BROADCAST_LIMIT`` tokens
-    (``vocab_size`` is the bound it was built with) is broadcast, so putting the ids of a row
-    together again is local. A larger one is joined as the planner sees fit.
+def encode_pad(df: DataFrame, keys: list[str], tokens: str, vocab: DataFrame, max_length: int, out: str = "ids") -> DataFrame:
+    """(keys, out): token ids cut to leave room for one end mark, then padded; a lookup in the row, no shuffle.
+
+    The vocabulary is a top-k table; one of at most ``MOST_TOKENS`` tokens goes to every worker, a larger one is refused.
     """
-    cut = df.select(*keys, F.slice(tokens, 1, max_length - 1).alias("t")).repartition("id")
-    exploded = cut.select(*keys, F.posexplode_outer("t").alias("pos", "token"))
-    lookup = vocab.select("token", "token_id")
-    joined = exploded.join(F.broadcast(lookup) if vocab_size <= BROADCAST_LIMIT else lookup, "token", "left")
-    found = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK)).alias("token_id")))
-    ids = joined.groupBy(*keys).agg(F.array_sort(F.collect_list(found)).alias("found"))
-    body = F.concat(F.transform("found", lambda x: x["token_id"]), F.array(F.lit(EOS)))
-    return compute_once(ids, body=body).select(
-        *keys, F.concat("body", F.array_repeat(F.lit(PAD), F.lit(max_length) - F.size("body"))).alias(out)
-    )
+    rows = vocab.select("token", "token_id").limit(MOST_TOKENS + 1).collect()
+    if len(rows) > MOST_TOKENS:
+        raise ValueError(f"a vocabulary of more than {MOST_TOKENS} tokens")
+    shared = df.sparkSession.sparkContext.broadcast(([r.token for r in rows], [r.token_id for r in rows]))
+
+    @F.arrow_udf("array<int>")
+    def encode(lists: pa.Array) -> pa.Array:
+        words, numbers = shared.value
+        n = len(lists)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = pc.index_in(lists.flatten(), value_set=pa.array(words, pa.string()))
+        ids = np.append(np.array(numbers, np.int32), np.int32(UNK))[pc.fill_null(at, len(numbers)).to_numpy(zero_copy_only=False)]
+        grid = np.full((n, max_length), PAD, np.int32)
+        row = np.repeat(np.arange(n), sizes)
+        col = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        fits = col < max_length - 1
+        grid[row[fits], col[fits]] = ids[fits]
+        grid[np.arange(n), np.minimum(sizes, max_length - 1)] = EOS
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * max_length, pa.int32()), pa.array(grid.ravel()))
+
+    return df.select(*keys, encode(F.col(tokens)).alias(out))
 
 
 def mask_pad_labels(ids: Column) -> Column:

@@ -36,6 +36,17 @@ LEX_PHP = _lexer(BRACE_COMMENT, HASH_COMMENT, STRING, PHP_TAG, NAME_DOLLAR, NUMB
 LEX_RUBY = _lexer(HASH_COMMENT, STRING, NAME_RUBY, NUMBER, OPERATOR)
 LEX_PYTHON = _lexer(TRIPLE, HASH_COMMENT, STRING, r"\\\n[ \t]*", r"\n[ \t]*", NAME, NUMBER, OPERATOR)
 
+# Normalised code has no comments and no line breaks.
+NORMAL_C = _lexer(STRING, NAME, NUMBER, OPERATOR)
+NORMAL_DOLLAR = _lexer(STRING, NAME_DOLLAR, NUMBER, OPERATOR)
+NORMAL_PHP = _lexer(STRING, PHP_TAG, NAME_DOLLAR, NUMBER, OPERATOR)
+NORMAL_RUBY = _lexer(STRING, NAME_RUBY, NUMBER, OPERATOR)
+# Languages in which a line break may end a statement, with their patterns; a break does so after these tokens.
+LINES_GO = _lexer(BRACE_COMMENT, STRING, NAME, NUMBER, OPERATOR, r"\n")
+LINES_DOLLAR = _lexer(BRACE_COMMENT, STRING, NAME_DOLLAR, NUMBER, OPERATOR, r"\n")
+LINES_RUBY = _lexer(HASH_COMMENT, STRING, NAME_RUBY, NUMBER, OPERATOR, r"\n")
+LINE_ENDING = r"^(?:[\p{L}\p{N}_$@\"'`].*|[)\]}]|\+\+|--)$"
+
 _SEP = "\u0001"
 
 
@@ -64,6 +75,40 @@ def tokenize_code(code: Column, lang: Column) -> Column:
     )
 
 
+def normalized_tokens(text: Column, lang: Column) -> Column:
+    """Normalised code to tokens; the layout of python is spelled out as words there."""
+
+    def lexed(pattern: str) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    return (
+        F.when(lang == "ruby", lexed(NORMAL_RUBY))
+        .when(lang == "php", lexed(NORMAL_PHP))
+        .when(lang.isin("java", "javascript"), lexed(NORMAL_DOLLAR))
+        .otherwise(lexed(NORMAL_C))
+    )
+
+
+def statement_tokens(code: Column, lang: Column) -> Column:
+    """``tokenize_code`` with NEWLINE where a line break ends a statement of go, javascript or ruby."""
+
+    def marked(pattern: str, comment_starts: tuple[str, ...]) -> Column:
+        def ends(tokens: Column) -> Column:
+            kept = F.filter(
+                tokens, lambda t, i: (t != "\n") | F.coalesce(F.rlike(F.get(tokens, i - 1), F.lit(LINE_ENDING)), F.lit(False))
+            )
+            return F.transform(kept, lambda t: F.when(t == "\n", F.lit("NEWLINE")).otherwise(t))
+
+        return let(_lex(code, pattern, comment_starts), ends)
+
+    return (
+        F.when(lang == "go", marked(LINES_GO, ("//", "/*")))
+        .when(lang == "javascript", marked(LINES_DOLLAR, ("//", "/*")))
+        .when(lang == "ruby", marked(LINES_RUBY, ("#",)))
+        .otherwise(tokenize_code(code, lang))
+    )
+
+
 def python_layout_tokens(code: Column, drop_docstrings: bool = False) -> Column:
     """Tokens of indented code with NEWLINE, INDENT and DEDENT markers.
 
@@ -207,38 +252,34 @@ def split_punct(text: Column) -> Column:
 
 
 def _isolate_punctuation(text: Column) -> Column:
+    # The four patterns and replacements of the mteval tokenisation, in its order.
     text = F.regexp_replace(text, r"([{-~\[-` -&(-+:-@/])", " $1 ")
     text = F.regexp_replace(text, r"([^0-9])([.,])", "$1 $2 ")
     text = F.regexp_replace(text, r"([.,])([^0-9])", " $1 $2")
     return F.regexp_replace(text, r"([0-9])(-)", "$1 $2 ")
 
 
-def _unescape(text: Column) -> Column:
-    for entity, char in (("&gt;", ">"), ("&lt;", "<"), ("&quot;", '"'), ("&amp;", "&")):
+# Entities in the order in which the two versions of the tokenisation resolve them.
+ENTITIES_V11A = (("&gt;", ">"), ("&lt;", "<"), ("&quot;", '"'), ("&amp;", "&"))
+ENTITIES_13A = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+
+
+def _unescape(text: Column, entities: tuple[tuple[str, str], ...]) -> Column:
+    for entity, char in entities:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
 
 
-def mteval_tokens(text: Column, lower: bool = True) -> Column:
-    """Tokens after the mteval-v11a normalisation; ``lower=False`` keeps the case."""
+def mteval_tokens(text: Column, lower: bool = True, entities: tuple[tuple[str, str], ...] = ENTITIES_V11A) -> Column:
+    """Tokens after the mteval normalisation; ``lower=False`` keeps the case."""
     text = F.replace(text, F.lit("<skipped>"), F.lit(""))
     text = F.replace(F.replace(text, F.lit("-\n"), F.lit("")), F.lit("\n"), F.lit(" "))
-    text = F.concat(F.lit(" "), _unescape(text), F.lit(" "))
+    text = F.concat(F.lit(" "), _unescape(text, entities), F.lit(" "))
     if lower:
         text = F.lower(text)
     return words(_isolate_punctuation(text))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All n-grams of one order as token arrays."""
-    return let(
-        tokens,
-        lambda t: F.when(
-            F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.slice(t, i, F.lit(n)))
-        ).otherwise(F.array().cast("array<array<string>>")),
-    )
-
-
 def pad_sequence(tokens: Column, n: int, left: str | None = None, right: str | None = None) -> Column:
     """n-1 pad symbols on the sides that name one."""
     parts = []
@@ -277,80 +318,3 @@ def unmask_strings(code: Column, tokens: Column) -> Column:
             ).otherwise(t),
         )
     )
-
-
-def bracket_spans(tokens: Column) -> Column:
-    """Every bracketed span as struct(open_pos, close_pos, depth, text), in closing order.
-
-    One pass with a stack over the bracket positions of the row: no shuffle, no window.
-    Brackets without partner give no span.
-    """
-    span_type = "array<struct<open_pos:int,close_pos:int,depth:int>>"
-
-    def body(toks: Column) -> Column:
-        marks = F.filter(
-            F.transform(toks, lambda t, i: F.struct(F.when(t.isin("(", "[", "{"), 1).when(t.isin(")", "]", "}"), -1).otherwise(0).alias("d"), i.alias("p"))),
-            lambda m: m["d"] != 0,
-        )
-        start = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast(span_type).alias("spans"))
-
-        def step(acc: Column, m: Column) -> Column:
-            has = F.size(acc["open"]) > 0
-            span = F.struct(
-                F.element_at(acc["open"], -1).alias("open_pos"),
-                m["p"].alias("close_pos"),
-                F.size(acc["open"]).alias("depth"),
-            )
-            return (
-                F.when(m["d"] == 1, F.struct(F.concat(acc["open"], F.array(m["p"])).alias("open"), acc["spans"].alias("spans")))
-                .when(
-                    has,
-                    F.struct(
-                        F.slice(acc["open"], F.lit(1), F.greatest(F.size(acc["open"]) - 1, F.lit(0))).alias("open"),
-                        F.concat(acc["spans"], F.array(span)).alias("spans"),
-                    ),
-                )
-                .otherwise(acc)
-            )
-
-        spans = F.aggregate(marks, start, step, lambda acc: acc["spans"])
-        return F.transform(
-            spans,
-            lambda s: F.struct(
-                s["open_pos"].alias("open_pos"),
-                s["close_pos"].alias("close_pos"),
-                s["depth"].alias("depth"),
-                join_tokens(F.slice(toks, s["open_pos"] + 1, s["close_pos"] - s["open_pos"] + 1)).alias("text"),
-            ),
-        )
-
-    return let(tokens, body)
-
-
-def ancestor_chains(tokens: Column) -> Column:
-    """Per token, the enclosing open brackets from the inside out, then ``root``."""
-
-    def body(s: Column) -> Column:
-        def chain(_t: Column, i: Column) -> Column:
-            inside = F.filter(s["spans"], lambda sp: (sp["open_pos"] < i) & (sp["close_pos"] > i))
-            ordered = F.reverse(F.array_sort(F.transform(inside, lambda sp: sp["open_pos"])))
-            return F.concat(F.transform(ordered, lambda p: F.get(s["toks"], p)), F.array(F.lit("root")))
-
-        return F.transform(s["toks"], chain)
-
-    return let(tokens, lambda t: let_all({"toks": t, "spans": bracket_spans(t)}, body))
-
-
-
-def node_count(n_tokens: Column, spans: Column) -> Column:
-    """Nodes of the whole row: its tokens, its spans and the root."""
-    return n_tokens + F.size(spans) + 1
-
-
-def span_node_counts(spans: Column) -> Column:
-    """Per span, its tokens and the spans inside it, itself included."""
-    return F.transform(
-        spans,
-        lambda a: a["close_pos"] - a["open_pos"] + 1
-        + F.size(F.filter(spans, lambda b: (b["open_pos"] >= a["open_pos"]) & (b["close_pos"] <= a["close_pos"]))),
-    )

@@ -36,16 +36,13 @@ def _at_least_one(n: int) -> Callable[[Column], Column]:
     return lambda size: F.greatest(F.lit(1), size - (n - 1))
 
 
-def pair_stats(
-    df: DataFrame, keys: list[str], max_order: int = 4, weighted: bool = False, n_refs: int = 1
-) -> DataFrame:
+def pair_stats(df: DataFrame, keys: list[str], max_order: int = 4, weighted: bool = False) -> DataFrame:
     """One row of integer sums per scored pair; row-local, no shuffle.
 
     ``df`` holds the ``keys``, ``hyp`` (tokens) and ``refs`` (array of token arrays). Per
     order n: ``m_n`` matches clipped by the best reference, ``d_n`` n-grams of the
     hypothesis, ``rm_n``/``rd_n`` recall matches and n-grams over the references.
-    ``weighted`` needs ``lang`` and adds ``wm_1``/``wd_1``, in fifths. ``n_refs`` is the usual
-    number of references; rows with another number are scored all the same, only slower.
+    ``weighted`` needs ``lang`` and adds ``wm_1``/``wd_1``, in fifths.
     """
     ref_lengths = F.transform("refs", lambda r: F.size(r))
     df = df.select(
@@ -73,7 +70,7 @@ def pair_stats(
         )
         cols["wd_1"] = _total(weights)
     df = df.select(*dict.fromkeys([*keys, "hyp", "refs"]), "hyp_len", *[c.alias(k) for k, c in cols.items()])
-    out = M.with_ngram_matches(df, max_order, n_refs).drop("hyp", "refs")
+    out = M.with_ngram_matches(df, max_order).drop("hyp", "refs")
     if weighted:
         out = out.withColumn("wm_1", F.col("rm_1") + (KEYWORD_SCALE - 1) * F.col("_kw")).drop("_kw")
     return out
@@ -256,19 +253,19 @@ def sentence_tokens(text: Column) -> Column:
 
 
 def exp_smoothed_bleu(max_order: int = 4) -> Column:
-    """Corpus BLEU in percent with exponential smoothing of zero orders, one reference."""
-    zeros, total, effective = F.lit(0), F.lit(0.0), F.lit(0)
+    """Corpus BLEU in percent with exponential smoothing of orders without a match, one reference.
+
+    The mean is over all orders; it is 0 where an order has no n-gram at all, or nothing matches.
+    """
+    zeros, total, known = F.lit(0), F.lit(0.0), F.lit(True)
     for n in range(1, max_order + 1):
         m, d = F.col(f"m_{n}"), F.col(f"d_{n}")
         zeros = zeros + F.when((m == 0) & (d > 0), 1).otherwise(0)
-        p = F.when(m == 0, 100.0 / (F.pow(F.lit(2.0), zeros) * d)).otherwise(100.0 * m / d)
-        total = total + F.when(d > 0, F.log(p)).otherwise(F.lit(0.0))
-        effective = effective + F.when(d > 0, 1).otherwise(0)
+        total = total + F.log(F.when(m == 0, 100.0 / (F.pow(F.lit(2.0), zeros) * d)).otherwise(100.0 * m / d))
+        known = known & (d > 0)
     short = F.col("hyp_len") < F.col("ref_closest")
-    bp = F.when(F.col("hyp_len") == 0, F.lit(0.0)).when(
-        short, F.exp(1.0 - F.col("ref_closest") / F.col("hyp_len"))
-    ).otherwise(F.lit(1.0))
-    return F.when(F.col("m_1") == 0, F.lit(0.0)).otherwise(bp * F.exp(total / effective))
+    bp = F.when(short, F.exp(1.0 - F.col("ref_closest") / F.col("hyp_len"))).otherwise(F.lit(1.0))
+    return F.when(known & (F.col("m_1") > 0), bp * F.exp(total / max_order)).otherwise(F.lit(0.0))
 
 
 def word_pairs(df: DataFrame, pred: str, gold: str) -> DataFrame:

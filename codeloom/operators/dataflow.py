@@ -1,179 +1,17 @@
-"""Dataflow edges of straight-line code, from tokens.
+"""Token and name tables of code: nesting, definitions, first places.
 
-An assignment target is computed from the variables of its right side, a use comes from the
-latest earlier definition of its name, a step (``x ++``) is computed from itself. Branches
-and loops are read as straight-line code. Everything is row-local.
+The links of a row come from ``structure``; these are the same notions over tables, for use in SQL.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.arrays import indices, join_tokens, let, let_all
-from codeloom.functions import text as X
-from codeloom.operators.rewrites import name_flags
-
-# Tokens that end a statement, assign, or step.
-ENDS = (";", "{", "}", "NEWLINE", "INDENT", "DEDENT")
-ASSIGNS = ("=", ":=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=")
-STEPS = ("++", "--")
-
-
-def occurrences(tokens: Column, lang: Column) -> Column:
-    """array<struct(pos, name, target, step, tgt, def)> of the variable occurrences.
-
-    ``tgt`` is the position of the assignment target whose right side holds the occurrence
-    (-1 outside), ``def`` the latest earlier definition of the same name.
-    """
-
-    def flagged(s: Column) -> Column:
-        t, flags = s["t"], s["flags"]
-
-        def at(i: Column, allowed: tuple[str, ...]) -> Column:
-            return F.coalesce(F.get(t, i).isin(*allowed), F.lit(False))
-
-        is_variable = F.filter(
-            indices(t),
-            lambda i: F.get(flags, i) & ~at(i + 1, ("(",)) & ~F.coalesce(F.get(flags, i + 1), F.lit(False)),
-        )
-        variables = F.transform(
-            is_variable,
-            lambda i: F.struct(
-                i.alias("pos"),
-                F.get(t, i).alias("name"),
-                at(i + 1, ASSIGNS).alias("target"),
-                (at(i + 1, STEPS) | (at(i - 1, STEPS) & (i > 0))).alias("step"),
-            ),
-        )
-        ends = F.filter(indices(t), lambda i: F.get(t, i).isin(*ENDS))
-        return let_all({"vars": variables, "ends": ends}, lambda v: let_all(
-            {
-                "vars": v["vars"],
-                "ends": v["ends"],
-                "targets": F.transform(F.filter(v["vars"], lambda o: o["target"]), lambda o: o["pos"]),
-                "defs": F.filter(v["vars"], lambda o: o["target"] | o["step"]),
-            },
-            link,
-        ))
-
-    def link(v: Column) -> Column:
-        def resolve(o: Column) -> Column:
-            def before(places: Column) -> Column:
-                return F.coalesce(F.array_max(F.filter(places, lambda p: p < o["pos"])), F.lit(-1))
-
-            def found(at: Column) -> Column:
-                # an assignment takes effect when its statement ends, a step at once
-                visible = F.filter(
-                    v["defs"],
-                    lambda d: (d["name"] == o["name"]) & (d["pos"] < F.when(d["target"], at["begin"]).otherwise(o["pos"])),
-                )
-                return F.struct(
-                    o["pos"].alias("pos"),
-                    o["name"].alias("name"),
-                    o["target"].alias("target"),
-                    o["step"].alias("step"),
-                    F.when(at["goal"] > at["begin"], at["goal"]).otherwise(F.lit(-1)).alias("tgt"),
-                    F.array_max(F.transform(visible, lambda d: d["pos"])).alias("def"),
-                )
-
-            return let_all({"begin": before(v["ends"]), "goal": before(v["targets"])}, found)
-
-        return F.transform(v["vars"], resolve)
-
-    return let(tokens, lambda t: let_all({"t": t, "flags": name_flags(t, lang)}, flagged))
-
-
-def raw_edges(occ: Column) -> Column:
-    """array<struct(pos, name, rel, parents)> per occurrence; parents are (pos, name) by position."""
-
-    def edge(o: Column) -> Column:
-        right = F.when(o["target"], F.filter(occ, lambda r: r["tgt"] == o["pos"])).otherwise(F.slice(occ, 1, 0))
-        use = ~o["target"] & ~o["step"]
-        own = F.when(o["step"], F.array(F.struct(o["pos"].alias("pos"), o["name"].alias("name")))).when(
-            use & o["def"].isNotNull(), F.array(F.struct(o["def"].alias("pos"), o["name"].alias("name")))
-        ).otherwise(F.array().cast("array<struct<pos:int,name:string>>"))
-        parents = F.concat(own, F.transform(right, lambda r: F.struct(r["pos"].alias("pos"), r["name"].alias("name"))))
-        return F.struct(
-            o["pos"].alias("pos"),
-            o["name"].alias("name"),
-            F.when(use, F.lit("comesFrom")).otherwise(F.lit("computedFrom")).alias("rel"),
-            F.array_sort(parents).alias("parents"),
-        )
-
-    return F.transform(occ, edge)
-
-
-def merged(raw: Column) -> Column:
-    """One edge per position: distinct parent names and positions, both by position."""
-    return F.transform(
-        raw,
-        lambda e: F.struct(
-            e["pos"].alias("pos"),
-            e["name"].alias("name"),
-            e["rel"].alias("rel"),
-            F.array_distinct(F.transform(e["parents"], lambda p: p["name"])).alias("parents"),
-            F.array_distinct(F.transform(e["parents"], lambda p: p["pos"])).alias("parent_pos"),
-        ),
-    )
-
-
-def edges(tokens: Column, lang: Column) -> Column:
-    """One edge per variable position, ordered by position, parents by their position."""
-    return let(occurrences(tokens, lang), lambda occ: let(raw_edges(occ), merged))
-
-
-def connected(edge_array: Column) -> Column:
-    """Edges that have parents or are a parent."""
-    return let(
-        edge_array,
-        lambda es: let(
-            F.flatten(F.transform(es, lambda e: e["parent_pos"])),
-            lambda used: F.filter(es, lambda e: (F.size(e["parent_pos"]) > 0) | F.array_contains(used, e["pos"])),
-        ),
-    )
-
-
-def appearance_order(edge_array: Column) -> Column:
-    """Variable names in order of first appearance, the parents of an edge before its child."""
-    return F.array_distinct(F.flatten(F.transform(edge_array, lambda e: F.concat(e["parents"], F.array(e["name"])))))
-
-
-def normalized(edge_array: Column) -> Column:
-    """Edges as ``var_i|relation|var_j,var_k`` with variables numbered by appearance."""
-
-    def build(s: Column) -> Column:
-        def number(name: Column) -> Column:
-            return F.concat(F.lit("var_"), (F.array_position(s["names"], name) - 1).cast("string"))
-
-        return F.transform(
-            s["edges"],
-            lambda e: F.concat_ws(
-                "|", number(e["name"]), e["rel"], F.array_join(F.array_sort(F.transform(e["parents"], number)), ",")
-            ),
-        )
-
-    return let(edge_array, lambda es: let_all({"edges": es, "names": appearance_order(es)}, build))
-
-
-def normalized_dataflow(tokens: Column, lang: Column) -> Column:
-    return normalized(connected(edges(tokens, lang)))
-
-
-def subtrees(tokens: Column) -> Column:
-    """Texts of the whole and of every bracketed span."""
-    return let(
-        tokens,
-        lambda t: F.concat(F.array(join_tokens(t)), F.transform(X.bracket_spans(t), lambda s: s["text"])),
-    )
-
-
-# --- long form, for use as tables ---------------------------------------------------------
-
 
 def token_table(df: DataFrame, keys: list[str], tokens: str = "tokens") -> DataFrame:
-    """(keys, pos, token); rows are placed by id before the explode, so windows by id are local."""
-    return df.repartition("id").select(*keys, F.posexplode(tokens).alias("pos", "token"))
+    """(keys, pos, token)."""
+    return df.select(*keys, F.posexplode(tokens).alias("pos", "token"))
 
 
 def bracket_depth(tokens: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,12 +1,12 @@
-"""Multiset matching of items (n-grams, subtrees, dataflow edges) between two sides of a row.
+"""Multiset matching of n-grams between the two sides of a row.
 
-Scoring is row-local: a pair's texts sit in one row, so its clipped matches are an array
-expression and need neither a shuffle nor a hash table over all n-grams of the corpus. Only
-the per-row sums are ever grouped.
+Scoring is row-local: a pair's texts sit in one row, so its clipped matches are an array expression and need neither a
+shuffle nor a hash table over all n-grams of the corpus. Only the per-row sums are ever grouped.
 
-A multiset is held as a *bag*: the distinct items (``base``) and the further copies, each
-numbered (``tail``). In that form the clipped intersection of two multisets is a set
-intersection, and the maximum of several multisets is a set union.
+N-grams are held as 64-bit codes (an n-gram's code is made from that of its first n - 1 tokens and its last token), so all
+sorts and set operations run on number arrays, whatever the length of the texts and the number of references. Of a
+multiset, the further copies of an item are numbered; the clipped intersection of two multisets is then that of two sets,
+and the largest counts of several multisets are those of their union.
 """
 
 from __future__ import annotations
@@ -14,188 +14,84 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.arrays import compute_once, let, let_all
+from codeloom.functions.arrays import let
 
-SEP = "\u0001"
-MAX_PACKED = 2000  # distinct tokens of a row up to which n-grams are packed into one bigint
 
+def codes(items: Column) -> Column:
+    """A 64-bit code per item."""
+    return F.transform(items, lambda x: F.xxhash64(x))
 
-def numbered_copies(extra: Column) -> Column:
-    """Number the copies in each run of a sorted array: ``x, x, y`` to ``x 1, x 2, y 1``.
-
-    Linear in the array: run starts first, then one sequence per run.
-    """
-
-    def runs(x: Column) -> Column:
-        starts = F.filter(
-            F.transform(x, lambda v, i: F.when(F.coalesce(v != F.get(x, i - 1), F.lit(True)), i)), lambda i: i.isNotNull()
-        )
-
-        def number(st: Column) -> Column:
-            def one_run(first: Column, j: Column) -> Column:
-                size = F.coalesce(F.get(st, j + 1), F.size(x)) - first
-                return let(
-                    F.get(x, first).cast("string"),
-                    lambda v: F.transform(
-                        F.sequence(F.lit(1), size), lambda k: F.concat(v, F.lit(SEP), k.cast("string"))
-                    ),
-                )
-
-            return F.flatten(F.transform(st, one_run))
-
-        return let(starts, number)
-
-    return F.when(F.size(extra) == 0, F.array().cast("array<string>")).otherwise(let(extra, runs))
 
+def further_copies(items: Column) -> Column:
+    """Codes of the second, third, .. copy of each item of a code array; linear but for the sort."""
+    none = F.array().cast("array<bigint>")
 
-def further_copies(sorted_items: Column) -> Column:
-    """All copies of a sorted array beyond the first of each item."""
-    return F.filter(sorted_items, lambda x, i: x == F.get(sorted_items, i - 1))
+    def numbered(x: Column) -> Column:
+        starts = F.filter(F.transform(x, lambda v, i: F.when(F.coalesce(v != F.get(x, i - 1), F.lit(True)), i)), lambda i: i.isNotNull())
 
+        def copies(st: Column) -> Column:
+            def of_run(first: Column, j: Column) -> Column:
+                more = F.coalesce(F.get(st, j + 1), F.size(x)) - first - 1
+                return F.when(more > 0, F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda k: F.xxhash64(F.get(x, first), k))).otherwise(none)
 
-def bag(items: Column) -> Column:
-    """struct(base, tail) of an item array."""
+            return F.flatten(F.transform(st, of_run))
 
-    def tail(g: Column) -> Column:
-        return let(F.sort_array(g), lambda s: numbered_copies(further_copies(s)))
+        return let(starts, copies)
 
-    return let(
-        items,
-        lambda g: let(
-            F.array_distinct(g),
-            lambda d: F.struct(
-                d.alias("base"),
-                F.when(F.size(d) == F.size(g), F.array().cast("array<string>")).otherwise(tail(g)).alias("tail"),
-            ),
-        ),
-    )
-
-
-def common(a: Column, b: Column) -> Column:
-    """Size of the clipped intersection of two bags."""
-    return F.size(F.array_intersect(a["base"], b["base"])) + F.size(F.array_intersect(a["tail"], b["tail"]))
-
-
-def bag_max(bags: Column) -> Column:
-    """Bag of the largest counts over an array of bags."""
-    return F.struct(
-        F.array_distinct(F.flatten(F.transform(bags, lambda b: b["base"]))).alias("base"),
-        F.array_distinct(F.flatten(F.transform(bags, lambda b: b["tail"]))).alias("tail"),
-    )
+    return F.when(F.size(F.array_distinct(items)) == F.size(items), none).otherwise(let(F.sort_array(items), numbered))
 
 
-def gram_bags(tokens: Column, max_order: int) -> Column:
-    """Array of bags, one per n-gram order, with the n-grams spelled out."""
+def with_ngram_matches(df: DataFrame, max_order: int = 4) -> DataFrame:
+    """Add ``m_n`` and ``rm_n`` by order to rows of ``hyp`` (tokens) and ``refs`` (array of token arrays).
 
-    def orders(c: Column) -> Column:
-        def extend(prev: Column, n: int, done: list[Column]) -> Column:
-            done = [*done, prev]
-            if n == max_order:
-                return F.transform(F.array(*done), bag)
-            left = F.greatest(F.size(c) - n, F.lit(0))
-            longer = F.zip_with(
-                F.slice(prev, F.lit(1), left), F.slice(c, F.lit(n + 1), left), lambda a, b: F.concat(a, F.lit(SEP), b)
-            )
-            return let(longer, lambda g: extend(g, n + 1, done))
-
-        return extend(c, 1, [])
-
-    return let(tokens, orders)
-
-
-def ngram_matches(hyp: Column, refs: Column, max_order: int = 4) -> Column:
-    """array<struct(m, rm)> by order for one row, any number of references.
-
-    ``m``: hypothesis n-grams matched, clipped by the largest count of any reference.
-    ``rm``: per reference the n-grams found in the hypothesis, clipped, and summed.
+    ``m_n``: hypothesis n-grams matched, clipped by the largest count of any reference. ``rm_n``: per reference the
+    n-grams found in the hypothesis, clipped, and summed.
     """
+    kept = df.columns
+    sides = F.concat(F.array("hyp"), "refs")
+    df = df.select("*", F.transform(sides, codes).alias("_g1"))
+    for n in range(2, max_order + 1):
+        df = df.select("*", _longer(n).alias(f"_g{n}"))
+    orders = range(1, max_order + 1)
+    df = df.select("*", *[F.transform(f"_g{n}", further_copies).alias(f"_c{n}") for n in orders])
+    counts = []
+    for n in orders:
+        h, h2 = F.get(f"_g{n}", F.lit(0)), F.get(f"_c{n}", F.lit(0))
+        refs, refs2 = (F.slice(f"_{k}{n}", F.lit(2), F.size("refs")) for k in "gc")
+        both = F.size(F.array_intersect(h, F.flatten(refs))) + F.size(F.array_intersect(h2, F.flatten(refs2)))
+        counts += [both.alias(f"m_{n}"), _each(n).alias(f"rm_{n}")]
+    return df.select(*kept, *counts)
 
-    def matches(sides: Column) -> Column:
-        def of_order(h: Column, n: Column) -> Column:
-            refs_n = F.transform(F.slice(sides, F.lit(2), F.size(sides)), lambda r: r[n])
-            return let(
-                refs_n,
-                lambda r: F.struct(
-                    common(h, bag_max(r)).alias("m"),
-                    F.aggregate(F.transform(r, lambda b: common(h, b)), F.lit(0), lambda acc, x: acc + x).alias("rm"),
-                ),
-            )
 
-        return F.transform(sides[0], of_order)
+def _longer(n: int) -> Column:
+    """Codes of order n on every side from those of order n - 1."""
 
-    return let(F.transform(F.concat(F.array(hyp), refs), lambda t: gram_bags(t, max_order)), matches)
+    def extend(prev: Column, i: Column) -> Column:
+        one = F.get("_g1", i)
+        size = F.greatest(F.size(one) - (n - 1), F.lit(0))
+        return F.zip_with(F.slice(prev, F.lit(1), size), F.slice(one, F.lit(n), size), lambda a, b: F.xxhash64(a, b))
 
+    return F.transform(f"_g{n - 1}", extend)
 
-def with_ngram_matches(df: DataFrame, max_order: int = 4, n_refs: int = 1) -> DataFrame:
-    """Add ``m_n`` and ``rm_n`` for rows that mostly hold ``n_refs`` references.
 
-    The same counts as ``ngram_matches``, laid out as a chain of projections: as plain
-    columns the sorts and intersections run as generated code on bigint arrays. Rows that do
-    not fit (other reference count, very many distinct tokens) take the general expression.
-    """
-    kept = df.columns
-    sides = {"h": F.col("hyp"), **{f"r{i}": F.get("refs", F.lit(i)) for i in range(n_refs)}}
-    refs = [s for s in sides if s != "h"]
-    limit = min(MAX_PACKED, int(9e18 ** (1.0 / max_order)) - 2)
-    df = df.select("*", F.array_distinct(F.concat("hyp", F.flatten("refs"))).alias("_vocab"))
-    df = df.select(
-        "*",
-        ((F.size("_vocab") <= limit) & (F.size("refs") == n_refs)).alias("_fits"),
-        (F.size("_vocab") + 1).cast("bigint").alias("_width"),
-    )
+def _each(n: int) -> Column:
+    """Clipped matches of each reference, summed."""
 
-    def code(t: Column) -> Column:
-        # never null, so that the arrays are sorted as primitive numbers
-        return F.coalesce(F.array_position("_vocab", t), F.lit(0).cast("bigint"))
+    def of_ref(r: Column, i: Column) -> Column:
+        more = F.array_intersect(F.get(f"_c{n}", F.lit(0)), F.get(f"_c{n}", i + 1))
+        return F.size(F.array_intersect(F.get(f"_g{n}", F.lit(0)), r)) + F.size(more)
 
-    df = df.select("*", *[F.when(F.col("_fits"), F.transform(c, code)).alias(f"_{s}_1") for s, c in sides.items()])
-    for n in range(2, max_order + 1):
-        longer = []
-        for s in sides:
-            left = F.greatest(F.size(f"_{s}_1") - (n - 1), F.lit(0))
-            longer.append(
-                F.zip_with(
-                    F.slice(f"_{s}_{n - 1}", F.lit(1), left),
-                    F.slice(f"_{s}_1", F.lit(n), left),
-                    lambda a, b: F.coalesce(a * F.col("_width") + b, F.lit(0).cast("bigint")),
-                ).alias(f"_{s}_{n}")
-            )
-        df = df.select("*", *longer)
-    every = [f"{s}_{n}" for s in sides for n in range(1, max_order + 1)]
-    df = df.select("*", F.array(*[F.sort_array(f"_{e}") for e in every]).alias("_sorted"))
-    df = df.select("*", F.transform("_sorted", lambda s: numbered_copies(further_copies(s))).alias("_tails"))
-
-    def overlap(n: int, others: list[str]) -> Column:
-        base = F.concat(*[F.col(f"_{r}_{n}") for r in others])
-        tail = F.concat(*[F.col("_tails")[every.index(f"{r}_{n}")] for r in others])
-        mine = F.col("_tails")[every.index(f"h_{n}")]
-        return F.size(F.array_intersect(f"_h_{n}", base)) + F.size(F.array_intersect(mine, tail))
-
-    general = F.when(~F.col("_fits"), ngram_matches(F.col("hyp"), F.col("refs"), max_order))
-    cols = []
-    for n in range(1, max_order + 1):
-        each = [overlap(n, [r]) for r in refs]
-        cols.append(overlap(n, refs).alias(f"_m_{n}"))
-        cols.append(sum(each[1:], each[0]).alias(f"_rm_{n}"))
-    df = df.select(*kept, "_fits", general.alias("_general"), *cols)
-    counts = {
-        f"{k}_{n}": F.when(F.col("_fits"), F.col(f"_{k}_{n}")).otherwise(F.col("_general")[n - 1][k])
-        for k in ("m", "rm")
-        for n in range(1, max_order + 1)
-    }
-    # a filter on the counts must not be pushed into the chain: copied through every step, its
-    # expression would double each time
-    return compute_once(df, **counts).select(*kept, *counts)
+    refs = F.slice(f"_g{n}", F.lit(2), F.size("refs"))
+    return F.aggregate(F.transform(refs, of_ref), F.lit(0), lambda a, x: a + x)
 
 
 def multiset_match(hyp: Column, ref: Column) -> Column:
     """Size of the clipped intersection of two item arrays."""
-    return let_all({"h": bag(hyp), "r": bag(ref)}, lambda s: common(s["h"], s["r"]))
 
+    def match(s: Column) -> Column:
+        return F.size(F.array_intersect(s["h"], s["r"])) + F.size(F.array_intersect(further_copies(s["h"]), further_copies(s["r"])))
 
-def membership_match(hyp: Column, ref: Column) -> Column:
-    """How many items of ``ref``, copies included, occur in ``hyp``."""
-    return let(hyp, lambda h: F.size(F.filter(ref, lambda x: F.array_contains(h, x))))
+    return let(F.struct(codes(hyp).alias("h"), codes(ref).alias("r")), match)
 
 
 # --- long form: n-gram tables --------------------------------------------------------------
@@ -217,18 +113,14 @@ def gram_items(tokens: Column, max_order: int = 4) -> Column:
 
 
 def ngram_counts(df: DataFrame, keys: list[str], tokens: str = "tokens", max_order: int = 4) -> DataFrame:
-    """(keys, n, ngram, cnt).
-
-    The rows are placed by id once and exploded then, so the many n-gram rows are counted
-    where they are and never cross the network.
-    """
-    placed = df.repartition("id").select(*keys, F.inline_outer(gram_items(F.col(tokens), max_order)))
+    """(keys, n, ngram, cnt); counted map-side before the shuffle."""
+    placed = df.select(*keys, F.inline_outer(gram_items(F.col(tokens), max_order)))
     return placed.where(F.col("n").isNotNull()).groupBy(*keys, "n", "ngram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def ngram_sides(df: DataFrame, keys: list[str], hyp: str = "hyp", ref: str = "ref", max_order: int = 4) -> DataFrame:
     """(keys, n, ngram, hyp_cnt, ref_cnt): both sides counted in one pass, no join."""
-    sides = df.repartition("id").select(*keys, F.posexplode(F.array(F.col(hyp), F.col(ref))).alias("side", "t"))
+    sides = df.select(*keys, F.posexplode(F.array(F.col(hyp), F.col(ref))).alias("side", "t"))
     items = sides.select(*keys, "side", F.inline_outer(gram_items(F.col("t"), max_order))).where(F.col("n").isNotNull())
     return items.groupBy(*keys, "n", "ngram").agg(
         F.count(F.when(F.col("side") == 0, 1)).alias("hyp_cnt"), F.count(F.when(F.col("side") == 1, 1)).alias("ref_cnt")

@@ -73,17 +73,20 @@ RUBY_HEADS = r"(def \S+ \( [^()]*\)|\b(?:then|else|do|end|begin)) "
 RUBY_CONTROL = r"\b(?:if|unless|while|until|for|begin|case|def|class|module|do|end|then|else|elsif|when)\b"
 
 
+def with_tokens(df: DataFrame, code: str = "code", lang: str = "lang") -> DataFrame:
+    """Add ``tokens`` to a code table."""
+    return compute_once(df, tokens=X.tokenize_code(F.col(code), F.col(lang)))
+
+
 def with_norm(df: DataFrame, code: str = "code", lang: str = "lang") -> DataFrame:
     """Add ``tokens`` and ``norm`` (normalised code) to a code table."""
-    df = compute_once(df, tokens=X.tokenize_code(F.col(code), F.col(lang)))
-    return df.withColumn("norm", X.normalized_code(F.col("tokens")))
+    return with_tokens(df, code, lang).withColumn("norm", X.normalized_code(F.col("tokens")))
 
 
 def with_context(df: DataFrame, code: str = "code", lang: str = "lang") -> DataFrame:
     """Add ``tokens``, ``norm`` (normalised code) and ``masked`` to a code table."""
-    df = compute_once(df, tokens=X.tokenize_code(F.col(code), F.col(lang)))
     return compute_once(
-        df, norm=X.normalized_code(F.col("tokens")), masked=join_tokens(X.mask_strings(F.col("tokens")))
+        with_tokens(df, code, lang), norm=X.normalized_code(F.col("tokens")), masked=join_tokens(X.mask_strings(F.col("tokens")))
     )
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import rand
@@ -26,40 +24,27 @@ def sample_fraction(
 ) -> DataFrame:
     """Exactly floor(share * n) rows, those with the smallest keyed hash.
 
-    Bucket counts over the hash tell where the quota ends; the bucket it ends in is cut
-    again. Only about n / 2**24 rows are ranked one by one, and the driver sees two numbers
-    per level.
+    Counts over 2**24 hash ranges, then over 4096 of those, tell in which range the quota ends; only its rows (about
+    n / 2**24) are ranked one by one. All of it is one plan; the driver sees nothing.
     """
-    hashed = df.withColumn("_h", rand.hash32(F.col(id_col), salt=salt, seed=seed))
-    n = hashed.count()
-    quota = int(math.floor(share * n))
-    taken, rest = [], hashed
-    for shift in (20, 8):
-        bucket = F.shiftright("_h", shift)
-        edge, before = _edge(rest.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c")), quota)
-        taken.append(rest.where(bucket < edge))
-        rest, quota = rest.where(bucket == edge), quota - before
-    taken.append(rest.orderBy("_h", id_col).limit(quota))
-    out = taken[0]
-    for part in taken[1:]:
-        out = out.unionByName(part)
-    return out.drop("_h")
-
-
-def _edge(counts: DataFrame, quota: int) -> tuple[int, int]:
-    """Bucket in which ``quota`` rows are reached and the rows before it (at most 4096 buckets)."""
-    packed = counts.agg(F.array_sort(F.collect_list(F.struct("b", "c"))).alias("buckets"))
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("seen"), F.lit(-1).cast("bigint").alias("edge"), F.lit(0).cast("bigint").alias("before")
-    )
-
-    def walk(acc: Column, b: Column) -> Column:
-        reaches = (acc["edge"] < 0) & (acc["seen"] + b["c"] > quota)
-        return F.struct(
-            (acc["seen"] + b["c"]).alias("seen"),
-            F.when(reaches, b["b"]).otherwise(acc["edge"]).alias("edge"),
-            F.when(reaches, acc["seen"]).otherwise(acc["before"]).alias("before"),
-        )
-
-    row = packed.select(F.aggregate("buckets", start, walk).alias("w")).first()["w"]
-    return (row["edge"], row["before"]) if row["edge"] >= 0 else (1 << 32, row["seen"])
+    hashed = df.withColumn("_h", rand.hash32(F.col(id_col), salt=salt, seed=seed)).withColumn("_b", F.shiftright("_h", 8))
+    fine = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("c"))
+    coarse = fine.groupBy(F.shiftright("_b", 12).alias("g")).agg(F.sum("c").alias("c"))
+    quota = F.floor(F.lit(share) * F.sum("c").over(Window.partitionBy(F.lit(0)))).cast("bigint")  # 4096 rows at most
+    first = _edge(coarse.withColumn("quota", quota), "g")
+    within = fine.join(F.broadcast(first), F.shiftright("_b", 12) == F.col("g")).select("_b", "c", (F.col("quota") - F.col("before")).alias("quota"))
+    second = _edge(within, "_b").select(F.col("_b").alias("_edge"), (F.col("quota") - F.col("before")).alias("_rest"))
+    # without an edge (all rows are asked for) the sums give no row: the outer join keeps everything
+    cut = second.agg(F.max("_edge").alias("_edge"), F.max("_rest").alias("_rest"))
+    marked = hashed.join(F.broadcast(cut))  # one row
+    sure = marked.where(F.col("_edge").isNull() | (F.col("_b") < F.col("_edge")))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", id_col))
+    last = marked.where(F.col("_b") == F.col("_edge")).withColumn("_r", rank).where(F.col("_r") <= F.col("_rest"))
+    return sure.select(*df.columns).unionByName(last.select(*df.columns))
+
+
+def _edge(counts: DataFrame, key: str) -> DataFrame:
+    """The range in which ``quota`` rows are reached, with the rows before it; of at most 4096 ranges."""
+    upto = F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy(key))
+    reached = counts.withColumn("before", upto - F.col("c")).where((F.col("before") <= F.col("quota")) & (F.col("before") + F.col("c") > F.col("quota")))
+    return reached.select(key, "before", "quota")

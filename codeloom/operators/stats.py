@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,19 +41,51 @@ def metric_rows(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame
     return df.select(*keys, F.inline(pairs))
 
 
-def metric_summary(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Mean and exact linear quartiles of ``value``.
+BUCKETS = 4096
+
 
-    ``percentile`` counts distinct values map-side, so its state grows with the distinct
-    values of a group, not with its rows.
+def cumulative(rows: DataFrame, by: list[str], value: str, **counts: Column) -> DataFrame:
+    """(by, value, cnt, upto, counts): rows up to and with each distinct value, and further counts per value.
+
+    Rows are counted per distinct value first. The running sum is taken within ``BUCKETS`` equal parts of a group's range
+    of values, and the parts before are added, so no task walks over a whole group.
     """
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy(*by).agg(F.avg("value").alias("mean"), q.alias("q"))
-    return out.select(*by, "mean", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    span = Window.partitionBy(*by)
+    found = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"), *[c.alias(k) for k, c in counts.items()])
+    ends = found.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    width = F.col("_hi") - F.col("_lo")
+    part = F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width * BUCKETS)).otherwise(F.lit(0))
+    found = found.join(ends, by).withColumn("_part", part).drop("_lo", "_hi")
+    parts = found.groupBy(*by, "_part").agg(F.sum("cnt").alias("_in"))
+    parts = parts.withColumn("_before", F.sum("_in").over(span.orderBy("_part")) - F.col("_in")).drop("_in")
+    inner = F.sum("cnt").over(Window.partitionBy(*by, "_part").orderBy(value))
+    out = found.withColumn("_upto", inner).join(parts, [*by, "_part"])
+    return out.select(*by, value, "cnt", (F.col("_before") + F.col("_upto")).alias("upto"), *counts)
+
+
+def metric_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Mean and exact linear quartiles of ``value``."""
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    ranked = cumulative(rows.where(F.col("value").isNotNull()), by, "value")
+    ranked = ranked.join(ranked.groupBy(*by).agg(F.max("upto").alias("n")), by)
+    picks = []
+    for name, share in shares.items():
+        place = F.lit(share) * (F.col("n") - 1)
+        low = F.floor(place)
+        picks.append(F.min(F.when(F.col("upto") > low, F.col("value"))).alias(f"_{name}_lo"))
+        picks.append(F.min(F.when(F.col("upto") > F.ceil(place), F.col("value"))).alias(f"_{name}_hi"))
+    mean = F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")
+    found = ranked.groupBy(*by).agg(mean.alias("mean"), F.max("n").alias("n"), *picks)
+    out = []
+    for name, share in shares.items():
+        place = F.lit(share) * (F.col("n") - 1)
+        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        out.append((lo + (place - F.floor(place)) * (hi - lo)).alias(name))
+    return found.select(*by, "mean", *out)
 
 
 def ttest(rows: DataFrame, by: list[str], group: str, first: str, second: str) -> DataFrame:
-    """Two-sample t with pooled variance: (by, n1, n2, t, df)."""
+    """Two-sample t with pooled variance: (by, n1, n2, t, df, p)."""
     def of(name: str, value: Column) -> Column:
         return F.when(F.col(group) == name, value)
 
@@ -64,28 +97,24 @@ def ttest(rows: DataFrame, by: list[str], group: str, first: str, second: str) -
     dof = F.col("n1") + F.col("n2") - 2
     pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / dof
     t = (F.col("m1") - F.col("m2")) / F.sqrt(pooled * (1.0 / F.col("n1") + 1.0 / F.col("n2")))
-    return agg.select(*by, "n1", "n2", F.when(pooled > 0, t).alias("t"), dof.alias("df"))
+    out = agg.select(*by, "n1", "n2", F.when(pooled > 0, t).alias("t"), dof.alias("df"))
+    return out.withColumn("p", t_p_value(F.col("t"), F.col("df")))
 
 
 def signed_ranks(pairs: DataFrame, by: list[str], diff: Column) -> DataFrame:
     """(by, size, positive, negative, cnt, avg_rank): tie-averaged ranks of absolute differences.
 
-    Zero differences are dropped. Rows are first counted per distinct size, so the running
-    sum walks over distinct sizes, not over rows.
+    Zero differences are dropped.
     """
-    nonzero = pairs.select(*by, diff.alias("d")).where(F.col("d") != 0)
-    sizes = nonzero.groupBy(*by, F.abs("d").alias("size")).agg(
-        F.count(F.when(F.col("d") > 0, 1)).alias("positive"),
-        F.count(F.when(F.col("d") < 0, 1)).alias("negative"),
-        F.count(F.lit(1)).alias("cnt"),
+    nonzero = pairs.select(*by, diff.alias("d")).where(F.col("d") != 0).withColumn("size", F.abs("d"))
+    ranked = cumulative(
+        nonzero, by, "size", positive=F.count(F.when(F.col("d") > 0, 1)), negative=F.count(F.when(F.col("d") < 0, 1))
     )
-    w = Window.partitionBy(*by).orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.sum("cnt").over(w)
-    return sizes.withColumn("avg_rank", upto - (F.col("cnt") - 1) / 2.0)
+    return ranked.withColumn("avg_rank", F.col("upto") - (F.col("cnt") - 1) / 2.0).drop("upto")
 
 
 def wilcoxon(pairs: DataFrame, by: list[str], diff: Column) -> DataFrame:
-    """Signed-rank test: (by, n, w, z, tie-corrected normal approximation)."""
+    """Signed-rank test: (by, n, w, z, p) with the tie-corrected normal approximation."""
     ranks = signed_ranks(pairs, by, diff)
     agg = ranks.groupBy(*by).agg(
         F.sum("cnt").alias("n"),
@@ -97,16 +126,37 @@ def wilcoxon(pairs: DataFrame, by: list[str], diff: Column) -> DataFrame:
     mean = n * (n + 1) / 4
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     w = F.least("w_plus", "w_minus")
-    return agg.select(*by, "n", w.alias("w"), F.when(sd > 0, (w - mean) / sd).alias("z"))
+    out = agg.select(*by, "n", w.alias("w"), F.when(sd > 0, (w - mean) / sd).alias("z"))
+    return out.withColumn("p", normal_p_value(F.col("z")))
+
+
+def normal_p_value(z: Column) -> Column:
+    """Two-sided p of a standard normal statistic; of the few rows of a result."""
+
+    @F.arrow_udf("double")
+    def p(z: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else normal_two_sided_p(v) for v in z.to_pylist()], pa.float64())
+
+    return p(z)
+
+
+def t_p_value(t: Column, dof: Column) -> Column:
+    """Two-sided p of Student's t; of the few rows of a result."""
+
+    @F.arrow_udf("double")
+    def p(t: pa.Array, dof: pa.Array) -> pa.Array:
+        pairs = zip(t.to_pylist(), dof.to_pylist())
+        return pa.array([None if v is None else t_two_sided_p(v, float(d)) for v, d in pairs], pa.float64())
+
+    return p(t, dof)
 
 
 def normal_two_sided_p(z: float) -> float:
-    """p-value of one statistic, for use on a collected result row."""
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
 def t_two_sided_p(t: float, dof: float) -> float:
-    """Two-sided p of Student's t, for use on a collected result row.
+    """Two-sided p of Student's t.
 
     Continued fraction of the regularised incomplete beta function.
     """

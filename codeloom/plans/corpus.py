@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-CODE_EXPR = '''CASE
+_LAID_OUT = '''CASE
   WHEN lang = 'python' THEN concat(
     'def f', CAST(k % 50 AS STRING), ' ( n ) :  # note ', status, chr(10),
     CASE WHEN k % 3 = 0 THEN concat('    """adds n"""', chr(10)) ELSE '' END,
@@ -61,6 +61,13 @@ CODE_EXPR = '''CASE
     '~', CASE lang WHEN 'javascript' THEN 'let ' WHEN 'php' THEN '' WHEN 'go' THEN 'var ' ELSE 'int ' END)
   END'''
 
+# Some rows of the languages in which a line break may end a statement have no other end of it.
+_OPEN = "k % 11 < 3 AND lang"
+_PLAIN = f"replace(replace({_LAID_OUT}, concat(' ;', chr(10)), chr(10)), concat(';', chr(10)), chr(10))"
+CODE_EXPR = f'''CASE WHEN {_OPEN} IN ('go', 'javascript') THEN {_PLAIN}
+  WHEN {_OPEN} = 'ruby' THEN replace(replace(replace({_PLAIN}, ' then ', chr(10)), ' ; else ', concat(chr(10), 'else', chr(10))), ' ; end', concat(chr(10), 'end'))
+  ELSE {_LAID_OUT} END'''
+
 SEED_EXPRS = (
     "o_orderkey AS id",
     "o_orderkey AS k",
@@ -75,18 +82,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a source comes in fewer splits than there are cores.
-
-    A large table has splits enough and is left as it is: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def placed(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by key to as many tasks as the session shuffles to: for work per row far above the cost of the move,
+    and for what is grouped by the key afterwards."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, lang, code) over all orders."""
-    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")).selectExpr(*SEED_EXPRS).selectExpr("id", "lang", f"{CODE_EXPR} AS code")
+    """(id, lang, code) over all orders, dealt by id while a row is four short columns."""
+    seeds = table(spark, sf_dir, "orders").selectExpr(*SEED_EXPRS)
+    return placed(seeds, "id").selectExpr("id", "lang", f"{CODE_EXPR} AS code")
 
 
 def corpus_oracle() -> str:

@@ -10,9 +10,11 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from codeloom.functions import features as FT
 from codeloom.functions import lookups as K
 from codeloom.functions.arrays import join_tokens
 from codeloom.operators import bleu as B
+from codeloom.operators import codebleu as CB
 from codeloom.operators import curves as C
 from codeloom.operators import prep as P
 from codeloom.operators import rewrites as R
@@ -20,7 +22,7 @@ from codeloom.operators import sampling as SP
 from codeloom.operators import stats as S
 from codeloom.plans import frames as T
 from codeloom.plans import oracle_base as O
-from codeloom.plans import score_oracles  # noqa: F401  (defines shared expressions)
+from codeloom.plans import score_oracles
 from codeloom.plans import text_queries as TQ
 from codeloom.plans.corpus import code_corpus, table
 from codeloom.plans.registry import register
@@ -35,11 +37,11 @@ def _r6(c, name):
 # --- scans ---------------------------------------------------------------------------------
 
 
-@register("scan_corpus", O.query("SELECT lang, code AS function FROM corpus WHERE lang IN ('java', 'python', 'ruby', 'c')", "corpus"))
+@register("scan_corpus", O.query("SELECT lang, code AS function FROM corpus", "corpus"))
 def _scan_corpus(spark, sf):
     path = scratch_path(spark, "corpus")
     code_corpus(spark, sf).select("lang", F.col("code").alias("function")).write.partitionBy("lang").parquet(path)
-    return readers.read_corpus(spark, path, ["java", "python", "ruby", "c"])
+    return readers.read_corpus(spark, path)
 
 
 def _noise_pairs(spark, sf):
@@ -122,7 +124,7 @@ def _nl_code(spark, sf):
 def _summarize(spark, sf):
     """Token records; every other record has no ``idx`` of its own."""
     path = scratch_path(spark, "summarize")
-    df = T.context(spark, sf).orderBy("id")
+    df = T.normed(spark, sf).orderBy("id")
     df.select(
         F.when(F.col("id") % 2 == 0, F.col("id") + 1000000).alias("idx"), F.col("tokens").alias("code_tokens"),
         F.array(F.col("lang"), F.lit("of\n"), F.col("norm")).alias("docstring_tokens"),
@@ -174,22 +176,68 @@ def _join_clone(spark, sf):
 @register("scan_translation_struct", O.query("SELECT 'translate: ' || code AS source, norm AS target FROM ctx", "ctx"))
 def _translation(spark, sf):
     path = scratch_path(spark, "translation")
-    df = T.context(spark, sf)
+    df = T.normed(spark, sf)
     df.select(F.struct(F.col("code").alias("java"), F.col("norm").alias("cs")).alias("translation")).write.json(path)
     return readers.read_translation(spark, path, "java", "cs", prefix="translate: ")
 
 
-def _catalog_values() -> str:
-    rows = []
-    for task, subs in catalog.ALL_TASKS.items():
-        for sub in subs:
-            for split in catalog.SPLITS:
-                src, trg = catalog.files_of("data", task, sub, split)
-                a, b = catalog.lengths_of(task, sub)
-                vals = [O.lit(v) if isinstance(v, str) else "NULL" if v is None else str(v)
-                        for v in (task, sub, split, catalog.reader_of(task), src, trg, a, b)]
-                rows.append(f"({', '.join(vals)})")
-    return "(VALUES " + ", ".join(rows) + ") AS k(task, sub_task, split, reader, source_file, target_file, max_source_length, max_target_length)"
+# The catalogue, row by row.
+_CATALOG = """(VALUES
+  ('summarize', 'ruby', 'train', 'summarize', 'data/summarize/ruby/train.jsonl', NULL, 256, 128),
+  ('summarize', 'ruby', 'dev', 'summarize', 'data/summarize/ruby/valid.jsonl', NULL, 256, 128),
+  ('summarize', 'ruby', 'test', 'summarize', 'data/summarize/ruby/test.jsonl', NULL, 256, 128),
+  ('summarize', 'javascript', 'train', 'summarize', 'data/summarize/javascript/train.jsonl', NULL, 256, 128),
+  ('summarize', 'javascript', 'dev', 'summarize', 'data/summarize/javascript/valid.jsonl', NULL, 256, 128),
+  ('summarize', 'javascript', 'test', 'summarize', 'data/summarize/javascript/test.jsonl', NULL, 256, 128),
+  ('summarize', 'go', 'train', 'summarize', 'data/summarize/go/train.jsonl', NULL, 256, 128),
+  ('summarize', 'go', 'dev', 'summarize', 'data/summarize/go/valid.jsonl', NULL, 256, 128),
+  ('summarize', 'go', 'test', 'summarize', 'data/summarize/go/test.jsonl', NULL, 256, 128),
+  ('summarize', 'python', 'train', 'summarize', 'data/summarize/python/train.jsonl', NULL, 256, 128),
+  ('summarize', 'python', 'dev', 'summarize', 'data/summarize/python/valid.jsonl', NULL, 256, 128),
+  ('summarize', 'python', 'test', 'summarize', 'data/summarize/python/test.jsonl', NULL, 256, 128),
+  ('summarize', 'java', 'train', 'summarize', 'data/summarize/java/train.jsonl', NULL, 256, 128),
+  ('summarize', 'java', 'dev', 'summarize', 'data/summarize/java/valid.jsonl', NULL, 256, 128),
+  ('summarize', 'java', 'test', 'summarize', 'data/summarize/java/test.jsonl', NULL, 256, 128),
+  ('summarize', 'php', 'train', 'summarize', 'data/summarize/php/train.jsonl', NULL, 256, 128),
+  ('summarize', 'php', 'dev', 'summarize', 'data/summarize/php/valid.jsonl', NULL, 256, 128),
+  ('summarize', 'php', 'test', 'summarize', 'data/summarize/php/test.jsonl', NULL, 256, 128),
+  ('translate', 'java-cs', 'train', 'line_pairs', 'data/translate/train.java-cs.txt.java', 'data/translate/train.java-cs.txt.cs', 320, 256),
+  ('translate', 'java-cs', 'dev', 'line_pairs', 'data/translate/valid.java-cs.txt.java', 'data/translate/valid.java-cs.txt.cs', 320, 256),
+  ('translate', 'java-cs', 'test', 'line_pairs', 'data/translate/test.java-cs.txt.java', 'data/translate/test.java-cs.txt.cs', 320, 256),
+  ('translate', 'cs-java', 'train', 'line_pairs', 'data/translate/train.java-cs.txt.cs', 'data/translate/train.java-cs.txt.java', 320, 256),
+  ('translate', 'cs-java', 'dev', 'line_pairs', 'data/translate/valid.java-cs.txt.cs', 'data/translate/valid.java-cs.txt.java', 320, 256),
+  ('translate', 'cs-java', 'test', 'line_pairs', 'data/translate/test.java-cs.txt.cs', 'data/translate/test.java-cs.txt.java', 320, 256),
+  ('refine', 'small', 'train', 'line_pairs', 'data/refine/small/train.buggy-fixed.buggy', 'data/refine/small/train.buggy-fixed.fixed', 130, 120),
+  ('refine', 'small', 'dev', 'line_pairs', 'data/refine/small/valid.buggy-fixed.buggy', 'data/refine/small/valid.buggy-fixed.fixed', 130, 120),
+  ('refine', 'small', 'test', 'line_pairs', 'data/refine/small/test.buggy-fixed.buggy', 'data/refine/small/test.buggy-fixed.fixed', 130, 120),
+  ('refine', 'medium', 'train', 'line_pairs', 'data/refine/medium/train.buggy-fixed.buggy', 'data/refine/medium/train.buggy-fixed.fixed', 240, 240),
+  ('refine', 'medium', 'dev', 'line_pairs', 'data/refine/medium/valid.buggy-fixed.buggy', 'data/refine/medium/valid.buggy-fixed.fixed', 240, 240),
+  ('refine', 'medium', 'test', 'line_pairs', 'data/refine/medium/test.buggy-fixed.buggy', 'data/refine/medium/test.buggy-fixed.fixed', 240, 240),
+  ('refine-concrete', 'small', 'train', 'line_pairs', 'data/refine-concrete/small/train.buggy-fixed.buggy', 'data/refine-concrete/small/train.buggy-fixed.fixed', 130, 120),
+  ('refine-concrete', 'small', 'dev', 'line_pairs', 'data/refine-concrete/small/valid.buggy-fixed.buggy', 'data/refine-concrete/small/valid.buggy-fixed.fixed', 130, 120),
+  ('refine-concrete', 'small', 'test', 'line_pairs', 'data/refine-concrete/small/test.buggy-fixed.buggy', 'data/refine-concrete/small/test.buggy-fixed.fixed', 130, 120),
+  ('refine-concrete', 'medium', 'train', 'line_pairs', 'data/refine-concrete/medium/train.buggy-fixed.buggy', 'data/refine-concrete/medium/train.buggy-fixed.fixed', 240, 240),
+  ('refine-concrete', 'medium', 'dev', 'line_pairs', 'data/refine-concrete/medium/valid.buggy-fixed.buggy', 'data/refine-concrete/medium/valid.buggy-fixed.fixed', 240, 240),
+  ('refine-concrete', 'medium', 'test', 'line_pairs', 'data/refine-concrete/medium/test.buggy-fixed.buggy', 'data/refine-concrete/medium/test.buggy-fixed.fixed', 240, 240),
+  ('refine-commit', 'small', 'train', 'line_pairs', 'data/refine-commit/small/train.buggy-fixed.buggy', 'data/refine-commit/small/train.buggy-fixed.fixed', 130, 120),
+  ('refine-commit', 'small', 'dev', 'line_pairs', 'data/refine-commit/small/valid.buggy-fixed.buggy', 'data/refine-commit/small/valid.buggy-fixed.fixed', 130, 120),
+  ('refine-commit', 'small', 'test', 'line_pairs', 'data/refine-commit/small/test.buggy-fixed.buggy', 'data/refine-commit/small/test.buggy-fixed.fixed', 130, 120),
+  ('refine-commit', 'medium', 'train', 'line_pairs', 'data/refine-commit/medium/train.buggy-fixed.buggy', 'data/refine-commit/medium/train.buggy-fixed.fixed', 240, 240),
+  ('refine-commit', 'medium', 'dev', 'line_pairs', 'data/refine-commit/medium/valid.buggy-fixed.buggy', 'data/refine-commit/medium/valid.buggy-fixed.fixed', 240, 240),
+  ('refine-commit', 'medium', 'test', 'line_pairs', 'data/refine-commit/medium/test.buggy-fixed.buggy', 'data/refine-commit/medium/test.buggy-fixed.fixed', 240, 240),
+  ('concode', 'none', 'train', 'nl_code', 'data/concode/train.json', NULL, 320, 150),
+  ('concode', 'none', 'dev', 'nl_code', 'data/concode/dev.json', NULL, 320, 150),
+  ('concode', 'none', 'test', 'nl_code', 'data/concode/test.json', NULL, 320, 150),
+  ('defect', 'none', 'train', 'defect', 'data/defect/train.jsonl', NULL, 512, 3),
+  ('defect', 'none', 'dev', 'defect', 'data/defect/valid.jsonl', NULL, 512, 3),
+  ('defect', 'none', 'test', 'defect', 'data/defect/test.jsonl', NULL, 512, 3),
+  ('translate-500', 'none', 'train', 'line_pairs', 'data/translate-500/train.java-cs.txt.java', 'data/translate-500/train.java-cs.txt.cs', 320, 256),
+  ('translate-500', 'none', 'dev', 'line_pairs', 'data/translate-500/valid.java-cs.txt.java', 'data/translate-500/valid.java-cs.txt.cs', 320, 256),
+  ('translate-500', 'none', 'test', 'line_pairs', 'data/translate-500/test.java-cs.txt.java', 'data/translate-500/test.java-cs.txt.cs', 320, 256),
+  ('clone', 'none', 'train', 'clone', 'data/clone/train.txt', 'data/clone/data.jsonl', NULL, NULL),
+  ('clone', 'none', 'dev', 'clone', 'data/clone/valid.txt', 'data/clone/data.jsonl', NULL, NULL),
+  ('clone', 'none', 'test', 'clone', 'data/clone/test.txt', 'data/clone/data.jsonl', NULL, NULL)
+) AS k(task, sub_task, split, reader, source_file, target_file, max_source_length, max_target_length)"""
 
 
 @register(
@@ -197,7 +245,7 @@ def _catalog_values() -> str:
     O.query(
         f"""SELECT k.task, k.sub_task, k.split, k.reader, k.source_file, k.target_file, count(*) AS n,
               count(*) FILTER (len({O.words('t.norm')}) > k.max_source_length) AS too_long
-            FROM (SELECT *, {_SPLIT} AS s FROM tasks) AS t JOIN {_catalog_values()}
+            FROM (SELECT *, {_SPLIT} AS s FROM tasks) AS t JOIN {_CATALOG}
               ON k.task = t.task AND k.sub_task = t.sub_task AND k.split = CASE WHEN t.s = 'valid' THEN 'dev' ELSE 'train' END
             GROUP BY ALL""",
         "tasks",
@@ -236,30 +284,56 @@ def _sink_predictions(spark, sf):
     return reduce(lambda a, b: a.join(b, "line"), parts).select("line", "output", "gold", "src")
 
 
-@register("sink_text_predictions", O.query("SELECT pred AS value FROM pairs", "pairs"))
+@register(
+    "sink_text_predictions",
+    O.query(
+        f"""SELECT row_number() OVER (ORDER BY id) - 1 AS line, pred AS value FROM pairs
+            UNION ALL SELECT -1, '{{"predict_words":' || sum(len({O.words('pred')})) || ',"predict_samples":' || count(*) || '}}' FROM pairs""",
+        "pairs",
+    ),
+)
 def _sink_text(spark, sf):
-    path = scratch_path(spark, "text")
+    """Predictions as ordered text, and the metrics of the run with their sample count as JSON (line -1)."""
+    path, metrics = scratch_path(spark, "text"), scratch_path(spark, "metrics")
     df = T.prediction_pairs(spark, sf).select(F.col("id").alias("idx"), F.concat("pred", F.lit("  ")).alias("pred"))
     writers.write_text_predictions(df, path)
-    return spark.read.text(path)
+    writers.write_metric_json(df.agg(F.sum(P.word_count(F.col("pred"))).alias("predict_words"), F.count(F.lit(1)).alias("predict_samples")), metrics)
+    return readers.numbered_lines(spark, path).unionByName(spark.read.text(metrics).select(F.lit(-1).cast("bigint").alias("line"), "value"))
+
+
+_SIX = ("em", "bleu", "wbleu", "syntax", "dataflow", "codebleu")
+_SCORES = f"avg(em) AS em, {score_oracles.BLEU} AS bleu, {score_oracles.WBLEU} AS wbleu, {score_oracles.SYNTAX} AS syntax, {score_oracles.DATAFLOW} AS dataflow"
 
 
 @register(
     "sink_metrics",
-    O.query("SELECT id, lang, (m1 = d1 AND d1 = l1)::INT AS covered, round(m1 / hyp_len, 6) AS precision FROM single_stats", "single_stats"),
+    O.query(
+        f"""SELECT id, lang, {', '.join(f'round({k}, 6) AS {k}' for k in _SIX)}, NULL AS summary
+            FROM (SELECT *, (bleu + wbleu + syntax + dataflow) / 4 AS codebleu FROM (SELECT id, any_value(lang) AS lang, {_SCORES} FROM code_stats GROUP BY id) AS t) AS u
+            UNION ALL SELECT NULL, lang, {', '.join('NULL' for _ in _SIX)}, printf('Lang : %s bleu-4: %.2f, em: %.4f, codebleu: %.4f', lang, bleu * 100, em * 100, (bleu + wbleu + syntax + dataflow) * 25)
+            FROM (SELECT lang, {_SCORES} FROM code_stats GROUP BY lang) AS v""",
+        "code_stats",
+    ),
 )
 def _sink_metrics(spark, sf):
-    """Row metrics as CSV, read back."""
-    path = scratch_path(spark, "metrics")
-    rows = B.pair_stats(T.token_pairs(spark, sf), ["id", "lang"], 1)
-    covered = ((F.col("m_1") == F.col("d_1")) & (F.col("d_1") == F.col("ref_min"))).cast("int")
-    writers.write_metrics(rows.select("id", "lang", covered.alias("covered"), _r6(F.col("m_1") / F.col("hyp_len"), "precision")), path)
-    return spark.read.schema("id bigint, lang string, covered int, precision double").csv(path, header=True)
+    """The six metrics of every row as CSV and a line of scores per language as text, both read back."""
+    path, lines = scratch_path(spark, "metrics"), scratch_path(spark, "summary")
+    pairs = CB.pair_scores(T.reference_pairs(spark, sf), ["id", "lang"])
+    scores = CB.score_columns()
+    rows = B.sums_per_row(pairs).select("id", "lang", "em", *[c.alias(k) for k, c in scores.items()])
+    writers.write_metrics(rows.select("id", "lang", *[_r6(F.col(k), k) for k in _SIX]), path)
+    total = B.sums(pairs, ["lang"]).select("lang", (F.col("em") / F.col("n_rows")).alias("em"), *[c.alias(k) for k, c in scores.items()])
+    writers.write_text_lines(total.select("lang", writers.summary_line(F.col("lang"), F.col("bleu"), F.col("em"), F.col("codebleu")).alias("value")), lines)
+    schema = "id bigint, lang string, " + ", ".join(f"{k} double" for k in _SIX)
+    back = spark.read.schema(schema).csv(path, header=True).withColumn("summary", F.lit(None).cast("string"))
+    said = spark.read.schema("value string, lang string").text(lines).select("lang", F.col("value").alias("summary"))
+    return back.unionByName(said, allowMissingColumns=True)
 
 
 @register("materialise_features", O.query(f"SELECT id, lang, {O.join('ids')} AS ids FROM encoded", "encoded"))
 def _materialise(spark, sf):
-    path = scratch_path(spark, writers.feature_tag("train"))
+    key = FT.vocabulary_key(FT.vocabulary(T.tokens(spark, sf), "tokens", TQ.VOCAB))
+    path = scratch_path(spark, writers.feature_tag("train", key, TQ.MAX_LEN))
     writers.materialise(TQ.encoded(spark, sf), path)
     ids = writers.materialise(TQ.encoded(spark, sf), path)  # the second call finds the written features
     return ids.select("id", "lang", TQ._ints(F.col("ids")).alias("ids"))
@@ -330,10 +404,9 @@ def _sorted(spark, sf):
     O.query(f"SELECT lang, {_SPLIT} AS split, count(*) AS n, sum(length(gold))::BIGINT AS chars FROM pairs GROUP BY ALL", "pairs"),
 )
 def _union_languages(spark, sf):
-    """All languages' splits as one read of one folder."""
-    path = scratch_path(spark, "pairs")
-    writers.write_pairs(_noise_pairs(spark, sf), path)
-    rows = readers.read_pairs(spark, path, list(K.LANGUAGES))
+    """The languages' tables as one."""
+    pairs = _noise_pairs(spark, sf)
+    rows = reduce(lambda a, b: a.unionByName(b), [pairs.where(F.col("lang") == la) for la in K.LANGUAGES])
     return rows.groupBy("lang", "split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("target")).alias("chars"))
 
 
@@ -433,6 +506,13 @@ def _summary(spark, sf):
     return out.select("lang", "experiment", *[_r6(F.col(c), c) for c in ("mean", "q1", "median", "q3")])
 
 
+def _tail(end: str, density: str) -> str:
+    """1 less twice the integral of a density over x from 0 to ``end``, by Simpson's rule."""
+    at = density.replace("x", f"({end} * i / 2000)").replace(f"e({end} * i / 2000)p", "exp")
+    weight = "CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"greatest(0, 1 - 2 * list_sum(list_transform(range(0, 2001), lambda i: {weight} * ({at}))) * {end} / 6000)"
+
+
 _N1, _N2 = "count(*) FILTER (experiment = 'seed42')", "count(*) FILTER (experiment = 'seed43')"
 _M1, _M2 = "avg(value) FILTER (experiment = 'seed42')", "avg(value) FILTER (experiment = 'seed43')"
 _V1, _V2 = "var_samp(value) FILTER (experiment = 'seed42')", "var_samp(value) FILTER (experiment = 'seed43')"
@@ -441,20 +521,21 @@ _V1, _V2 = "var_samp(value) FILTER (experiment = 'seed42')", "var_samp(value) FI
 @register(
     "ttest_two_sample",
     O.query(
-        f"""SELECT lang, {_N1} AS n1, {_N2} AS n2, {_N1} + {_N2} - 2 AS df,
-              round(({_M1} - {_M2}) / sqrt((({_N1} - 1) * {_V1} + ({_N2} - 1) * {_V2}) / ({_N1} + {_N2} - 2) * (1.0::DOUBLE / {_N1} + 1.0::DOUBLE / {_N2})), 6) AS t
-            FROM {_BOTH} GROUP BY lang""",
+        f"""SELECT lang, n1, n2, df, round(t, 6) AS t, round({_tail('abs(t)', 'exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * (1 + x * x / df) ** (-(df + 1) / 2)')}, 6) AS p FROM (
+            SELECT lang, {_N1} AS n1, {_N2} AS n2, {_N1} + {_N2} - 2 AS df,
+              ({_M1} - {_M2}) / sqrt((({_N1} - 1) * {_V1} + ({_N2} - 1) * {_V2}) / ({_N1} + {_N2} - 2) * (1.0::DOUBLE / {_N1} + 1.0::DOUBLE / {_N2})) AS t
+            FROM {_BOTH} GROUP BY lang) AS q""",
         "metric42", "metric43",
     ),
 )
 def _ttest(spark, sf):
     out = S.ttest(_both(spark, sf), ["lang"], "experiment", "seed42", "seed43")
-    return out.select("lang", "n1", "n2", "df", _r6(F.col("t"), "t"))
+    return out.select("lang", "n1", "n2", "df", _r6(F.col("t"), "t"), _r6(F.col("p"), "p"))
 
 
 O.cte(
     "ranked",
-    f"""SELECT lang, d, rank() OVER (PARTITION BY lang ORDER BY abs(d)) + (count(*) OVER (PARTITION BY lang, abs(d)) - 1) / 2 AS r
+    f"""SELECT lang, d, rank() OVER (PARTITION BY lang ORDER BY abs(d)) + (count(*) OVER (PARTITION BY lang, abs(d)) - 1) / 2 AS r, count(*) OVER (PARTITION BY lang, abs(d)) AS c
         FROM (SELECT a.lang, a.value - b.value AS d FROM {_PAIRED}) AS t WHERE d <> 0""",
     "metric42", "metric43",
 )
@@ -472,13 +553,16 @@ def _avg_rank(spark, sf):
 @register(
     "wilcoxon_signed",
     O.query(
-        """SELECT lang, count(*) AS n, round(least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)), 1) AS w FROM ranked GROUP BY lang""",
+        f"""SELECT lang, n, round(w, 1) AS w, round(z, 6) AS z, round({_tail('abs(z)', 'exp(-x * x / 2) / sqrt(2 * pi())')}, 6) AS p FROM (
+              SELECT lang, n, w, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM (
+                SELECT lang, count(*)::DOUBLE AS m, count(*) AS n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w,
+                  sum(c::DOUBLE * c - 1) AS ties FROM ranked GROUP BY lang) AS a) AS b""",
         "ranked",
     ),
 )
 def _wilcoxon(spark, sf):
     out = S.wilcoxon(_joined(spark, sf), ["lang"], F.col("first") - F.col("second"))
-    return out.select("lang", "n", F.round("w", 1).alias("w"))
+    return out.select("lang", "n", F.round("w", 1).alias("w"), _r6(F.col("z"), "z"), _r6(F.col("p"), "p"))
 
 
 @register("perplexity", "SELECT event_type, round(exp(avg(value / 100)), 5) AS ppl FROM events GROUP BY event_type")

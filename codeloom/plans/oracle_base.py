@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.functions import lookups as K
-from codeloom.functions import text as X
-from codeloom.operators import rewrites as R
+from codeloom.plans import oracle_values as V
 from codeloom.plans.corpus import corpus_oracle
 
 SEED = 42
@@ -58,11 +56,11 @@ def by_lang(token: str, lang: str, lists: dict[str, list[str]]) -> str:
 
 
 def is_reserved(token: str, lang: str = "lang") -> str:
-    return by_lang(token, lang, {k: K.reserved_list(k) for k in (*K.LANGUAGES, "cpp")})
+    return by_lang(token, lang, V.RESERVED)
 
 
 def is_keyword(token: str, lang: str = "lang") -> str:
-    return by_lang(token, lang, {k: K.keyword_list(k) for k in K.KEYWORDS})
+    return by_lang(token, lang, V.KEYWORDS)
 
 
 def _lexed(code: str, pattern: str, starts: tuple[str, ...]) -> str:
@@ -72,10 +70,23 @@ def _lexed(code: str, pattern: str, starts: tuple[str, ...]) -> str:
 
 def lexed(code: str, lang: str = "lang") -> str:
     """Tokens of code that is not laid out by indentation."""
-    return f"""CASE WHEN {lang} = 'ruby' THEN {_lexed(code, X.LEX_RUBY, ('#',))}
-      WHEN {lang} = 'php' THEN {_lexed(code, X.LEX_PHP, ('//', '/*', '#'))}
-      WHEN {lang} IN ('java', 'javascript') THEN {_lexed(code, X.LEX_DOLLAR, ('//', '/*'))}
-      ELSE {_lexed(code, X.LEX_C, ('//', '/*'))} END"""
+    return f"""CASE WHEN {lang} = 'ruby' THEN {_lexed(code, V.LEX_RUBY, ('#',))}
+      WHEN {lang} = 'php' THEN {_lexed(code, V.LEX_PHP, ('//', '/*', '#'))}
+      WHEN {lang} IN ('java', 'javascript') THEN {_lexed(code, V.LEX_DOLLAR, ('//', '/*'))}
+      ELSE {_lexed(code, V.LEX_C, ('//', '/*'))} END"""
+
+
+def normal_lexed(code: str, lang: str = "lang") -> str:
+    """Tokens of normalised code, which has no comments."""
+    all_of = lambda pattern: f"regexp_extract_all({code}, {lit(pattern)})"
+    return f"""CASE WHEN {lang} = 'ruby' THEN {all_of(V.NORMAL_RUBY)} WHEN {lang} = 'php' THEN {all_of(V.NORMAL_PHP)}
+      WHEN {lang} IN ('java', 'javascript') THEN {all_of(V.NORMAL_DOLLAR)} ELSE {all_of(V.NORMAL_C)} END"""
+
+
+def line_ends(tokens: str) -> str:
+    """A token list with line breaks: those that end a statement as NEWLINE, the others gone."""
+    kept = f"list_filter({tokens}, lambda t, i: t <> chr(10) OR (i > 1 AND regexp_matches({tokens}[i - 1], {lit(V.LINE_ENDING)})))"
+    return f"list_transform({kept}, lambda t: CASE WHEN t = chr(10) THEN 'NEWLINE' ELSE t END)"
 
 
 def masked(toks: str) -> str:
@@ -95,7 +106,7 @@ def finish(code: str, toks: str = "toks") -> str:
     return f"CASE WHEN {code} IS NOT NULL THEN {normal_ws(unmasked)} END"
 
 
-PY_PIECES = "|".join([X.TRIPLE, X.STRING, X.NAME, X.NUMBER, X.OPERATOR, r"\S"])
+PY_PIECES = "|".join([V.TRIPLE, V.STRING, V.NAME, V.NUMBER, V.OPERATOR, r"\S"])
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -170,6 +181,15 @@ cte(
         UNION ALL SELECT c.id, c.lang, c.code, p.toks FROM corpus c JOIN pytoks p ON p.id = c.id""",
     "corpus", "pytoks",
 )
+# The same with the line breaks that end a statement of go, javascript and ruby.
+cte(
+    "statements",
+    f"""SELECT id, lang, CASE WHEN l IS NULL THEN toks ELSE {line_ends('l')} END AS toks FROM (
+          SELECT id, lang, toks, CASE lang WHEN 'go' THEN {_lexed('code', V.LINES_GO, ('//', '/*'))}
+            WHEN 'javascript' THEN {_lexed('code', V.LINES_DOLLAR, ('//', '/*'))} WHEN 'ruby' THEN {_lexed('code', V.LINES_RUBY, ('#',))} END AS l
+          FROM tok) AS t""",
+    "tok",
+)
 cte("ctx", f"SELECT id, lang, code, toks, {normal_ws(join('toks'))} AS norm, {masked('toks')} AS masked FROM tok", "tok")
 # The same for php functions wrapped in page tags, as the preparation job reads them.
 cte(
@@ -212,7 +232,7 @@ def replace_one(source: str, text: str, pattern: str, valid: str, new: str, salt
     return f"""SELECT id, array_to_string(list_transform(parts, lambda m, i: CASE WHEN i = k THEN {new} ELSE m END), '') AS out
       FROM (SELECT *, cand[1 + ({h32('id', salt=salt)} % len(cand))::INT] AS k FROM (
         SELECT *, list_filter(range(2, len(parts) + 1, 2), lambda j: ({valid})) AS cand FROM (
-          SELECT id, lang, string_split({rx(text, '(' + pattern + ')', R.CUT + '$1' + R.CUT)}, {lit(R.CUT)}) AS parts
+          SELECT id, lang, string_split({rx(text, '(' + pattern + ')', V.CUT + '$1' + V.CUT)}, {lit(V.CUT)}) AS parts
           FROM {source} WHERE {where}) AS p) AS c WHERE len(cand) > 0) AS r"""
 
 
@@ -224,21 +244,21 @@ def count_ops(cond: str, ops: tuple[str, ...]) -> str:
 
 
 def negated(cond: str) -> str:
-    return join(f"list_transform(string_split({cond}, ' '), lambda o: {_case('o', R.NEGATE)})")
+    return join(f"list_transform(string_split({cond}, ' '), lambda o: {_case('o', V.NEGATE)})")
 
 
 def rewrite_ctes(src: str) -> None:
     """Table expressions ``{src}_<rewrite>`` with (id, out) over the context ``src``."""
-    pat = R.COMPARISON
+    pat = V.COMPARISON
     op = group(M, pat, 2)
     allowed = (
-        f"({op} IN {in_list(list(R.RELATIONAL))} OR (lang = 'javascript' AND {op} IN ('===', '!=='))"
+        f"({op} IN {in_list(list(V.RELATIONAL))} OR (lang = 'javascript' AND {op} IN ('===', '!=='))"
         f" OR (lang = 'php' AND {op} IN ('<>', '===', '!==')) OR (lang = 'ruby' AND {op} = '==='))"
     )
-    swapped = f"{group('m', pat, 3)} || ' ' || {_case(group('m', pat, 2), R.MIRROR)} || ' ' || {group('m', pat, 1)}"
+    swapped = f"{group('m', pat, 3)} || ' ' || {_case(group('m', pat, 2), V.MIRROR)} || ' ' || {group('m', pat, 1)}"
     cte(
         f"{src}_op",
-        replace_one(src, "masked", pat, f"{allowed} AND {has(B, R.BEFORE_COMPARISON)} AND {has(A, R.AFTER_COMPARISON)}",
+        replace_one(src, "masked", pat, f"{allowed} AND {has(B, V.BEFORE_COMPARISON)} AND {has(A, V.AFTER_COMPARISON)}",
                     swapped, "operand_swap", "true"),
         src,
     )
@@ -246,32 +266,32 @@ def rewrite_ctes(src: str) -> None:
     plain, wordy = ("&&", "&", "||", "|"), ("&&", "&", "||", "|", "and", "or")
 
     def one(cond: str, logic: tuple[str, ...]) -> str:
-        return f"{count_ops(cond, R.RELATIONAL)} = 1 AND {count_ops(cond, logic)} = 0"
+        return f"{count_ops(cond, V.RELATIONAL)} = 1 AND {count_ops(cond, logic)} = 0"
 
     def brace(logic: tuple[str, ...], where: str) -> str:
-        p = R.IF_BRACE
+        p = V.IF_BRACE
         return replace_one(
-            src, "masked", p, f"NOT starts_with({M}, 'else ') AND {has(B, R.AT_WORD)} AND {one(group(M, p, 2), logic)}",
+            src, "masked", p, f"NOT starts_with({M}, 'else ') AND {has(B, V.AT_WORD)} AND {one(group(M, p, 2), logic)}",
             f"'if ' || {negated(group('m', p, 2))} || ' {{ ' || {group('m', p, 4)} || '}} else {{ ' || {group('m', p, 3)} || '}}'",
             "block_swap", where,
         )
 
-    py_text = rx(rx(rx("masked", r"\bNEWLINE INDENT\b", R.OPEN), r"\bDEDENT\b", R.CLOSE), r"\bNEWLINE\b", R.LINE)
+    py_text = rx(rx(rx("masked", r"\bNEWLINE INDENT\b", V.OPEN), r"\bDEDENT\b", V.CLOSE), r"\bNEWLINE\b", V.LINE)
 
     def py_unmark(t: str) -> str:
-        return f"replace(replace(replace({t}, {lit(R.OPEN)}, 'NEWLINE INDENT'), {lit(R.CLOSE)}, 'DEDENT'), {lit(R.LINE)}, 'NEWLINE')"
+        return f"replace(replace(replace({t}, {lit(V.OPEN)}, 'NEWLINE INDENT'), {lit(V.CLOSE)}, 'DEDENT'), {lit(V.LINE)}, 'NEWLINE')"
 
-    rb_text = rx(rx(rx("masked", R.RUBY_OPENERS, R.OPEN + "$1"), r"\bend\b", R.CLOSE), r"\belsif\b", R.STOP)
-    rb_unmark = f"replace(replace(replace(out, {lit(R.OPEN)}, ''), {lit(R.CLOSE)}, 'end'), {lit(R.STOP)}, 'elsif')"
-    p, r = R.IF_PYTHON, R.IF_RUBY
+    rb_text = rx(rx(rx("masked", V.RUBY_OPENERS, V.OPEN + "$1"), r"\bend\b", V.CLOSE), r"\belsif\b", V.STOP)
+    rb_unmark = f"replace(replace(replace(out, {lit(V.OPEN)}, ''), {lit(V.CLOSE)}, 'end'), {lit(V.STOP)}, 'elsif')"
+    p, r = V.IF_PYTHON, V.IF_RUBY
     python = replace_one(
-        src, py_text, p, f"NOT starts_with({M}, 'elif ') AND {has(B, R.AT_WORD)} AND {one(group(M, p, 2), plain)}",
-        f"'if ' || {negated(group('m', p, 2))} || {lit(f' : {R.OPEN} ')} || {group('m', p, 4)} || {lit(f'{R.CLOSE} else : {R.OPEN} ')} || {group('m', p, 3)} || {lit(R.CLOSE)}",
+        src, py_text, p, f"NOT starts_with({M}, 'elif ') AND {has(B, V.AT_WORD)} AND {one(group(M, p, 2), plain)}",
+        f"'if ' || {negated(group('m', p, 2))} || {lit(f' : {V.OPEN} ')} || {group('m', p, 4)} || {lit(f'{V.CLOSE} else : {V.OPEN} ')} || {group('m', p, 3)} || {lit(V.CLOSE)}",
         "block_swap", "lang = 'python'",
     )
     ruby = replace_one(
         src, rb_text, r, one(group(M, r, 2), wordy),
-        f"{lit(R.OPEN)} || {group('m', r, 1)} || ' ' || {negated(group('m', r, 2))} || ' then ' || {group('m', r, 4)} || 'else ' || {group('m', r, 3)} || {lit(R.CLOSE)}",
+        f"{lit(V.OPEN)} || {group('m', r, 1)} || ' ' || {negated(group('m', r, 2))} || ' then ' || {group('m', r, 4)} || 'else ' || {group('m', r, 3)} || {lit(V.CLOSE)}",
         "block_swap", "lang = 'ruby'",
     )
     cte(
@@ -285,7 +305,7 @@ def rewrite_ctes(src: str) -> None:
     def jumps(body: str, ins: str) -> str:
         return join(f"list_transform(string_split({body}, ' '), lambda t: CASE WHEN t IN ('continue', 'break', 'return') THEN {ins} || t ELSE t END)")
 
-    f = R.FOR_BRACE
+    f = V.FOR_BRACE
     init, cond, upd, body = (group("m", f, n) for n in (1, 2, 3, 4))
     step = f"CASE WHEN {upd} = '' THEN '' ELSE {upd} || '; ' END"
     new = (
@@ -293,28 +313,28 @@ def rewrite_ctes(src: str) -> None:
         f" || ') {{ ' || {jumps(body, '(' + step + ')')} || {step} || '}}'"
     )
     for_brace = replace_one(
-        src, "masked", f, f"{has(B, R.AT_WORD)} AND (lang IN ('java', 'c') OR {group(M, f, 2)} <> '')", new, "for_to_while",
-        f"lang IN {in_list(list(R.BRACE_LANGS))}",
+        src, "masked", f, f"{has(B, V.AT_WORD)} AND (lang IN ('java', 'c') OR {group(M, f, 2)} <> '')", new, "for_to_while",
+        f"lang IN {in_list(list(V.BRACE_LANGS))}",
     )
-    g = R.FOR_PYTHON
+    g = V.FOR_PYTHON
     var, args, pbody = group("m", g, 1), f"string_split({group('m', g, 2)}, ' , ')", group("m", g, 3)
-    bump = f"({var} || ' += ' || coalesce({args}[3], '1') || {lit(f' {R.LINE} ')})"
+    bump = f"({var} || ' += ' || coalesce({args}[3], '1') || {lit(f' {V.LINE} ')})"
     py_new = (
-        f"{var} || ' = ' || CASE WHEN len({args}) > 1 THEN {args}[1] ELSE '0' END || {lit(f' {R.LINE} while ')} || {var} || ' in list ( range ( '"
-        f" || CASE WHEN len({args}) > 1 THEN {args}[2] ELSE {args}[1] END || {lit(f' ) ) : {R.OPEN} ')} || {jumps(pbody, bump)} || {bump} || {lit(R.CLOSE)}"
+        f"{var} || ' = ' || CASE WHEN len({args}) > 1 THEN {args}[1] ELSE '0' END || {lit(f' {V.LINE} while ')} || {var} || ' in list ( range ( '"
+        f" || CASE WHEN len({args}) > 1 THEN {args}[2] ELSE {args}[1] END || {lit(f' ) ) : {V.OPEN} ')} || {jumps(pbody, bump)} || {bump} || {lit(V.CLOSE)}"
     )
-    for_py = replace_one(src, py_text, g, has(B, R.AT_WORD), py_new, "for_to_while", "lang = 'python'")
+    for_py = replace_one(src, py_text, g, has(B, V.AT_WORD), py_new, "for_to_while", "lang = 'python'")
     cte(f"{src}_fw", f"({for_brace}) UNION ALL SELECT id, {py_unmark('out')} FROM ({for_py}) AS p", src)
 
-    wpat = R.WHILE_BRACE
+    wpat = V.WHILE_BRACE
     inner = rx(group(M, wpat, 1), r"\( [^()]*\)", "x")
-    binary = has("' ' || " + inner, R.BINARY_OPERATOR)
+    binary = has("' ' || " + inner, V.BINARY_OPERATOR)
     cte(
         f"{src}_wf",
         replace_one(
-            src, "masked", wpat, f"{has(B, R.AT_WORD)} AND (lang <> 'c_sharp' OR {binary})",
+            src, "masked", wpat, f"{has(B, V.AT_WORD)} AND (lang <> 'c_sharp' OR {binary})",
             f"'for ( ; ' || {group('m', wpat, 1)} || '; ) {{ ' || {group('m', wpat, 2)} || '}}'", "while_to_for",
-            f"lang IN {in_list(list(R.BRACE_LANGS))}",
+            f"lang IN {in_list(list(V.BRACE_LANGS))}",
         ),
         src,
     )
@@ -328,15 +348,15 @@ def rewrite_ctes(src: str) -> None:
     def twice(text: str, pattern: str, new: str) -> str:
         return rx(rx(text, pattern, new), pattern, new)
 
-    inc = twice(twice("masked", R.PRE_STEP, "$1$4 $3= 1 ; $2 = $4 ;"), R.POST_STEP, "$1$2 = $3 ; $3 $4= 1 ;")
-    confusing = f"lang IN {in_list(list(K.CONFUSION_LANGUAGES))}"
+    inc = twice(twice("masked", V.PRE_STEP, "$1$4 $3= 1 ; $2 = $4 ;"), V.POST_STEP, "$1$2 = $3 ; $3 $4= 1 ;")
+    confusing = f"lang IN {in_list(list(V.CONFUSION_LANGUAGES))}"
     cte(f"{src}_inc", f"SELECT id, out FROM (SELECT id, masked, {inc} AS out FROM {src} WHERE {confusing}) AS t WHERE out <> masked", src)
-    ter = twice("masked", R.TERNARY_ASSIGN, "$1if ( $3$4 ) { $2 = $5 ; } else { $2 = $6 ; }")
-    ter = twice(ter, R.TERNARY_DECLARE, "$1$2$3 ; if ( $4$5 ) { $3 = $6 ; } else { $3 = $7 ; }")
-    ter = rx(ter, R.TERNARY_RETURN, "$1if ( $2$3 ) { return $4 ; } else { return $5 ; }")
+    ter = twice("masked", V.TERNARY_ASSIGN, "$1if ( $3$4 ) { $2 = $5 ; } else { $2 = $6 ; }")
+    ter = twice(ter, V.TERNARY_DECLARE, "$1$2$3 ; if ( $4$5 ) { $3 = $6 ; } else { $3 = $7 ; }")
+    ter = rx(ter, V.TERNARY_RETURN, "$1if ( $2$3 ) { return $4 ; } else { return $5 ; }")
     cte(
         f"{src}_ter",
-        f"""SELECT id, CASE WHEN lang = 'java' THEN {rx('out', R.IMPORT_TOKENS, '')} ELSE out END AS out
+        f"""SELECT id, CASE WHEN lang = 'java' THEN {rx('out', V.IMPORT_TOKENS, '')} ELSE out END AS out
             FROM (SELECT id, lang, masked, {ter} AS out FROM {src} WHERE {confusing}) AS t WHERE out <> masked""",
         src,
     )
@@ -347,14 +367,14 @@ def rewrite_ctes(src: str) -> None:
         src, f"{src}_inc", f"{src}_ter",
     )
 
-    rows = ", ".join(f"({lit(a)}, {lit(b)}, {lo}, {hi}, {lit(t)})" for a, b, _n, lo, hi, t in K.dead_template_rows())
-    cut = R.CUT + "$1" + R.CUT
-    py_marked = rx(py_text, "(" + R.STATEMENT_PYTHON + ")", cut)
-    rb_marked = rx(rx("masked", R.RUBY_HEADS, f"$1 {R.LINE}"), "(" + R.STATEMENT + ")", cut)
-    marked = rx(rx("masked", R.FOR_HEADER, f"for $1{R.SEMI} $2{R.SEMI} $3"), "(" + R.STATEMENT + ")", cut)
+    rows = ", ".join(f"({lit(a)}, {lit(b)}, {lo}, {hi}, {lit(t)})" for a, b, lo, hi, t in V.DEAD_TEMPLATES)
+    cut = V.CUT + "$1" + V.CUT
+    py_marked = rx(py_text, "(" + V.STATEMENT_PYTHON + ")", cut)
+    rb_marked = rx(rx("masked", V.RUBY_HEADS, f"$1 {V.LINE}"), "(" + V.STATEMENT + ")", cut)
+    marked = rx(rx("masked", V.FOR_HEADER, f"for $1{V.SEMI} $2{V.SEMI} $3"), "(" + V.STATEMENT + ")", cut)
     ok = (
         f"len(string_split({M}, ' ')) > 1 AND len(string_split({M}, ' ')) * 2 < n AND "
-        f"length(replace({M}, '(', '')) = length(replace({M}, ')', '')) AND NOT (lang = 'ruby' AND {has(M, R.RUBY_CONTROL)})"
+        f"length(replace({M}, '(', '')) = length(replace({M}, ')', '')) AND NOT (lang = 'ruby' AND {has(M, V.RUBY_CONTROL)})"
     )
     cte(
         f"{src}_statements",
@@ -364,11 +384,11 @@ def rewrite_ctes(src: str) -> None:
               CASE WHEN lang = 'php' THEN '$_i_' ELSE '_i_' END || ({h32('id', salt='dead_variable')} % 10) AS v
             FROM (SELECT *, list_filter(range(2, len(parts) + 1, 2), lambda j: ({ok})) AS cand FROM (
               SELECT id, lang, len(string_split(masked, ' ')) AS n,
-                string_split(CASE lang WHEN 'python' THEN {py_marked} WHEN 'ruby' THEN {rb_marked} ELSE {marked} END, {lit(R.CUT)}) AS parts
+                string_split(CASE lang WHEN 'python' THEN {py_marked} WHEN 'ruby' THEN {rb_marked} ELSE {marked} END, {lit(V.CUT)}) AS parts
               FROM {src}) AS p) AS q WHERE len(cand) > 0""",
         src,
     )
-    stmt = f"CASE WHEN lang = 'python' THEN regexp_replace(picked, {lit(f' {R.LINE}$')}, '') ELSE replace(picked, {lit(R.SEMI)}, ';') END"
+    stmt = f"CASE WHEN lang = 'python' THEN regexp_replace(picked, {lit(f' {V.LINE}$')}, '') ELSE replace(picked, {lit(V.SEMI)}, ';') END"
     cte(
         f"{src}_deadblock",
         f"""SELECT s.*, {stmt} AS body, replace(replace(t.template, '{{v}}', s.v), '{{b}}', {stmt}) AS dead
@@ -378,14 +398,14 @@ def rewrite_ctes(src: str) -> None:
     )
     cte(
         f"{src}_dead",
-        f"""SELECT id, CASE lang WHEN 'python' THEN {py_unmark('out')} WHEN 'ruby' THEN replace(out, {lit(R.LINE)}, '')
-              ELSE replace(out, {lit(R.SEMI)}, ';') END AS out
+        f"""SELECT id, CASE lang WHEN 'python' THEN {py_unmark('out')} WHEN 'ruby' THEN replace(out, {lit(V.LINE)}, '')
+              ELSE replace(out, {lit(V.SEMI)}, ';') END AS out
             FROM (SELECT id, lang, array_to_string(list_transform(parts, lambda m, i: CASE WHEN i = k THEN dead || ' ' || m ELSE m END), '') AS out
                   FROM {src}_deadblock) AS t""",
         f"{src}_deadblock",
     )
 
-    name = f"^{X.NAME_DOLLAR}$"
+    name = f"^{V.NAME_DOLLAR}$"
     cte(
         f"{src}_tokens",
         f"""SELECT id, lang, pos, tok, {has('tok', name)} AND NOT {is_reserved('tok')} AS is_name FROM (
@@ -413,7 +433,7 @@ def rewrite_ctes(src: str) -> None:
     outs = {"BlockSwap": "bs", "ConfusionRemover": "conf", "ForWhileTransformer": "forwhile", "OperandSwap": "op",
             "DeadCodeInserter": "dead", "VarRenamer": "ren"}
     tries = " UNION ALL ".join(
-        f"SELECT id, {lit(n)} AS name, out, -ln(({h32('id', lit(n), salt='race')} + 0.5) / 4294967296) / {K.REWRITE_WEIGHTS[n]} AS race FROM {src}_{s} WHERE out IS NOT NULL"
+        f"SELECT id, {lit(n)} AS name, out, -ln(({h32('id', lit(n), salt='race')} + 0.5) / 4294967296) / {V.REWRITE_WEIGHTS[n]} AS race FROM {src}_{s} WHERE out IS NOT NULL"
         for n, s in outs.items()
     )
     cte(
@@ -424,7 +444,7 @@ def rewrite_ctes(src: str) -> None:
     cte(
         f"{src}_changed",
         f"""SELECT c.id, c.lang, c.norm, x.name AS transformer, {finish('x.out', 'c.toks')} AS changed
-            FROM {src} c LEFT JOIN {src}_chosen x ON x.id = c.id WHERE len({words('c.norm')}) <= {K.MAX_FUNCTION_LENGTH}""",
+            FROM {src} c LEFT JOIN {src}_chosen x ON x.id = c.id WHERE len({words('c.norm')}) <= {V.MAX_FUNCTION_LENGTH}""",
         src, f"{src}_chosen",
     )
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from codeloom.functions import text as X
-from codeloom.operators import dataflow as D
 from codeloom.plans import oracle_base as O
-from codeloom.plans.text_queries import _no_blank_lines
+from codeloom.plans import oracle_values as V
+from codeloom.plans import rewrite_queries  # noqa: F401  (defines the pairs of the preparation job)
 
-CUT = chr(0xE005)
 ORDERS = (1, 2, 3, 4, 5)
 
 
@@ -83,31 +81,30 @@ def epsilon(m: str, d: str) -> str:
     return f"CASE WHEN {m} = 0 THEN 0.1::DOUBLE / {d} ELSE {m} / {d} END"
 
 
-def code_side(text: str, lang: str = "lang") -> str:
-    """Tokens of a normalised text with java-style comments removed."""
-    pattern = "(" + X._STRIP_BRACE + ")"
-    parts = f"string_split({O.rx(text, pattern, CUT + '$1' + CUT)}, {O.lit(CUT)})"
-    clean = _no_blank_lines(
-        f"array_to_string(list_transform({parts}, lambda p, i: CASE WHEN i % 2 = 0 AND starts_with(p, '/') THEN ' ' ELSE p END), '')"
-    )
-    return O.lexed(clean, lang)
-
-
+# Sides of scored code: 0 the prediction, 1 and 2 the references.
 O.cte(
     "pair_code",
-    f"SELECT id, 0 AS side, lang, {code_side('pred')} AS toks FROM pairs UNION ALL SELECT id, 1, lang, {code_side('gold')} FROM pairs",
-    "pairs",
+    f"""SELECT id, side, lang, {O.normal_lexed('text')} AS toks FROM (
+          SELECT id, lang, 0 AS side, {O.join('h')} AS text FROM multi UNION ALL SELECT id, lang, 1, {O.join('r1')} FROM multi
+          UNION ALL SELECT id, lang, 2, {O.join('r2')} FROM multi) AS t""",
+    "multi",
+)
+O.cte(
+    "directed_code",
+    f"""SELECT id, side, lang, {O.normal_lexed('text')} AS toks FROM (
+          SELECT id, lang, 0 AS side, source AS text FROM directed UNION ALL SELECT id, lang, 1, target FROM directed) AS t""",
+    "directed",
 )
-O.cte("corpus_code", "SELECT id, 0 AS side, lang, toks FROM tok", "tok")
+O.cte("corpus_code", "SELECT id, 0 AS side, lang, toks FROM statements", "statements")
 
 
 def structure(name: str, source: str) -> None:
     """Spans, subtree texts and dataflow edges of ``source``(id, side, lang, toks)."""
-    pat = O.lit(f"^{X.NAME_DOLLAR}$")
+    pat = O.lit(f"^{V.NAME_DOLLAR}$")
     O.cte(
         f"{name}_pos",
         f"""SELECT *, sum(CASE WHEN tok IN ('(', '[', '{{') THEN 1 WHEN tok IN (')', ']', '}}') THEN -1 ELSE 0 END)
-              OVER (PARTITION BY id, side ORDER BY pos) AS depth, regexp_matches(tok, {pat}) AND NOT {O.is_reserved('tok')} AS is_name
+              OVER (PARTITION BY id, side ORDER BY pos) AS depth, regexp_matches(tok, {pat}) AND NOT {O.is_reserved('tok')} AND tok NOT IN {O.in_list(list(V.ENDS))} AS is_name
             FROM (SELECT id, side, lang, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS pos FROM {source}) AS t""",
         source,
     )
@@ -121,7 +118,7 @@ def structure(name: str, source: str) -> None:
             JOIN {source} s ON s.id = o.id AND s.side = o.side""",
         source, f"{name}_pos",
     )
-    ends, assigns, steps = (O.in_list(list(x)) for x in (D.ENDS, D.ASSIGNS, D.STEPS))
+    ends, assigns, steps = (O.in_list(list(x)) for x in (V.ENDS, V.ASSIGNS, V.STEPS))
     O.cte(
         f"{name}_occ",
         f"""SELECT *, last_value(event IGNORE NULLS) OVER w AS last_event, coalesce(max(CASE WHEN ends THEN pos END) OVER w, -1) AS begin
@@ -189,21 +186,38 @@ def structure(name: str, source: str) -> None:
 
 
 structure("pc", "pair_code")
+structure("dp", "directed_code")
 structure("cc", "corpus_code")
-O.cte(
-    "tree_stats",
-    """SELECT r.id, count(*) AS tree_total, count(h.txt) AS tree_match FROM (SELECT * FROM pc_trees WHERE side = 1) AS r
-       LEFT JOIN (SELECT DISTINCT id, txt FROM pc_trees WHERE side = 0) AS h ON h.id = r.id AND h.txt = r.txt GROUP BY r.id""",
-    "pc_trees",
-)
-O.cte(
-    "edge_stats",
-    """SELECT p.id, coalesce(e.total, 0) AS edge_total, coalesce(e.matched, 0) AS edge_match FROM pairs p LEFT JOIN (
-         SELECT id, sum(r) AS total, sum(least(h, r)) AS matched FROM (
-           SELECT id, edge, count(*) FILTER (side = 0) AS h, count(*) FILTER (side = 1) AS r FROM pc_norm GROUP BY id, edge) AS c GROUP BY id) AS e
-       ON e.id = p.id""",
-    "pairs", "pc_norm",
+
+
+def matches(name: str, source: str) -> None:
+    """``{name}_tree_stats`` and ``{name}_edge_stats``: matches and totals over all references of ``source``."""
+    O.cte(
+        f"{name}_tree_stats",
+        f"""SELECT r.id, count(*) AS tree_total, count(h.txt) AS tree_match FROM (SELECT * FROM {name}_trees WHERE side > 0) AS r
+           LEFT JOIN (SELECT DISTINCT id, txt FROM {name}_trees WHERE side = 0) AS h ON h.id = r.id AND h.txt = r.txt GROUP BY r.id""",
+        f"{name}_trees",
+    )
+    O.cte(
+        f"{name}_edge_stats",
+        f"""SELECT s.id, sum(coalesce(e.total, 0)) AS edge_total, sum(coalesce(e.matched, 0)) AS edge_match, max(coalesce(e.matched / e.total, 0)) AS edge_best
+            FROM (SELECT id, side FROM {source} WHERE side > 0) AS s LEFT JOIN (
+              SELECT r.id, r.side, sum(r.n) AS total, sum(least(coalesce(h.n, 0), r.n)) AS matched
+              FROM (SELECT id, side, edge, count(*) AS n FROM {name}_norm WHERE side > 0 GROUP BY ALL) AS r
+              LEFT JOIN (SELECT id, edge, count(*) AS n FROM {name}_norm WHERE side = 0 GROUP BY ALL) AS h ON h.id = r.id AND h.edge = r.edge
+              GROUP BY r.id, r.side) AS e ON e.id = s.id AND e.side = s.side GROUP BY s.id""",
+        source, f"{name}_norm",
+    )
+
+
+matches("pc", "pair_code")
+matches("dp", "directed_code")
+grams(
+    "directed_grams",
+    f"SELECT id, lang, 0 AS side, {O.words('source')} AS t FROM directed UNION ALL SELECT id, lang, 1, {O.words('target')} FROM directed",
+    "directed",
 )
+stats("directed_stats", "directed_grams", f"SELECT id, lang, len({O.words('source')}) AS hyp_len, len({O.words('target')}) AS l1, NULL::BIGINT AS l2 FROM directed", "directed")
 _P = [epsilon(f"sum(m{n})", f"sum(pd{n})") for n in (1, 2, 3, 4)]
 _W = [epsilon("sum(wm)", "sum(wd)")] + [epsilon(f"sum(rm{n})", f"sum(rd{n})") for n in (2, 3, 4)]
 # the weights are in fifths; a zero count's epsilon must be scaled as well
@@ -215,7 +229,14 @@ SYNTAX = "CASE WHEN sum(tree_total) > 0 THEN sum(tree_match) / sum(tree_total) E
 DATAFLOW = "CASE WHEN sum(edge_total) > 0 THEN sum(edge_match) / sum(edge_total) ELSE 0 END"
 O.cte(
     "code_stats",
-    f"""SELECT s.*, t.tree_total, t.tree_match, e.edge_total, e.edge_match, ({O.strip('p.pred')} = {O.strip('p.gold')})::INT AS em
-        FROM single_stats s JOIN tree_stats t USING (id) JOIN edge_stats e USING (id) JOIN pairs p USING (id)""",
-    "single_stats", "tree_stats", "edge_stats", "pairs",
+    f"""SELECT s.*, t.tree_total, t.tree_match, e.edge_total, e.edge_match,
+          ({O.strip(O.join('m.h'))} = {O.strip(O.join('m.r1'))} OR {O.strip(O.join('m.h'))} = {O.strip(O.join('m.r2'))})::INT AS em
+        FROM multi_stats s JOIN pc_tree_stats t USING (id) JOIN pc_edge_stats e USING (id) JOIN multi m USING (id)""",
+    "multi_stats", "pc_tree_stats", "pc_edge_stats", "multi",
+)
+O.cte(
+    "group_stats",
+    f"""SELECT s.*, d.transformer, t.tree_total, t.tree_match, e.edge_total, e.edge_match, ({O.strip('d.source')} = {O.strip('d.target')})::INT AS em
+        FROM directed_stats s JOIN dp_tree_stats t USING (id) JOIN dp_edge_stats e USING (id) JOIN directed d USING (id)""",
+    "directed_stats", "dp_tree_stats", "dp_edge_stats", "directed",
 )

@@ -12,12 +12,15 @@ from codeloom.operators import codebleu as C
 from codeloom.operators import dataflow as D
 from codeloom.operators import matching as M
 from codeloom.operators import rewrites as R
+from codeloom.operators import prep as P
 from codeloom.operators import stats as S
+from codeloom.operators import structure as ST
 from codeloom.plans import frames as T
 from codeloom.plans import oracle_base as O
 from codeloom.plans import score_oracles as SO
+from codeloom.plans.corpus import code_corpus
 from codeloom.plans.registry import register
-from codeloom.plans.text_queries import mteval
+from codeloom.plans.text_queries import ENTITIES_13A, mteval
 
 
 def r6(c, name):
@@ -33,7 +36,7 @@ def r6(c, name):
     ),
 )
 def _bleu_corpus(spark, sf):
-    total = B.sums(B.pair_stats(T.multi_pairs(spark, sf), ["id", "lang"], n_refs=2), ["lang"])
+    total = B.sums(B.pair_stats(T.multi_pairs(spark, sf), ["id", "lang"]), ["lang"])
     return total.select(
         "lang", "n_rows", r6(B.corpus_bleu(), "bleu"), r6(B.corpus_bleu(smooth=True), "bleu_smooth"),
         F.round(100 * B.corpus_bleu(smooth=True), 2).alias("score"),
@@ -42,15 +45,19 @@ def _bleu_corpus(spark, sf):
 
 @register("bleu_nltk", O.query(f"SELECT lang, count(*) AS n_rows, round({SO.BLEU}, 6) AS bleu FROM multi_stats GROUP BY lang", "multi_stats"))
 def _bleu_nltk(spark, sf):
-    total = B.sums(B.pair_stats(T.multi_pairs(spark, sf), ["id", "lang"], n_refs=2), ["lang"])
+    total = B.sums(B.pair_stats(T.multi_pairs(spark, sf), ["id", "lang"]), ["lang"])
     return total.select("lang", "n_rows", r6(B.precision_bleu(), "bleu"))
 
 
+# Fixed value: the smallest normal number.
+_T = "2.2250738585072014e-308"
+
+
 def _smoothed() -> str:
     m, d = [f"m{n}" for n in range(1, 6)], [f"pd{n}" for n in range(1, 6)]
     p = [f"(m{n} / pd{n})" for n in range(1, 6)]
     out = {
-        0: [f"CASE WHEN {m[i]} <> 0 THEN {p[i]} ELSE {B.TINY!r} END" for i in range(4)],
+        0: [f"CASE WHEN {m[i]} <> 0 THEN {p[i]} ELSE {_T} END" for i in range(4)],
         1: [SO.epsilon(m[i], d[i]) for i in range(4)],
         2: [f"({m[i]} + 1) / ({d[i]} + 1)" for i in range(4)],
         3: [f"CASE WHEN {m[i]} = 0 THEN 1 / (2.0::DOUBLE ** ({' + '.join(f'({m[j]} = 0)::INT' for j in range(i + 1))}) * {d[i]}) ELSE {p[i]} END" for i in range(4)],
@@ -86,7 +93,7 @@ def _bleu_smoothing(spark, sf):
     O.query(f"SELECT lang, round({SO.WBLEU}, 6) AS recall, round({SO.WBLEU_CLOSEST}, 6) AS recall_real_length FROM multi_stats GROUP BY lang", "multi_stats"),
 )
 def _recall(spark, sf):
-    total = B.sums(B.pair_stats(T.multi_pairs(spark, sf), ["id", "lang"], weighted=True, n_refs=2), ["lang"])
+    total = B.sums(B.pair_stats(T.multi_pairs(spark, sf), ["id", "lang"], weighted=True), ["lang"])
     return total.select("lang", r6(B.weighted_recall(), "recall"), r6(B.weighted_recall(ref_len="closest"), "recall_real_length"))
 
 
@@ -106,7 +113,6 @@ O.cte(
 )
 SO.grams("docs_grams", "SELECT id, lang, 0 AS side, h AS t FROM docs_tok UNION ALL SELECT id, lang, 1, r1 FROM docs_tok UNION ALL SELECT id, lang, 2, r2 FROM docs_tok", "docs_tok")
 SO.stats("docs_stats", "docs_grams", "SELECT id, lang, len(h) AS hyp_len, len(r1) AS l1, len(r2) AS l2 FROM docs_tok", "docs_tok")
-_T = repr(B.TINY)
 _LOGS = " + ".join(f"ln(m{n} + {int(n > 1)} + {_T}) - ln(d{n} + {int(n > 1)} + {_T})" for n in (1, 2, 3, 4))
 
 
@@ -129,7 +135,7 @@ def _bleu_sentence(spark, sf):
         texts.select("id", "lang", "pred", "text", "second"),
         hyp=B.sentence_tokens(F.col("pred")), refs=F.array(B.sentence_tokens(F.col("text")), B.sentence_tokens(F.col("second"))),
     )
-    rows = B.pair_stats(pairs.select("id", "lang", "hyp", "refs"), ["id", "lang"], n_refs=2)
+    rows = B.pair_stats(pairs.select("id", "lang", "hyp", "refs"), ["id", "lang"])
     names = ["bleu", "bleu_1", "bleu_2", "bleu_3", "bleu_4"]
     scored = rows.select("lang", *[c.alias(n) for c, n in zip(B.sentence_bleu(), names)])
     return scored.groupBy("lang").agg(
@@ -137,7 +143,7 @@ def _bleu_sentence(spark, sf):
     )
 
 
-O.cte("tok13a", f"SELECT id, lang, {mteval(O.strip('pred'), False)} AS h, {mteval(O.strip('gold'), False)} AS r1 FROM pairs", "pairs")
+O.cte("tok13a", f"SELECT id, lang, {mteval(O.strip('pred'), False, ENTITIES_13A)} AS h, {mteval(O.strip('gold'), False, ENTITIES_13A)} AS r1 FROM pairs", "pairs")
 SO.grams("grams13a", "SELECT id, lang, 0 AS side, h AS t FROM tok13a UNION ALL SELECT id, lang, 1, r1 FROM tok13a", "tok13a")
 SO.stats("stats13a", "grams13a", "SELECT id, lang, len(h) AS hyp_len, len(r1) AS l1, NULL::BIGINT AS l2 FROM tok13a", "tok13a")
 _EXP = " + ".join(
@@ -149,7 +155,8 @@ _EXP = " + ".join(
 @register(
     "bleu_13a",
     O.query(
-        f"SELECT lang, round(CASE WHEN sum(hyp_len) < sum(l1) THEN exp(1 - sum(l1) / sum(hyp_len)) ELSE 1 END * exp(({_EXP}) / 4), 4) AS bleu FROM stats13a GROUP BY lang",
+        f"""SELECT lang, CASE WHEN least(sum(d1), sum(d2), sum(d3), sum(d4)) = 0 OR sum(m1) = 0 THEN 0 ELSE
+              round(CASE WHEN sum(hyp_len) < sum(l1) THEN exp(1 - sum(l1) / sum(hyp_len)) ELSE 1 END * exp(({_EXP}) / 4), 4) END AS bleu FROM stats13a GROUP BY lang""",
         "stats13a",
     ),
 )
@@ -157,8 +164,8 @@ def _bleu_13a(spark, sf):
     pairs = T.prediction_pairs(spark, sf)
     tokens = compute_once(
         pairs,
-        hyp=X.mteval_tokens(strip(F.col("pred")), lower=False),
-        refs=F.array(X.mteval_tokens(strip(F.col("gold")), lower=False)),
+        hyp=X.mteval_tokens(strip(F.col("pred")), lower=False, entities=X.ENTITIES_13A),
+        refs=F.array(X.mteval_tokens(strip(F.col("gold")), lower=False, entities=X.ENTITIES_13A)),
     )
     total = B.sums(B.pair_stats(tokens.select("id", "lang", "hyp", "refs"), ["id", "lang"]), ["lang"])
     return total.select("lang", F.round(B.exp_smoothed_bleu(), 4).alias("bleu"))
@@ -220,7 +227,7 @@ def _union_max(spark, sf):
     ),
 )
 def _keywords(spark, sf):
-    tokens = T.context(spark, sf).select("lang", F.explode_outer("tokens").alias("keyword"))
+    tokens = T.tokens(spark, sf).select("lang", F.explode_outer("tokens").alias("keyword"))
     counts = tokens.groupBy("lang", "keyword").agg(F.count(F.lit(1)).alias("cnt"))
     return counts.join(F.broadcast(K.keyword_table(spark)), ["lang", "keyword"], "left_semi")
 
@@ -234,32 +241,20 @@ def _keywords(spark, sf):
     ),
 )
 def _join_keywords(spark, sf):
-    """Token weights by a broadcast left join on the fixed keyword table."""
-    placed = T.context(spark, sf).select("id", "lang", "tokens").repartition("id")
-    tokens = placed.select("id", "lang", F.explode_outer("tokens").alias("keyword"))
-    marked = K.keyword_table(spark).withColumn("weight", F.lit(1.0))
-    joined = tokens.join(F.broadcast(marked), ["lang", "keyword"], "left")
-    return joined.groupBy("id").agg(
-        F.count("weight").alias("n_keywords"), F.round(F.sum(F.coalesce("weight", F.lit(0.2))), 6).alias("weight")
-    )
+    """Token weights by the fixed keyword lists, in the row."""
+    df = T.tokens(spark, sf).withColumn("n", F.size(F.filter("tokens", lambda t: K.is_keyword(t, F.col("lang")))).cast("bigint"))
+    return df.select("id", F.col("n").alias("n_keywords"), F.round(F.col("n") + 0.2 * (F.size("tokens") - F.col("n")), 6).alias("weight"))
 
 
 # --- structure -----------------------------------------------------------------------------
 
 
-def code_pairs(spark, sf):
-    pairs = T.prediction_pairs(spark, sf)
-    return compute_once(
-        pairs, hyp_code=C.code_tokens(F.col("pred"), F.col("lang")), ref_code=C.code_tokens(F.col("gold"), F.col("lang"))
-    ).select("id", "lang", "hyp_code", "ref_code")
-
-
 @register(
     "subtree_match",
-    O.query("SELECT p.lang, sum(tree_match)::BIGINT AS matched, sum(tree_total)::BIGINT AS total, round(sum(tree_match) / sum(tree_total), 6) AS score FROM tree_stats JOIN pairs p USING (id) GROUP BY p.lang", "tree_stats", "pairs"),
+    O.query("SELECT m.lang, sum(tree_match)::BIGINT AS matched, sum(tree_total)::BIGINT AS total, round(sum(tree_match) / sum(tree_total), 6) AS score FROM pc_tree_stats JOIN multi m USING (id) GROUP BY m.lang", "pc_tree_stats", "multi"),
 )
 def _subtree(spark, sf):
-    rows = C.structure_stats(code_pairs(spark, sf), ["id", "lang"])
+    rows = C.tree_stats(T.reference_pairs(spark, sf))
     total = rows.groupBy("lang").agg(F.sum("tree_match").alias("matched"), F.sum("tree_total").alias("total"))
     return total.select("lang", "matched", "total", r6(F.col("matched") / F.col("total"), "score"))
 
@@ -267,12 +262,12 @@ def _subtree(spark, sf):
 @register(
     "dataflow_match",
     O.query(
-        "SELECT p.lang, sum(edge_match)::BIGINT AS matched, sum(edge_total)::BIGINT AS total, round(CASE WHEN sum(edge_total) > 0 THEN sum(edge_match) / sum(edge_total) ELSE 0 END, 6) AS score FROM edge_stats JOIN pairs p USING (id) GROUP BY p.lang",
-        "edge_stats", "pairs",
+        "SELECT m.lang, sum(edge_match)::BIGINT AS matched, sum(edge_total)::BIGINT AS total, round(CASE WHEN sum(edge_total) > 0 THEN sum(edge_match) / sum(edge_total) ELSE 0 END, 6) AS score FROM pc_edge_stats JOIN multi m USING (id) GROUP BY m.lang",
+        "pc_edge_stats", "multi",
     ),
 )
 def _dataflow(spark, sf):
-    rows = C.structure_stats(code_pairs(spark, sf), ["id", "lang"])
+    rows = C.edge_stats(T.reference_pairs(spark, sf))
     total = rows.groupBy("lang").agg(F.sum("edge_match").alias("matched"), F.sum("edge_total").alias("total"))
     score = F.when(F.col("total") > 0, F.col("matched") / F.col("total")).otherwise(F.lit(0.0))
     return total.select("lang", "matched", "total", r6(score, "score"))
@@ -280,15 +275,12 @@ def _dataflow(spark, sf):
 
 @register(
     "dataflow_match_macro",
-    O.query(
-        "SELECT p.lang, round(avg(CASE WHEN edge_total > 0 THEN edge_match / edge_total ELSE 0 END), 6) AS score FROM edge_stats JOIN pairs p USING (id) GROUP BY p.lang",
-        "edge_stats", "pairs",
-    ),
+    O.query("SELECT m.lang, round(avg(edge_best), 6) AS score FROM pc_edge_stats JOIN multi m USING (id) GROUP BY m.lang", "pc_edge_stats", "multi"),
 )
 def _dataflow_macro(spark, sf):
-    """Best reference per candidate, mean over candidates; one reference here."""
-    rows = C.structure_stats(code_pairs(spark, sf), ["id", "lang"])
-    return C.dataflow_macro(rows, ["id", "lang"], ["lang"]).select("lang", r6(F.col("score"), "score"))
+    """Best reference per candidate, mean over candidates."""
+    rows = C.edge_stats(T.reference_pairs(spark, sf))
+    return rows.groupBy("lang").agg(r6(F.avg("edge_best"), "score"))
 
 
 @register(
@@ -302,7 +294,7 @@ def _dataflow_macro(spark, sf):
     ),
 )
 def _codebleu(spark, sf):
-    total = B.sums(C.pair_scores(T.prediction_pairs(spark, sf), ["id", "lang"]), ["lang"])
+    total = B.sums(C.pair_scores(T.reference_pairs(spark, sf), ["id", "lang"]), ["lang"])
     return total.select(
         "lang", "n_rows", r6(F.col("em") / F.col("n_rows"), "em"), *[r6(c, k) for k, c in C.score_columns().items()]
     )
@@ -314,18 +306,19 @@ def _codebleu(spark, sf):
         f"""SELECT coalesce(lang, '*') AS lang, coalesce(transformer, '*') AS transformer, count(*) AS n, round(avg(em), 6) AS em,
               round(avg(bleu), 6) AS bleu, round(avg(wbleu), 6) AS wbleu, round(avg(syntax), 6) AS syntax, round(avg(dataflow), 6) AS dataflow,
               round(avg((bleu + wbleu + syntax + dataflow) / 4), 6) AS codebleu
-            FROM (SELECT id, any_value(lang) AS lang, CASE WHEN any_value(hyp_len) < 45 THEN 'short' ELSE 'long' END AS transformer, any_value(em) AS em,
-                    {SO.BLEU} AS bleu, {SO.WBLEU} AS wbleu, {SO.SYNTAX} AS syntax, {SO.DATAFLOW} AS dataflow FROM code_stats GROUP BY id) AS t
+            FROM (SELECT id, any_value(lang) AS lang, any_value(transformer) AS transformer, any_value(em) AS em,
+                    {SO.BLEU} AS bleu, {SO.WBLEU} AS wbleu, {SO.SYNTAX} AS syntax, {SO.DATAFLOW} AS dataflow FROM group_stats GROUP BY id) AS t
             GROUP BY ROLLUP (lang, transformer)""",
-        "code_stats",
+        "group_stats",
     ),
 )
 def _metrics_by_group(spark, sf):
-    """Row scores averaged per language, per language and second key, and overall."""
-    rows = B.sums_per_row(C.pair_scores(T.prediction_pairs(spark, sf), ["id", "lang"]))
+    """Prepared pairs scored source against target: row scores averaged per language, per language and transformer, and
+    overall."""
+    pairs = P.prepare_pairs(code_corpus(spark, sf)).select("id", "lang", "transformer", F.col("source").alias("pred"), F.array("target").alias("golds"))
+    rows = B.sums_per_row(C.pair_scores(pairs, ["id", "lang", "transformer"]))
     scores = C.score_columns()
-    transformer = F.when(F.col("hyp_len") < 45, F.lit("short")).otherwise(F.lit("long"))
-    scored = rows.select("lang", transformer.alias("transformer"), "em", *[c.alias(k) for k, c in scores.items()])
+    scored = rows.select("lang", "transformer", "em", *[c.alias(k) for k, c in scores.items()])
     out = S.macro_micro(scored, ("lang", "transformer"), ["em", *scores])
     return out.select("lang", "transformer", "n", *[r6(F.col(m), m) for m in ("em", *scores)])
 
@@ -334,8 +327,8 @@ def _metrics_by_group(spark, sf):
 
 
 def occurrence_rows(spark, sf):
-    df = T.context(spark, sf).select("id", "lang", "tokens").repartition("id")
-    rows = df.select("id", F.inline_outer(D.occurrences(F.col("tokens"), F.col("lang"))))
+    df = T.statements(spark, sf)
+    rows = df.select("id", F.inline_outer(ST.occurrences(F.col("tokens"), F.col("lang"))))
     return rows.where(F.col("pos").isNotNull())
 
 
@@ -369,14 +362,13 @@ def _last_def(spark, sf):
     ),
 )
 def _edges(spark, sf):
-    df = compute_once(T.context(spark, sf).select("id", "lang", "tokens"), occ=D.occurrences(F.col("tokens"), F.col("lang")))
-    raw = df.select("id", F.inline_outer(D.raw_edges(F.col("occ")))).where(F.col("pos").isNotNull())
+    raw = T.statements(spark, sf).select("id", F.inline_outer(ST.raw_edges(F.col("tokens"), F.col("lang")))).where(F.col("pos").isNotNull())
     rows = raw.select("id", F.col("pos").cast("bigint").alias("pos"), "name", "rel", F.explode_outer("parents").alias("p"))
     return rows.select("id", "pos", "name", "rel", F.col("p.name").alias("parent_name"), F.col("p.pos").cast("bigint").alias("parent_pos"))
 
 
-def _edge_arrays(spark, sf):
-    return compute_once(T.context(spark, sf).select("id", "lang", "tokens"), edges=D.edges(F.col("tokens"), F.col("lang")))
+def _edge_arrays(spark, sf, connected=False):
+    return T.statements(spark, sf).select("id", ST.edges(F.col("tokens"), F.col("lang"), connected).alias("edges"))
 
 
 def _edge_rows(df, column):
@@ -395,7 +387,7 @@ def _merge(spark, sf):
 
 @register("filter_dfg_connected", O.query(f"SELECT {_EDGE} FROM cc_connected", "cc_connected"))
 def _connected(spark, sf):
-    return _edge_rows(_edge_arrays(spark, sf), D.connected(F.col("edges")))
+    return _edge_rows(_edge_arrays(spark, sf, connected=True), F.col("edges"))
 
 
 @register(
@@ -403,8 +395,8 @@ def _connected(spark, sf):
     O.query("SELECT id, string_agg(name || '@' || pos, ' ' ORDER BY pos) AS edges FROM cc_connected GROUP BY id", "cc_connected"),
 )
 def _sort_edges(spark, sf):
-    df = compute_once(_edge_arrays(spark, sf), connected=D.connected(F.col("edges"))).where(F.size("connected") > 0)
-    ordered = F.transform(F.array_sort("connected"), lambda e: F.concat(e["name"], F.lit("@"), e["pos"].cast("string")))
+    df = _edge_arrays(spark, sf, connected=True).where(F.size("edges") > 0)
+    ordered = F.transform(F.array_sort("edges"), lambda e: F.concat(e["name"], F.lit("@"), e["pos"].cast("string")))
     return df.select("id", join_tokens(ordered).alias("edges"))
 
 
@@ -413,14 +405,14 @@ def _sort_edges(spark, sf):
     O.query("SELECT id, count(*) AS n_edges, string_agg(edge, ' ' ORDER BY pos) AS edges FROM cc_norm GROUP BY id", "cc_norm"),
 )
 def _normalize(spark, sf):
-    df = compute_once(T.context(spark, sf).select("id", "lang", "tokens"), edges=D.normalized_dataflow(F.col("tokens"), F.col("lang")))
+    df = T.statements(spark, sf).select("id", ST.normalized_dataflow(F.col("tokens"), F.col("lang")).alias("edges"))
     return df.where(F.size("edges") > 0).select("id", F.size("edges").cast("bigint").alias("n_edges"), join_tokens(F.col("edges")).alias("edges"))
 
 
 @register("first_seen_rank", O.query("SELECT id, name, num::BIGINT AS rank FROM cc_numbers", "cc_numbers"))
 def _first_seen(spark, sf):
     """Variable numbers by a window over the places of the names."""
-    df = compute_once(_edge_arrays(spark, sf).select("id", "edges").repartition("id"), connected=D.connected(F.col("edges")))
-    ordered = F.flatten(F.transform("connected", lambda e: F.concat(e["parents"], F.array(e["name"]))))
+    df = _edge_arrays(spark, sf, connected=True)
+    ordered = F.flatten(F.transform("edges", lambda e: F.concat(e["parents"], F.array(e["name"]))))
     places = df.select("id", F.posexplode_outer(ordered).alias("place", "name")).where(F.col("name").isNotNull())
     return D.first_seen_rank(places, ["id"]).select("id", "name", F.col("rank").cast("bigint").alias("rank"))

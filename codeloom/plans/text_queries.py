@@ -9,9 +9,11 @@ from codeloom.functions import text as X
 from codeloom.functions.arrays import compute_once, join_tokens
 from codeloom.operators import dataflow as D
 from codeloom.operators import prep as P
+from codeloom.operators import structure as ST
 from codeloom.plans import frames as T
 from codeloom.plans import oracle_base as O
-from codeloom.plans.corpus import code_corpus
+from codeloom.plans import oracle_values as V
+from codeloom.plans.corpus import code_corpus, table
 from codeloom.plans.registry import register
 
 J = O.join
@@ -19,7 +21,7 @@ J = O.join
 
 @register("tokenize_code", O.query(f"SELECT id, lang, len(toks)::BIGINT AS n_tokens, {J('toks')} AS tokens FROM tok", "tok"))
 def _tokenize(spark, sf):
-    df = compute_once(code_corpus(spark, sf), tokens=X.tokenize_code(F.col("code"), F.col("lang")))
+    df = T.tokens(spark, sf)
     return df.select("id", "lang", F.size("tokens").cast("bigint").alias("n_tokens"), join_tokens(F.col("tokens")).alias("tokens"))
 
 
@@ -58,7 +60,7 @@ def _render(spark, sf):
     ),
 )
 def _detokenize(spark, sf):
-    df = T.context(spark, sf)
+    df = T.tokens(spark, sf)
     return df.select(
         "id", X.detokenize_brace(F.col("tokens")).alias("kept"), X.detokenize_brace(F.col("tokens"), keep_dots=False).alias("dropped")
     )
@@ -76,15 +78,15 @@ def _no_blank_lines(text: str) -> str:
     return f"array_to_string(list_filter(string_split({text}, chr(10)), lambda l: {O.strip('l')} <> ''), chr(10))"
 
 
-_DOC = r"(^|\n)[ \t]*(?:" + X.TRIPLE + "|" + X.STRING + r")[ \t]*(\n|$)"
-_PYTHON = O.rx(O.rx(_replaced(X._STRIP_PYTHON, "#", ""), _DOC, "$1$2"), _DOC, "$1$2")
+_DOC = r"(^|\n)[ \t]*(?:" + V.TRIPLE + "|" + V.STRING + r")[ \t]*(\n|$)"
+_PYTHON = O.rx(O.rx(_replaced(V.STRIP_PYTHON, "#", ""), _DOC, "$1$2"), _DOC, "$1$2")
 
 
 @register(
     "strip_comments",
     O.query(
         f"""SELECT id, lang, CASE lang WHEN 'ruby' THEN code WHEN 'python' THEN {_no_blank_lines(_PYTHON)}
-              ELSE {_no_blank_lines(_replaced(X._STRIP_BRACE, '/', ' '))} END AS text FROM corpus""",
+              ELSE {_no_blank_lines(_replaced(V.STRIP_BRACE, '/', ' '))} END AS text FROM corpus""",
         "corpus",
     ),
 )
@@ -112,9 +114,15 @@ def _split_punct(spark, sf):
     return T.documents(spark, sf).select("doc_id", X.split_punct(F.col("text")).alias("text"))
 
 
-def mteval(text: str, lower: bool = True) -> str:
+# Entities in the order in which the two versions of the tokenisation resolve them.
+ENTITIES_V11A = (("&gt;", ">"), ("&lt;", "<"), ("&quot;", '"'), ("&amp;", "&"))
+ENTITIES_13A = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+
+
+def mteval(text: str, lower: bool = True, entities: tuple[tuple[str, str], ...] = ENTITIES_V11A) -> str:
     t = f"replace(replace(replace({text}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
-    t = f"replace(replace(replace(replace({t}, '&gt;', '>'), '&lt;', '<'), '&quot;', '\"'), '&amp;', '&')"
+    for entity, char in entities:
+        t = f"replace({t}, {O.lit(entity)}, {O.lit(char)})"
     t = f"' ' || {t} || ' '"
     if lower:
         t = f"lower({t})"
@@ -127,9 +135,7 @@ def mteval(text: str, lower: bool = True) -> str:
 
 @register("mteval_normalize", f"SELECT page_id, {J(mteval('html'))} AS text FROM pages")
 def _mteval(spark, sf):
-    from codeloom.plans.corpus import spread, table
-
-    pages = spread(table(spark, sf, "pages").select("page_id", "html"))
+    pages = table(spark, sf, "pages").select("page_id", "html")
     return pages.select("page_id", join_tokens(X.mteval_tokens(F.col("html"))).alias("text"))
 
 
@@ -177,7 +183,7 @@ O.cte("tasks", f"SELECT id, lang, norm, {TASK_SQL} AS task, {SUB_SQL} AS sub_tas
 
 
 def task_rows(spark, sf):
-    return T.context(spark, sf).select(
+    return T.normed(spark, sf).select(
         "id", "lang", "norm", F.expr(TASK_SQL).alias("task"), F.expr(SUB_SQL).alias("sub_task")
     )
 
@@ -212,9 +218,7 @@ def _lang_prefix(spark, sf):
 
 @register("eos_guard", "SELECT page_id, replace(replace(html, '</a>', '</s>'), '</s>', '<unk>') AS text FROM pages")
 def _eos(spark, sf):
-    from codeloom.plans.corpus import spread, table
-
-    pages = spread(table(spark, sf, "pages").select("page_id", "html"))
+    pages = table(spark, sf, "pages").select("page_id", "html")
     marked = F.replace(F.col("html"), F.lit("</a>"), F.lit("</s>"))
     return pages.select("page_id", FT.eos_guard(marked).alias("text"))
 
@@ -224,8 +228,6 @@ def _eos(spark, sf):
     "SELECT doc_id, CASE WHEN quality = 0 THEN 'false' ELSE 'true' END AS quality, CASE WHEN toxic = 0 THEN 'false' ELSE 'true' END AS toxic FROM labels",
 )
 def _verbalize(spark, sf):
-    from codeloom.plans.corpus import table
-
     return table(spark, sf, "labels").select(
         "doc_id", FT.verbalize_label(F.col("quality")).alias("quality"), FT.verbalize_label(F.col("toxic")).alias("toxic")
     )
@@ -243,18 +245,19 @@ def _task_language(spark, sf):
     return task_rows(spark, sf).select("id", FT.task_language(F.col("task"), F.col("sub_task")).alias("score_lang"))
 
 
-VOCAB = 40
-MAX_LEN = 48
+# Size of the vocabulary (the rarest tokens are unknown) and length of encoded texts.
+VOCAB = 1000
+MAX_LEN = 512
 O.cte(
     "vocab",
-    f"""SELECT tok AS token, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, tok) + {FT.FIRST_ID - 1} AS token_id
+    f"""SELECT tok AS token, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, tok) + {V.FIRST_ID - 1} AS token_id
         FROM (SELECT unnest(toks) AS tok FROM tok) AS t GROUP BY tok QUALIFY row_number() OVER (ORDER BY count(*) DESC, tok) <= {VOCAB}""",
     "tok",
 )
 O.cte(
     "encoded",
-    f"""SELECT t.id, t.lang, list_concat(list(coalesce(v.token_id, {FT.UNK}) ORDER BY t.pos), [{FT.EOS}],
-             list_transform(range({MAX_LEN} - 1 - count(*)), lambda x: {FT.PAD})) AS ids
+    f"""SELECT t.id, t.lang, list_concat(list(coalesce(v.token_id, {V.UNK}) ORDER BY t.pos), [{V.EOS}],
+             list_transform(range({MAX_LEN} - 1 - count(*)), lambda x: {V.PAD})) AS ids
         FROM (SELECT id, lang, unnest(toks[1:{MAX_LEN - 1}]) AS token, generate_subscripts(toks[1:{MAX_LEN - 1}], 1) AS pos FROM tok) AS t
         LEFT JOIN vocab v ON v.token = t.token GROUP BY t.id, t.lang""",
     "tok", "vocab",
@@ -263,14 +266,13 @@ O.cte(
 
 def encoded(spark, sf):
     """(id, lang, ids): the corpus over its own vocabulary."""
-    tokens = compute_once(code_corpus(spark, sf), tokens=X.tokenize_code(F.col("code"), F.col("lang"))).select("id", "lang", "tokens")
-    vocab = FT.vocabulary(tokens, "tokens", VOCAB)
-    return FT.encode_pad(tokens, ["id", "lang"], "tokens", vocab, MAX_LEN, VOCAB)
+    tokens = T.tokens(spark, sf)
+    return FT.encode_pad(tokens, ["id", "lang"], "tokens", FT.vocabulary(tokens, "tokens", VOCAB), MAX_LEN)
 
 
 @register("vocab_counts", O.query("SELECT token, cnt, token_id::BIGINT AS token_id FROM vocab", "vocab"))
 def _vocab(spark, sf):
-    tokens = compute_once(code_corpus(spark, sf), tokens=X.tokenize_code(F.col("code"), F.col("lang"))).select("id", "tokens")
+    tokens = T.tokens(spark, sf)
     return FT.vocabulary(tokens, "tokens", VOCAB).select("token", "cnt", F.col("token_id").cast("bigint").alias("token_id"))
 
 
@@ -302,8 +304,6 @@ def _unmask_labels(spark, sf):
     ),
 )
 def _pair_features(spark, sf):
-    from codeloom.plans.corpus import table
-
     ids = encoded(spark, sf).select("id", "ids")
     pairs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("url1"), F.col("o_custkey").alias("url2"))
     first = ids.select(F.col("id").alias("url1"), F.col("ids").alias("a"))
@@ -346,13 +346,15 @@ O.cte(
     ),
 )
 def _spans(spark, sf):
-    rows = T.context(spark, sf).select("id", F.inline_outer(X.bracket_spans(F.col("tokens")))).where(F.col("open_pos").isNotNull())
-    return rows.select("id", *[F.col(c).cast("bigint").alias(c) for c in ("open_pos", "close_pos", "depth")], "text")
+    df = T.tokens(spark, sf).select("id", "tokens", ST.spans(F.col("tokens")).alias("spans"))
+    rows = df.select("id", "tokens", F.inline("spans"))
+    text = join_tokens(F.slice("tokens", F.col("open_pos") + 1, F.col("close_pos") - F.col("open_pos") + 1))
+    return rows.select("id", *[F.col(c).cast("bigint").alias(c) for c in ("open_pos", "close_pos", "depth")], text.alias("text"))
 
 
 @register("bracket_depth", O.query("SELECT id, pos::BIGINT AS pos, depth::BIGINT AS depth FROM depths", "depths"))
 def _depth(spark, sf):
-    rows = D.token_table(T.context(spark, sf).select("id", "tokens"), ["id"])
+    rows = D.token_table(T.tokens(spark, sf), ["id"])
     return D.bracket_depth(rows, ["id"]).select("id", F.col("pos").cast("bigint").alias("pos"), F.col("depth").cast("bigint").alias("depth"))
 
 
@@ -365,7 +367,7 @@ O.cte("chains", _CHAINS, "depths", "spans", "tok")
 
 @register("ancestor_chain", O.query("SELECT id, pos::BIGINT AS pos, tok, chain FROM chains", "chains"))
 def _chains(spark, sf):
-    df = compute_once(T.context(spark, sf).select("id", "tokens"), chains=X.ancestor_chains(F.col("tokens")))
+    df = T.tokens(spark, sf).select("id", "tokens", ST.ancestor_chains(F.col("tokens")).alias("chains"))
     rows = df.select("id", F.posexplode(F.arrays_zip("tokens", "chains")).alias("pos", "z"))
     return rows.select(
         "id", F.col("pos").cast("bigint").alias("pos"), F.col("z.tokens").alias("tok"), join_tokens(F.col("z.chains")).alias("chain")
@@ -381,7 +383,7 @@ def _chains(spark, sf):
     ),
 )
 def _tokens_types(spark, sf):
-    df = compute_once(T.context(spark, sf).select("id", "tokens"), chains=X.ancestor_chains(F.col("tokens")))
+    df = T.tokens(spark, sf).select("id", "tokens", ST.ancestor_chains(F.col("tokens")).alias("chains"))
     types = F.array_join(F.transform("chains", lambda c: F.array_join(c, " ")), "|")
     return df.select("id", join_tokens(F.col("tokens")).alias("tokens"), types.alias("types"))
 
@@ -398,14 +400,14 @@ def _tokens_types(spark, sf):
     ),
 )
 def _nodes(spark, sf):
-    df = compute_once(T.context(spark, sf).select("id", "tokens"), spans=X.bracket_spans(F.col("tokens")))
-    return df.select("id", X.node_count(F.size("tokens"), F.col("spans")).cast("bigint").alias("nodes"),
-                     F.coalesce(F.array_max(X.span_node_counts(F.col("spans"))), F.lit(0)).cast("bigint").alias("largest_span"))
+    df = T.tokens(spark, sf).select("id", F.size("tokens").alias("n"), ST.spans(F.col("tokens")).alias("spans"))
+    largest = F.coalesce(F.array_max(F.transform("spans", lambda s: s["nodes"])), F.lit(0))
+    return df.select("id", (F.col("n") + F.size("spans") + 1).cast("bigint").alias("nodes"), largest.cast("bigint").alias("largest_span"))
 
 
 @register("filter_length", O.query(f"SELECT id, lang, len({O.words('norm')})::BIGINT AS n_words FROM ctx WHERE len({O.words('norm')}) <= 60", "ctx"))
 def _filter_length(spark, sf):
-    df = P.filter_length(T.context(spark, sf).select("id", "lang", "norm"), "norm", 60)
+    df = P.filter_length(compute_once(T.normed(spark, sf).select("id", "lang", "norm"), norm=F.col("norm")), "norm", 60)
     return df.select("id", "lang", P.word_count(F.col("norm")).cast("bigint").alias("n_words"))
 
 
@@ -432,23 +434,27 @@ def _gen_len(spark, sf):
     return encoded(spark, sf).groupBy("lang").agg(F.round(F.avg(FT.generated_length(F.col("ids"))), 6).alias("gen_len"))
 
 
+_IDS = "len(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]+|[^\\s\\p{{L}}\\p{{N}}_]'))"
+
+
 @register(
     "length_stats",
     O.query(
-        f"""SELECT task, sub_task, count(*) AS n, floor(avg(s))::BIGINT AS avg_src, max(s)::BIGINT AS max_src,
-              floor(avg(t))::BIGINT AS avg_trg, max(t)::BIGINT AS max_trg
-            FROM (SELECT k.task, k.sub_task, len({O.words('p.pred')}) AS s, len({O.words('p.gold')}) AS t FROM tasks k JOIN pairs p ON p.id = k.id) AS x
+        f"""SELECT task, sub_task, count(*) AS n, {', '.join(f'floor(avg({k}))::BIGINT AS avg_{k}, max({k})::BIGINT AS max_{k}' for k in ('src', 'trg', 'src_ids', 'trg_ids'))}
+            FROM (SELECT k.task, k.sub_task, len({O.words('p.pred')}) AS src, len({O.words('p.gold')}) AS trg,
+                    {_IDS.format('p.pred')} AS src_ids, {_IDS.format('p.gold')} AS trg_ids FROM tasks k JOIN pairs p ON p.id = k.id) AS x
             GROUP BY task, sub_task""",
         "tasks", "pairs",
     ),
 )
 def _length_stats(spark, sf):
+    """Lengths in words and in encoded tokens (words and single signs)."""
     from codeloom.operators import rewrites as R
     from codeloom.operators.stats import length_stats
 
-    df = task_rows(spark, sf)
     pred = join_tokens(R.noise_mask(F.split("norm", " "), F.col("id")))
-    out = length_stats(df.select("task", "sub_task", pred.alias("source"), F.col("norm").alias("target")), ["task", "sub_task"])
-    return out.select("task", "sub_task", "n", *[F.col(c).cast("bigint").alias(c) for c in ("avg_src", "max_src", "avg_trg", "max_trg")])
-
-
+    df = task_rows(spark, sf).select("task", "sub_task", pred.alias("source"), F.col("norm").alias("target"))
+    df = df.select("*", X.word_tokens(F.col("source")).alias("source_ids"), X.word_tokens(F.col("target")).alias("target_ids"))
+    out = length_stats(df, ["task", "sub_task"], source_ids="source_ids", target_ids="target_ids")
+    names = [f"{a}_{k}" for k in ("src", "trg", "src_ids", "trg_ids") for a in ("avg", "max")]
+    return out.select("task", "sub_task", "n", *[F.col(c).cast("bigint").alias(c) for c in names])

@@ -5,66 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 SPLITS = ("train", "dev", "test")
-# The tasks with their sub-tasks, as the multi-task job lists them.
-MULTI_TASKS: dict[str, tuple[str, ...]] = {
-    "summarize": ("ruby", "javascript", "go", "python", "java", "php"),
-    "translate": ("java-cs", "cs-java"),
-    "refine": ("small", "medium"),
-    "concode": ("none",),
-    "defect": ("none",),
-    "refine-concrete": ("small", "medium"),
-    "refine-commit": ("small", "medium"),
-    "translate-500": ("java-cs", "cs-java"),
-}
-ALL_TASKS = {**MULTI_TASKS, "clone": ("none",)}
+# Task and sub-task; reader; source and target file below the data folder, with {split} for train, dev, test
+# and {stem} for train, valid, test; largest source and target length.
+TASKS = (
+    *[("summarize", lang, "summarize", f"summarize/{lang}/{{stem}}.jsonl", None, 256, 128) for lang in ("ruby", "javascript", "go", "python", "java", "php")],
+    ("translate", "java-cs", "line_pairs", "translate/{stem}.java-cs.txt.java", "translate/{stem}.java-cs.txt.cs", 320, 256),
+    ("translate", "cs-java", "line_pairs", "translate/{stem}.java-cs.txt.cs", "translate/{stem}.java-cs.txt.java", 320, 256),
+    *[
+        (task, size, "line_pairs", f"{task}/{size}/{{stem}}.buggy-fixed.buggy", f"{task}/{size}/{{stem}}.buggy-fixed.fixed", *lengths)
+        for task in ("refine", "refine-concrete", "refine-commit")
+        for size, lengths in (("small", (130, 120)), ("medium", (240, 240)))
+    ],
+    ("concode", "none", "nl_code", "concode/{split}.json", None, 320, 150),
+    ("defect", "none", "defect", "defect/{stem}.jsonl", None, 512, 3),
+    ("translate-500", "none", "line_pairs", "translate-500/{stem}.java-cs.txt.java", "translate-500/{stem}.java-cs.txt.cs", 320, 256),
+    ("clone", "none", "clone", "clone/{stem}.txt", "clone/data.jsonl", None, None),
+)
 CATALOG_SCHEMA = (
     "task string, sub_task string, split string, reader string, source_file string, target_file string, "
     "max_source_length int, max_target_length int"
 )
 
 
-def reader_of(task: str) -> str:
-    if "refine" in task or "translate" in task:
-        return "line_pairs"
-    return {"summarize": "summarize", "concode": "nl_code", "defect": "defect", "clone": "clone"}[task]
-
-
-def lengths_of(task: str, sub_task: str) -> tuple[int | None, int | None]:
-    if task == "summarize":
-        return 256, 128
-    if "translate" in task:
-        return 320, 256
-    if "refine" in task:
-        return (130, 120) if sub_task == "small" else (240, 240)
-    return {"concode": (320, 150), "defect": (512, 3)}.get(task, (None, None))
-
-
-def files_of(root: str, task: str, sub_task: str, split: str) -> tuple[str, str | None]:
-    """Source and target file of one split; the target is None where one file holds both."""
-    stem = {"train": "train", "dev": "valid", "test": "test"}[split]
-    if task == "concode":
-        return f"{root}/{task}/{split}.json", None
-    if task == "summarize":
-        return f"{root}/{task}/{sub_task}/{stem}.jsonl", None
-    if "refine" in task:
-        base = f"{root}/{task}/{sub_task}/{stem}.buggy-fixed"
-        return f"{base}.buggy", f"{base}.fixed"
-    if "translate" in task:
-        base = f"{root}/{task}/{stem}.java-cs.txt"
-        first, second = ("cs", "java") if sub_task == "cs-java" else ("java", "cs")
-        return f"{base}.{first}", f"{base}.{second}"
-    if task == "clone":
-        return f"{root}/{task}/{stem}.txt", f"{root}/{task}/data.jsonl"
-    if task == "defect":
-        return f"{root}/{task}/{stem}.jsonl", None
-    raise ValueError(f"unknown task {task}")
-
-
 def task_catalog(spark: SparkSession, root: str) -> DataFrame:
     """One row per (task, sub_task, split): a table of fixed size, safe to broadcast."""
     rows = []
-    for task, subs in ALL_TASKS.items():
-        for sub in subs:
-            for split in SPLITS:
-                rows.append((task, sub, split, reader_of(task), *files_of(root, task, sub, split), *lengths_of(task, sub)))
+    for task, sub, reader, source, target, *lengths in TASKS:
+        for split in SPLITS:
+            marks = {"split": split, "stem": "valid" if split == "dev" else split}
+            files = [None if f is None else f"{root}/{f.format(**marks)}" for f in (source, target)]
+            rows.append((task, sub, split, reader, *files, *lengths))
     return spark.createDataFrame(rows, CATALOG_SCHEMA)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.arrays import join_tokens, strip, words
 from codeloom.operators.sampling import limit_lines
-from codeloom.session import shared_dir
 
 PAIR_SCHEMA = "source string, target string, transformer string"
 CURVE_SCHEMA = (
@@ -29,23 +28,29 @@ def read_corpus(spark: SparkSession, path: str, languages: list[str] | None = No
     return df.where(F.col("lang").isin(*languages)) if languages else df
 
 
+def natural(path: Column) -> Column:
+    """A sort key in which numbers count as numbers: ``part-99999`` comes before ``part-100000``."""
+    widened = F.regexp_replace(path, r"(\d+)", "0" * 20 + "$1")
+    return F.regexp_replace(widened, r"\d*(\d{20})", "$1")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): text lines with their 0-based number in file order.
+    """(line, value): text lines with their 0-based number in file order, parts in natural order of their names.
 
-    The lines are checkpointed once with their split (file, start) and their order in it, so
-    both passes below see the same splits. Only one small count per split is put in order.
+    Lines are counted per file split, and one number per split is put in order; a line's number is that of its split's
+    first line and its place in the split. Both scans are of one file listing and so see the same splits. Whether the
+    table of splits is small enough to send to all tasks is left to the planner.
     """
-    shared_dir(spark)  # a checkpoint needs the shared folder
     raw = spark.read.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("m"),
-    ).checkpoint(eager=True)
+    )
     splits = raw.groupBy("file", "start").agg(F.count(F.lit(1)).alias("c"), F.min("m").alias("m0"))
-    before = Window.partitionBy(F.lit(0)).orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select("file", "start", "m0", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first"))
-    return raw.join(offsets, ["file", "start"]).select((F.col("first") + F.col("m") - F.col("m0")).alias("line"), "value")
+    before = Window.partitionBy(F.lit(0)).orderBy(natural(F.col("file")), "file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("file", "start", (F.coalesce(F.sum("c").over(before), F.lit(0)) - F.col("m0")).alias("shift"))
+    return raw.join(offsets, ["file", "start"]).select((F.col("shift") + F.col("m")).alias("line"), "value")
 
 
 def join_positional(left: DataFrame, right: DataFrame, check_length: bool = False) -> DataFrame:

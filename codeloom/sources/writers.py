@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,23 +25,38 @@ def prediction_lines(df: DataFrame, task: Column) -> DataFrame:
 
 
 def write_predictions(lines: DataFrame, path: str) -> None:
-    """Three parallel text folders whose files keep the order of ``idx``.
+    """Three parallel text folders: line n of each belongs together, in order of ``idx`` (ties by text).
 
-    One range sort serves the three of them, so line n of each belongs together.
+    The rows are sorted once and kept on disk while the three are written.
     """
-    ordered = lines.orderBy("idx")
-    for name in ("output", "gold", "src"):
-        ordered.select(F.col(name).alias("value")).write.text(f"{path}/{name}")
+    ordered = lines.orderBy("idx", "output", "gold", "src").persist(StorageLevel.DISK_ONLY)
+    try:
+        for name in ("output", "gold", "src"):
+            ordered.select(F.col(name).alias("value")).write.text(f"{path}/{name}")
+    finally:
+        ordered.unpersist()
 
 
 def write_text_predictions(df: DataFrame, path: str, text: str = "pred") -> None:
-    df.orderBy("idx").select(strip(F.col(text)).alias("value")).write.text(path)
+    """Text lines in order of ``idx``."""
+    df.orderBy("idx", text).select(strip(F.col(text)).alias("value")).write.text(path)
 
 
 def write_metrics(rows: DataFrame, path: str) -> None:
+    """Metric rows as CSV with a header."""
     rows.write.csv(path, header=True)
 
 
+def write_text_lines(df: DataFrame, path: str) -> None:
+    """One text file per language of (lang, value)."""
+    df.write.partitionBy("lang").text(path)
+
+
+def summary_line(lang: Column, bleu: Column, em: Column, codebleu: Column) -> Column:
+    """One line of scores per language, in percent."""
+    return F.format_string("Lang : %s bleu-4: %.2f, em: %.4f, codebleu: %.4f", lang, bleu * 100, em * 100, codebleu * 100)
+
+
 def write_metric_json(row: DataFrame, path: str) -> None:
     """The one-row metric frame with its sample count."""
     row.write.json(path)
@@ -55,6 +71,7 @@ def materialise(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def feature_tag(split: str, only_source: bool = False, data_num: int = -1) -> str:
-    """Name of a cached split: split, source-only mark and size."""
-    return split + ("_src" if only_source else "") + ("_all" if data_num == -1 else f"_{data_num}")
+def feature_tag(split: str, vocabulary: str, max_length: int, only_source: bool = False, data_num: int = -1) -> str:
+    """Name of a cached split: split, source-only mark, size, vocabulary and length, all of which make its content."""
+    size = "_all" if data_num == -1 else f"_{data_num}"
+    return split + ("_src" if only_source else "") + f"{size}_{vocabulary}_{max_length}"

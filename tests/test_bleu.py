@@ -94,11 +94,8 @@ def brute(hyp, refs, n):
     return sum((h & best).values()), sum(sum((h & r).values()) for r in rs)
 
 
-@pytest.mark.parametrize("packed", [True, False])
-def test_matches_equal_brute_force(spark, monkeypatch, packed):
-    """Both the packed and the spelled-out n-grams, any number of references, empty sides."""
-    if not packed:
-        monkeypatch.setattr(M, "MAX_PACKED", 0)
+def test_matches_equal_brute_force(spark):
+    """Any number of references, empty sides, long texts."""
     rng = random.Random(7)
     rows = [([], [["a"]]), (["a"], [[]]), (["a", "b"], [["b"], ["a", "b", "a"], []])]
     for _ in range(60):
@@ -106,7 +103,8 @@ def test_matches_equal_brute_force(spark, monkeypatch, packed):
             return [rng.choice("abcde") for _ in range(rng.randint(0, 30))]
 
         rows.append((text(), [text() for _ in range(rng.randint(1, 3))]))
-    for r in stats(spark, rows, 4, n_refs=2).collect():
+    rows.append(([f"w{rng.randrange(3000)}" for _ in range(9000)], [[f"w{rng.randrange(3000)}" for _ in range(9000)]] * 2))
+    for r in stats(spark, rows, 4).collect():
         hyp, refs = rows[r.id]
         for n in range(1, 5):
             assert (r[f"m_{n}"], r[f"rm_{n}"]) == brute(hyp, refs, n), (r.id, n)
