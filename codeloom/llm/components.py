@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.storage import kept
+from codeloom.llm.storage import drop, kept
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -32,5 +32,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _least(large)
         stars = small.selectExpr("v as u", "m as v").union(small.selectExpr("u", "m as v")).filter("u <> v").distinct()
-        edges = kept(stars, "stars")
+        before, edges = edges, kept(stars, "stars")
+        drop(before)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

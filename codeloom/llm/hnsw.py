@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.components import components
-from codeloom.llm.storage import kept
+from codeloom.llm.storage import drop, kept
 
 M = 12
 INSERT = 256
@@ -389,6 +389,7 @@ def near_links(vectors: DataFrame, threshold: float = 0.9, shards: int | None =
 
     pairs = asked.groupBy("dim", "shard", "block").cogroup(given.groupBy("dim", "shard", "block"))
     found = kept(pairs.applyInArrow(ask, "vec_id long, n long, a long, b long"), "links")
+    drop(graphs)
     links = found.filter("n is not null").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     return links, found.filter("a is not null").select("a", "b"), units
 

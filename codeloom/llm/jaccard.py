@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from codeloom.llm import ranges
 from codeloom.llm.blocks import U64, chunks, flat, mix, spans_hash, words
 from codeloom.llm.components import components
-from codeloom.llm.storage import kept
+from codeloom.llm.storage import drop, kept
 
 WIDTH = 5
 FLUSH = 1 << 21
@@ -201,8 +201,8 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], schema=_EDGE)
 
 
-def _leaders(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """Verified edges from documents to the first of those that share a minimum hash."""
+def _leaders(sets: DataFrame, percent: int, partitions: int) -> tuple[DataFrame, DataFrame]:
+    """Verified edges from documents to leaders of those that share a minimum hash, and the kept table they read."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +248,7 @@ def _leaders(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
     salted = kept(sort(keyed).mapInArrow(compare, ends), "jaccard-salted")
     firsts = salted.filter("a is null").select("least", "salt", "doc_id", "n_shingles", "shingles")
     across = sort(firsts).mapInArrow(compare, ends)
-    return salted.unionByName(across).filter("a is not null").select("a", "b")
+    return salted, salted.unionByName(across).filter("a is not null").select("a", "b")
 
 
 def _tile_pairs(percent: int):
@@ -340,13 +340,17 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     sets = candidates.join(firsts.select(*keys, F.col("first").alias("doc_id")), [*keys, "doc_id"]).dropDuplicates(["doc_id", "key1"])
     sets = kept(sets.select("doc_id", "n_shingles", "prefix", "shingles"), "jaccard-firsts")
 
-    near = kept(_leaders(sets, percent, partitions).distinct(), "jaccard-near")
+    salted, edges = _leaders(sets, percent, partitions)
+    near = kept(edges.distinct(), "jaccard-near")
+    drop(salted)
     found = components(near).withColumnRenamed("node", "doc_id")
     labelled = sets.join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    rest = _verified(kept(_tiles(labelled, percent, partitions), "jaccard-pairs"), sets, percent)
+    pairs = kept(_tiles(labelled, percent, partitions), "jaccard-pairs")
+    rest = _verified(pairs, sets, percent)
     same_id = candidates.groupBy("doc_id").agg(F.collect_set(F.struct(*keys)).alias("k")).filter("size(k) > 1").select("doc_id", F.inline("k"))
     same_id = same_id.join(firsts, keys).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     found = components(near.unionByName(rest).unionByName(same_id))
+    drop(sets, near, pairs)
 
     members = rows.select("doc_id", "n_shingles", "key1", "key2").join(firsts, keys, "left")
     node = found.select(F.col("node").alias("first"), "component_id")

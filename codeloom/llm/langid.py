@@ -6,8 +6,8 @@ languages of neighbouring words are learned as well. Training fits both by gradi
 of word sequences made from labelled texts, half of them switching languages. Forward-backward over all words of a text
 gives each word's language probabilities; the text's language is the one with the largest mean, which is the score.
 
-Training reads a bounded sample: ``PER_LANG`` texts of a language (those with the smallest hash of their key), ``CHARS``
-characters of each from a place drawn by that hash. Prediction reads whole texts and nothing but texts.
+Training reads a bounded sample: ``PER_LANG`` texts of a language (those with the smallest hash of their key, at most a
+sixteenth of them from each of 64 hash buckets), ``CHARS`` characters of each from a place drawn by that hash. Prediction reads whole texts and nothing but texts.
 
 Null text or text without a letter: ``und``, score 0. Words without letters have no evidence of their own and no vote.
 Ties: the language that sorts first. Repeated rows: same results. No labelled text at all: ``und``. Empty table: no rows.
@@ -259,8 +259,8 @@ def train(docs: DataFrame, key: Column, per_lang: int = PER_LANG) -> Model:
     place = F.pmod("h", F.greatest(F.length("text") - CHARS, F.lit(1))).cast("int") + 1
     own = own.select("lang", "h", "bucket", F.substr("text", place, F.lit(CHARS)).alias("part"))
     # first in each hash bucket, then over buckets: no language's rows meet in one task
-    for by in (["lang", "bucket"], ["lang"]):
-        own = own.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "part"))).filter(F.col("r") <= per_lang)
+    for by, most in ((["lang", "bucket"], max(1, per_lang // 16)), (["lang"], per_lang)):
+        own = own.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "part"))).filter(F.col("r") <= most)
     rows = own.select("lang", "h", "part").collect()
     rows.sort(key=lambda r: (r.lang, r.h, r.part))
     return fit([r.part.encode() for r in rows], [r.lang for r in rows])

@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-import io
 import uuid
-import zipfile
-from pathlib import Path
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.session import scratch_path
+from codeloom.session import place, scratch_path, ship
 
-
-def ship(spark: SparkSession) -> None:
-    """Hand this package to the Python workers, once for each Spark application."""
-    context = spark.sparkContext
-    if getattr(context, "_codeloom_shipped", False):
-        return
-    top = Path(__file__).resolve().parent.parent
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent).as_posix())
-    context.addPyFile(publish(folder(spark, "code"), ".zip", [data.getvalue()]))
-    context._codeloom_shipped = True
+__all__ = ["drop", "folder", "kept", "opened", "publish", "ship"]
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -37,28 +21,31 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._kept_at = path
+    return back
 
 
-def _place(uri: str) -> tuple[fs.FileSystem, str]:
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = uri.replace("file:/", "file:///", 1)
-    return fs.FileSystem.from_uri(uri)
+def drop(*tables: DataFrame) -> None:
+    """Remove tables made by ``kept`` that nothing reads any more."""
+    for t in tables:
+        files, path = place(t._kept_at)
+        files.delete_dir(path)
 
 
 def publish(base: str, suffix: str, data: list[bytes]) -> str:
     """Write a file whole under a name of its own; a retried task leaves a file that nobody lists."""
-    place, path = _place(base)
-    place.create_dir(path, recursive=True)
+    files, path = place(base)
+    files.create_dir(path, recursive=True)
     name = f"{uuid.uuid4().hex}{suffix}"
-    with place.open_output_stream(f"{path}/.{name}", compression=None) as out:
+    with files.open_output_stream(f"{path}/.{name}", compression=None) as out:
         for x in data:
             out.write(x)
-    place.move(f"{path}/.{name}", f"{path}/{name}")
+    files.move(f"{path}/.{name}", f"{path}/{name}")
     return f"{base}/{name}"
 
 
 def opened(uri: str):
     """A random-access file of the shared folder."""
-    place, path = _place(uri)
-    return place.open_input_file(path)
+    files, path = place(uri)
+    return files.open_input_file(path)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import ranges
 from codeloom.llm.blocks import _TABLE, U64, chunks, flat, mix, powers, runs, windows_hash
-from codeloom.llm.storage import kept
+from codeloom.llm.storage import drop, kept
 
 SPAN = 100
 GRAM = 24
@@ -311,7 +311,9 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "spans"])
 
     grouped = pieces.groupBy("key").agg(F.collect_set("repeats").alias("repeats"))
-    return kept(grouped.mapInArrow(spans, "key long, spans binary"), "suffix-spans")
+    found = kept(grouped.mapInArrow(spans, "key long, spans binary"), "suffix-spans")
+    drop(marks)
+    return found
 
 
 def cut(text: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
