@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,10 +49,12 @@ def cumulative(rows: DataFrame, by: list[str], value: str, **counts: Column) ->
     """(by, value, cnt, upto, counts): rows up to and with each distinct value, and further counts per value.
 
     Rows are counted per distinct value first. The running sum is taken within ``BUCKETS`` equal parts of a group's range
-    of values, and the parts before are added, so no task walks over a whole group.
+    of values, and the parts before are added, so no task walks over a whole group. The counts are read three times and so
+    are kept (lost ones are computed again).
     """
     span = Window.partitionBy(*by)
     found = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"), *[c.alias(k) for k, c in counts.items()])
+    found = found.persist(StorageLevel.MEMORY_AND_DISK)
     ends = found.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     width = F.col("_hi") - F.col("_lo")
     part = F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width * BUCKETS)).otherwise(F.lit(0))
