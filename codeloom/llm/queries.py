@@ -97,7 +97,18 @@ def mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(docs, ["domain", "lang", "source"], MIX_WEIGHTS, MIX_PERCENT, MIX_EPOCHS, MIX_SEED)
 
 
-@register("op3_warc")
+# Base32 of a SHA-1: each ten hexadecimal digits are eight characters.
+_BASE32 = """array_to_string(list_transform([0, 1, 2, 3], lambda g: array_to_string(list_transform(range(0, 8), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha, 10 * g + 1, 10))::BIGINT >> (35 - 5 * i)) & 31)::INT + 1, 1)), '')), '')"""
+WARC_SQL = f"""
+SELECT page_id, strlen(payload) AS payload_bytes, {_BASE32} AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM (SELECT page_id, payload, sha1(payload) AS sha, min(page_id) OVER (PARTITION BY payload) AS first
+    FROM (SELECT page_id, coalesce(html, '') AS payload FROM pages))
+"""
+
+
+@register("op3_warc", WARC_SQL)
 def warc_archives(spark: SparkSession, sf: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf, "pages"))).drop("url")
 

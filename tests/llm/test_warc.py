@@ -7,9 +7,10 @@ import struct
 
 import pytest
 import zstandard
+from compare import compare, connect
 
 from codeloom.llm import warc
-from codeloom.llm.queries import QUERIES
+from codeloom.llm.queries import ORACLES, QUERIES
 
 SCHEMA = "page_id long, url string, html string, sha string, refers_to long, p int"
 
@@ -40,6 +41,11 @@ def test_query_matches_brute_force(spark, sf):
     assert read(QUERIES["op3_warc"](spark, sf)) == expected(pages)
 
 
+def test_query_matches_sql(spark, sf):
+    same, note = compare(spark, connect(sf), QUERIES["op3_warc"], ORACLES["op3_warc"], sf)
+    assert same, note
+
+
 ROWS = [
     (5, "http://a/é b\r\n", "same é"),
     (3, "http://b", "same é"),
