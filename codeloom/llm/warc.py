@@ -123,7 +123,10 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, samples: int = 512, arc
     spark = pages.sparkSession
     html = F.coalesce(F.col("html"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
-    picked = pages.select(F.xxhash64("page_id").alias("h"), "page_id", F.substring("html", 1, SAMPLE_CHARS).alias("html")).orderBy("h", "page_id").limit(samples)
+    # first the hashes, then the texts: tasks send hashes, and only the texts that are picked
+    hashed = pages.select(F.xxhash64("page_id").alias("h"), "page_id", F.substring("html", 1, SAMPLE_CHARS).alias("html"))
+    last = hashed.select("h").orderBy("h").limit(samples).agg(F.max("h")).first()[0]
+    picked = hashed.filter(F.col("h") <= F.lit(last)).orderBy("h", "page_id").limit(samples) if last is not None else hashed.limit(0)
     words = train([r.html.encode() for r in picked.collect()])
     base = folder(spark, "warc")
 
