@@ -3,10 +3,13 @@
 Vectors go to shards by a hash of their id. A shard's graph has layers of geometrically fewer nodes; batches of vectors are
 inserted by a beam search from the top layer down. A vector within half the link angle of a node does not become a node
 but joins that node's ball: all vectors of a ball are linked to each other, so a group of thousands of near copies is one
-node, its links are counted and not listed. Every shard is asked by all vectors, in blocks. A beam is widened for queries
-whose farthest found node could still hold links, and for a whole block until an audit (``AUDIT`` queries of the block
-against all nodes of the shard) finds at least ``target`` of the links. Links found are exact: double-precision cosines, or
-the triangle inequality for a ball wholly inside or outside the link angle.
+node, its links are counted and not listed. Every shard is asked by all vectors, in blocks, with the least beam that finds
+``target`` of the shard's audited links: those of up to ``AUDIT`` vectors drawn from all, compared with all nodes of the
+shard until ``EVIDENCE`` of them have links besides their own ball. Where links are too sparse for that, vectors made half
+to all of the link angle away from drawn nodes make up the number, so an audit never passes without links. A beam is
+widened for queries whose farthest found node could still hold links, and a query is compared with all nodes when a beam
+would cost as much or has not filled, and in a shard whose audit fails. Links found are exact: double-precision cosines,
+or the triangle inequality for a ball wholly inside or outside the link angle.
 
 Null, zero or non-finite vectors, vectors with null components and rows with null vec_id have no links; vectors of other
 lengths are not compared. Rows with one vec_id are one vector (the greatest by bytes). Empty table: no rows. Other columns
@@ -33,7 +36,9 @@ BUILD_BEAM = 24
 BEAM = 24
 EXPAND = 4
 QUERIES = 512
-AUDIT = 16
+AUDIT = 4096
+EVIDENCE = 256
+SCAN = 64
 SLACK = 1e-6
 
 
@@ -276,51 +281,99 @@ class Shard:
         self.graph.neighbours = [z[f"l{k}"] for k in range(sum(f.startswith("l") and f[1:].isdigit() for f in z.files))]
         return self
 
-    def links(self, ids: np.ndarray, unit: np.ndarray, target: float, own: bool) -> tuple[np.ndarray, list[tuple[int, int]], float]:
-        """Links of each query into this shard, edges that connect them, and the last audit's recall. ``own``: queries
-        are of this shard and start at their own ball too."""
+    def reach(self) -> np.ndarray:
+        """For each node the least single-precision cosine at which its ball may hold a link."""
+        return (np.cos(np.minimum(math.pi, self.angle + self.radius + SLACK)) - 10 * SLACK).astype(np.float32)
+
+    def scan(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Query and node of all pairs that may hold a link, from all nodes."""
+        x, reach = self.graph.x[: self.graph.n], self.reach()
+        found = [np.nonzero(q[i : i + SCAN] @ x.T >= reach) for i in range(0, len(q), SCAN)]
+        rows = [r + i * SCAN for i, (r, _) in enumerate(found)]
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(rows or none), np.concatenate([n for _, n in found] or none)
+
+    def balls(self, ids: np.ndarray) -> np.ndarray:
+        """The own ball of each vector of this shard, -1 for others."""
+        place = np.argsort(self.ids, kind="stable")
+        at = place[np.minimum(np.searchsorted(self.ids[place], ids), len(place) - 1)]
+        return np.where(self.ids[at] == ids, self.ball[at], -1).astype(np.int32)
+
+    def audit(self, ids: np.ndarray, unit: np.ndarray, target: float) -> tuple[int, int, int]:
+        """The least beam that finds ``target`` of the links of an audit (all nodes, if none does for less than a scan
+        costs), links found and all links. Own balls count as neither."""
         g = self.graph
-        reach = self.angle + float(self.radius.max())
-        worst = math.cos(min(math.pi, reach + SLACK))
-        q = unit.astype(np.float32)
-        extra = None
-        if own:
-            place = np.argsort(self.ids, kind="stable")
-            extra = self.ball[place[np.searchsorted(self.ids[place], ids)]].astype(np.int32)
-        audit = np.arange(0, len(q), max(1, len(q) // AUDIT))
-        true = q[audit] @ g.x.T >= np.cos(np.minimum(math.pi, self.angle + self.radius))
+        order = np.argsort((ids * np.int64(0x9E3779B97F4A7C1)) & np.int64(0x7FFFFFFFFFFF), kind="stable")
+        own = self.balls(ids)
+        asked, true = [], []
+        linked = 0
+        for i in range(0, len(ids), SCAN):
+            at = order[i : i + SCAN]
+            q = unit[at].astype(np.float32)
+            row, node = self.scan(q)
+            other = node != own[at][row]
+            row, node = row[other], node[other]
+            some, row = np.unique(row, return_inverse=True)
+            asked.append(q[some])
+            true.append((row + linked, node))
+            linked += len(some)
+            if linked >= EVIDENCE:
+                break
+        if linked < EVIDENCE:
+            rng = np.random.default_rng(2)
+            x = self.centre[rng.integers(0, g.n, EVIDENCE - linked)]
+            side = rng.normal(size=x.shape)
+            side -= np.einsum("nd,nd->n", side, x)[:, None] * x
+            side /= np.maximum(np.linalg.norm(side, axis=1), SLACK)[:, None]
+            angle = self.angle * rng.uniform(0.5, 1, len(x))[:, None]
+            q = (np.cos(angle) * x + np.sin(angle) * side).astype(np.float32)
+            q /= np.linalg.norm(q, axis=1)[:, None]
+            row, node = self.scan(q)
+            asked.append(q)
+            true.append((row + linked, node))
+        q = np.concatenate(asked)
+        want = np.unique(np.concatenate([r * g.n + n for r, n in true]))
         width = BEAM
-        while True:
-            nodes, sims = g.search(q, min(width, g.n), extra=extra)
+        while width * 2 * M < g.n:
+            got = []
+            for i in range(0, len(q), QUERIES):
+                nodes, _ = g.search(q[i : i + QUERIES], width)
+                row = i + np.repeat(np.arange(len(nodes)), nodes.shape[1])
+                got.append((row * g.n + nodes.ravel())[nodes.ravel() >= 0])
+            hits = int(np.isin(want, np.concatenate(got)).sum())
+            if hits >= target * len(want):
+                return width, hits, len(want)
+            width *= 2
+        return g.n, len(want), len(want)
+
+    def links(self, ids: np.ndarray, unit: np.ndarray, target: float, own: bool, width: int | None = None) -> tuple[np.ndarray, list[tuple[int, int]], float]:
+        """Links of each query into this shard, edges that connect them, and the share of an audit's links that were
+        found. ``own``: queries are of this shard and start at their own ball too. ``width``: the first beam, as found by
+        an audit; without it, these queries are audited (else the share is nan)."""
+        g = self.graph
+        recall = math.nan
+        if width is None:
+            width, hits, total = self.audit(ids, unit, target)
+            recall = hits / max(1, total)
+        worst = math.cos(min(math.pi, self.angle + float(self.radius.max()) + SLACK))
+        q = unit.astype(np.float32)
+        extra = self.balls(ids) if own else None
+        rest = np.arange(len(q))
+        found = []
+        # a beam opens about as many nodes as it holds; one that looks at as many links as there are nodes is no cheaper
+        while len(rest) and width * 2 * M < g.n:
+            nodes, sims = g.search(q[rest], width, extra=None if extra is None else extra[rest])
             # beams whose last node could still hold links are too narrow
-            narrow = np.flatnonzero((sims[:, -1] >= worst) & (nodes[:, -1] >= 0))
-            got = np.zeros(true.shape, bool)
-            r, c = np.nonzero(nodes[audit] >= 0)
-            got[r, nodes[audit][r, c]] = True
-            hits = int((got & true).sum())
-            recall = hits / int(true.sum()) if true.any() else 1.0
-            if width >= g.n or (recall >= target and not len(narrow)):
-                break
-            if recall >= target:
-                # only some beams are too narrow
-                wide = width
-                pairs = [(np.delete(np.arange(len(q)), narrow), nodes, sims)]
-                rest = narrow
-                while len(rest) and wide < g.n:
-                    wide = min(2 * wide, g.n)
-                    n2, s2 = g.search(q[rest], wide, extra=None if extra is None else extra[rest])
-                    open_ = (s2[:, -1] >= worst) & (n2[:, -1] >= 0) & (wide < g.n)
-                    pairs.append((rest[~open_], n2[~open_], s2[~open_]))
-                    rest = rest[open_]
-                found = [np.stack([np.repeat(rows, n.shape[1]) if k else np.repeat(rows, nodes.shape[1]), (n if k else n[rows]).ravel()]) for k, (rows, n, _) in enumerate(pairs)]
-                row, node = np.concatenate(found, 1)
-                break
+            more = (sims[:, -1] >= worst) | (nodes[:, -1] < 0)
+            found.append((np.repeat(rest[~more], nodes.shape[1]), nodes[~more].ravel()))
+            rest = rest[more]
             width *= 2
-        if width >= g.n or not len(narrow):
-            row, node = np.repeat(np.arange(len(q)), nodes.shape[1]), nodes.ravel()
-        keep = node >= 0
-        row, node = row[keep], node[keep]
-        cosine = np.einsum("nd,nd->n", unit[row], self.centre[node])
+        if len(rest):
+            row, node = self.scan(q[rest])
+            found.append((rest[row], node))
+        row, node = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        step = 1 << 16
+        cosine = np.concatenate([np.einsum("nd,nd->n", unit[row[i : i + step]], self.centre[node[i : i + step]]) for i in range(0, max(1, len(row)), step)])
         apart = np.arccos(np.clip(cosine, -1, 1))
         size = np.diff(self.cuts)[node]
         linked = np.zeros(len(row), np.int64)
@@ -341,9 +394,10 @@ class Shard:
         return count, list(zip(ids[row[hit]].tolist(), self.centre_id[node[hit]].tolist())), recall
 
 
-def near_links(vectors: DataFrame, threshold: float = 0.9, shards: int | None = None, shard_rows: int = 1 << 18, target: float = 0.98) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_links(vectors: DataFrame, threshold: float = 0.9, shards: int | None = None, shard_rows: int = 1 << 18, target: float = 0.98) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Links per vector (vec_id, n_links), connecting edges (a, b) and all vectors (vec_id, dim, unit) of ``vec_id,
-    embedding``. ``shards``: at least four, and so many that one holds about ``shard_rows`` vectors."""
+    embedding``, and the audit of each shard (dim, shard, nodes, width, found, links). ``shards``: at least four, and so
+    many that one holds about ``shard_rows`` vectors."""
     fields = f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, dim int, unit binary"
     all_units = vectors.select("vec_id", "embedding").mapInArrow(unit_vectors, fields).withColumn("vec_id", F.col("vec_id").cast("long"))
     units = all_units.filter("vec_id is not null").groupBy("vec_id").agg(F.max(F.struct("dim", "unit")).alias("v")).select("vec_id", "v.*")
@@ -353,23 +407,35 @@ def near_links(vectors: DataFrame, threshold: float = 0.9, shards: int | None =
     shards = shards or max(4, -(-n // shard_rows))
     sharded = valid.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
 
-    def build(table: pa.Table) -> pa.Table:
-        unit = np.frombuffer(b"".join(table["unit"].to_pylist()), "<f8").reshape(len(table), -1)
-        data = Shard(table["vec_id"].to_numpy(), unit, threshold).save()
-        return pa.table({"shard": table["shard"][:1], "dim": table["dim"][:1], "graph": pa.array([data], pa.binary())})
-
-    graphs = kept(sharded.groupBy("dim", "shard").applyInArrow(build, "shard int, dim int, graph binary"), "graphs")
+    def build(table: pa.Table, drawn: pa.Table) -> pa.Table:
+        if not len(table):
+            return pa.table({n: pa.array([], t) for n, t in built})
+        units = lambda t: np.frombuffer(b"".join(t["unit"].to_pylist()), "<f8").reshape(len(t), -1)
+        unit = units(table)
+        shard = Shard(table["vec_id"].to_numpy(), unit, threshold)
+        some = units(drawn) if len(drawn) else unit[:0]
+        audit = shard.audit(drawn["vec_id"].to_numpy() if len(drawn) else np.zeros(0, np.int64), some, target)
+        values = [table["shard"][0].as_py(), table["dim"][0].as_py(), shard.save(), shard.graph.n, *audit]
+        return pa.table({n: pa.array([v], t) for (n, t), v in zip(built, values)})
+
+    built = [("shard", pa.int32()), ("dim", pa.int32()), ("graph", pa.binary()), *((c, pa.int64()) for c in ("nodes", "width", "found", "links"))]
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    share = min(1.0, AUDIT / max(1, n))
+    drawn = valid.filter(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).withColumn("shard", every)
+    pairs = sharded.groupBy("dim", "shard").cogroup(drawn.groupBy("dim", "shard"))
+    graphs = kept(pairs.applyInArrow(build, "shard int, dim int, graph binary, nodes long, width long, found long, links long"), "graphs")
+    audits = kept(graphs.drop("graph"), "audits")
     blocks = max(1, -(-n // (QUERIES * 8)))
     asked = sharded.withColumnRenamed("shard", "own").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    given = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = asked.withColumn("shard", every)
+    given = graphs.select("shard", "dim", "graph", "width").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     schema = pa.schema([("vec_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def ask(queries: pa.Table, graph: pa.Table) -> pa.Table:
         if not len(queries) or not len(graph):
             return schema.empty_table()
         shard = Shard.load(graph["graph"][0].as_py())
-        number = graph["shard"][0].as_py()
+        number, width = graph["shard"][0].as_py(), graph["width"][0].as_py()
         ids, own = queries["vec_id"].to_numpy(), queries["own"].to_numpy() == number
         unit = np.frombuffer(b"".join(queries["unit"].to_pylist()), "<f8").reshape(len(ids), -1)
         counts, edges = [], []
@@ -377,7 +443,7 @@ def near_links(vectors: DataFrame, threshold: float = 0.9, shards: int | None =
             at = np.flatnonzero(own == mine)
             for i in range(0, len(at), QUERIES):
                 part = at[i : i + QUERIES]
-                count, found, _ = shard.links(ids[part], unit[part], target, mine)
+                count, found, _ = shard.links(ids[part], unit[part], target, mine, width)
                 hit = np.flatnonzero(count)
                 counts += zip(ids[part[hit]].tolist(), count[hit].tolist())
                 edges += found
@@ -387,16 +453,16 @@ def near_links(vectors: DataFrame, threshold: float = 0.9, shards: int | None =
         y = [None] * len(counts) + [e[1] for e in edges]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (a, n_, x, y)], schema=schema)
 
-    pairs = asked.groupBy("dim", "shard", "block").cogroup(given.groupBy("dim", "shard", "block"))
-    found = kept(pairs.applyInArrow(ask, "vec_id long, n long, a long, b long"), "links")
+    asking = asked.groupBy("dim", "shard", "block").cogroup(given.groupBy("dim", "shard", "block"))
+    found = kept(asking.applyInArrow(ask, "vec_id long, n long, a long, b long"), "links")
     drop(graphs)
     links = found.filter("n is not null").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    return links, found.filter("a is not null").select("a", "b"), units
+    return links, found.filter("a is not null").select("a", "b"), units, audits
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, **options) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
-    links, edges, units = near_links(vectors, threshold, **options)
+    links, edges, units, _ = near_links(vectors, threshold, **options)
     ids = units.select("vec_id").unionByName(vectors.filter("vec_id is null").select(F.col("vec_id").cast("long")))
     rows = ids.join(links, "vec_id", "left").join(components(edges).withColumnRenamed("node", "vec_id"), "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")

@@ -119,3 +119,33 @@ def test_double_precision_at_the_threshold(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(df).orderBy(F.col("vec_id")).collect()}
     assert got == {0: 0, 1: 0, 2: 1, 3: 1}
+
+
+def unit_rows(x):
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_sparse_links_into_a_foreign_shard():
+    # 16 of 512 queries have one link each, none of them where a fixed step would look
+    rng = np.random.default_rng(4)
+    shard = hnsw.Shard(np.arange(6000), unit_rows(rng.normal(size=(6000, 128))), 0.6)
+    q = unit_rows(rng.normal(size=(512 * 8, 128)))
+    at = np.flatnonzero(np.arange(len(q)) % 32 == 5)
+    x = shard.centre[rng.integers(0, shard.graph.n, len(at))]
+    side = rng.normal(size=x.shape)
+    side = unit_rows(side - np.einsum("nd,nd->n", side, x)[:, None] * x)
+    q[at] = 0.61 * x + np.sqrt(1 - 0.61**2) * side
+    true = (q @ shard.unit.T >= 0.6).sum(1)
+    assert true.sum() == len(at)
+    got = sum(shard.links(np.arange(i, i + 512) + 10**6, q[i : i + 512], 0.98, False)[0].sum() for i in range(0, len(q), 512))
+    assert got >= 0.94 * true.sum()
+    _, hits, links = shard.audit(np.arange(len(q)) + 10**6, q, 0.98)
+    assert links >= hnsw.EVIDENCE and hits >= 0.98 * links
+
+
+def test_audits_of_all_shards(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(4000, 24)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    audits = hnsw.near_links(df)[3].collect()
+    assert len(audits) == 4 and all(a.links >= hnsw.EVIDENCE and a.found >= 0.98 * a.links for a in audits)
