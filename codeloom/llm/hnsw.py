@@ -67,6 +67,9 @@ class Graph:
         self.level = np.zeros(size, np.int8)
         self.neighbours = [np.full((size, 2 * M), -1, np.int32)]
         self.held = [np.zeros(size, np.int32)]
+        # each layer has a tree, whose links both ways are never replaced: every node is reached from every other
+        self.safe = [np.zeros((size, 2 * M), bool)]
+        self.parent = [np.full(size, -1, np.int32)]
 
     def entry(self) -> np.ndarray:
         top = np.flatnonzero(self.level[: self.n] == len(self.neighbours) - 1)
@@ -144,26 +147,55 @@ class Graph:
         return out
 
     def connect(self, layer: int, node: int, others: np.ndarray) -> None:
-        links, held = self.neighbours[layer], self.held[layer]
+        links, held, safe = self.neighbours[layer], self.held[layer], self.safe[layer]
         room = links.shape[1]
         links[node, : len(others)] = others
         held[node] = len(others)
+        if not len(others):
+            return  # the first of its layer
+        parent = self.adopt(layer, node, int(others[0]))
         for o in others.tolist():
+            if o == parent:
+                continue
             if held[o] < room:
                 links[o, held[o]] = node
                 held[o] += 1
             else:
-                # replace the farthest if the new node is nearer, but never a node's only way in
-                sims = self.x[links[o]] @ self.x[o]
+                # replace the farthest if the new node is nearer, but never a link of the tree
+                sims = np.where(safe[o], 2.0, self.x[links[o]] @ self.x[o])
                 far = int(np.argmin(sims))
                 if self.x[node] @ self.x[o] > sims[far]:
                     links[o, far] = node
 
+    def adopt(self, layer: int, node: int, parent: int) -> int:
+        """Hang a new node into the layer's tree, at ``parent`` or, as a node holds at most half its links for the tree,
+        at the nearest below it."""
+        links, held, safe, parents = self.neighbours[layer], self.held[layer], self.safe[layer], self.parent[layer]
+        room = links.shape[1]
+        while safe[parent].sum() >= room // 2:
+            below = links[parent][safe[parent]]
+            below = below[parents[below] == parent]
+            parent = int(below[np.argmax(self.x[below] @ self.x[node])])
+        for a, b in ((parent, node), (node, parent)):
+            at = np.flatnonzero(links[a] == b)
+            if len(at):
+                place = int(at[0])
+            elif held[a] < room:
+                place = int(held[a])
+                held[a] += 1
+            else:
+                place = int(np.argmin(np.where(safe[a], 2.0, self.x[links[a]] @ self.x[a])))
+            links[a, place], safe[a, place] = b, True
+        parents[node] = parent
+        return parent
+
     def add(self, q: np.ndarray, levels: np.ndarray) -> None:
         """Insert new nodes, as one batch that also sees itself."""
         while len(self.neighbours) <= min(int(levels.max()), 6):
             self.neighbours.append(np.full((len(self.x), M), -1, np.int32))
             self.held.append(np.zeros(len(self.x), np.int32))
+            self.safe.append(np.zeros((len(self.x), M), bool))
+            self.parent.append(np.full(len(self.x), -1, np.int32))
         first = self.n
         ids = np.arange(first, first + len(q), dtype=np.int32)
         found = {}

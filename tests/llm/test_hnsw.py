@@ -149,3 +149,35 @@ def test_audits_of_all_shards(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
     audits = hnsw.near_links(df)[3].collect()
     assert len(audits) == 4 and all(a.links >= hnsw.EVIDENCE and a.found >= 0.98 * a.links for a in audits)
+
+
+def reached(links, start):
+    seen, todo = set(start), list(start)
+    while todo:
+        for o in links[todo.pop()].tolist():
+            if o >= 0 and o not in seen:
+                seen.add(o)
+                todo.append(o)
+    return seen
+
+
+def test_every_node_is_reached_from_every_other():
+    # far outliers meet the middle of a dense group, whose nodes are full of nearer links
+    rng = np.random.default_rng(3)
+    side = lambda k: unit_rows(rng.normal(size=(k, 128)))
+    c = np.eye(128)[0]
+    x = unit_rows(np.concatenate([c + 0.3 * side(40), c + 0.6 * side(3000), 0.25 * c + side(300)]))
+    g = hnsw.Shard(rng.permutation(len(x)), x, 0.95).graph
+    for layer, links in enumerate(g.neighbours):
+        nodes = set(np.flatnonzero(g.level[: g.n] >= layer).tolist())
+        for start in rng.choice(sorted(nodes), 5).tolist():
+            assert reached(links, [start]) == nodes
+
+
+def test_queries_that_no_beam_answers_are_compared_with_all_nodes():
+    rng = np.random.default_rng(7)
+    shard = hnsw.Shard(np.arange(3000), unit_rows(rng.normal(size=(3000, 32))), 0.5)
+    shard.graph.neighbours[0][:] = -1  # nothing is reached
+    q = shard.unit[:200]
+    count, _, _ = shard.links(np.arange(200) + 10**6, q, 0.98, False)
+    assert (count == (q @ shard.unit.T >= 0.5).sum(1)).all()
