@@ -12,11 +12,12 @@ equal windows take equal suffixes. Neighbouring windows with one suffix form a s
    earlier elsewhere are found by the same family.
 3. Repeated windows become spans of bytes to remove; overlapping ones are one.
 
-A text's order is its doc_id, then its place; all is judged on the input, not on what is left. Fingerprints have 64 bits.
+A document is a doc_id and a 64-bit digest of its text. Its order is the doc_id, then the digest, then the place; all is
+judged on the input, not on what is left. Fingerprints have 64 bits.
 
-Null text: empty. Null doc_id: before all others. Repeated rows: rows with one doc_id and text have one place and get the
-same result; rows with one doc_id and other texts get what is found for any of them, within their length. Empty table: no
-rows. Other columns are not read.
+Null text: empty. Null doc_id: before all others. Repeated rows: rows with one doc_id (or none) and one text are one
+document and get the same result; rows with one doc_id, or none, and other texts are documents of their own. Empty table:
+no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import ranges
@@ -128,20 +129,40 @@ def _batches(least: np.ndarray, most: np.ndarray) -> list[list[int]]:
     return out
 
 
-def _blob(doc_ids: np.ndarray, place: np.ndarray, more: bytes) -> bytes:
-    """First doc_id, then ids and places of entries, in few bytes."""
-    base = doc_ids.min()
-    gap = (doc_ids - base).astype(U64)
+def _blob(doc_ids: np.ndarray, texts: np.ndarray, place: np.ndarray, more: bytes) -> bytes:
+    """First doc_id, then id, digest and number of entries of each run of entries of a document, and places of entries."""
+    head = np.flatnonzero(np.concatenate([[True], (doc_ids[1:] != doc_ids[:-1]) | (texts[1:] != texts[:-1])]))
+    times = np.diff(np.append(head, len(doc_ids)))
+    own = doc_ids[head]
+    base = own.min()
+    gap = (own - base).astype(U64)
     wide = gap.max() >= U64(1 << 32)
-    return np.array([base, int(wide), doc_ids.max()], "<i8").tobytes() + ranges.planes(gap, "<u8" if wide else "<u4") + ranges.planes(place, "<u4") + more
-
-
-def _unblob(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, bytes, int, int]:
-    base, wide, top = np.frombuffer(data, "<i8", 3).tolist()
-    size = (8 if wide else 4) * n
-    gap = ranges.from_planes(data[24 : 24 + size], n, "<u8" if wide else "<u4")
-    place = ranges.from_planes(data[24 + size : 24 + size + 4 * n], n, "<u4")
-    return gap.astype(U64).view(np.int64) + base, place.astype(np.int64), data[24 + size + 4 * n :], base, top
+    fixed = np.array([base, int(wide), own.max(), len(head)], "<i8").tobytes()
+    return fixed + ranges.planes(gap, "<u8" if wide else "<u4") + texts[head].astype("<i8").tobytes() + ranges.planes(times, "<u4") + ranges.planes(place, "<u4") + more
+
+
+def _unblob(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, int, int]:
+    """doc_id, digest and place of entries, the rest, least and largest doc_id."""
+    base, wide, top, m = np.frombuffer(data, "<i8", 4).tolist()
+    size = 8 if wide else 4
+    at = 32
+    gap = ranges.from_planes(data[at : at + size * m], m, "<u8" if wide else "<u4")
+    at += size * m
+    texts = np.frombuffer(data, "<i8", m, at)
+    at += 8 * m
+    times = ranges.from_planes(data[at : at + 4 * m], m, "<u4")
+    at += 4 * m
+    place = ranges.from_planes(data[at : at + 4 * n], n, "<u4")
+    return np.repeat(gap.astype(U64).view(np.int64) + base, times), np.repeat(texts, times), place.astype(np.int64), data[at + 4 * n :], base, top
+
+
+def _numbers(doc: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Documents numbered in their order."""
+    order = np.lexsort((texts, doc))
+    d, t = doc[order], texts[order]
+    out = np.empty(len(doc), np.int64)
+    out[order] = np.cumsum(np.concatenate([[False], (d[1:] != d[:-1]) | (t[1:] != t[:-1])])[: len(d)])
+    return out
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -157,23 +178,23 @@ def _send(bits: int, span: int, gram: int):
         def flush() -> list[tuple]:
             nonlocal held
             batch = next(numbers)
-            doc, place, n, f, whole = (np.concatenate(c) for c in zip(*parts))
+            doc, texts, place, n, f, whole = (np.concatenate(c) for c in zip(*parts))
             parts.clear()
             held = 0
             out = []
             for r, at in ranges.dealt(f, bits):
                 more = ranges.low48(f[at]) + ranges.low48(whole[at]) + n[at].astype("u1").tobytes()
-                out.append((r, batch, 0, len(at), None, _blob(doc[at], place[at], more)))
+                out.append((r, batch, 0, len(at), None, _blob(doc[at], texts[at], place[at], more)))
             return out
 
         for batch in batches:
-            ids = _ids(batch.column(0))
-            buf, off = flat(batch.column(1))
+            ids, digests = _ids(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            buf, off = flat(batch.column(2))
             for i, j in chunks(off):
                 a = off[i]
                 doc, begin, n, f, whole = segments(buf[a : off[j]], off[i : j + 1] - a, span, gram)
                 if len(doc):
-                    parts.append((ids[i + doc], begin - (off[i + doc] - a), n, f, whole))
+                    parts.append((ids[i + doc], digests[i + doc], begin - (off[i + doc] - a), n, f, whole))
                 held += int(off[j] - a)
                 if held >= FLUSH and parts:
                     yield ranges.rows(flush())
@@ -188,45 +209,46 @@ def _scan(found: list[dict]) -> list[tuple]:
     cols = [_unblob(r["blob"], r["n"]) for r in found]
     n = np.array([r["n"] for r in found])
     base = np.cumsum(n) - n
-    doc, place = (np.concatenate([c[k] for c in cols]) for k in (0, 1))
-    gram = np.concatenate([ranges.from48(c[2], r["n"]) for c, r in zip(cols, found)])
-    whole = np.concatenate([ranges.from48(c[2][6 * r["n"] :], r["n"]) for c, r in zip(cols, found)])
-    wins = np.concatenate([np.frombuffer(c[2], "u1", r["n"], 12 * r["n"]) for c, r in zip(cols, found)])
+    doc, texts, place = (np.concatenate([c[k] for c in cols]) for k in (0, 1, 2))
+    number = _numbers(doc, texts)
+    gram = np.concatenate([ranges.from48(c[3], r["n"]) for c, r in zip(cols, found)])
+    whole = np.concatenate([ranges.from48(c[3][6 * r["n"] :], r["n"]) for c, r in zip(cols, found)])
+    wins = np.concatenate([np.frombuffer(c[3], "u1", r["n"], 12 * r["n"]) for c, r in zip(cols, found)])
     key = (whole << U64(16)) ^ gram
     status = np.zeros(len(doc), np.uint8)
     family = Family()
-    for group in _batches(np.array([c[3] for c in cols]), np.array([c[4] for c in cols])):
+    for group in _batches(np.array([c[4] for c in cols]), np.array([c[5] for c in cols])):
         own = np.concatenate([np.arange(base[i], base[i] + n[i]) for i in group])
-        status[own[family.add(key[own], gram[own], doc[own], place[own], own)]] = REPEAT
+        status[own[family.add(key[own], gram[own], number[own], place[own], own)]] = REPEAT
     _, grams, _, _, index = family.whole()
     _, back, times = np.unique(grams, return_inverse=True, return_counts=True)
     status[index[times[back] > 1]] = CONTESTED
-    # rows repeated under one doc_id have one place and one fate
+    # repeated rows have one place and one fate
     out = []
     for r, a, e in zip(found, base, base + n):
         at = np.flatnonzero(status[a:e]) + a
         if len(at):
             more = status[at].tobytes() + wins[at].tobytes()
-            out.append((r["rng"], r["batch"], 0, len(at), None, _blob(doc[at], place[at], more)))
+            out.append((r["rng"], r["batch"], 0, len(at), None, _blob(doc[at], texts[at], place[at], more)))
     return out
 
 
-_SPANS = pa.schema([("key", pa.int64()), ("repeats", pa.binary()), ("contested", pa.binary())])
+_SPANS = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("repeats", pa.binary()), ("contested", pa.binary())])
 
 
 def _gather(found: list[dict]) -> pa.RecordBatch:
     """A row per document: first window and number of windows of its repeated and of its contested segments."""
     cols = [_unblob(r["blob"], r["n"]) for r in found]
-    doc, place = (np.concatenate([c[k] for c in cols]) for k in (0, 1))
-    status = np.concatenate([np.frombuffer(c[2], "u1", r["n"]) for c, r in zip(cols, found)])
-    wins = np.concatenate([np.frombuffer(c[2], "u1", r["n"], r["n"]) for c, r in zip(cols, found)])
-    order = np.lexsort((place, doc))
-    doc, status = doc[order], status[order]
+    doc, texts, place = (np.concatenate([c[k] for c in cols]) for k in (0, 1, 2))
+    status = np.concatenate([np.frombuffer(c[3], "u1", r["n"]) for c, r in zip(cols, found)])
+    wins = np.concatenate([np.frombuffer(c[3], "u1", r["n"], r["n"]) for c, r in zip(cols, found)])
+    order = np.lexsort((place, texts, doc))
+    doc, texts, status = doc[order], texts[order], status[order]
     pairs = np.stack([place[order], wins[order]], 1).astype("<u4")
-    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (texts[1:] != texts[:-1])]))
     ends = np.append(cuts[1:], len(doc))
     kinds = [[pairs[a:e][status[a:e] == s].tobytes() or None for a, e in zip(cuts, ends)] for s in (REPEAT, CONTESTED)]
-    return pa.RecordBatch.from_arrays([pa.array(doc[cuts]), *(pa.array(k, pa.binary()) for k in kinds)], schema=_SPANS)
+    return pa.RecordBatch.from_arrays([pa.array(doc[cuts]), pa.array(texts[cuts]), *(pa.array(k, pa.binary()) for k in kinds)], schema=_SPANS)
 
 
 def _send_windows(bits: int, span: int):
@@ -238,21 +260,21 @@ def _send_windows(bits: int, span: int):
         def flush() -> list[tuple]:
             nonlocal held
             batch = next(numbers)
-            doc, place, f = (np.concatenate(c) for c in zip(*parts))
+            doc, texts, place, f = (np.concatenate(c) for c in zip(*parts))
             parts.clear()
             held = 0
-            return [(r, batch, 0, len(at), None, _blob(doc[at], place[at], ranges.low48(f[at]))) for r, at in ranges.dealt(f, bits)]
+            return [(r, batch, 0, len(at), None, _blob(doc[at], texts[at], place[at], ranges.low48(f[at]))) for r, at in ranges.dealt(f, bits)]
 
         for batch in batches:
-            ids = _ids(batch.column(0))
-            buf, off = flat(batch.column(1))
-            for i, contested in enumerate(batch.column(2).to_pylist()):
+            ids, digests = _ids(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            buf, off = flat(batch.column(2))
+            for i, contested in enumerate(batch.column(3).to_pylist()):
                 pairs = np.frombuffer(contested, "<u4").reshape(-1, 2).astype(np.int64)
                 text = buf[off[i] : off[i + 1]]
                 f = windows_hash(text, span)
                 at = np.unique(np.repeat(pairs[:, 0], pairs[:, 1]) + runs(pairs[:, 1]))
                 at = at[at < len(f)]
-                parts.append((np.full(len(at), ids[i]), at, f[at]))
+                parts.append((np.full(len(at), ids[i]), np.full(len(at), digests[i]), at, f[at]))
                 held += len(at)
                 if held >= FLUSH // 8:
                     yield ranges.rows(flush())
@@ -266,18 +288,19 @@ def _scan_windows(found: list[dict]) -> list[tuple]:
     cols = [_unblob(r["blob"], r["n"]) for r in found]
     n = np.array([r["n"] for r in found])
     base = np.cumsum(n) - n
-    doc, place = (np.concatenate([c[k] for c in cols]) for k in (0, 1))
-    key = np.concatenate([ranges.from48(c[2], r["n"]) for c, r in zip(cols, found)])
+    doc, texts, place = (np.concatenate([c[k] for c in cols]) for k in (0, 1, 2))
+    number = _numbers(doc, texts)
+    key = np.concatenate([ranges.from48(c[3], r["n"]) for c, r in zip(cols, found)])
     repeat = np.zeros(len(doc), bool)
     family = Family()
-    for group in _batches(np.array([c[3] for c in cols]), np.array([c[4] for c in cols])):
+    for group in _batches(np.array([c[4] for c in cols]), np.array([c[5] for c in cols])):
         own = np.concatenate([np.arange(base[i], base[i] + n[i]) for i in group])
-        repeat[own[family.add(key[own], key[own], doc[own], place[own], own)]] = True
+        repeat[own[family.add(key[own], key[own], number[own], place[own], own)]] = True
     out = []
     for r, a, e in zip(found, base, base + n):
         at = np.flatnonzero(repeat[a:e]) + a
         if len(at):
-            out.append((r["rng"], r["batch"], 0, len(at), None, _blob(doc[at], place[at], bytes([REPEAT]) * len(at) + b"\x01" * len(at))))
+            out.append((r["rng"], r["batch"], 0, len(at), None, _blob(doc[at], texts[at], place[at], bytes([REPEAT]) * len(at) + b"\x01" * len(at))))
     return out
 
 
@@ -291,27 +314,32 @@ def _cover(pieces: list[bytes], span: int) -> np.ndarray:
     return np.stack([begin[new], np.append(end[:-1][new[1:]], end[-1])], 1)
 
 
+def _document() -> list[Column]:
+    """What a row's document is known by, as ``key`` and ``digest``."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("digest")]
+
+
 def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """``key`` (doc_id) and ``spans`` (32-bit starts and ends of the bytes to remove) of documents with any."""
+    """``key`` (doc_id), ``digest`` and ``spans`` (32-bit starts and ends of the bytes to remove) of documents with any."""
     bits = ranges.range_bits(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), "text")
-    ddl = "key long, repeats binary, contested binary"
+    texts = docs.select(*_document(), "text")
+    ddl = "key long, digest long, repeats binary, contested binary"
     scanned = ranges.by_range(texts.mapInArrow(_send(bits, span, gram), ranges.BLOBS), _scan)
     marks = kept(ranges.by_batch(scanned, _gather, ddl), "suffix-segments")
-    contested = marks.filter("contested is not null").groupBy("key").agg(F.array_join(F.collect_set(F.hex("contested")), "").alias("contested"))
-    contested = contested.select("key", F.unhex("contested").alias("contested"))
+    contested = marks.filter("contested is not null").groupBy("key", "digest").agg(F.array_join(F.collect_set(F.hex("contested")), "").alias("contested"))
+    contested = contested.select("key", "digest", F.unhex("contested").alias("contested"))
     # merge joins at every size: the side of the marks grows with the corpus
-    asked = texts.join(contested.hint("merge"), "key").mapInArrow(_send_windows(bits, span), ranges.BLOBS)
+    asked = texts.join(contested.hint("merge"), ["key", "digest"]).mapInArrow(_send_windows(bits, span), ranges.BLOBS)
     windows = ranges.by_batch(ranges.by_range(asked, _scan_windows), _gather, ddl)
-    pieces = marks.select("key", "repeats").unionByName(windows.select("key", "repeats")).filter("repeats is not null")
+    pieces = marks.select("key", "digest", "repeats").unionByName(windows.select("key", "digest", "repeats")).filter("repeats is not null")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_cover(x, span).astype("<u4").tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "spans"])
+            out = [_cover(x, span).astype("<u4").tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["key", "digest", "spans"])
 
-    grouped = pieces.groupBy("key").agg(F.collect_set("repeats").alias("repeats"))
-    found = kept(grouped.mapInArrow(spans, "key long, spans binary"), "suffix-spans")
+    grouped = pieces.groupBy("key", "digest").agg(F.collect_set("repeats").alias("repeats"))
+    found = kept(grouped.mapInArrow(spans, "key long, digest long, spans binary"), "suffix-spans")
     drop(marks)
     return found
 
@@ -363,9 +391,10 @@ def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Data
 
 def _applied(docs: DataFrame, carry: tuple[str, ...], row, added: str, span: int, gram: int) -> DataFrame:
     """The ``carry`` columns and what ``row`` makes of each text and its spans."""
-    spans = repeated_spans(docs, span, gram).withColumnsRenamed({"key": "__key", "spans": "__spans"})
-    own = docs.select(*carry, F.col("text").alias("__text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__key"))
-    joined = own.join(spans.hint("merge"), "__key", "left").select(*carry, "__text", "__spans")
+    spans = repeated_spans(docs, span, gram).withColumnsRenamed({"key": "__key", "digest": "__digest", "spans": "__spans"})
+    key, digest = _document()
+    own = docs.select(*carry, F.col("text").alias("__text"), key.alias("__key"), digest.alias("__digest"))
+    joined = own.join(spans.hint("merge"), ["__key", "__digest"], "left").select(*carry, "__text", "__spans")
     names = [f.split()[0] for f in added.split(", ")]
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     kinds = [types[f.split()[1]] for f in added.split(", ")]

@@ -100,3 +100,21 @@ def test_texts_without_repeats(spark):
     got = {r.doc_id: r for r in suffix.without_repeats(frame).collect()}
     assert suffix.without_repeats(frame).columns == frame.columns
     assert got[1].text is None and got[9].text == "" and got[11].text == "fin" and got[10].text.endswith(" ß")
+
+
+def test_rows_of_one_id_or_none_with_different_texts(spark):
+    rng = random.Random(4)
+    fresh = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = fresh(300)
+    rows = [(None, fresh(500) + passage + fresh(200)), (None, fresh(500) + passage + fresh(90)), (None, fresh(2000))]
+    rows += [(7, fresh(700)), (7, passage + fresh(400)), (7, fresh(40) + passage), (8, fresh(900)), (7, None), (None, "")]
+    rows += [rows[0], rows[5]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    digest = {r.text: r.d for r in df.selectExpr("text", "xxhash64(text) d").collect()}
+    # documents in their order: no id first, then by id, by digest within
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, digest[r[1]]))
+    want = expected({k: r[1] for k, r in enumerate(order)})
+    place = {r: k for k, r in enumerate(order)}
+    assert sum(w[1] >= 300 for w in want.values()) == 3  # one copy of the passage stays
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.suffix_digests(df).collect())
+    assert got == sorted((r[0] is not None, r[0] or 0, *want[place[r]]) for r in rows)
