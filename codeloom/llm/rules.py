@@ -2,10 +2,12 @@
 
 Counts of each whole text come from numpy over flat bytes. A rule rejects a text whose statistic is at or beyond a cutoff
 of a fixed grid. For each stratum, rule and cutoff, labelled good documents give an exact (Clopper-Pearson) upper bound of
-the rule's false rejection rate at level ``delta`` divided by the number of tests (Bonferroni over strata, rules and
-cutoffs). Cutoffs with a bound of at most ``alpha`` / rules are allowed, so that all rules together reject at most
-``alpha`` of a stratum's good documents with confidence ``1 - delta``. Of these, the one with the best balance of labelled
-bad and good documents rejected is taken (a good one weighs ``GOOD_WEIGHS`` bad ones), and none if that is not positive.
+the rule's false rejection rate at level ``delta`` divided by strata and rules (Bonferroni). A rule's cutoffs are tested in
+a fixed order, from the one that rejects least on, up to the first whose bound exceeds ``alpha`` / rules, so they need no
+further division; as what they reject only grows, those before it are all with a smaller bound. They are allowed, so that
+all rules together reject at most ``alpha`` of a stratum's good documents with confidence ``1 - delta``. Of these, the one
+with the best balance of labelled bad and good documents rejected is taken (a good one weighs ``GOOD_WEIGHS`` bad ones),
+and none if that is not positive.
 
 Null or empty text: all counts 0, base_failed. Null stratum: a stratum of its own. A stratum with too few labels gets no
 cutoffs and keeps all that pass the base rules. Several labels of one document: good if any says so; null labels count
@@ -134,7 +136,7 @@ def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float, delta: float) ->
     sums = sums.withColumns({"n_good": F.sum("good").over(own), "good_out": F.sum("good").over(beyond), "bad_out": F.sum("bad").over(beyond)})
     strata = counts.agg(F.countDistinct("stratum").alias("strata"))
     tested = sums.filter(f"bin > 0 and bad_out > {GOOD_WEIGHS} * good_out").join(F.broadcast(strata))  # one row
-    level = delta / (len(RULES) * len(GRID))
+    level = delta / len(RULES)
 
     def bound(frames):
         for f in frames:

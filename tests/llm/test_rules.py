@@ -92,3 +92,17 @@ def test_odd_rows_and_empty_tables(spark):
         by = {r.doc_id: r for r in rows}
         assert by[1].base_failed and by[1].n_words == 0 and by[8].n_words == 60_000 and by[13].n_words == 1
     assert rules.judge(no_rows(spark), labels).count() == 0
+
+
+def test_query_where_a_cutoff_is_chosen(spark, tmp_path):
+    # some 700 good labels a stratum: enough for rules and strata, not for a further split over the cutoffs
+    docs, frame, labels = made(spark, 2000)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = {r.doc_id: r for r in QUERIES["op8_quality_rules"](spark, str(tmp_path)).collect()}
+    good = [d for d in docs if d[2] == "a" and not d[3]]
+    bad = [d for d in docs if d[2] == "a" and d[3]]
+    assert 600 < len(good) < 800
+    assert sum("symbols" in rows[d[0]].rejected_by for d in bad) > 0.8 * len(bad)
+    assert sum(not rows[d[0]].kept for d in good) <= 0.05 * len(good)
+    assert all(rows[d[0]].kept for d in docs if d[2] == "b")
