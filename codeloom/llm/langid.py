@@ -148,29 +148,33 @@ class Model:
         scores[~voiced] = 0
         return first, voiced, forward_backward(scores, np.diff(first), self.move, self.start)
 
-    def predict(self, buf: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text."""
+    def predict(self, buf: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and score of each text, and its words' certainty: the mean of their largest probabilities."""
         langs: list[str] = []
-        scores = []
+        scores, sure = [], []
         for i, j in chunks(off, BATCH):
             a = off[i]
             own, cut = buf[a : off[j]], off[i : j + 1] - a
             first, voiced, p = self.word_probabilities(own, cut)
             votes = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(p * voiced[:, None], axis=0)])
             votes = votes[first[1:]] - votes[first[:-1]]
+            top = np.concatenate([[0], np.cumsum(p.max(1) * voiced)])
             n = np.diff(np.concatenate([[0], np.cumsum(voiced)])[first])
             ascii_letters = np.diff(np.concatenate([[0], np.cumsum(_LETTER[own] & (own < 0x80))])[cut])
             share = votes / np.maximum(n, 1)[:, None]
             share = np.round(share, 6)  # sums depend on the batch in their last digits
             best = np.argmax(share, axis=1)
+            certain = np.round((top[first[1:]] - top[first[:-1]]) / np.maximum(n, 1), 6)
             for d in range(j - i):
                 if n[d] and (ascii_letters[d] or any(c.isalpha() for c in own[cut[d] : cut[d + 1]].tobytes().decode())):
                     langs.append(self.langs[best[d]])
                     scores.append(min(1.0, max(0.0, float(share[d, best[d]]))))
+                    sure.append(min(1.0, float(certain[d])))
                 else:
                     langs.append(UND)
                     scores.append(0.0)
-        return langs, np.array(scores)
+                    sure.append(0.0)
+        return langs, np.array(scores), np.array(sure)
 
 
 def marginals(scores: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,8 +270,9 @@ def train(docs: DataFrame, key: Column, per_lang: int = PER_LANG) -> Model:
     return fit([r.part.encode() for r in rows], [r.lang for r in rows])
 
 
-def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The ``carry`` columns, predicted language and score of each row (under ``names``); they depend on ``text`` alone."""
+def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """The ``carry`` columns, predicted language and score of each row (under ``names``), with a third name also the
+    certainty of its words; they depend on ``text`` alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = carry.index("text") if "text" in carry else len(carry)
 
@@ -275,11 +280,11 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)
         field = shared.value
         for batch in batches:
             if field.langs:
-                langs, scores = field.predict(*flat(batch.column(at)))
+                langs, *numbers = field.predict(*flat(batch.column(at)))
             else:
-                langs, scores = [UND] * batch.num_rows, np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*carry, *names])
+                langs, *numbers = [UND] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(langs, pa.string()), *(pa.array(x, pa.float64()) for x in numbers[: len(names) - 1])], [*carry, *names])
 
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     own = docs.select(*carry) if "text" in carry else docs.select(*carry, "text")
-    return own.mapInArrow(predict, f"{types}, `{names[0]}` string, `{names[1]}` double")
+    return own.mapInArrow(predict, f"{types}, `{names[0]}` string, " + ", ".join(f"`{x}` double" for x in names[1:]))

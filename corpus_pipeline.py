@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.llm import jaccard, langid, mixing, packing, queries, suffix
 from codeloom.llm.storage import kept, ship
 
-#: A text whose words speak for no language more than by half is not a text in a known language.
+#: A text whose words speak, each for its own, for no language more than by half is not a text in known languages.
 LEAST_SCORE = 0.5
 #: Share of the tokens that the mix keeps; no text is repeated.
 MIX_PERCENT = 90
@@ -20,8 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drop texts without letters and texts whose language the field can't tell. Learns from the documents' labels."""
     ship(spark)
     model = langid.train(docs, F.col("doc_id"))
-    found = langid.identify(docs, model, tuple(docs.columns), ("__lang", "__score"))
-    return found.filter((F.col("__lang") != langid.UND) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    found = langid.identify(docs, model, tuple(docs.columns), ("__lang", "__score", "__sure"))
+    return found.filter((F.col("__lang") != langid.UND) & (F.col("__sure") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

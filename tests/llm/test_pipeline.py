@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import pytest
 from odd import SCHEMA, odd_frame
+from pyspark.sql import functions as F
 from test_jaccard import expected as components
 from test_packing import check, padding
 from test_suffix import expected as spans
 from test_tokens import encoder, ids_of  # noqa: F401
 
 import corpus_pipeline as pipeline
+from codeloom.llm import langid
 
 
 def table(df):
@@ -93,3 +95,18 @@ def test_odd_rows_go_through_every_stage(spark, sf):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_clean_text_of_three_languages_stays(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    words = {}
+    for r in docs.filter("n_chars > 300").orderBy("doc_id").collect():
+        words.setdefault(r.lang, []).extend(r.text.split()[:60])
+    parts = [words[k][:n] for k, n in zip(sorted(words)[:3], (45, 35, 20))]
+    assert [len(p) for p in parts] == [45, 35, 20]
+    mixed = docs.limit(1).collect()[0].asDict() | {"doc_id": 10**9, "text": " ".join(sum(parts, []))}
+    both = docs.unionByName(spark.createDataFrame([tuple(mixed[c] for c in docs.columns)], docs.schema))
+    model = langid.train(docs, F.col("doc_id"))
+    score = langid.identify(both.filter("doc_id = 1000000000"), model).collect()[0].score
+    assert score < pipeline.LEAST_SCORE
+    assert pipeline.identify_language(spark, both, sf).filter("doc_id = 1000000000").count() == 1
