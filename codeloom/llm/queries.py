@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import chat, hnsw, jaccard, langid, mixing, packing, rans, rules, suffix, warc
+from codeloom.llm import chat, hnsw, infill, jaccard, langid, mixing, packing, rans, rules, suffix, warc
 from codeloom.llm.registry import ORACLES, QUERIES, register, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -141,3 +141,31 @@ def language_id(spark: SparkSession, sf: str) -> DataFrame:
     model = langid.train(docs.filter(~held_out), F.col("doc_id"))
     found = langid.identify(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+FIM_SQL = """
+WITH units AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+        regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents
+), drawn AS (
+    SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS c2,
+        text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 AS whole,
+        ('0x' || h[25:32])::BIGINT % 100 < 20 AS suffix_first FROM units
+), parts AS (
+    SELECT doc_id, text, n, whole, suffix_first, array_to_string(u[:least(c1, c2)], '') AS p,
+        array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m, array_to_string(u[greatest(c1, c2) + 1:], '') AS s FROM drawn
+)
+SELECT doc_id, n, CASE WHEN whole THEN 'plain' WHEN suffix_first THEN 'spm' ELSE 'psm' END AS form,
+    CASE WHEN NOT whole THEN length(p) END AS prefix_chars, CASE WHEN NOT whole THEN length(m) END AS middle_chars,
+    sha256(CASE WHEN whole THEN text WHEN suffix_first THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@register("op12_fill_in_middle", FIM_SQL)
+def fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, sf, "documents"), seed=1, rate=90, spm_rate=20)
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    back = infill.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
