@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import chat, hnsw, infill, jaccard, langid, mixing, packing, rans, rules, suffix, warc
+from codeloom.llm import chat, hnsw, html, infill, jaccard, langid, mixing, packing, rans, rules, suffix, warc
 from codeloom.llm.registry import ORACLES, QUERIES, register, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -169,3 +169,19 @@ def fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
     digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
     back = infill.restore(F.col("output"), F.col("form"))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+# All pages of the given table have one article; its text stands in headings and paragraphs, some of them never closed.
+_BLOCK_TEXTS = r"""list_transform(regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:h1|p)>'),
+    lambda b: trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(b, '<br>', ' ', 'g'), '</?[a-z][^>]*>', '', 'g'),
+        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')))"""
+HTML_SQL = rf"""
+SELECT page_id, url, text, length(text) AS n_chars
+FROM (SELECT page_id, url, array_to_string(list_filter({_BLOCK_TEXTS}, lambda b: b <> ''), chr(10)) AS text FROM pages)
+"""
+
+
+@register("op13_html_extract", HTML_SQL)
+def html_extract(spark: SparkSession, sf: str) -> DataFrame:
+    found = html.main_text(table(spark, sf, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
