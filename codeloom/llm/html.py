@@ -261,20 +261,21 @@ def repeated_starts(streams: list[tuple[str | None, np.ndarray]]) -> tuple[np.nd
     return fps.view(np.int64), np.add.reduceat(fresh.astype(np.int64), at)
 
 
-def without_repeats(blocks: list[str], tokens: np.ndarray, starts: list[int]) -> tuple[str, int]:
-    """The open blocks less the words that lie in repeated runs, and how many words of the whole stream lie in such runs;
-    ``starts`` are the places of the runs in the page's stream, which begins with the open blocks."""
-    covered = np.zeros(len(tokens), bool)
+def without_repeats(blocks: list[str], starts: list[int]) -> tuple[str, int]:
+    """The open blocks less the words that lie in repeated runs, and how many those are; ``starts`` are the places of the
+    runs in the page's stream, which begins with the open blocks."""
+    words = [b.split() for b in blocks]
+    covered = np.zeros(sum(len(w) + 1 for w in words) + LENGTH, bool)
     for s in starts:
         covered[s : s + LENGTH] = True
-    out, at = [], 0
-    for b in blocks:
-        words = b.split()
-        left = [w for i, w in enumerate(words, at + 1) if not covered[i]]
-        at += len(words) + 1
+    out, at, removed = [], 1, 0
+    for own in words:
+        left = [w for i, w in enumerate(own, at) if not covered[i]]
+        at += len(own) + 1
+        removed += len(own) - len(left)
         if left:
             out.append(" ".join(left))
-    return "\n".join(out), int((covered & (tokens != _END)).sum())
+    return "\n".join(out), removed
 
 
 _RUNS = pa.schema([("fp", pa.int64()), ("n", pa.int64())])
@@ -337,15 +338,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, counts = [], []
         for r in batch.to_pylist():
-            text, n = without_repeats(r["opened"], np.frombuffer(r["stream"], U64), r["places"] or [])
-            texts.append(text if r["main"] is None else r["main"])
+            text, n = without_repeats(r["opened"], r["places"] or [])
+            texts.append(text)
             counts.append(n)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array(counts, pa.int64())], ["key", "url", "text", "n_repeated"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array(counts, pa.int64())], ["key", "url", "text", "n_removed"])
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
-    """Per row of ``pages``: key, url, ``text`` and ``n_repeated``, the words outside articles that stand in repeated runs
-    of the host."""
+    """Per row of ``pages``: key, url, ``text`` and ``n_removed``, the words of open blocks left out as repeats of the host."""
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), _host(url).alias("host"), F.col(html).cast("string").alias("html"))
     kind, link = (rows.schema[c].dataType.simpleString() for c in ("key", "url"))
     parsed = rows.mapInArrow(_read, f"key {kind}, url {link}, host string, main string, opened array<string>, stream binary, digest binary")
@@ -356,7 +356,10 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     counts = streams.mapInArrow(_count, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
     runs = kept(counts.filter(F.col("n") >= min_pages).select("fp"), "page-runs")
     few = runs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    asked = long.select("row", "host", "stream").mapInArrow(_ask, "row long, fp long, place int")
+    # an article is whole, so only pages without one ask for their runs and move
+    done = parsed.filter("main is not null").select("key", "url", F.col("main").alias("text"), F.lit(0).cast("long").alias("n_removed"))
+    asked = long.filter("main is null").select("row", "host", "stream").mapInArrow(_ask, "row long, fp long, place int")
     hits = asked.join(F.broadcast(runs) if few else runs, "fp", "left_semi").groupBy("row").agg(F.collect_list("place").alias("places"))
-    met = parsed.join(hits, "row", "left").select("key", "url", "main", "opened", "stream", "places")
-    return met.mapInArrow(_cut, f"key {kind}, url {link}, text string, n_repeated long").withColumnRenamed("key", key).withColumnRenamed("url", url)
+    met = parsed.filter("main is null").join(hits, "row", "left").select("key", "url", "opened", "places")
+    rest = met.mapInArrow(_cut, f"key {kind}, url {link}, text string, n_removed long")
+    return done.unionByName(rest).withColumnRenamed("key", key).withColumnRenamed("url", url)
