@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import chat, hnsw, html, infill, jaccard, langid, mixing, packing, rans, rules, suffix, warc
+from codeloom.llm import chat, hnsw, html, infill, jaccard, langid, mixing, packing, rans, rules, suffix, trie, warc
 from codeloom.llm.registry import ORACLES, QUERIES, register, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -185,3 +185,42 @@ FROM (SELECT page_id, url, array_to_string(list_filter({_BLOCK_TEXTS}, lambda b:
 def html_extract(spark: SparkSession, sf: str) -> DataFrame:
     found = html.main_text(table(spark, sf, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+# crc32 bit by bit; a node is the text of the digests of its turns
+TRIE_SQL = """
+WITH turns AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn FROM conversations
+), convs AS (
+    SELECT c, c - c % 100 AS base, xor(list_reduce([4294967295] || list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+        lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 AS h
+    FROM (SELECT DISTINCT c FROM turns)
+), rebuilt AS (
+    SELECT convs.c, 0 AS part, rn, role, text FROM convs JOIN turns ON turns.c = convs.base AND rn <= h
+    UNION ALL SELECT convs.c, 1, rn, role, text FROM convs JOIN turns ON turns.c = convs.c AND rn > h
+), steps AS (
+    SELECT c, row_number() OVER w AS d, length(text) AS chars, string_agg(sha256(length(role) || ':' || role || text), '') OVER w AS p
+    FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY part, rn)
+), members AS (
+    SELECT * FROM steps UNION ALL SELECT c, 0, 0, '' FROM convs
+), lasts AS (SELECT c, max(d) AS last FROM members GROUP BY c),
+nodes AS (
+    SELECT p, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+        sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = last), '')) AS ends_sha256
+    FROM members JOIN lasts USING (c) GROUP BY p
+), family AS (
+    SELECT a.*, (SELECT b.conv_id FROM nodes b WHERE a.depth > 0 AND b.p = left(a.p, 64 * (a.depth - 1))) AS parent_conv_id,
+        (SELECT count(*) FROM nodes b WHERE b.depth > 0 AND left(b.p, 64 * (b.depth - 1)) = a.p) AS n_children FROM nodes a
+)
+SELECT a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, count(*) FILTER (b.n_children = 0) AS n_leaves,
+    CAST(sum((b.n_convs - 1) * b.chars) AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM family a JOIN family b ON starts_with(b.p, a.p)
+GROUP BY a.p, a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, a.ends_sha256
+"""
+
+
+@register("op11_conversation_trie", TRIE_SQL)
+def conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    convs = trie.with_heads(trie.conversation_keys(table(spark, sf, "conversations")))
+    return trie.prefix_trie(convs).drop("node", "parent")
