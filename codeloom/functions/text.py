@@ -48,6 +48,8 @@ LINES_RUBY = _lexer(HASH_COMMENT, STRING, NAME_RUBY, NUMBER, OPERATOR, r"\n")
 LINE_ENDING = r"^(?:[\p{L}\p{N}_$@\"'`].*|[)\]}]|\+\+|--)$"
 
 _SEP = "\u0001"
+#: Stands behind a token after which a line break ends a statement.
+LINE = "\ue002"
 
 
 def _lex(code: Column, pattern: str, comment_starts: tuple[str, ...]) -> Column:
@@ -109,6 +111,31 @@ def statement_tokens(code: Column, lang: Column) -> Column:
     )
 
 
+def line_tokens(code: Column, lang: Column) -> Column:
+    """``tokenize_code`` in which a token of go, javascript or ruby that a line break ends as a statement has a line mark
+    behind it."""
+
+    def marked(pattern: str, comment_starts: tuple[str, ...]) -> Column:
+        def ends(tokens: Column) -> Column:
+            at_end = lambda t, i: F.coalesce(F.get(tokens, i + 1) == "\n", F.lit(False)) & F.rlike(t, F.lit(LINE_ENDING))
+            with_ends = F.transform(tokens, lambda t, i: F.when(at_end(t, i), F.concat(t, F.lit(" " + LINE))).otherwise(t))
+            return F.filter(with_ends, lambda t: t != "\n")
+
+        return let(_lex(code, pattern, comment_starts), ends)
+
+    return (
+        F.when(lang == "go", marked(LINES_GO, ("//", "/*")))
+        .when(lang == "javascript", marked(LINES_DOLLAR, ("//", "/*")))
+        .when(lang == "ruby", marked(LINES_RUBY, ("#",)))
+        .otherwise(tokenize_code(code, lang))
+    )
+
+
+def without_lines(lines: Column) -> Column:
+    """``line_tokens`` without line marks."""
+    return F.transform(lines, lambda t: F.replace(t, F.lit(" " + LINE), F.lit("")))
+
+
 def python_layout_tokens(code: Column, drop_docstrings: bool = False) -> Column:
     """Tokens of indented code with NEWLINE, INDENT and DEDENT markers.
 
@@ -303,7 +330,10 @@ def mask_strings(tokens: Column) -> Column:
     """
     return F.transform(
         tokens,
-        lambda t, i: F.when(F.rlike(t, F.lit("^[\"'`]")), F.concat(F.lit('"'), i.cast("string"), F.lit('"'))).otherwise(t),
+        lambda t, i: F.when(
+            F.rlike(t, F.lit("^[\"'`]")),
+            F.concat(F.lit('"'), i.cast("string"), F.when(F.endswith(t, F.lit(LINE)), F.lit('" ' + LINE)).otherwise(F.lit('"'))),
+        ).otherwise(t),
     )
 
 

@@ -73,15 +73,8 @@ def rewritten(
     """
     is_nl = F.col("lang") == "nl"
     df = df.withColumn("code", wrap_php(F.col("code"), F.col("lang")))
-    df = compute_once(
-        df.select("id", "lang", "code"),
-        tokens=F.when(is_nl, X.word_tokens(F.col("code"))).otherwise(X.tokenize_code(F.col("code"), F.col("lang"))),
-    )
-    df = compute_once(
-        df.select("id", "lang", "tokens"),
-        norm=X.normalized_code(F.col("tokens")),
-        masked=join_tokens(X.mask_strings(F.col("tokens"))),
-    )
+    lines = F.when(is_nl, X.word_tokens(F.col("code"))).otherwise(X.line_tokens(F.col("code"), F.col("lang")))
+    df = R.with_masks(df.select("id", "lang", "code"), lines).drop("code")
     df = filter_length(df, "norm", max_words)
     noised = F.struct(
         F.lit("SyntacticNoisingTransformation").alias("name"),

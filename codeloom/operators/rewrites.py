@@ -5,7 +5,8 @@ literals replaced, see ``mask_strings``) and the masked token string. It returns
 rewritten masked string, or null where it does not apply. All of it is row-local: no
 shuffle, no Python.
 
-Blocks are matched innermost: a block that holds further blocks is not a match.
+Rewrites of blocks find a block's end by levelled marks (``blocks``), so blocks may hold blocks. Where a line break ends a
+statement (go, javascript, ruby), the *lined* text marks it.
 """
 
 from __future__ import annotations
@@ -21,9 +22,8 @@ from codeloom.functions import lookups as K
 from codeloom.functions import rand
 from codeloom.functions import text as X
 from codeloom.functions.arrays import compute_once, indices, join_tokens, let, let_all
-
-# Marks that stand in for words while matching, so that one character class can exclude them.
-OPEN, CLOSE, LINE, STOP, SEMI, CUT = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005"
+from codeloom.operators import blocks as B
+from codeloom.operators.blocks import CLOSE, CUT, LINE, MARKS, OPEN, OPENS, SEMI, STOP
 
 BRACE_LANGS = ("c", "cpp", "c_sharp", "java", "javascript", "php")
 RELATIONAL = ("<", ">", "<=", ">=", "==", "!=")
@@ -42,20 +42,24 @@ BEFORE_COMPARISON = (
 )
 AFTER_COMPARISON = r"^(?:$| (?:[);?:&|\]{}]|(?:and|or|then|do|if|else|NEWLINE)\b))"
 AT_WORD = r"^$| $"
-IF_BRACE = r"(else )?if ([^{};]*) \{ ([^{}]*)\} else \{ ([^{}]*)\}"
-IF_PYTHON = (
-    rf"(el)?if ([^{OPEN}{CLOSE}{LINE}]*?) : {OPEN} ([^{OPEN}{CLOSE}]*){CLOSE} else : {OPEN} ([^{OPEN}{CLOSE}]*){CLOSE}"
-)
-IF_RUBY = (
-    rf"{OPEN}(if|unless) ([^{OPEN}{CLOSE}{STOP};]*?) then ([^{OPEN}{CLOSE}{STOP}]*?)else ([^{OPEN}{CLOSE}{STOP}]*){CLOSE}"
-)
-RUBY_OPENERS = r"\b(if|unless|while|until|for|begin|case|def|class|module|do)\b"
-FOR_BRACE = r"for \( ([^;{}]*); ([^;{}]*); ([^;{}]*)\) \{ ([^{}]*)\}"
-WHILE_BRACE = r"while \( ([^;{}]*)\) \{ ([^{}]*)\}"
-_ARG = rf"(?:[^(),{OPEN}{CLOSE}{LINE}]|\( [^(),{OPEN}{CLOSE}{LINE}]*\))+"
-FOR_PYTHON = (
-    rf"for ([\p{{L}}_][\p{{L}}\p{{N}}_]*) in range \( ({_ARG}(?:, {_ARG}){{0,2}}) \) : {OPEN} ([^{OPEN}{CLOSE}]*){CLOSE}"
-)
+# Heads of blocks; the mark that opens the block is their last character but a blank.
+IF_BRACE = rf"if ([^;{{}}{MARKS}]*) [{OPENS}] "
+IF_PYTHON = rf"if ([^{MARKS}{LINE}]*?) : [{OPENS}] "
+IF_RUBY = rf"[{OPENS}](?:if|unless) "
+FOR_BRACE = rf"for \( ([^;{{}}{MARKS}]*); ([^;{{}}{MARKS}]*); ([^;{{}}{MARKS}]*)\) [{OPENS}] "
+WHILE_BRACE = rf"while \( ([^;{{}}{MARKS}]*)\) [{OPENS}] "
+_ARG = rf"(?:[^(),{MARKS}{LINE}]|\( [^(),{MARKS}{LINE}]*\))+"
+FOR_PYTHON = rf"for ([\p{{L}}_][\p{{L}}\p{{N}}_]*) in range \( ({_ARG}(?:, {_ARG}){{0,2}}) \) : [{OPENS}] "
+# Heads of inner blocks that have jumps of their own.
+LOOP_BRACE = rf"\b(?:(?:for|foreach|while) \( [^;{MARKS}]*\)|for \( [^;{MARKS}]*; [^;{MARKS}]*; [^;{MARKS}]*\)|do) [{OPENS}]"
+SWITCH_BRACE = rf"\bswitch \( [^;{MARKS}]*\) [{OPENS}]"
+LOOP_PYTHON = rf"(?:^|[{MARKS}{LINE}] )(?:for|while) [^{MARKS}{LINE}]* : [{OPENS}]"
+# Ruby: names that look like keywords; words that open a block where a statement may begin, or anywhere.
+RUBY_NAMES = r"([.:] [A-Za-z_])"
+RUBY_STARTS = rf"(^|[;({{|={LINE}] |\b(?:then|do|else|begin|ensure) )(if|unless|while|until|for|case)\b"
+RUBY_LOOP_DO = rf"({OPEN}(?:while|until|for) [^;{LINE}{OPEN}]*?) do\b"
+RUBY_OPENERS = r"\b(def|class|module|begin|do)\b"
+RUBY_CONDITION = rf"^([^;{MARKS}{LINE}]*?) (then|{LINE}) "
 BINARY_OPERATOR = r" (?:===|!==|==|!=|<=|>=|<|>|&&|\|\||[+*/%&|^-]) "
 _AT_STATEMENT = r"(^|[;{})] |else )"
 _NAME = X.NAME_DOLLAR
@@ -68,6 +72,7 @@ TERNARY_RETURN = rf"(^| )return {_CHOICE}"
 IMPORT_TOKENS = r"\b(?:import|package) [^;{}]*; ?"
 FOR_HEADER = r"for ([^;{}]*); ([^;{}]*); ([^;{}]*[){])"
 STATEMENT = rf"[^;{{}}{LINE}{SEMI}\s][^;{{}}{LINE}]* ;"
+STATEMENT_LINES = rf"[^;{{}}{LINE}{SEMI}\s][^;{{}}{LINE}]* [;{LINE}]"
 STATEMENT_PYTHON = rf"[^{OPEN}{CLOSE}{LINE}\s][^{OPEN}{CLOSE}{LINE}]* {LINE}"
 RUBY_HEADS = r"(def \S+ \( [^()]*\)|\b(?:then|else|do|end|begin)) "
 RUBY_CONTROL = r"\b(?:if|unless|while|until|for|begin|case|def|class|module|do|end|then|else|elsif|when)\b"
@@ -83,11 +88,17 @@ def with_norm(df: DataFrame, code: str = "code", lang: str = "lang") -> DataFram
     return with_tokens(df, code, lang).withColumn("norm", X.normalized_code(F.col("tokens")))
 
 
+def with_masks(df: DataFrame, lines: Column) -> DataFrame:
+    """Add ``tokens``, ``norm`` (normalised code), ``masked`` and ``lined`` to a table, from tokens with line ends."""
+    df = compute_once(df, lines=lines)
+    tokens = X.without_lines(F.col("lines"))
+    texts = {"masked": join_tokens(X.mask_strings(tokens)), "lined": join_tokens(X.mask_strings(F.col("lines")))}
+    return compute_once(df, tokens=tokens, norm=X.normalized_code(tokens), **texts).drop("lines")
+
+
 def with_context(df: DataFrame, code: str = "code", lang: str = "lang") -> DataFrame:
-    """Add ``tokens``, ``norm`` (normalised code) and ``masked`` to a code table."""
-    return compute_once(
-        with_tokens(df, code, lang), norm=X.normalized_code(F.col("tokens")), masked=join_tokens(X.mask_strings(F.col("tokens")))
-    )
+    """Add ``tokens``, ``norm`` (normalised code), ``masked`` and ``lined`` to a code table."""
+    return with_masks(df, X.line_tokens(F.col(code), F.col(lang)))
 
 
 @dataclass(frozen=True)
@@ -97,11 +108,12 @@ class Context:
     id: Column
     lang: Column
     masked: Column
+    lined: Column
     seed: int = rand.DEFAULT_SEED
 
 
 def column_context(seed: int = rand.DEFAULT_SEED, key: str = "id") -> Context:
-    return Context(F.col(key), F.col("lang"), F.col("masked"), seed)
+    return Context(F.col(key), F.col("lang"), F.col("masked"), F.col("lined"), seed)
 
 
 def _rx(text: Column, pattern: str, group: int) -> Column:
@@ -153,6 +165,14 @@ def _replace_one(
 # --- layout and word marks ---------------------------------------------------------------
 
 
+def _brace_marks(masked: Column) -> Column:
+    return B.levelled(F.translate(masked, "{}", OPEN + CLOSE))
+
+
+def _brace_unmark(text: Column) -> Column:
+    return B.unshield(B.unlevelled(text, "{", "}"))
+
+
 def _python_marks(masked: Column) -> Column:
     out = F.regexp_replace(masked, r"\bNEWLINE INDENT\b", OPEN)
     out = F.regexp_replace(out, r"\bDEDENT\b", CLOSE)
@@ -160,21 +180,22 @@ def _python_marks(masked: Column) -> Column:
 
 
 def _python_unmark(text: Column) -> Column:
-    out = F.replace(text, F.lit(OPEN), F.lit("NEWLINE INDENT"))
-    out = F.replace(out, F.lit(CLOSE), F.lit("DEDENT"))
-    return F.replace(out, F.lit(LINE), F.lit("NEWLINE"))
+    out = B.unlevelled(text, "NEWLINE INDENT", "DEDENT")
+    return B.unshield(F.replace(out, F.lit(LINE), F.lit("NEWLINE")))
 
 
-def _ruby_marks(masked: Column) -> Column:
-    out = F.regexp_replace(masked, RUBY_OPENERS, OPEN + "$1")
-    out = F.regexp_replace(out, r"\bend\b", CLOSE)
-    return F.regexp_replace(out, r"\belsif\b", STOP)
+def _ruby_marks(lined: Column) -> Column:
+    """Marks before the words that open a block, and for ``end``; the ``do`` of a loop opens none."""
+    out = F.regexp_replace(lined, RUBY_NAMES, f"$1{STOP}")
+    out = F.regexp_replace(out, RUBY_STARTS, f"$1{OPEN}$2")
+    out = F.regexp_replace(out, RUBY_LOOP_DO, f"$1 d{STOP}o")
+    out = F.regexp_replace(out, RUBY_OPENERS, f"{OPEN}$1")
+    return B.levelled(F.regexp_replace(out, r"\bend\b", CLOSE))
 
 
 def _ruby_unmark(text: Column) -> Column:
-    out = F.replace(text, F.lit(OPEN), F.lit(""))
-    out = F.replace(out, F.lit(CLOSE), F.lit("end"))
-    return F.replace(out, F.lit(STOP), F.lit("elsif"))
+    out = F.regexp_replace(text, f"[{STOP}{LINE}{OPEN}{OPENS}]", "")
+    return B.unshield(B.unlevelled(out, "", "end"))
 
 
 # --- the rewrites ------------------------------------------------------------------------
@@ -203,6 +224,14 @@ def operand_swap(ctx: Context) -> Column:
     return _replace_one(ctx.masked, COMPARISON, valid, new, ctx, "operand_swap")
 
 
+def _one_of(ctx: Context, salt: str) -> Callable[[Column], Column]:
+    return lambda n: rand.pick(n, ctx.id, salt=salt, seed=ctx.seed)
+
+
+def _last_mark(head: Column) -> Column:
+    return F.substring(head, -2, 1)
+
+
 def block_swap(ctx: Context) -> Column:
     """Negate the comparison of one if/else and exchange its blocks."""
 
@@ -218,49 +247,59 @@ def block_swap(ctx: Context) -> Column:
     plain = ("&&", "&", "||", "|")
     wordy = (*plain, "and", "or")
 
+    def two_blocks(text: Column, head: str, otherwise: str, before_block: str, logic: tuple[str, ...]) -> Column:
+        """``otherwise`` stands between the blocks, ``before_block`` between a condition and its block."""
+
+        def new(m: Column, before: Column, behind: Column) -> Column:
+            mark, cond = _last_mark(m), _rx(m, head, 1)
+
+            def swap(first: Column, tail: Column) -> Column:
+                other = F.substr(tail, F.lit(len(otherwise) + 1), F.lit(1))
+                made = B.cut_block(
+                    other,
+                    F.substr(tail, F.lit(len(otherwise) + 3)),
+                    lambda second, end: F.concat(
+                        F.lit("if "), negated(cond), F.lit(before_block), mark, F.lit(" "), second, B.closing(mark),
+                        F.lit(otherwise), other, F.lit(" "), first, B.closing(other), end,
+                    ),
+                )
+                return F.when(F.rlike(tail, F.lit(f"^{otherwise}[{OPENS}] ")), made)
+
+            fits = F.rlike(before, F.lit(AT_WORD)) & ~F.endswith(before, F.lit("else ")) & one_comparison(cond, logic)
+            return F.when(fits, B.cut_block(mark, behind, swap))
+
+        return B.replace_block(text, head, new, _one_of(ctx, "block_swap"))
+
     def brace(logic: tuple[str, ...]) -> Column:
-        return _replace_one(
-            ctx.masked,
-            IF_BRACE,
-            lambda m, before, _a: ~F.startswith(m, F.lit("else "))
-            & F.rlike(before, F.lit(AT_WORD))
-            & one_comparison(_rx(m, IF_BRACE, 2), logic),
-            lambda m: F.concat(
-                F.lit("if "), negated(_rx(m, IF_BRACE, 2)), F.lit(" { "), _rx(m, IF_BRACE, 4),
-                F.lit("} else { "), _rx(m, IF_BRACE, 3), F.lit("}"),
-            ),
-            ctx,
-            "block_swap",
-        )
+        return _brace_unmark(two_blocks(_brace_marks(ctx.masked), IF_BRACE, " else ", " ", logic))
+
+    def new_ruby(m: Column, _before: Column, behind: Column) -> Column:
+        mark = F.substr(m, F.lit(1), F.lit(1))
+
+        def swap(inner: Column, end: Column) -> Column:
+            def build(s: Column) -> Column:
+                halves = F.split(F.substr(s["own"], F.length(s["cond"]) + F.length(s["then"]) + 3), r"\belse\b")
+                fits = (s["then"] != "") & ~F.rlike(s["own"], F.lit(r"\belsif\b")) & one_comparison(s["cond"], wordy)
+                return let(
+                    halves,
+                    lambda h: F.when(
+                        fits & (F.size(h) == 2),
+                        F.concat(
+                            m, negated(s["cond"]), F.lit(" "), s["then"], F.get(h, F.lit(1)), F.lit("else "),
+                            F.get(h, F.lit(0)), B.closing(mark), end,
+                        ),
+                    ),
+                )
 
-    python = _python_unmark(
-        _replace_one(
-            _python_marks(ctx.masked),
-            IF_PYTHON,
-            lambda m, before, _a: ~F.startswith(m, F.lit("elif "))
-            & F.rlike(before, F.lit(AT_WORD))
-            & one_comparison(_rx(m, IF_PYTHON, 2), plain),
-            lambda m: F.concat(
-                F.lit("if "), negated(_rx(m, IF_PYTHON, 2)), F.lit(f" : {OPEN} "), _rx(m, IF_PYTHON, 4),
-                F.lit(f"{CLOSE} else : {OPEN} "), _rx(m, IF_PYTHON, 3), F.lit(CLOSE),
-            ),
-            ctx,
-            "block_swap",
-        )
-    )
-    ruby = _ruby_unmark(
-        _replace_one(
-            _ruby_marks(ctx.masked),
-            IF_RUBY,
-            lambda m, _b, _a: one_comparison(_rx(m, IF_RUBY, 2), wordy),
-            lambda m: F.concat(
-                F.lit(OPEN), _rx(m, IF_RUBY, 1), F.lit(" "), negated(_rx(m, IF_RUBY, 2)), F.lit(" then "),
-                _rx(m, IF_RUBY, 4), F.lit("else "), _rx(m, IF_RUBY, 3), F.lit(CLOSE),
-            ),
-            ctx,
-            "block_swap",
-        )
-    )
+            return let(
+                B.shield(inner, f"[{OPENS}]", "lse|lsif|hen"),
+                lambda own: let_all({"own": own, "cond": _rx(own, RUBY_CONDITION, 1), "then": _rx(own, RUBY_CONDITION, 2)}, build),
+            )
+
+        return B.cut_block(mark, behind, swap)
+
+    python = _python_unmark(two_blocks(B.levelled(_python_marks(ctx.masked)), IF_PYTHON, " else : ", " : ", plain))
+    ruby = _ruby_unmark(B.replace_block(_ruby_marks(ctx.lined), IF_RUBY, new_ruby, _one_of(ctx, "block_swap")))
     return (
         F.when(ctx.lang == "python", python)
         .when(ctx.lang == "ruby", ruby)
@@ -270,7 +309,7 @@ def block_swap(ctx: Context) -> Column:
 
 
 def _before_jumps(body: Column, inserted: Column) -> Column:
-    """Insert tokens before every continue, break and return of a block."""
+    """Insert tokens before every continue, break and return of a block; words that are shielded stay alone."""
     return join_tokens(
         F.transform(
             F.split(body, " "),
@@ -280,33 +319,32 @@ def _before_jumps(body: Column, inserted: Column) -> Column:
 
 
 def for_to_while(ctx: Context) -> Column:
-    """One counting ``for`` loop to a ``while`` loop."""
+    """One counting ``for`` loop to a ``while`` loop; jumps of loops inside of it stay as they are."""
     needs_condition = ~ctx.lang.isin("java", "c", "cpp")
 
-    def new(m: Column) -> Column:
+    def new(m: Column, before: Column, behind: Column) -> Column:
+        mark = _last_mark(m)
+
         def build(s: Column) -> Column:
             cond = F.when(s["cond"] == "", F.lit("true ")).otherwise(s["cond"])
             step = F.when(s["upd"] == "", F.lit("")).otherwise(F.concat(s["upd"], F.lit("; ")))
             init = F.when(s["init"] == "", F.lit("")).otherwise(F.concat(s["init"], F.lit("; ")))
-            return F.concat(
-                init, F.lit("while ( "), cond, F.lit(") { "), _before_jumps(s["body"], step), step, F.lit("}")
-            )
 
-        return let_all(
-            {"init": _rx(m, FOR_BRACE, 1), "cond": _rx(m, FOR_BRACE, 2), "upd": _rx(m, FOR_BRACE, 3), "body": _rx(m, FOR_BRACE, 4)},
-            build,
-        )
+            def body(inner: Column, end: Column) -> Column:
+                own = B.shield(B.shield(inner, LOOP_BRACE, "reak|ontinue"), SWITCH_BRACE, "reak")
+                return F.concat(
+                    init, F.lit("while ( "), cond, F.lit(") "), mark, F.lit(" "), _before_jumps(own, step), step,
+                    B.closing(mark), end,
+                )
 
-    brace = _replace_one(
-        ctx.masked,
-        FOR_BRACE,
-        lambda m, before, _a: F.rlike(before, F.lit(AT_WORD)) & ~(needs_condition & (_rx(m, FOR_BRACE, 2) == "")),
-        new,
-        ctx,
-        "for_to_while",
-    )
+            return F.when(~(needs_condition & (s["cond"] == "")), B.cut_block(mark, behind, body))
+
+        made = let_all({"init": _rx(m, FOR_BRACE, 1), "cond": _rx(m, FOR_BRACE, 2), "upd": _rx(m, FOR_BRACE, 3)}, build)
+        return F.when(F.rlike(before, F.lit(AT_WORD)), made)
+
+    def new_python(m: Column, before: Column, behind: Column) -> Column:
+        mark = _last_mark(m)
 
-    def new_python(m: Column) -> Column:
         def build(s: Column) -> Column:
             several = F.size(s["args"]) > 1
             start = F.when(several, F.get(s["args"], F.lit(0))).otherwise(F.lit("0"))
@@ -314,21 +352,22 @@ def for_to_while(ctx: Context) -> Column:
             step = F.coalesce(F.get(s["args"], F.lit(2)), F.lit("1"))
             bump = F.concat(s["var"], F.lit(" += "), step, F.lit(f" {LINE} "))
             # the membership test is the known shape of this rewrite
-            return F.concat(
-                s["var"], F.lit(" = "), start, F.lit(f" {LINE} while "), s["var"], F.lit(" in list ( range ( "), stop,
-                F.lit(f" ) ) : {OPEN} "), _before_jumps(s["body"], bump), bump, F.lit(CLOSE),
+            return B.cut_block(
+                mark,
+                behind,
+                lambda inner, end: F.concat(
+                    s["var"], F.lit(" = "), start, F.lit(f" {LINE} while "), s["var"], F.lit(" in list ( range ( "), stop,
+                    F.lit(" ) ) : "), mark, F.lit(" "), _before_jumps(B.shield(inner, LOOP_PYTHON, "reak|ontinue"), bump), bump,
+                    B.closing(mark), end,
+                ),
             )
 
-        return let_all(
-            {"var": _rx(m, FOR_PYTHON, 1), "args": F.split(_rx(m, FOR_PYTHON, 2), " , "), "body": _rx(m, FOR_PYTHON, 3)},
-            build,
-        )
+        made = let_all({"var": _rx(m, FOR_PYTHON, 1), "args": F.split(_rx(m, FOR_PYTHON, 2), " , ")}, build)
+        return F.when(F.rlike(before, F.lit(AT_WORD)), made)
 
+    brace = _brace_unmark(B.replace_block(_brace_marks(ctx.masked), FOR_BRACE, new, _one_of(ctx, "for_to_while")))
     python = _python_unmark(
-        _replace_one(
-            _python_marks(ctx.masked), FOR_PYTHON, lambda _m, before, _a: F.rlike(before, F.lit(AT_WORD)),
-            new_python, ctx, "for_to_while",
-        )
+        B.replace_block(B.levelled(_python_marks(ctx.masked)), FOR_PYTHON, new_python, _one_of(ctx, "for_to_while"))
     )
     return F.when(ctx.lang == "python", python).when(ctx.lang.isin(*BRACE_LANGS), brace)
 
@@ -336,18 +375,15 @@ def for_to_while(ctx: Context) -> Column:
 def while_to_for(ctx: Context) -> Column:
     """One ``while`` loop to a ``for`` loop without init and update."""
     binary = F.lit(BINARY_OPERATOR)
-    swapped = _replace_one(
-        ctx.masked,
-        WHILE_BRACE,
-        lambda m, before, _a: F.rlike(before, F.lit(AT_WORD))
-        & (
-            (ctx.lang != "c_sharp")
-            | F.rlike(F.concat(F.lit(" "), F.regexp_replace(_rx(m, WHILE_BRACE, 1), r"\( [^()]*\)", "x")), binary)
-        ),
-        lambda m: F.concat(F.lit("for ( ; "), _rx(m, WHILE_BRACE, 1), F.lit("; ) { "), _rx(m, WHILE_BRACE, 2), F.lit("}")),
-        ctx,
-        "while_to_for",
-    )
+
+    def new(m: Column, before: Column, behind: Column) -> Column:
+        mark, cond = _last_mark(m), _rx(m, WHILE_BRACE, 1)
+        fits = F.rlike(before, F.lit(AT_WORD)) & (
+            (ctx.lang != "c_sharp") | F.rlike(F.concat(F.lit(" "), F.regexp_replace(cond, r"\( [^()]*\)", "x")), binary)
+        )
+        return F.when(fits, F.concat(F.lit("for ( ; "), cond, F.lit("; ) "), mark, F.lit(" "), behind))
+
+    swapped = _brace_unmark(B.replace_block(_brace_marks(ctx.masked), WHILE_BRACE, new, _one_of(ctx, "while_to_for")))
     return F.when(ctx.lang.isin(*BRACE_LANGS), swapped)
 
 
@@ -440,7 +476,13 @@ def statement_parts(ctx: Context) -> Column:
         .when(
             ctx.lang == "ruby",
             F.regexp_replace(
-                F.regexp_replace(ctx.masked, RUBY_HEADS, f"$1 {LINE}"), f"({STATEMENT})", f"{CUT}$1{CUT}"
+                F.regexp_replace(ctx.lined, RUBY_HEADS, f"$1 {LINE}"), f"({STATEMENT_LINES})", f"{CUT}$1{CUT}"
+            ),
+        )
+        .when(
+            ctx.lang.isin("go", "javascript"),
+            F.regexp_replace(
+                F.regexp_replace(ctx.lined, FOR_HEADER, f"for $1{SEMI} $2{SEMI} $3"), f"({STATEMENT_LINES})", f"{CUT}$1{CUT}"
             ),
         )
         .otherwise(
@@ -467,16 +509,14 @@ def statement_parts(ctx: Context) -> Column:
 
 
 def _statement_text(ctx: Context, found: Column) -> Column:
-    """A cut statement without marks; python drops its line end."""
-    return F.when(ctx.lang == "python", F.regexp_replace(found, f" {LINE}$", "")).otherwise(
-        F.replace(found, F.lit(SEMI), F.lit(";"))
-    )
+    """A cut statement without marks and line end."""
+    return F.replace(F.regexp_replace(found, f" {LINE}$", ""), F.lit(SEMI), F.lit(";"))
 
 
 def _restore_statements(ctx: Context, text: Column) -> Column:
     return (
         F.when(ctx.lang == "python", _python_unmark(text))
-        .when(ctx.lang == "ruby", F.replace(text, F.lit(LINE), F.lit("")))
+        .when(ctx.lang.isin("go", "javascript", "ruby"), F.replace(F.replace(text, F.lit(LINE), F.lit("")), F.lit(SEMI), F.lit(";")))
         .otherwise(F.replace(text, F.lit(SEMI), F.lit(";")))
     )
 

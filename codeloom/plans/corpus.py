@@ -18,7 +18,12 @@ _LAID_OUT = '''CASE
            '        total = total + n', chr(10), '    else :', chr(10), '        total = total - 1', chr(10))
          WHEN k % 3 = 1 THEN concat('    if n > 1 :', chr(10), '        if n != 4 :', chr(10),
            '            total = total * 2', chr(10)) ELSE '' END,
-    CASE WHEN k % 5 < 2 THEN concat('    for i in range ( ',
+    CASE WHEN k % 13 = 4 THEN concat('    for i in range ( n ) :', chr(10), '        if i > 2 :', chr(10),
+           '            while n > 9 :', chr(10), '                n -= 1', chr(10), '                if n == 12 :', chr(10),
+           '                    break', chr(10), '            continue', chr(10), '        else :', chr(10),
+           '            if total != 3 :', chr(10), '                total += i', chr(10), '            else :', chr(10),
+           '                return n', chr(10))
+         WHEN k % 5 < 2 THEN concat('    for i in range ( ',
            CASE WHEN k % 5 = 0 THEN 'n' WHEN k % 7 < 3 THEN '1, n' ELSE '0, n, 2' END, ' ) :', chr(10),
            '        total += i', chr(10), CASE WHEN k % 7 = 1 THEN concat('        continue', chr(10)) ELSE '' END)
          ELSE concat('    while n > 3 :', chr(10), '        n -= 1', chr(10)) END,
@@ -29,6 +34,10 @@ _LAID_OUT = '''CASE
          ELSE concat('  s = "a b" ;', chr(10)) END,
     CASE WHEN k % 3 = 0 THEN concat('  if n < ', CAST(k % 97 AS STRING),
            ' then total = total + n ; else total = total - 1 ; end', chr(10))
+         WHEN k % 13 = 4 THEN concat('  if n < 7 then', chr(10), '    if n == 2 then total = 5 ; else total = 6 ; end', chr(10),
+           '    while total > 9 do total -= 1 ; end', chr(10), '  else', chr(10), '    total = 8 ;', chr(10), '  end', chr(10))
+         WHEN k % 13 = 5 THEN concat('  n . each do |x|', chr(10), '    if x == n . end', chr(10), '      total = x', chr(10), '    else', chr(10),
+           '      begin', chr(10), '        total = 2 if x > 3', chr(10), '      end', chr(10), '    end', chr(10), '  end', chr(10))
          WHEN k % 3 = 1 THEN concat('  unless n == 2 then total = 3 ; else total = 4 ; end', chr(10))
          ELSE '' END,
     '  while n > 3 do n -= 1 ; end', chr(10), '  return total ; end', chr(10))
@@ -44,7 +53,12 @@ _LAID_OUT = '''CASE
          WHEN k % 6 = 1 THEN concat('if (@n > 1 && @n < 5) { @total = 1; } else { @total = 2; }', chr(10))
          WHEN k % 6 = 4 THEN concat('if (@n == 1) { @total = 1; } else if (@n >= 9) { @total = 2; } else { @total = 3; }', chr(10))
          ELSE '' END,
-    CASE WHEN lang = 'go' AND k % 5 < 2 THEN concat('for i = 0; i < n; i++ { total += i; }', chr(10))
+    CASE WHEN lang = 'go' AND k % 13 = 4 THEN concat('for i = 0; i < n; i++ { if i > 2 { total += i; } else { if i != 1 { total -= 1; } else { n -= 1; } } }', chr(10))
+         WHEN lang <> 'go' AND k % 13 = 4 THEN concat('for (@i = 0; @i < @n; @i++) { if (@i > 2) { while (@n > 9) { @n -= 1; if (@n == 12) { break; } } continue; } ',
+           'else { if (@total != 3) { @total += @i; } else { return @n; } } }', chr(10))
+         WHEN lang <> 'go' AND k % 13 = 5 THEN concat('while (@n > 3) { if (@n < 9) { for (@j = 0; @j < 2; @j++) { @n -= @j; } } else { do { @n--; } while (@n > 6); } }', chr(10))
+         WHEN lang <> 'go' AND k % 13 = 6 THEN concat('for (@i = 0; @i < 9; @i++) { switch (@i) { case 1: break; default: if (@n > 1) { continue; } } }', chr(10))
+         WHEN lang = 'go' AND k % 5 < 2 THEN concat('for i = 0; i < n; i++ { total += i; }', chr(10))
          WHEN lang = 'go' THEN concat('for n > 3 { n -= 1; }', chr(10))
          WHEN k % 5 = 0 THEN concat('for (@i = 0; @i < @n; @i++) { @total += @i; if (@total > 9) break; }', chr(10))
          WHEN k % 5 = 1 THEN concat('for (; @n != 7; ) { @n -= 1; }', chr(10))

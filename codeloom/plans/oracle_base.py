@@ -190,14 +190,31 @@ cte(
           FROM tok) AS t""",
     "tok",
 )
-cte("ctx", f"SELECT id, lang, code, toks, {normal_ws(join('toks'))} AS norm, {masked('toks')} AS masked FROM tok", "tok")
+# Line breaks that end a statement of go, javascript and ruby, as tokens of their own; nulls elsewhere.
+cte(
+    "broken",
+    f"""SELECT id, CASE lang WHEN 'go' THEN {_lexed('code', V.LINES_GO, ('//', '/*'))}
+          WHEN 'javascript' THEN {_lexed('code', V.LINES_DOLLAR, ('//', '/*'))} WHEN 'ruby' THEN {_lexed('code', V.LINES_RUBY, ('#',))} END AS l
+        FROM corpus WHERE lang <> 'python' UNION ALL SELECT id, NULL FROM corpus WHERE lang = 'python'""",
+    "corpus",
+)
+
+
+def _context(toks: str, source: str) -> str:
+    breaks = f"list_filter(range(1, len(l) + 1), lambda i: l[i] <> chr(10))"
+    ends = f"list_transform({breaks}, lambda i: l[i + 1] = chr(10) AND regexp_matches(l[i], {lit(V.LINE_ENDING)}))"
+    lined = f"array_to_string(list_transform(string_split(masked, ' '), lambda t, i: CASE WHEN coalesce(e[i], false) THEN t || {lit(' ' + V.LINE)} ELSE t END), ' ')"
+    return f"""SELECT *, {lined} AS lined FROM (
+        SELECT c.id, c.lang, c.code, c.toks, {normal_ws(join('c.toks'))} AS norm, {masked('c.toks')} AS masked, {ends} AS e
+        FROM ({source.replace('TOKS', toks)}) AS c JOIN broken b ON b.id = c.id) AS t"""
+
+
+cte("ctx", _context("toks", "SELECT id, lang, code, TOKS AS toks FROM tok"), "tok", "broken")
 # The same for php functions wrapped in page tags, as the preparation job reads them.
 cte(
     "prep",
-    f"""SELECT id, lang, code, toks, {normal_ws(join('toks'))} AS norm, {masked('toks')} AS masked
-        FROM (SELECT id, lang, code, CASE WHEN lang = 'php' THEN list_concat(['<?php'], toks, ['?>']) ELSE toks END AS toks
-              FROM tok) AS t""",
-    "tok",
+    _context("CASE WHEN lang = 'php' THEN list_concat(['<?php'], toks, ['?>']) ELSE toks END", "SELECT id, lang, code, TOKS AS toks FROM tok"),
+    "tok", "broken",
 )
 
 
@@ -239,14 +256,6 @@ def replace_one(source: str, text: str, pattern: str, valid: str, new: str, salt
 M, B, A = "parts[j]", "parts[j - 1]", "parts[j + 1]"
 
 
-def count_ops(cond: str, ops: tuple[str, ...]) -> str:
-    return f"len(list_filter(string_split({cond}, ' '), lambda o: o IN {in_list(list(ops))}))"
-
-
-def negated(cond: str) -> str:
-    return join(f"list_transform(string_split({cond}, ' '), lambda o: {_case('o', V.NEGATE)})")
-
-
 def rewrite_ctes(src: str) -> None:
     """Table expressions ``{src}_<rewrite>`` with (id, out) over the context ``src``."""
     pat = V.COMPARISON
@@ -263,81 +272,151 @@ def rewrite_ctes(src: str) -> None:
         src,
     )
 
-    plain, wordy = ("&&", "&", "||", "|"), ("&&", "&", "||", "|", "and", "or")
+    # Tokens of the three kinds of layout, with the depth of blocks and parentheses behind each.
+    opener, closer = "(tok = '{' OR tok = 'INDENT' OR ruby_open)", "(tok = '}' OR tok = 'DEDENT' OR ruby_close)"
+    cte(
+        f"{src}_words",
+        f"""SELECT *, coalesce(before NOT IN ('.', ':'), true) AS plain FROM (
+              SELECT id, lang, pos, tok, lag(tok) OVER w AS before, lead(tok) OVER w AS behind FROM (
+                SELECT id, lang, unnest(t) AS tok, generate_subscripts(t, 1) AS pos FROM (
+                  SELECT id, lang, string_split(CASE WHEN lang = 'ruby' THEN lined ELSE masked END, ' ') AS t FROM {src}) AS a) AS b
+              WINDOW w AS (PARTITION BY id ORDER BY pos)) AS c""",
+        src,
+    )
+    starts = f"coalesce(before IN (';', {lit(V.LINE)}, '(', '{{', '|', '=', 'then', 'do', 'else', 'begin', 'ensure'), true)"
+    cte(
+        f"{src}_ruby",
+        f"""SELECT id, pos, tok = 'end' AND plain AS ruby_close,
+              plain AND (tok IN ('def', 'class', 'module', 'begin') OR starter OR (tok = 'do' AND NOT coalesce(loop_at > coalesce(cut_at, 0), false))) AS ruby_open
+            FROM (SELECT *, max(CASE WHEN starter AND tok IN ('while', 'until', 'for') THEN pos END) OVER w AS loop_at,
+                    max(CASE WHEN tok IN (';', {lit(V.LINE)}, 'do') THEN pos END) OVER w AS cut_at
+                  FROM (SELECT *, plain AND {starts} AND tok IN ('if', 'unless', 'while', 'until', 'for', 'case') AS starter
+                        FROM {src}_words WHERE lang = 'ruby') AS a
+                  WINDOW w AS (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS b""",
+        f"{src}_words",
+    )
+    cte(
+        f"{src}_pos",
+        f"""SELECT *, sum(CASE WHEN opens THEN 1 WHEN closes THEN -1 ELSE 0 END) OVER w AS depth,
+              sum(CASE WHEN tok = '(' THEN 1 WHEN tok = ')' THEN -1 ELSE 0 END) OVER w AS parens,
+              min(CASE WHEN tok IN (';', '{{', '}}', 'NEWLINE', 'INDENT', 'DEDENT') THEN pos END) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop,
+              max(CASE WHEN tok IN ('NEWLINE', 'INDENT', 'DEDENT') THEN pos END) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS line
+            FROM (SELECT w.*, CASE lang WHEN 'ruby' THEN ruby_open WHEN 'python' THEN tok = 'INDENT' ELSE tok = '{{' END AS opens,
+                    CASE lang WHEN 'ruby' THEN ruby_close WHEN 'python' THEN tok = 'DEDENT' ELSE tok = '}}' END AS closes
+                  FROM {src}_words w LEFT JOIN {src}_ruby r ON r.id = w.id AND r.pos = w.pos) AS t
+            WINDOW w AS (PARTITION BY id ORDER BY pos)""",
+        f"{src}_words", f"{src}_ruby",
+    )
 
-    def one(cond: str, logic: tuple[str, ...]) -> str:
-        return f"{count_ops(cond, V.RELATIONAL)} = 1 AND {count_ops(cond, logic)} = 0"
+    def pairs(opens: str, closes: str, depth: str) -> str:
+        """(id, a, b): the n-th end of a depth belongs to the n-th beginning."""
+        return f"""SELECT o.id, o.pos AS a, c.pos AS b FROM
+          (SELECT id, pos, {depth} AS d, row_number() OVER (PARTITION BY id, {depth} ORDER BY pos) AS n FROM {src}_pos WHERE {opens}) AS o JOIN
+          (SELECT id, pos, {depth} + 1 AS d, row_number() OVER (PARTITION BY id, {depth} ORDER BY pos) AS n FROM {src}_pos WHERE {closes}) AS c USING (id, d, n)"""
 
-    def brace(logic: tuple[str, ...], where: str) -> str:
-        p = V.IF_BRACE
-        return replace_one(
-            src, "masked", p, f"NOT starts_with({M}, 'else ') AND {has(B, V.AT_WORD)} AND {one(group(M, p, 2), logic)}",
-            f"'if ' || {negated(group('m', p, 2))} || ' {{ ' || {group('m', p, 4)} || '}} else {{ ' || {group('m', p, 3)} || '}}'",
-            "block_swap", where,
-        )
+    cte(f"{src}_lists", f"SELECT id, list(tok ORDER BY pos) AS w FROM {src}_words GROUP BY id", f"{src}_words")
+    # Blocks with the word that heads them: what stands before the parentheses, else the word before, else the line's first.
+    cte(
+        f"{src}_blocks",
+        f"""SELECT p.id, p.a, p.b, o.lang, CASE WHEN o.lang = 'python' THEN w[coalesce(o.line, 0) + 1] WHEN q.a IS NOT NULL THEN w[q.a - 1] ELSE w[p.a - 1] END AS head
+            FROM ({pairs('opens', 'closes', 'depth')}) AS p JOIN {src}_pos o ON o.id = p.id AND o.pos = p.a
+            JOIN {src}_lists l ON l.id = p.id
+            LEFT JOIN ({pairs("tok = '('", "tok = ')'", 'parens')}) AS q ON q.id = p.id AND q.b = p.a - 1""",
+        f"{src}_pos", f"{src}_lists",
+    )
 
-    py_text = rx(rx(rx("masked", r"\bNEWLINE INDENT\b", V.OPEN), r"\bDEDENT\b", V.CLOSE), r"\bNEWLINE\b", V.LINE)
 
-    def py_unmark(t: str) -> str:
-        return f"replace(replace(replace({t}, {lit(V.OPEN)}, 'NEWLINE INDENT'), {lit(V.CLOSE)}, 'DEDENT'), {lit(V.LINE)}, 'NEWLINE')"
+    def ops(cond: str, ops: tuple[str, ...]) -> str:
+        return f"len(list_filter({cond}, lambda o: o IN {in_list(list(ops))}))"
 
-    rb_text = rx(rx(rx("masked", V.RUBY_OPENERS, V.OPEN + "$1"), r"\bend\b", V.CLOSE), r"\belsif\b", V.STOP)
-    rb_unmark = f"replace(replace(replace(out, {lit(V.OPEN)}, ''), {lit(V.CLOSE)}, 'end'), {lit(V.STOP)}, 'elsif')"
-    p, r = V.IF_PYTHON, V.IF_RUBY
-    python = replace_one(
-        src, py_text, p, f"NOT starts_with({M}, 'elif ') AND {has(B, V.AT_WORD)} AND {one(group(M, p, 2), plain)}",
-        f"'if ' || {negated(group('m', p, 2))} || {lit(f' : {V.OPEN} ')} || {group('m', p, 4)} || {lit(f'{V.CLOSE} else : {V.OPEN} ')} || {group('m', p, 3)} || {lit(V.CLOSE)}",
-        "block_swap", "lang = 'python'",
-    )
-    ruby = replace_one(
-        src, rb_text, r, one(group(M, r, 2), wordy),
-        f"{lit(V.OPEN)} || {group('m', r, 1)} || ' ' || {negated(group('m', r, 2))} || ' then ' || {group('m', r, 4)} || 'else ' || {group('m', r, 3)} || {lit(V.CLOSE)}",
-        "block_swap", "lang = 'ruby'",
+    def fits(cond: str, lang: str) -> str:
+        logic = f"len(list_filter({cond}, lambda o: o IN ('&&', '&', '||', '|') OR ({lang} IN ('javascript', 'ruby') AND o IN ('and', 'or'))))"
+        return f"{ops(cond, V.RELATIONAL)} = 1 AND {logic} = 0"
+
+    def flip(cond: str) -> str:
+        return f"list_transform({cond}, lambda o: {_case('o', V.NEGATE)})"
+
+    def text(*lists: str) -> str:
+        return f"array_to_string({' || '.join(lists)}, ' ')"
+
+    def pick(cands: str, salt: str) -> str:
+        """(id, out) of one candidate (id, p, out) per id."""
+        return f"SELECT id, list(out ORDER BY p)[1 + ({h32('id', salt=salt)} % count(*))::INT] AS out FROM ({cands}) AS c WHERE out IS NOT NULL GROUP BY id"
+
+    # s is the if, x its block, y the block behind else
+    brace_swap = text("w[:s.pos]", flip("w[s.pos + 1:s.stop - 1]"), "['{']", "w[y.a + 1:y.b - 1]", "w[x.b:y.a]", "w[x.a + 1:x.b - 1]", "w[y.b:]")
+    brace_if = f"""SELECT s.id, s.pos AS p, CASE WHEN {fits('w[s.pos + 1:s.stop - 1]', 's.lang')} THEN {brace_swap} END AS out
+      FROM {src}_pos s JOIN {src}_lists l ON l.id = s.id JOIN {src}_blocks x ON x.id = s.id AND x.a = s.stop
+      JOIN {src}_blocks y ON y.id = s.id AND y.a = x.b + 2 AND w[x.b + 1] = 'else'
+      WHERE s.tok = 'if' AND coalesce(s.before, '') <> 'else' AND s.lang NOT IN ('python', 'ruby')"""
+    python_swap = text("w[:s.pos]", flip("w[s.pos + 1:s.stop - 2]"), "w[s.stop - 1:x.a]", "w[y.a + 1:y.b - 1]", "w[x.b:y.a]", "w[x.a + 1:x.b - 1]", "w[y.b:]")
+    python_if = f"""SELECT s.id, s.pos AS p, CASE WHEN {fits('w[s.pos + 1:s.stop - 2]', 's.lang')} THEN {python_swap} END AS out
+      FROM {src}_pos s JOIN {src}_lists l ON l.id = s.id JOIN {src}_blocks x ON x.id = s.id AND x.a = s.stop + 1 AND w[s.stop] = 'NEWLINE' AND w[s.stop - 1] = ':'
+      JOIN {src}_blocks y ON y.id = s.id AND y.a = x.b + 4 AND w[x.b + 1:x.b + 3] = ['else', ':', 'NEWLINE']
+      WHERE s.tok = 'if' AND coalesce(s.before, '') <> 'else' AND s.lang = 'python'"""
+    # Words of a ruby if that stand in no block inside of it.
+    cte(
+        f"{src}_own",
+        f"""SELECT x.id, x.a, x.b, t.pos, t.tok FROM {src}_blocks x JOIN {src}_words t ON t.id = x.id AND t.pos > x.a AND t.pos < x.b
+            WHERE x.lang = 'ruby' AND t.tok IN ('then', 'else', 'elsif', ';', {lit(V.LINE)})
+              AND NOT EXISTS (SELECT 1 FROM {src}_blocks y WHERE y.id = x.id AND y.a > x.a AND y.a < t.pos AND y.b > t.pos)""",
+        f"{src}_blocks", f"{src}_words",
     )
+    ruby_swap = text("w[:p]", flip("w[p + 1:o - 1]"), "[w[o]]", "w[e + 1:b - 1]", "['else']", "w[o + 1:e - 1]", "w[b:]")
+    ruby_if = f"""SELECT id, p, CASE WHEN {fits('w[p + 1:o - 1]', 'lang')} THEN {ruby_swap} END AS out FROM (
+        SELECT k.id, 'ruby' AS lang, k.a AS p, k.b, min(k.pos) AS o, any_value(l.w) AS w, max(CASE WHEN k.tok = 'else' THEN k.pos END) AS e
+        FROM {src}_own k JOIN {src}_lists l ON l.id = k.id WHERE l.w[k.a] IN ('if', 'unless')
+        GROUP BY k.id, k.a, k.b HAVING count(*) FILTER (k.tok = 'else') = 1 AND count(*) FILTER (k.tok = 'elsif') = 0) AS t
+      WHERE w[o] IN ('then', {lit(V.LINE)}) AND NOT EXISTS (SELECT 1 FROM {src}_blocks y WHERE y.id = t.id AND y.a > t.p AND y.a < t.o)"""
     cte(
         f"{src}_bs",
-        f"""SELECT id, {py_unmark('out')} AS out FROM ({python}) AS p UNION ALL SELECT id, {rb_unmark} FROM ({ruby}) AS r
-            UNION ALL ({brace(wordy, "lang = 'javascript'")})
-            UNION ALL ({brace(plain, "lang NOT IN ('python', 'ruby', 'javascript')")})""",
-        src,
+        f"SELECT id, replace(out, {lit(V.LINE)}, '') AS out FROM ({pick(f'{brace_if} UNION ALL {python_if} UNION ALL {ruby_if}', 'block_swap')}) AS t",
+        f"{src}_blocks", f"{src}_own", f"{src}_lists",
     )
 
-    def jumps(body: str, ins: str) -> str:
-        return join(f"list_transform(string_split({body}, ' '), lambda t: CASE WHEN t IN ('continue', 'break', 'return') THEN {ins} || t ELSE t END)")
-
-    f = V.FOR_BRACE
-    init, cond, upd, body = (group("m", f, n) for n in (1, 2, 3, 4))
-    step = f"CASE WHEN {upd} = '' THEN '' ELSE {upd} || '; ' END"
-    new = (
-        f"CASE WHEN {init} = '' THEN '' ELSE {init} || '; ' END || 'while ( ' || CASE WHEN {cond} = '' THEN 'true ' ELSE {cond} END"
-        f" || ') {{ ' || {jumps(body, '(' + step + ')')} || {step} || '}}'"
-    )
-    for_brace = replace_one(
-        src, "masked", f, f"{has(B, V.AT_WORD)} AND (lang IN ('java', 'c') OR {group(M, f, 2)} <> '')", new, "for_to_while",
-        f"lang IN {in_list(list(V.BRACE_LANGS))}",
-    )
-    g = V.FOR_PYTHON
-    var, args, pbody = group("m", g, 1), f"string_split({group('m', g, 2)}, ' , ')", group("m", g, 3)
-    bump = f"({var} || ' += ' || coalesce({args}[3], '1') || {lit(f' {V.LINE} ')})"
-    py_new = (
-        f"{var} || ' = ' || CASE WHEN len({args}) > 1 THEN {args}[1] ELSE '0' END || {lit(f' {V.LINE} while ')} || {var} || ' in list ( range ( '"
-        f" || CASE WHEN len({args}) > 1 THEN {args}[2] ELSE {args}[1] END || {lit(f' ) ) : {V.OPEN} ')} || {jumps(pbody, bump)} || {bump} || {lit(V.CLOSE)}"
+    # Jumps of a loop at a: those of inner loops belong to them, a break also to an inner switch.
+    cte(
+        f"{src}_jumps",
+        f"""SELECT x.id, x.a, list(t.pos) AS js FROM {src}_blocks x JOIN {src}_words t ON t.id = x.id AND t.pos > x.a AND t.pos < x.b
+            WHERE x.head = 'for' AND t.tok IN ('continue', 'break', 'return') AND NOT EXISTS (
+              SELECT 1 FROM {src}_blocks y WHERE y.id = x.id AND y.a > x.a AND y.a < t.pos AND y.b > t.pos AND t.tok <> 'return'
+                AND (y.head IN ('for', 'foreach', 'while', 'do') OR (y.head = 'switch' AND t.tok = 'break')))
+            GROUP BY x.id, x.a""",
+        f"{src}_blocks", f"{src}_words",
     )
-    for_py = replace_one(src, py_text, g, has(B, V.AT_WORD), py_new, "for_to_while", "lang = 'python'")
-    cte(f"{src}_fw", f"({for_brace}) UNION ALL SELECT id, {py_unmark('out')} FROM ({for_py}) AS p", src)
 
-    wpat = V.WHILE_BRACE
-    inner = rx(group(M, wpat, 1), r"\( [^()]*\)", "x")
+    def body(step: str) -> str:
+        """The block at x with a list of tokens before each of its jumps and at its end."""
+        flat = f"flatten(list_transform(w[x.a + 1:x.b - 1], lambda t, i: CASE WHEN list_contains(js, x.a + i) THEN {step} || [t] ELSE [t] END))"
+        return f"{flat} || {step}"
+
+    part = lambda a, b: f"w[{a}:{b}]"
+    init, cond, upd = part("s.pos + 2", "s1.pos - 1"), part("s1.pos + 1", "s2.pos - 1"), part("s2.pos + 1", "x.a - 2")
+    given = lambda part: f"CASE WHEN len({part}) = 0 THEN [] ELSE {part} || [';'] END"
+    for_brace = f"""SELECT s.id, s.pos AS p, {text('w[:s.pos - 1]', given(init), "['while', '(']", f"CASE WHEN len({cond}) = 0 THEN ['true'] ELSE {cond} END", "[')', '{']", body('(' + given(upd) + ')'), 'w[x.b:]')} AS out
+      FROM {src}_pos s JOIN {src}_lists l ON l.id = s.id JOIN {src}_pos s1 ON s1.id = s.id AND s1.pos = s.stop JOIN {src}_pos s2 ON s2.id = s.id AND s2.pos = s1.stop
+      JOIN {src}_blocks x ON x.id = s.id AND x.a = s2.stop LEFT JOIN {src}_jumps j ON j.id = s.id AND j.a = x.a
+      WHERE s.tok = 'for' AND s.behind = '(' AND s1.tok = ';' AND s2.tok = ';' AND w[x.a - 1] = ')' AND s.lang IN {in_list(list(V.BRACE_LANGS))}
+        AND (s.lang IN ('java', 'c') OR len({cond}) > 0)"""
+    args = "string_split(array_to_string(w[s.pos + 5:s.stop - 3], ' '), ' , ')"
+    bump = f"[w[s.pos + 1], '+=', coalesce({args}[3], '1'), 'NEWLINE']"
+    for_py = f"""SELECT s.id, s.pos AS p, {text('w[:s.pos - 1]', f"[w[s.pos + 1], '=', CASE WHEN len({args}) > 1 THEN {args}[1] ELSE '0' END, 'NEWLINE', 'while', w[s.pos + 1], 'in', 'list', '(', 'range', '(', CASE WHEN len({args}) > 1 THEN {args}[2] ELSE {args}[1] END, ')', ')', ':', 'NEWLINE', 'INDENT']", body(bump), 'w[x.b:]')} AS out
+      FROM {src}_pos s JOIN {src}_lists l ON l.id = s.id JOIN {src}_blocks x ON x.id = s.id AND x.a = s.stop + 1 LEFT JOIN {src}_jumps j ON j.id = s.id AND j.a = x.a
+      WHERE s.tok = 'for' AND s.lang = 'python' AND w[s.pos + 2:s.pos + 4] = ['in', 'range', '('] AND w[s.stop - 2:s.stop - 1] = [')', ':']"""
+    cte(f"{src}_fw", pick(f"{for_brace} UNION ALL {for_py}", "for_to_while"), f"{src}_blocks", f"{src}_jumps", f"{src}_lists")
+
+    inner = rx("array_to_string(w[s.pos + 2:s.stop - 2], ' ') || ' '", r"\( [^()]*\)", "x")
     binary = has("' ' || " + inner, V.BINARY_OPERATOR)
-    cte(
-        f"{src}_wf",
-        replace_one(
-            src, "masked", wpat, f"{has(B, V.AT_WORD)} AND (lang <> 'c_sharp' OR {binary})",
-            f"'for ( ; ' || {group('m', wpat, 1)} || '; ) {{ ' || {group('m', wpat, 2)} || '}}'", "while_to_for",
-            f"lang IN {in_list(list(V.BRACE_LANGS))}",
-        ),
-        src,
-    )
+    while_brace = f"""SELECT s.id, s.pos AS p, {text('w[:s.pos - 1]', "['for', '(', ';']", 'w[s.pos + 2:s.stop - 2]', "[';', ')']", 'w[s.stop:]')} AS out
+      FROM {src}_pos s JOIN {src}_lists l ON l.id = s.id JOIN {src}_blocks x ON x.id = s.id AND x.a = s.stop
+      WHERE s.tok = 'while' AND s.behind = '(' AND w[s.stop - 1] = ')' AND s.lang IN {in_list(list(V.BRACE_LANGS))} AND (s.lang <> 'c_sharp' OR {binary})"""
+    cte(f"{src}_wf", pick(while_brace, "while_to_for"), f"{src}_blocks", f"{src}_lists")
+
+    py_text = rx(rx(rx("masked", r"\bNEWLINE INDENT\b", V.OPEN), r"\bDEDENT\b", V.CLOSE), r"\bNEWLINE\b", V.LINE)
+
+    def py_unmark(t: str) -> str:
+        return f"replace(replace(replace({t}, {lit(V.OPEN)}, 'NEWLINE INDENT'), {lit(V.CLOSE)}, 'DEDENT'), {lit(V.LINE)}, 'NEWLINE')"
+
     cte(
         f"{src}_forwhile",
         f"""SELECT c.id, CASE WHEN {unit('c.id', salt='for_while')} < 0.5 THEN coalesce(a.out, b.out) ELSE coalesce(b.out, a.out) END AS out
@@ -370,7 +449,8 @@ def rewrite_ctes(src: str) -> None:
     rows = ", ".join(f"({lit(a)}, {lit(b)}, {lo}, {hi}, {lit(t)})" for a, b, lo, hi, t in V.DEAD_TEMPLATES)
     cut = V.CUT + "$1" + V.CUT
     py_marked = rx(py_text, "(" + V.STATEMENT_PYTHON + ")", cut)
-    rb_marked = rx(rx("masked", V.RUBY_HEADS, f"$1 {V.LINE}"), "(" + V.STATEMENT + ")", cut)
+    rb_marked = rx(rx("lined", V.RUBY_HEADS, f"$1 {V.LINE}"), "(" + V.STATEMENT_LINES + ")", cut)
+    lines_marked = rx(rx("lined", V.FOR_HEADER, f"for $1{V.SEMI} $2{V.SEMI} $3"), "(" + V.STATEMENT_LINES + ")", cut)
     marked = rx(rx("masked", V.FOR_HEADER, f"for $1{V.SEMI} $2{V.SEMI} $3"), "(" + V.STATEMENT + ")", cut)
     ok = (
         f"len(string_split({M}, ' ')) > 1 AND len(string_split({M}, ' ')) * 2 < n AND "
@@ -384,11 +464,11 @@ def rewrite_ctes(src: str) -> None:
               CASE WHEN lang = 'php' THEN '$_i_' ELSE '_i_' END || ({h32('id', salt='dead_variable')} % 10) AS v
             FROM (SELECT *, list_filter(range(2, len(parts) + 1, 2), lambda j: ({ok})) AS cand FROM (
               SELECT id, lang, len(string_split(masked, ' ')) AS n,
-                string_split(CASE lang WHEN 'python' THEN {py_marked} WHEN 'ruby' THEN {rb_marked} ELSE {marked} END, {lit(V.CUT)}) AS parts
+                string_split(CASE lang WHEN 'python' THEN {py_marked} WHEN 'ruby' THEN {rb_marked} WHEN 'go' THEN {lines_marked} WHEN 'javascript' THEN {lines_marked} ELSE {marked} END, {lit(V.CUT)}) AS parts
               FROM {src}) AS p) AS q WHERE len(cand) > 0""",
         src,
     )
-    stmt = f"CASE WHEN lang = 'python' THEN regexp_replace(picked, {lit(f' {V.LINE}$')}, '') ELSE replace(picked, {lit(V.SEMI)}, ';') END"
+    stmt = f"replace(regexp_replace(picked, {lit(f' {V.LINE}$')}, ''), {lit(V.SEMI)}, ';')"
     cte(
         f"{src}_deadblock",
         f"""SELECT s.*, {stmt} AS body, replace(replace(t.template, '{{v}}', s.v), '{{b}}', {stmt}) AS dead
@@ -398,8 +478,7 @@ def rewrite_ctes(src: str) -> None:
     )
     cte(
         f"{src}_dead",
-        f"""SELECT id, CASE lang WHEN 'python' THEN {py_unmark('out')} WHEN 'ruby' THEN replace(out, {lit(V.LINE)}, '')
-              ELSE replace(out, {lit(V.SEMI)}, ';') END AS out
+        f"""SELECT id, CASE WHEN lang = 'python' THEN {py_unmark('out')} ELSE replace(replace(out, {lit(V.LINE)}, ''), {lit(V.SEMI)}, ';') END AS out
             FROM (SELECT id, lang, array_to_string(list_transform(parts, lambda m, i: CASE WHEN i = k THEN dead || ' ' || m ELSE m END), '') AS out
                   FROM {src}_deadblock) AS t""",
         f"{src}_deadblock",

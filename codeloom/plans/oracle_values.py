@@ -31,7 +31,6 @@ STRIP_PYTHON = '"""(?s:.*?)"""|\'\'\'(?s:.*?)\'\'\'|"(?:[^"\\\\\\n]|\\\\.)*"|\'(
 OPEN = '\ue000'
 CLOSE = '\ue001'
 LINE = '\ue002'
-STOP = '\ue003'
 SEMI = '\ue004'
 CUT = '\ue005'
 BRACE_LANGS = ('c', 'cpp', 'c_sharp', 'java', 'javascript', 'php')
@@ -42,13 +41,6 @@ COMPARISON = '((?:[!~-] )?(?:[\\p{L}\\p{N}_$@]+(?:\\.\\d+)?|\\"\\d+\\"|\\( [^()]
 BEFORE_COMPARISON = '^$|(?:^|[(=?:!;{}&|\\[]|\\b(?:return|if|while|and|or|not|elif|elsif|unless|until|then|do|in|when|case|else|NEWLINE|INDENT|DEDENT)) $'
 AFTER_COMPARISON = '^(?:$| (?:[);?:&|\\]{}]|(?:and|or|then|do|if|else|NEWLINE)\\b))'
 AT_WORD = '^$| $'
-IF_BRACE = '(else )?if ([^{};]*) \\{ ([^{}]*)\\} else \\{ ([^{}]*)\\}'
-IF_PYTHON = '(el)?if ([^\ue000\ue001\ue002]*?) : \ue000 ([^\ue000\ue001]*)\ue001 else : \ue000 ([^\ue000\ue001]*)\ue001'
-IF_RUBY = '\ue000(if|unless) ([^\ue000\ue001\ue003;]*?) then ([^\ue000\ue001\ue003]*?)else ([^\ue000\ue001\ue003]*)\ue001'
-RUBY_OPENERS = '\\b(if|unless|while|until|for|begin|case|def|class|module|do)\\b'
-FOR_BRACE = 'for \\( ([^;{}]*); ([^;{}]*); ([^;{}]*)\\) \\{ ([^{}]*)\\}'
-WHILE_BRACE = 'while \\( ([^;{}]*)\\) \\{ ([^{}]*)\\}'
-FOR_PYTHON = 'for ([\\p{L}_][\\p{L}\\p{N}_]*) in range \\( ((?:[^(),\ue000\ue001\ue002]|\\( [^(),\ue000\ue001\ue002]*\\))+(?:, (?:[^(),\ue000\ue001\ue002]|\\( [^(),\ue000\ue001\ue002]*\\))+){0,2}) \\) : \ue000 ([^\ue000\ue001]*)\ue001'
 BINARY_OPERATOR = ' (?:===|!==|==|!=|<=|>=|<|>|&&|\\|\\||[+*/%&|^-]) '
 POST_STEP = '(^|[;{})] |else )([\\p{L}_$][\\p{L}\\p{N}_$]*) = ([\\p{L}_$][\\p{L}\\p{N}_$]*) ([+-])[+-] ;'
 PRE_STEP = '(^|[;{})] |else )([\\p{L}_$][\\p{L}\\p{N}_$]*) = ([+-])[+-] ([\\p{L}_$][\\p{L}\\p{N}_$]*) ;'
@@ -58,6 +50,7 @@ TERNARY_RETURN = '(^| )return (?:\\( ([^();?:{}]*?) \\)|([^;?:{}]*?)) \\? ([^;?:
 IMPORT_TOKENS = '\\b(?:import|package) [^;{}]*; ?'
 FOR_HEADER = 'for ([^;{}]*); ([^;{}]*); ([^;{}]*[){])'
 STATEMENT = '[^;{}\ue002\ue004\\s][^;{}\ue002]* ;'
+STATEMENT_LINES = '[^;{}\ue002\ue004\\s][^;{}\ue002]* [;\ue002]'
 STATEMENT_PYTHON = '[^\ue000\ue001\ue002\\s][^\ue000\ue001\ue002]* \ue002'
 RUBY_HEADS = '(def \\S+ \\( [^()]*\\)|\\b(?:then|else|do|end|begin)) '
 RUBY_CONTROL = '\\b(?:if|unless|while|until|for|begin|case|def|class|module|do|end|then|else|elsif|when)\\b'

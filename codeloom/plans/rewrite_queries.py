@@ -47,7 +47,7 @@ _rewrite("rw_rename_vars", R.rename_vars, "ctx_ren")
 def _dead_templates(spark, sf):
     """The dead block of each row: kind, variant and variable drawn, body put in."""
     ctx = R.column_context()
-    df = compute_once(T.context(spark, sf).select("id", "lang", "masked"), body=R.dead_body(ctx))
+    df = compute_once(T.context(spark, sf).select("id", "lang", "masked", "lined"), body=R.dead_body(ctx))
     df = df.where(F.col("body").isNotNull())
     return df.select("id", "lang", R.dead_kind(ctx).alias("kind"), "body", R.dead_block(ctx, F.col("body")).alias("dead"))
 
@@ -57,7 +57,7 @@ def _dead_templates(spark, sf):
     O.query("SELECT id, lang, string_agg(tok, ' ' ORDER BY i) AS names, count(*) AS n FROM (SELECT r.*, c.lang FROM ctx_renamed r JOIN ctx c ON c.id = r.id) AS t GROUP BY id, lang", "ctx_renamed", "ctx"),
 )
 def _topk_rename(spark, sf):
-    df = compute_once(T.context(spark, sf).select("id", "lang", "masked"), names=R.renamed_names(R.column_context()))
+    df = compute_once(T.context(spark, sf).select("id", "lang", "masked", "lined"), names=R.renamed_names(R.column_context()))
     return df.where(F.size("names") > 0).select("id", "lang", join_tokens(F.col("names")).alias("names"), F.size("names").cast("bigint").alias("n"))
 
 

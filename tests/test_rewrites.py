@@ -67,6 +67,87 @@ def test_block_swap(spark):
     assert apply(spark, R.block_swap, "void f(){ if (a < b) { x(); } else if (a > c) { y(); } else { z(); } }") is None
 
 
+NESTED = [
+    # loops in loops: only jumps of the chosen loop get its step, a return any
+    ("for_to_while", "java",
+     "void f(){ for(i=0;i<n;i++){ if (a) { continue; } while (b) { if (c) { break; } return; } do { continue; } while (d); break; } }",
+     "void f ( ) { i = 0 ; while ( i < n ) { if ( a ) { i ++ ; continue ; } while ( b ) { if ( c ) { break ; } i ++ ; return ; } "
+     "do { continue ; } while ( d ) ; i ++ ; break ; i ++ ; } }"),
+    ("for_to_while", "c",
+     "void f(){ for(;;i++){ switch (a) { case 1: break; default: { continue; } } { break; } } }",
+     "void f ( ) { while ( true ) { switch ( a ) { case 1 : break ; default : { i ++ ; continue ; } } { i ++ ; break ; } i ++ ; } }"),
+    ("for_to_while", "python",
+     "def f(n):\n    for i in range(1, n):\n        if i:\n            continue\n        for j in n:\n            while j:\n                break\n            continue\n        else:\n            return 1\n    return 2\n",
+     "def f ( n ) : NEWLINE INDENT i = 1 NEWLINE while i in list ( range ( n ) ) : NEWLINE INDENT if i : NEWLINE INDENT i += 1 NEWLINE continue NEWLINE "
+     "DEDENT for j in n : NEWLINE INDENT while j : NEWLINE INDENT break NEWLINE DEDENT continue NEWLINE DEDENT else : NEWLINE INDENT i += 1 NEWLINE "
+     "return 1 NEWLINE DEDENT i += 1 NEWLINE DEDENT return 2 NEWLINE DEDENT"),
+    ("while_to_for", "javascript",
+     "function f(){ while (a < b) { if (c) { g(); } else { h(); } } }",
+     "function f ( ) { for ( ; a < b ; ) { if ( c ) { g ( ) ; } else { h ( ) ; } } }"),
+    ("block_swap", "java",
+     "void f(){ if (a < b) { if (c) { x(); } y(); } else { while (d) { z(); } } w(); }",
+     "void f ( ) { if ( a >= b ) { while ( d ) { z ( ) ; } } else { if ( c ) { x ( ) ; } y ( ) ; } w ( ) ; }"),
+    ("block_swap", "go",
+     "func f() { if a && b { if a == b { x() } else { for c { y() } } } }",
+     "func f ( ) { if a && b { if a != b { for c { y ( ) } } else { x ( ) } } }"),
+    ("block_swap", "python",
+     "def f(a):\n    if a > 1:\n        if b:\n            c()\n    else:\n        for d in e:\n            g()\n    h()\n",
+     "def f ( a ) : NEWLINE INDENT if a <= 1 : NEWLINE INDENT for d in e : NEWLINE INDENT g ( ) NEWLINE DEDENT DEDENT else : NEWLINE INDENT "
+     "if b : NEWLINE INDENT c ( ) NEWLINE DEDENT DEDENT h ( ) NEWLINE DEDENT"),
+    ("block_swap", "ruby",
+     "def f(a)\n  if a > 1\n    b = 2 if c\n    d.each do |x|\n      begin\n        y\n      end\n    end\n  else\n    while e do g end\n  end\nend\n",
+     "def f ( a ) if a <= 1 while e do g end else b = 2 if c d . each do | x | begin y end end end end"),
+    ("block_swap", "ruby",
+     "def f\n  x = if a.end == b.if then\n    unless c\n      d\n    else\n      e\n    end\n  else\n    g\n  end\nend\n",
+     "def f x = if a . end != b . if then g else unless c d else e end end end"),
+]
+
+
+@pytest.mark.parametrize("name, lang, code, want", NESTED)
+def test_blocks_that_hold_blocks(spark, name, lang, code, want):
+    assert apply(spark, getattr(R, name), code, lang) == want
+
+
+def test_each_nested_if_can_be_chosen(spark):
+    code = "void f(){ if (a < b) { if (c == d) { x(); } else { y(); } } else { z(); } }"
+    got = {apply(spark, R.block_swap, code, seed=s) for s in range(8)}
+    assert got == {
+        "void f ( ) { if ( a >= b ) { z ( ) ; } else { if ( c == d ) { x ( ) ; } else { y ( ) ; } } }",
+        "void f ( ) { if ( a < b ) { if ( c != d ) { y ( ) ; } else { x ( ) ; } } else { z ( ) ; } }",
+    }
+
+
+@pytest.mark.parametrize("code", ["void f(){ if (a < b) { x(); } else if (c) { y(); } else { z(); }", "} } {", "void f(){ if (a < b) { { } else { } }"])
+def test_unbalanced_code_is_left_or_cut_at_blocks(spark, code):
+    assert apply(spark, R.block_swap, code) is None and apply(spark, R.for_to_while, code) is None
+
+
+def test_deep_nesting(spark):
+    depth = 120
+    code = "void f(){ if (a < b) { " + "{ " * depth + "x(); " + "} " * depth + "} else { y(); } }"
+    inner = "{ " * depth + "x ( ) ; " + "} " * depth
+    assert apply(spark, R.block_swap, code) == "void f ( ) { if ( a >= b ) { y ( ) ; } else { " + inner + "} }"
+
+
+@pytest.mark.parametrize(
+    "lang, code",
+    [
+        ("go", "func f(n int) int {\n  a := 1\n  for i := 0; i < n; i++ {\n    a += i\n  }\n  return a\n}\n"),
+        ("ruby", "def f(n)\n  a = 1\n  b = a + n\n  while n > 3 do\n    n -= 1\n  end\n  a\nend\n"),
+        ("javascript", "function f(n) {\n  let a = 1\n  let s = `x ${n}`\n  return a\n}\n"),
+    ],
+)
+def test_dead_code_of_statements_that_end_with_their_line(spark, lang, code):
+    whole = apply(spark, lambda ctx: ctx.masked, code, lang).split()
+    seen = set()
+    for seed in range(6):
+        got = apply(spark, R.dead_code, code, lang, seed).split()
+        extra = len(got) - len(whole)
+        assert extra > 0 and any(got[:i] + got[i + extra :] == whole for i in range(len(whole)))
+        seen.add(" ".join(got))
+    assert len(seen) > 2
+
+
 def test_operand_swap(spark):
     assert apply(spark, R.operand_swap, "void f(){ if (a.b(c) <= d + 1) g(); }") == "void f ( ) { if ( d + 1 >= a . b ( c ) ) g ( ) ; }"
     assert apply(spark, R.operand_swap, "void f(){ List<String> x; }") is None
