@@ -241,13 +241,11 @@ def block_swap(ctx: Context) -> Column:
     def negated(cond: Column) -> Column:
         return join_tokens(F.transform(F.split(cond, " "), lambda t: _by_map(t, NEGATE)))
 
-    def one_comparison(cond: Column, logic: tuple[str, ...]) -> Column:
-        return (count(cond, RELATIONAL) == 1) & (count(cond, logic) == 0)
+    def one_comparison(cond: Column) -> Column:
+        spoken = ctx.lang.isin("javascript", "ruby") & (count(cond, ("and", "or")) > 0)
+        return (count(cond, RELATIONAL) == 1) & (count(cond, ("&&", "&", "||", "|")) == 0) & ~spoken
 
-    plain = ("&&", "&", "||", "|")
-    wordy = (*plain, "and", "or")
-
-    def two_blocks(text: Column, head: str, otherwise: str, before_block: str, logic: tuple[str, ...]) -> Column:
+    def two_blocks(text: Column, head: str, otherwise: str, before_block: str) -> Column:
         """``otherwise`` stands between the blocks, ``before_block`` between a condition and its block."""
 
         def new(m: Column, before: Column, behind: Column) -> Column:
@@ -265,21 +263,18 @@ def block_swap(ctx: Context) -> Column:
                 )
                 return F.when(F.rlike(tail, F.lit(f"^{otherwise}[{OPENS}] ")), made)
 
-            fits = F.rlike(before, F.lit(AT_WORD)) & ~F.endswith(before, F.lit("else ")) & one_comparison(cond, logic)
+            fits = F.rlike(before, F.lit(AT_WORD)) & ~F.endswith(before, F.lit("else ")) & one_comparison(cond)
             return F.when(fits, B.cut_block(mark, behind, swap))
 
         return B.replace_block(text, head, new, _one_of(ctx, "block_swap"))
 
-    def brace(logic: tuple[str, ...]) -> Column:
-        return _brace_unmark(two_blocks(_brace_marks(ctx.masked), IF_BRACE, " else ", " ", logic))
-
     def new_ruby(m: Column, _before: Column, behind: Column) -> Column:
         mark = F.substr(m, F.lit(1), F.lit(1))
 
         def swap(inner: Column, end: Column) -> Column:
             def build(s: Column) -> Column:
                 halves = F.split(F.substr(s["own"], F.length(s["cond"]) + F.length(s["then"]) + 3), r"\belse\b")
-                fits = (s["then"] != "") & ~F.rlike(s["own"], F.lit(r"\belsif\b")) & one_comparison(s["cond"], wordy)
+                fits = (s["then"] != "") & ~F.rlike(s["own"], F.lit(r"\belsif\b")) & one_comparison(s["cond"])
                 return let(
                     halves,
                     lambda h: F.when(
@@ -298,14 +293,10 @@ def block_swap(ctx: Context) -> Column:
 
         return B.cut_block(mark, behind, swap)
 
-    python = _python_unmark(two_blocks(B.levelled(_python_marks(ctx.masked)), IF_PYTHON, " else : ", " : ", plain))
+    brace = _brace_unmark(two_blocks(_brace_marks(ctx.masked), IF_BRACE, " else ", " "))
+    python = _python_unmark(two_blocks(B.levelled(_python_marks(ctx.masked)), IF_PYTHON, " else : ", " : "))
     ruby = _ruby_unmark(B.replace_block(_ruby_marks(ctx.lined), IF_RUBY, new_ruby, _one_of(ctx, "block_swap")))
-    return (
-        F.when(ctx.lang == "python", python)
-        .when(ctx.lang == "ruby", ruby)
-        .when(ctx.lang == "javascript", brace(wordy))
-        .otherwise(brace(plain))
-    )
+    return F.when(ctx.lang == "python", python).when(ctx.lang == "ruby", ruby).otherwise(brace)
 
 
 def _before_jumps(body: Column, inserted: Column) -> Column:
@@ -387,12 +378,14 @@ def while_to_for(ctx: Context) -> Column:
     return F.when(ctx.lang.isin(*BRACE_LANGS), swapped)
 
 
+def _either(a: Column, b: Column, draw: Column) -> Column:
+    """The first of the two that applies, in drawn order."""
+    return F.when(draw < 0.5, F.coalesce(a, b)).otherwise(F.coalesce(b, a))
+
+
 def for_while(ctx: Context) -> Column:
     """Either loop rewrite, in hashed order, the first that applies."""
-    first = rand.unit(ctx.id, salt="for_while", seed=ctx.seed) < 0.5
-    return F.when(first, F.coalesce(for_to_while(ctx), while_to_for(ctx))).otherwise(
-        F.coalesce(while_to_for(ctx), for_to_while(ctx))
-    )
+    return _either(for_to_while(ctx), while_to_for(ctx), rand.unit(ctx.id, salt="for_while", seed=ctx.seed))
 
 
 def _twice(text: Column, pattern: str, replacement: str) -> Column:
@@ -423,10 +416,7 @@ def ternary_removal(ctx: Context) -> Column:
 
 def confusion_removal(ctx: Context) -> Column:
     """Step or ternary removal, in hashed order, the first that applies."""
-    first = rand.unit(ctx.id, salt="confusion", seed=ctx.seed) < 0.5
-    return F.when(first, F.coalesce(incdec_removal(ctx), ternary_removal(ctx))).otherwise(
-        F.coalesce(ternary_removal(ctx), incdec_removal(ctx))
-    )
+    return _either(incdec_removal(ctx), ternary_removal(ctx), rand.unit(ctx.id, salt="confusion", seed=ctx.seed))
 
 
 def _template_map() -> Column:
