@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.functions.arrays import compute_once, let
 from codeloom.operators.prep import word_count
 
 
@@ -42,49 +43,71 @@ def metric_rows(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame
     return df.select(*keys, F.inline(pairs))
 
 
-BUCKETS = 4096
+#: Ranges of a group's values, a power of two; bounds come from a sketch of this relative accuracy.
+RANGES, ACCURACY = 256, 4096
 
 
-def cumulative(rows: DataFrame, by: list[str], value: str, **counts: Column) -> DataFrame:
-    """(by, value, cnt, upto, counts): rows up to and with each distinct value, and further counts per value.
+def _range_of(value: Column, bounds: Column) -> Column:
+    """How many of the ascending bounds (at most ``RANGES`` - 1) are not above the value, by binary search."""
 
-    Rows are counted per distinct value first. The running sum is taken within ``BUCKETS`` equal parts of a group's range
-    of values, and the parts before are added, so no task walks over a whole group. The counts are read three times and so
-    are kept (lost ones are computed again).
+    def search(low: Column, step: int) -> Column:
+        if step == 0:
+            return low
+        higher = F.coalesce(F.get(bounds, low + (step - 1)) <= value, F.lit(False))
+        return let(low + F.when(higher, step).otherwise(0), lambda found: search(found, step // 2))
+
+    return search(F.lit(0), RANGES // 2)
+
+
+def ranged(rows: DataFrame, by: list[str], value: str, size: Column, **counts: Column) -> DataFrame:
+    """(by, value, counts, _range, _before, _in, _n): counts per distinct value, the range of the value, and the ``size`` (of
+    the counts) of the ranges before it, of its own and of all.
+
+    The bounds of a group's ranges are equally deep by a mergeable quantile sketch of its distinct values, so values that lie
+    far out or close together spread over as many ranges as any. The rows are shuffled once, to their distinct values; the
+    sketch and the counts read that exchange again. One row a group (bounds) and one a range come back by joins that are
+    broadcast as long as they are small.
     """
-    span = Window.partitionBy(*by)
-    found = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"), *[c.alias(k) for k, c in counts.items()])
-    found = found.persist(StorageLevel.MEMORY_AND_DISK)
-    ends = found.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    part = F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width * BUCKETS)).otherwise(F.lit(0))
-    found = found.join(ends, by).withColumn("_part", part).drop("_lo", "_hi")
-    parts = found.groupBy(*by, "_part").agg(F.sum("cnt").alias("_in"))
-    parts = parts.withColumn("_before", F.sum("_in").over(span.orderBy("_part")) - F.col("_in")).drop("_in")
-    inner = F.sum("cnt").over(Window.partitionBy(*by, "_part").orderBy(value))
-    out = found.withColumn("_upto", inner).join(parts, [*by, "_part"])
-    return out.select(*by, value, "cnt", (F.col("_before") + F.col("_upto")).alias("upto"), *counts)
+    found = rows.groupBy(*by, value).agg(*[c.alias(k) for k, c in counts.items()])
+    shares = [F.lit((i + 1) / RANGES) for i in range(RANGES - 1)]
+    cuts = F.array_sort(F.array_distinct(F.percentile_approx(value, F.array(*shares), ACCURACY)))
+    # the sum keeps the counts in this branch, so that it reads the same exchange
+    ends = found.groupBy(*by).agg(cuts.alias("_bounds"), F.sum(size).alias("_n"))
+    placed = found.join(ends, by).withColumn("_range", _range_of(F.col(value), F.col("_bounds"))).drop("_bounds")
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(*by, "_range").agg(F.sum(size).alias("_in"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    return placed.join(sizes, [*by, "_range"])
+
+
+def cumulative(found: DataFrame, by: list[str], value: str, size: Column) -> DataFrame:
+    """Add ``upto`` to rows of ``ranged``: rows up to and with each value. Sums run inside ranges only."""
+    inner = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return found.withColumn("upto", F.col("_before") + F.sum(size).over(inner))
 
 
 def metric_summary(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Mean and exact linear quartiles of ``value``."""
+    """Mean and exact linear quartiles of ``value``; only ranges that hold a wanted rank are sorted."""
     shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    ranked = cumulative(rows.where(F.col("value").isNotNull()), by, "value")
-    ranked = ranked.join(ranked.groupBy(*by).agg(F.max("upto").alias("n")), by)
+    # computed once, or the filter below would compute the value a second time
+    rows = compute_once(rows.select(*by, "value"), value=F.col("value")).where(F.col("value").isNotNull())
+    found = ranged(rows, by, "value", F.col("cnt"), cnt=F.count(F.lit(1)))
+    ranks = [edge(F.lit(share) * (F.col("_n") - 1)) for share in shares.values() for edge in (F.floor, F.ceil)]
+    wanted = functools.reduce(lambda a, b: a | b, [(r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")) for r in ranks])
+    held = cumulative(found.where(wanted), by, "value", F.col("cnt"))
     picks = []
-    for name, share in shares.items():
-        place = F.lit(share) * (F.col("n") - 1)
-        low = F.floor(place)
-        picks.append(F.min(F.when(F.col("upto") > low, F.col("value"))).alias(f"_{name}_lo"))
-        picks.append(F.min(F.when(F.col("upto") > F.ceil(place), F.col("value"))).alias(f"_{name}_hi"))
-    mean = F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")
-    found = ranked.groupBy(*by).agg(mean.alias("mean"), F.max("n").alias("n"), *picks)
+    for i, name in enumerate(shares):
+        for rank, end in zip(ranks[2 * i : 2 * i + 2], ("lo", "hi")):
+            picks.append(F.min(F.when(F.col("upto") > rank, F.col("value"))).alias(f"_{name}_{end}"))
+    chosen = held.groupBy(*by).agg(F.max("_n").alias("_n"), *picks)
+    means = rows.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("cnt"))
+    means = means.groupBy(*by).agg((F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"))
     out = []
     for name, share in shares.items():
-        place = F.lit(share) * (F.col("n") - 1)
+        place = F.lit(share) * (F.col("_n") - 1)
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         out.append((lo + (place - F.floor(place)) * (hi - lo)).alias(name))
-    return found.select(*by, "mean", *out)
+    return chosen.join(means, by).select(*by, "mean", *out)
 
 
 def ttest(rows: DataFrame, by: list[str], group: str, first: str, second: str) -> DataFrame:
@@ -104,33 +127,59 @@ def ttest(rows: DataFrame, by: list[str], group: str, first: str, second: str) -
     return out.withColumn("p", t_p_value(F.col("t"), F.col("df")))
 
 
+def _signed(pairs: DataFrame, by: list[str], diff: Column) -> DataFrame:
+    """``signed_ranks`` with ``zeros``, and a row of size 0, without rank, for the zero differences."""
+    sizes = compute_once(pairs, d=diff).select(*by, "d").where(F.col("d").isNotNull()).withColumn("size", F.abs("d"))
+    signs = {"positive": F.col("d") > 0, "negative": F.col("d") < 0, "zeros": F.col("d") == 0}
+    ranked = F.col("positive") + F.col("negative")
+    found = ranged(sizes, by, "size", ranked, **{k: F.count(F.when(c, 1)) for k, c in signs.items()})
+    found = cumulative(found, by, "size", ranked).withColumn("cnt", ranked)
+    return found.select(*by, "size", *signs, "cnt", (F.col("upto") - (F.col("cnt") - 1) / 2.0).alias("avg_rank"))
+
+
 def signed_ranks(pairs: DataFrame, by: list[str], diff: Column) -> DataFrame:
     """(by, size, positive, negative, cnt, avg_rank): tie-averaged ranks of absolute differences.
 
     Zero differences are dropped.
     """
-    nonzero = pairs.select(*by, diff.alias("d")).where(F.col("d") != 0).withColumn("size", F.abs("d"))
-    ranked = cumulative(
-        nonzero, by, "size", positive=F.count(F.when(F.col("d") > 0, 1)), negative=F.count(F.when(F.col("d") < 0, 1))
-    )
-    return ranked.withColumn("avg_rank", F.col("upto") - (F.col("cnt") - 1) / 2.0).drop("upto")
+    return _signed(pairs, by, diff).where(F.col("cnt") > 0).drop("zeros")
+
+
+#: Up to so many differences the signed-rank test is exact, if none are equal or zero.
+EXACT_PAIRS = 50
 
 
 def wilcoxon(pairs: DataFrame, by: list[str], diff: Column) -> DataFrame:
-    """Signed-rank test: (by, n, w, z, p) with the tie-corrected normal approximation."""
-    ranks = signed_ranks(pairs, by, diff)
-    agg = ranks.groupBy(*by).agg(
+    """Signed-rank test: (by, n, w, z, p). ``z`` is the tie-corrected normal statistic; ``p`` is exact for at most
+    ``EXACT_PAIRS`` differences without ties and zeros, else normal."""
+    agg = _signed(pairs, by, diff).groupBy(*by).agg(
         F.sum("cnt").alias("n"),
         F.sum(F.col("positive") * F.col("avg_rank")).alias("w_plus"),
         F.sum(F.col("negative") * F.col("avg_rank")).alias("w_minus"),
         F.sum(F.pow(F.col("cnt").cast("double"), F.lit(3.0)) - F.col("cnt")).alias("ties"),
+        F.sum("zeros").alias("zeros"),
     )
     n = F.col("n").cast("double")
     mean = n * (n + 1) / 4
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     w = F.least("w_plus", "w_minus")
-    out = agg.select(*by, "n", w.alias("w"), F.when(sd > 0, (w - mean) / sd).alias("z"))
-    return out.withColumn("p", normal_p_value(F.col("z")))
+    exact = (F.col("n") <= EXACT_PAIRS) & (F.col("ties") == 0) & (F.col("zeros") == 0)
+    out = agg.where(F.col("n") > 0).select(*by, "n", w.alias("w"), F.when(sd > 0, (w - mean) / sd).alias("z"), exact.alias("exact"))
+    p = F.when(F.col("exact"), exact_signed_rank_p(F.col("n"), F.col("w"))).otherwise(normal_p_value(F.col("z")))
+    return out.withColumn("p", p).drop("exact")
+
+
+def exact_signed_rank_p(n: Column, w: Column) -> Column:
+    """Two-sided p of the smaller rank sum ``w`` of ``n`` differences: of all 2**n choices of signs, the share with a sum of
+    at most ``w``, twice. The choices per sum are the coefficients of the product of 1 + x**k, a fold over arrays."""
+
+    def times(acc: Column, k: Column) -> Column:
+        term = lambda i: F.coalesce(F.get(acc, i), F.lit(0.0))
+        return F.transform(F.sequence(F.lit(0), F.size(acc) - 1 + k), lambda i: term(i) + term(i - k))
+
+    choices = F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.array(F.lit(1.0)), times)
+    below = F.aggregate(F.slice(choices, F.lit(1), w.cast("int") + 1), F.lit(0.0), lambda acc, c: acc + c)
+    return F.least(F.lit(1.0), 2 * below / F.pow(F.lit(2.0), n.cast("double")))
 
 
 def normal_p_value(z: Column) -> Column:

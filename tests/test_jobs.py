@@ -164,6 +164,33 @@ def test_quartiles_and_ranks_against_brute_force(spark):
         assert got[g]["mean"] == pytest.approx(sum(v) / len(v))
 
 
+def test_ranges_are_equally_deep_for_any_distribution(spark):
+    """Values far out, close together and equal: no range holds many distinct values, and nothing stays cached."""
+    n = 40_000
+    far = spark.range(n).select(F.lit("far").alias("g"), F.when(F.col("id") == 0, 1e12).otherwise(F.col("id") / 1e6).alias("value"))
+    near = spark.range(n).select(F.lit("near").alias("g"), F.exp(-F.col("id") / 100).alias("value"))
+    same = spark.range(n).select(F.lit("same").alias("g"), F.when(F.col("id") % 4 == 0, F.col("id")).otherwise(7).cast("double").alias("value"))
+    df = far.unionByName(near).unionByName(same)
+    found = stats.ranged(df, ["g"], "value", F.col("cnt"), cnt=F.count(F.lit(1)))
+    for r in found.groupBy("g").agg(F.count_distinct("_range").alias("ranges"), F.count(F.lit(1)).alias("values")).collect():
+        assert r.ranges > 200
+        worst = found.where(F.col("g") == r.g).groupBy("_range").count().agg(F.max("count")).first()[0]
+        assert worst < 3 * r.values / stats.RANGES
+    got = {r.g: r for r in stats.metric_summary(df, ["g"]).collect()}
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).collect()}
+    for g, q in want.items():
+        assert [got[g].q1, got[g].median, got[g].q3] == pytest.approx(q)
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == 0
+
+
+def test_rows_are_shuffled_to_their_values_once(spark):
+    df = spark.range(1000).selectExpr("id % 3 as g", "cast(id % 77 as double) as value")
+    out = stats.metric_summary(df, ["g"])
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+
+
 def test_unequal_files_are_cut_or_refused(spark):
     a = spark.range(5).select(F.col("id").alias("line"), F.lit("a").alias("value"))
     b = spark.range(3).select(F.col("id").alias("line"), F.lit("b").alias("value"))
@@ -246,3 +273,29 @@ def test_wilcoxon_against_a_hand_count(spark):
     df = spark.createDataFrame([(1.0,), (-1.0,), (2.0,), (0.0,), (3.0,)], "d double")
     row = stats.wilcoxon(df.withColumn("g", F.lit(1)), ["g"], F.col("d")).first()
     assert (row.n, row.w) == (4, 1.5)
+
+
+def test_exact_signed_rank_p(spark):
+    """All choices of signs counted one by one, and published values."""
+    import itertools
+
+    cases = [(n, float(w)) for n in range(1, 11) for w in range(n * (n + 1) // 4 + 1)]
+    df = spark.createDataFrame(cases + [(50, 434.0), (25, 89.0), (50, 0.0)], "n long, w double")
+    got = {(r.n, r.w): r.p for r in df.select("n", "w", stats.exact_signed_rank_p(F.col("n"), F.col("w")).alias("p")).collect()}
+    for n in range(1, 11):
+        sums = [sum(c) for k in range(n + 1) for c in itertools.combinations(range(1, n + 1), k)]
+        for w in range(n * (n + 1) // 4 + 1):
+            assert got[n, w] == pytest.approx(min(1.0, 2 * sum(s <= w for s in sums) / 2**n))
+    # the tables' critical values at two-sided 0.05
+    assert got[50, 434] < 0.05 and got[25, 89] < 0.05
+    assert got[50, 0] == pytest.approx(2 / 2**50)
+
+
+def test_signed_rank_p_is_exact_only_without_ties_and_zeros(spark):
+    rows = [("plain", float(d)) for d in (1, -2, 3, 4, 5, 6, 7)] + [("ties", d) for d in (1.0, -1.0, 3.0, 4.0)] + [("zero", d) for d in (0.0, 1.0, 2.0)]
+    rows += [("zeros", 0.0)] + [("many", float(d)) for d in range(1, 52)]
+    got = {r.g: r for r in stats.wilcoxon(spark.createDataFrame(rows, "g string, d double"), ["g"], F.col("d")).collect()}
+    assert got["plain"].p == pytest.approx(2 * 3 / 128) and got["plain"].w == 2
+    for g in ("ties", "zero", "many"):
+        assert got[g].p == pytest.approx(stats.normal_two_sided_p(got[g].z))
+    assert "zeros" not in got and (got["zero"].n, got["many"].n) == (2, 51)
