@@ -6,6 +6,7 @@ scanning all candidates for each token, which is quadratic and interpreted; so t
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable
 
@@ -62,6 +63,40 @@ def subtrees_of(tokens: list[str]) -> list[str]:
     return [" ".join(tokens), *(" ".join(tokens[a : b + 1]) for a, b, _, _ in spans_of(tokens))]
 
 
+_PRIME, _BASE = (1 << 61) - 1, 0x1D8E4E27C47D124F
+
+
+class Spans:
+    """The whole and all bracketed spans of a token list, outer ones before those in them, with fingerprints that are
+    differences of two prefix hashes; so a span costs no text."""
+
+    def __init__(self, tokens: list[str]) -> None:
+        self.tokens = tokens
+        self.places = [(0, len(tokens) - 1), *sorted((a, b) for a, b, _, _ in spans_of(tokens))]
+        sums, powers = [0], [1]
+        for t in tokens:
+            sums.append((sums[-1] * _BASE + hash(t)) % _PRIME)
+            powers.append(powers[-1] * _BASE % _PRIME)
+        self.keys = [((sums[b + 1] - sums[a] * powers[b - a + 1]) % _PRIME, b - a) for a, b in self.places]
+        self.by_key = {}
+        for k, place in zip(self.keys, self.places):
+            self.by_key.setdefault(k, place)
+
+    def found_in(self, other: Spans) -> int:
+        """How many of these spans ``other`` has. A hit is compared by its tokens; all spans inside of it are hits too."""
+        n, i = 0, 0
+        while i < len(self.places):
+            a, b = self.places[i]
+            hit = other.by_key.get(self.keys[i])
+            if hit is None or self.tokens[a : b + 1] != other.tokens[hit[0] : hit[1] + 1]:
+                i += 1
+                continue
+            # spans inside begin before this one ends; an empty list is a span as well
+            behind = bisect_right(self.places, (b, len(self.tokens)), i + 1)
+            n, i = n + behind - i, behind
+        return n
+
+
 def occurrences_of(tokens: list[str], lang: str) -> list[tuple]:
     """(pos, name, target, step, tgt, def) of the variables.
 
@@ -238,9 +273,9 @@ def tree_match(hyp: Column, refs: Column) -> Column:
     kind = pa.struct([("match", pa.int64()), ("total", pa.int64())])
 
     def of(h: list[str], rs: list[list[str]]) -> dict:
-        own = set(subtrees_of(h))
-        texts = [t for r in rs or [] for t in subtrees_of(r or [])]
-        return {"match": sum(t in own for t in texts), "total": len(texts)}
+        own = Spans(h)
+        refs = [Spans(r or []) for r in rs or []]
+        return {"match": sum(r.found_in(own) for r in refs), "total": sum(len(r.places) for r in refs)}
 
     run = _batch(of, kind)
 

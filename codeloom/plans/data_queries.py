@@ -462,27 +462,32 @@ for _seed in (42, 43):
     )
 
 
+def _precision(df, seed, name, *keep):
+    """``name``: unigram precision of a masked form under one seed; ``keep`` columns stay."""
+    pairs = df.select(*keep, R.noise_mask(F.col("w"), F.col("id"), seed=seed).alias("hyp"), F.array("w").alias("refs"))
+    rows = B.pair_stats(pairs, list(keep), 1)
+    return rows.select(*keep, (F.col("m_1") / F.col("hyp_len")).alias(name))
+
+
 def _experiment(spark, sf, seed):
-    """(id, lang, value): unigram precision of a masked form under one seed."""
-    df = T.normalized(spark, sf)
-    pairs = df.select("id", "lang", R.noise_mask(F.col("w"), F.col("id"), seed=seed).alias("hyp"), F.array("w").alias("refs"))
-    rows = B.pair_stats(pairs, ["id", "lang"], 1)
-    return rows.select("id", "lang", (F.col("m_1") / F.col("hyp_len")).alias("value"))
+    """(id, lang, value) of one experiment."""
+    return _precision(T.normalized(spark, sf), seed, "value", "id", "lang")
 
 
 def _both(spark, sf):
-    """(lang, experiment, value) of the two experiments."""
-    parts = [_experiment(spark, sf, s).withColumn("experiment", F.lit(f"seed{s}")) for s in (42, 43)]
-    return parts[0].unionByName(parts[1])
+    """(lang, experiment, value) of the two experiments, from one pass over the code."""
+    values = _paired(spark, sf)
+    runs = F.array(*[F.struct(F.lit(e).alias("experiment"), F.col(c).alias("value")) for e, c in (("seed42", "first"), ("seed43", "second"))])
+    return values.select("lang", F.inline(runs))
 
 
-_BOTH = "(SELECT *, 'seed42' AS experiment FROM metric42 UNION ALL SELECT *, 'seed43' FROM metric43) AS b"
+def _paired(spark, sf):
+    """(id, lang, first, second): both experiments of a row side by side, without a join."""
+    first = _precision(T.normalized(spark, sf), 42, "first", "id", "lang", "w")
+    return _precision(first, 43, "second", "id", "lang", "first")
 
 
-def _joined(spark, sf):
-    a = _experiment(spark, sf, 42).select("id", "lang", F.col("value").alias("first"))
-    b = _experiment(spark, sf, 43).select("id", F.col("value").alias("second"))
-    return a.join(b, "id")
+_BOTH = "(SELECT *, 'seed42' AS experiment FROM metric42 UNION ALL SELECT *, 'seed43' FROM metric43) AS b"
 
 
 _PAIRED = "metric42 a JOIN metric43 b ON b.id = a.id"
@@ -490,7 +495,9 @@ _PAIRED = "metric42 a JOIN metric43 b ON b.id = a.id"
 
 @register("join_experiments", O.query(f"SELECT a.id, a.lang, round(a.value, 6) AS first, round(b.value, 6) AS second FROM {_PAIRED}", "metric42", "metric43"))
 def _join_experiments(spark, sf):
-    return _joined(spark, sf).select("id", "lang", _r6(F.col("first"), "first"), _r6(F.col("second"), "second"))
+    a = _experiment(spark, sf, 42).select("id", "lang", F.col("value").alias("first"))
+    b = _experiment(spark, sf, 43).select("id", F.col("value").alias("second"))
+    return a.join(b, "id").select("id", "lang", _r6(F.col("first"), "first"), _r6(F.col("second"), "second"))
 
 
 @register(
@@ -546,7 +553,7 @@ O.cte(
     O.query("SELECT lang, round(abs(d), 9) AS size, round(r, 1) AS avg_rank, count(*) FILTER (d > 0) AS positive, count(*) FILTER (d < 0) AS negative, count(*) AS cnt FROM ranked GROUP BY lang, abs(d), r", "ranked"),
 )
 def _avg_rank(spark, sf):
-    out = S.signed_ranks(_joined(spark, sf), ["lang"], F.col("first") - F.col("second"))
+    out = S.signed_ranks(_paired(spark, sf), ["lang"], F.col("first") - F.col("second"))
     return out.select("lang", F.round("size", 9).alias("size"), F.round("avg_rank", 1).alias("avg_rank"), "positive", "negative", "cnt")
 
 
@@ -561,7 +568,7 @@ def _avg_rank(spark, sf):
     ),
 )
 def _wilcoxon(spark, sf):
-    out = S.wilcoxon(_joined(spark, sf), ["lang"], F.col("first") - F.col("second"))
+    out = S.wilcoxon(_paired(spark, sf), ["lang"], F.col("first") - F.col("second"))
     return out.select("lang", "n", F.round("w", 1).alias("w"), _r6(F.col("z"), "z"), _r6(F.col("p"), "p"))
 
 

@@ -191,6 +191,34 @@ def test_rows_are_shuffled_to_their_values_once(spark):
     assert "ReusedExchange" in plan
 
 
+def test_spans_by_prefix_hashes_match_their_texts():
+    import random
+
+    rng = random.Random(11)
+    for _ in range(400):
+        a, b = ([rng.choice("()[]{}xy") for _ in range(rng.randrange(14))] for _ in range(2))
+        if rng.random() < 0.5:
+            b = a[: len(a) // 2] + b
+        own = set(structure.subtrees_of(a))
+        assert structure.Spans(b).found_in(structure.Spans(a)) == sum(t in own for t in structure.subtrees_of(b))
+        assert len(structure.Spans(b).places) == len(structure.subtrees_of(b))
+
+
+def test_spans_take_time_in_proportion_to_nested_tokens():
+    import time
+
+    def seconds(n):
+        deep = ["("] * n + ["x"] + [")"] * n
+        other = ["("] * n + ["y"] + [")"] * n
+        start = time.perf_counter()
+        assert structure.Spans(deep).found_in(structure.Spans(deep)) == n + 1
+        assert structure.Spans(other).found_in(structure.Spans(deep)) == 0
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert min(seconds(80_000) for _ in range(3)) < 5 * min(seconds(40_000) for _ in range(3))
+
+
 def test_unequal_files_are_cut_or_refused(spark):
     a = spark.range(5).select(F.col("id").alias("line"), F.lit("a").alias("value"))
     b = spark.range(3).select(F.col("id").alias("line"), F.lit("b").alias("value"))
