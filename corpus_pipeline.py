@@ -24,14 +24,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.filter((F.col("__lang") != langid.UND) & (F.col("__sure") >= LEAST_SCORE)).select(*docs.columns)
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``: the doc_id, or a number of id and text where the id is null or has several texts."""
+    texts = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    # a table of its own, so that the join below knows its size
+    shared = kept(texts.filter("lo <> hi").select("doc_id", F.lit(True).alias("__shared")), "ids-with-several-texts")
+    own = -1 - F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
+    return docs.join(shared, "doc_id", "left").withColumn("__row", F.when(F.col("doc_id").isNull() | F.col("__shared"), own).otherwise(F.col("doc_id"))).drop("__shared")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component of texts with a word-shingle similarity of 0.75 or more;
-    of rows that repeat an id, one."""
+    """Keep one document of each component of texts with a word-shingle similarity of 0.75 or more: that with the smallest
+    id, or one without an id of its own. Rows of one id with different texts are different documents, as are rows without
+    id; of rows equal in id and text one stays."""
     ship(spark)
-    found = jaccard.jaccard_components(docs, percent=75)
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    own = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return own.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    rows = _told_apart(docs)
+    found = jaccard.jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"), percent=75)
+    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__row")).distinct()
+    return rows.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -110,3 +110,16 @@ def test_clean_text_of_three_languages_stays(spark, sf):
     score = langid.identify(both.filter("doc_id = 1000000000"), model).collect()[0].score
     assert score < pipeline.LEAST_SCORE
     assert pipeline.identify_language(spark, both, sf).filter("doc_id = 1000000000").count() == 1
+
+
+def test_texts_that_share_an_id_are_told_apart(spark, sf):
+    """Different texts of one id stay; copies without id, and rows equal in id and text, stay once."""
+    said = [" ".join(f"{w}{i}" for i in range(40)) for w in ("alpha", "beta", "gamma", "delta")]
+    rows = [(7, said[0]), (7, said[1]), (7, said[1]), (None, said[2]), (None, said[2] + " more"), (None, said[3]), (8, said[0]), (9, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.drop_near_copies(spark, docs, sf)
+    assert got.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    texts = [t for _, t in left if t is not None]
+    assert len(texts) == 4 and {t.split()[0] for t in texts} == {"alpha0", "beta0", "gamma0", "delta0"}
+    assert (7, said[1]) in left and (9, None) in left and (None, None) in left and len(left) == 6
