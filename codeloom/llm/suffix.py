@@ -328,8 +328,11 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     marks = kept(ranges.by_batch(scanned, _gather, ddl), "suffix-segments")
     contested = marks.filter("contested is not null").groupBy("key", "digest").agg(F.array_join(F.collect_set(F.hex("contested")), "").alias("contested"))
     contested = contested.select("key", "digest", F.unhex("contested").alias("contested"))
-    # merge joins at every size: the side of the marks grows with the corpus
-    asked = texts.join(contested.hint("merge"), ["key", "digest"]).mapInArrow(_send_windows(bits, span), ranges.BLOBS)
+    contested = kept(contested, "suffix-contested")
+    # only texts that may be contested move; a merge join at every size, as the side of the marks grows with the corpus
+    among = KeyFilter(contested)
+    some = texts.select("*", *among.places("key", "digest")).mapInArrow(among.keep(True), "key long, digest long, text string")
+    asked = some.join(contested.hint("merge"), ["key", "digest"]).mapInArrow(_send_windows(bits, span), ranges.BLOBS)
     windows = ranges.by_batch(ranges.by_range(asked, _scan_windows), _gather, ddl)
     pieces = marks.select("key", "digest", "repeats").unionByName(windows.select("key", "digest", "repeats")).filter("repeats is not null")
 
@@ -340,10 +343,49 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
 
     grouped = pieces.groupBy("key", "digest").agg(F.collect_set("repeats").alias("repeats"))
     found = kept(grouped.mapInArrow(spans, "key long, digest long, spans binary"), "suffix-spans")
-    drop(marks)
+    drop(marks, contested)
     return found
 
 
+#: Bits of a filter: 16 a key, and between these bounds.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
+
+
+class KeyFilter:
+    """A Bloom filter of the ``key, digest`` of a table: at most 8 MB whatever the number of keys; beyond 4 million keys it
+    lets ever more other pairs pass, which costs a move and no result. Rows are tested where Python reads them anyway."""
+
+    def __init__(self, keys: DataFrame) -> None:
+        self.size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
+        at = keys.select(F.explode(F.array(*self.places("key", "digest"))).alias("at"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+        found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        table = np.zeros(self.size // 64, np.int64)
+        table[found["word"].to_numpy()] = found["bits"].to_numpy()
+        self.words = keys.sparkSession.sparkContext.broadcast(table)
+
+    def places(self, key: str, digest: str) -> list[Column]:
+        """The two columns that ``keep`` reads, the last ones of a row."""
+        orders = ((key, digest), (digest, key))
+        return [F.pmod(F.xxhash64(*o), F.lit(self.size)).alias(f"__place{i}") for i, o in enumerate(orders)]
+
+    def keep(self, passing: bool):
+        """Batches less the last two columns, of the rows that pass, or of those that do not."""
+        shared = self.words
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = shared.value
+            for batch in batches:
+                n = batch.num_columns - 2
+                hit = np.ones(batch.num_rows, bool)
+                for column in batch.columns[n:]:
+                    at = column.to_numpy()
+                    hit &= (words[at >> 6] >> (at & 63)) & 1 == 1
+                yield batch.select(list(range(n))).filter(pa.array(hit == passing))
+
+        return run
+
+
 def cut(text: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
     """What is left of a text, bytes removed, and spans."""
     if not spans:
@@ -390,11 +432,16 @@ def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Data
 
 
 def _applied(docs: DataFrame, carry: tuple[str, ...], row, added: str, span: int, gram: int) -> DataFrame:
-    """The ``carry`` columns and what ``row`` makes of each text and its spans."""
-    spans = repeated_spans(docs, span, gram).withColumnsRenamed({"key": "__key", "digest": "__digest", "spans": "__spans"})
+    """The ``carry`` columns and what ``row`` makes of each text and its spans. Texts without spans stay in place."""
+    spans = repeated_spans(docs, span, gram)
+    among = KeyFilter(spans)
+    spans = spans.withColumnsRenamed({"key": "__key", "digest": "__digest", "spans": "__spans"})
     key, digest = _document()
     own = docs.select(*carry, F.col("text").alias("__text"), key.alias("__key"), digest.alias("__digest"))
-    joined = own.join(spans.hint("merge"), ["__key", "__digest"], "left").select(*carry, "__text", "__spans")
+    own = own.select("*", *among.places("__key", "__digest"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-2])
+    moved = own.mapInArrow(among.keep(True), fields).join(spans.hint("merge"), ["__key", "__digest"], "left").select(*carry, "__text", "__spans")
+    stay = own.select(*carry, "__text", F.lit(None).cast("binary").alias("__spans"), "__place0", "__place1")
     names = [f.split()[0] for f in added.split(", ")]
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     kinds = [types[f.split()[1]] for f in added.split(", ")]
@@ -406,5 +453,6 @@ def _applied(docs: DataFrame, carry: tuple[str, ...], row, added: str, span: int
             cols = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *cols], [*carry, *names])
 
-    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return joined.mapInArrow(apply, f"{ddl}, {added}")
+    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + f", {added}"
+    others = among.keep(False)
+    return stay.mapInArrow(lambda batches: apply(others(batches)), ddl).unionByName(moved.mapInArrow(apply, ddl))
