@@ -6,8 +6,6 @@ import random
 import numpy as np
 from odd import no_rows, odd_frame, odd_rows
 
-from pyspark.sql import functions as F
-
 from codeloom.llm import suffix
 from codeloom.llm.queries import QUERIES
 
@@ -120,19 +118,3 @@ def test_rows_of_one_id_or_none_with_different_texts(spark):
     assert sum(w[1] >= 300 for w in want.values()) == 3  # one copy of the passage stays
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.suffix_digests(df).collect())
     assert got == sorted((r[0] is not None, r[0] or 0, *want[place[r]]) for r in rows)
-
-
-def test_filter_of_keys_misses_none(spark):
-    keys = spark.range(3000).select((F.col("id") * 7).alias("key"), F.xxhash64("id").alias("digest"))
-    asked = spark.range(30000).select(F.col("id").alias("key"), F.xxhash64(F.col("id") / 7).alias("other"), F.when(F.col("id") % 7 == 0, F.xxhash64((F.col("id") / 7).cast("long"))).otherwise(F.col("id")).alias("digest"))
-
-    def passing(keys, asked):
-        among = suffix.KeyFilter(keys)
-        rows = asked.select("key", "digest", *among.places("key", "digest"))
-        yes, no = ({r.key for r in rows.mapInArrow(among.keep(p), "key long, digest long").collect()} for p in (True, False))
-        assert not yes & no and len(yes) + len(no) == asked.count()
-        return yes
-
-    got = passing(keys, asked.drop("other"))
-    assert set(range(0, 21000, 7)) <= got and len(got) < 3000 + 0.1 * 27000
-    assert not passing(keys.limit(0), asked.limit(50))
