@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEXT, END = "<next>", "</turn>\n"
+PART = 256
 _CODES = (("<", r"\l"), ("#", r"\h"), (":", r"\c"))
 
 
@@ -39,8 +40,8 @@ def unescape(text: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", loss_roles: Sequence[str] = ("assistant",)) -> DataFrame:
-    """One row per conversation: the key, ``formatted``, ``loss_mask`` (start and length in code points of the escaped
-    texts that count for the loss) and ``n_blocks``."""
+    """One row per conversation: the key, ``formatted``, ``loss_mask`` (start and length, in code points and in UTF-8 bytes,
+    of the escaped texts that count for the loss) and ``n_blocks``."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     one = F.struct(F.col(order).alias("turn"), blank(role).alias("role"), blank(text).alias("text"))
     rows = turns.select(F.col(key), one.alias("t")).groupBy(key).agg(F.array_sort(F.collect_list("t")).alias("ts"))
@@ -63,16 +64,57 @@ def format_chats(turns: DataFrame, key: str = "conv_id", order: str = "turn", ro
 
     rows = rows.withColumn("blocks", blocks).withColumn("ps", F.flatten(F.transform("blocks", pieces)))
     whole = F.array_join(F.transform("ps", lambda p: F.concat(p["lead"], p["text"], p["tail"])), "")
-    none = F.expr("cast(array() as array<struct<start: bigint, length: bigint>>)")
+    return rows.select(F.col(key), whole.alias("formatted"), _mask(F.col("ps")).alias("loss_mask"), F.size("blocks").alias("n_blocks"))
 
-    def step(acc: Column, p: Column) -> Column:
-        at = acc["at"] + F.length(p["lead"])
-        size = F.length(p["text"]).cast("long")
-        spans = F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(at.alias("start"), size.alias("length"))))).otherwise(acc["spans"])
-        return F.struct((at + size + F.length(p["tail"])).alias("at"), spans.alias("spans"))
 
-    mask = F.aggregate("ps", F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
-    return rows.select(F.col(key), whole.alias("formatted"), mask.alias("loss_mask"), F.size("blocks").alias("n_blocks"))
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, as the variable of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(sizes: Column) -> Column:
+    """Sums of all structs of ``chars`` and ``bytes`` before each, and the total at the end."""
+    zero = F.struct(F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("bytes"))
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        return F.concat(acc, F.array(F.struct((last["chars"] + s["chars"]).alias("chars"), (last["bytes"] + s["bytes"]).alias("bytes"))))
+
+    return F.aggregate(sizes, F.array(zero), step)
+
+
+def _mask(pieces: Column) -> Column:
+    """Spans of the pieces that count for the loss.
+
+    Running sums grow an array, so they are taken within parts of ``PART`` pieces and over the parts: the work is that of
+    n * PART + (n / PART) ** 2 elements, not of n ** 2.
+    """
+    size = lambda c: F.struct(F.length(c).cast("long").alias("chars"), F.octet_length(c).cast("long").alias("bytes"))
+    sized = F.transform(pieces, lambda p: F.struct(size(p["lead"]).alias("lead"), size(p["text"]).alias("text"), size(p["tail"]).alias("tail"), p["loss"].alias("loss")))
+    added = lambda unit: lambda s: s["lead"][unit] + s["text"][unit] + s["tail"][unit]
+    total = lambda s: F.struct(added("chars")(s).alias("chars"), added("bytes")(s).alias("bytes"))
+    spans_of = lambda part, sums, base: F.filter(
+        F.transform(
+            part,
+            lambda s, i: F.struct(
+                (base["chars"] + F.get(sums, i)["chars"] + s["lead"]["chars"]).alias("start"), s["text"]["chars"].alias("length"),
+                (base["bytes"] + F.get(sums, i)["bytes"] + s["lead"]["bytes"]).alias("byte_start"), s["text"]["bytes"].alias("byte_length"),
+                s["loss"].alias("loss"),
+            ),
+        ),
+        lambda x: x["loss"],
+    )
+
+    def parts(all_pieces: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_pieces) - 1) / PART).cast("int")), lambda k: F.slice(all_pieces, k * PART + 1, F.lit(PART)))
+        return F.transform(cut, lambda part: F.struct(part.alias("part"), _running(F.transform(part, total)).alias("sums")))
+
+    def spans(summed: Column) -> Column:
+        ends = _running(F.transform(summed, lambda x: F.element_at(x["sums"], -1)))
+        return _bound(ends, lambda bases: F.flatten(F.transform(summed, lambda x, k: _bound(F.get(bases, k), lambda base: spans_of(x["part"], x["sums"], base)))))
+
+    found = _bound(sized, lambda all_pieces: _bound(parts(all_pieces), spans))
+    return F.transform(found, lambda x: x.dropFields("loss"))
 
 
 def parse_turns(formatted: Column) -> Column:
@@ -90,5 +132,6 @@ def parse_turns(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, mask: Column) -> Column:
-    """All unescaped text under the mask."""
-    return F.array_join(F.transform(mask, lambda m: unescape(F.substr(formatted, m["start"].cast("int") + 1, m["length"].cast("int")))), "")
+    """All unescaped text under the mask, read by its byte offsets."""
+    read = lambda data: F.transform(mask, lambda m: unescape(F.substr(data, (m["byte_start"] + 1).cast("int"), m["byte_length"].cast("int")).cast("string")))
+    return F.array_join(_bound(formatted.cast("binary"), read), "")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import time
 
 import pytest
 from compare import compare, connect
@@ -70,6 +71,32 @@ def test_long_text(spark):
     assert got.loss == text
 
 
+def test_mask_in_code_points_and_bytes(spark):
+    """More turns than a part of the running sums, with characters of one to four bytes."""
+    said = ["a", "é<", "🙂#x", "", "日本\\"]
+    rows = [(1, k, ("user", "assistant", "assistant")[k % 3], said[k % 5] * (k % 4)) for k in range(3 * chat.PART + 17)]
+    r = formatted(spark, rows).first()
+    marked = [t for _, _, who, t in rows if who == "assistant"]
+    plain = lambda t: t.replace("\\l", "<").replace("\\h", "#").replace("\\s", "\\")
+    assert [plain(r.formatted[m.start : m.start + m.length]) for m in r.loss_mask] == marked
+    data = r.formatted.encode()
+    assert [plain(data[m.byte_start : m.byte_start + m.byte_length].decode()) for m in r.loss_mask] == marked
+
+
+def test_work_is_not_the_square_of_the_turns(spark):
+    """32,000 turns of 20 words in one conversation; squared it would take minutes."""
+    word = F.lit("some words of a turn that goes on for a while, as turns do in long conversations of this kind, twenty in all")
+    turns = lambda n: spark.range(n).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), word.alias("text")
+    )
+    read = lambda n: chat.format_chats(turns(n)).select(F.size(chat.parse_turns(F.col("formatted"))).alias("n"), F.length(chat.loss_text(F.col("formatted"), F.col("loss_mask"))).alias("c")).first()
+    read(100)
+    began = time.time()
+    got = read(32_000)
+    assert got.n == 32_000 and got.c == 16_000 * 108
+    assert time.time() - began < 30
+
+
 def test_main_path_has_no_python(spark, sf):
     plan = QUERIES["op1_chat_format"](spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
