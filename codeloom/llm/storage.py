@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.session import place, scratch_path, ship
 
+#: Spark's own setting by which the shuffle files of a query go when it ends.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 __all__ = ["drop", "folder", "kept", "opened", "publish", "ship"]
 
 
@@ -18,9 +21,18 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    """Write ``df`` below the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The shuffle files of the write go with it; without that they stay until the driver collects its garbage.
+    """
+    spark = df.sparkSession
+    path = folder(spark, name)
+    before = spark.conf.get(SWEEP)
+    spark.conf.set(SWEEP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SWEEP, before)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._kept_at = path
     return back
