@@ -89,7 +89,7 @@ def _send(bits: int):
             info = keys + n.astype("<i8").tobytes() + _set_keys(doc, h, len(ids)).astype("<i8").tobytes()
             out = [(batch % (1 << bits), batch, 1, len(ids), None, info)]
             for r, at in ranges.dealt(h, bits):
-                out.append((r, batch, 0, len(at), ranges.planes(doc[at], "<u2"), ranges.low48(h[at])))
+                out.append((r, batch, 0, len(at), ranges.planes(doc[at], "<u2"), ranges.rest(h[at], bits)))
             ids.clear(), parts.clear()
             held = 0
             return out
@@ -114,36 +114,39 @@ def _send(bits: int):
     return send
 
 
-def _count(found: list[dict]) -> list[tuple]:
-    """Shared shingles of a range, with the number of documents that have each, back to their batches."""
-    out = [(r["rng"], r["batch"], 1, r["n"], None, r["blob"]) for r in found if r["kind"] == 1]
-    found = [r for r in found if r["kind"] == 0]
-    if not found:
+def _count(bits: int):
+    def count(found: list[dict]) -> list[tuple]:
+        """Shared shingles of a range, with the number of documents that have each, back to their batches."""
+        out = [(r["rng"], r["batch"], 1, r["n"], None, r["blob"]) for r in found if r["kind"] == 1]
+        found = [r for r in found if r["kind"] == 0]
+        if not found:
+            return out
+        n = np.array([r["n"] for r in found])
+        h = np.concatenate([ranges.with_range(r["blob"], r["n"], r["rng"], bits) for r in found])
+        order = np.argsort(h, kind="stable")
+        same = h[order]
+        new = np.concatenate([[True], same[1:] != same[:-1]])
+        at = np.flatnonzero(new)
+        times = np.diff(np.append(at, len(h)))
+        docs = np.empty(len(h), np.int64)
+        docs[order] = np.repeat(times, times)
+        stops = np.cumsum(n)
+        for r, a, b in zip(found, stops - n, stops):
+            own = np.flatnonzero(docs[a:b] > 1)
+            if len(own):
+                doc = ranges.from_planes(r["head"], r["n"], "<u2")[own]
+                # the document counts matter only for the order of rarity
+                df = np.minimum(docs[a:b][own], 65535)
+                out.append((r["rng"], r["batch"], 0, len(own), ranges.planes(doc, "<u2") + ranges.planes(df, "<u2"), ranges.rest(h[a:b][own], bits)))
         return out
-    n = np.array([r["n"] for r in found])
-    h = np.concatenate([ranges.from48(r["blob"], r["n"]) for r in found])
-    order = np.argsort(h, kind="stable")
-    same = h[order]
-    new = np.concatenate([[True], same[1:] != same[:-1]])
-    at = np.flatnonzero(new)
-    times = np.diff(np.append(at, len(h)))
-    count = np.empty(len(h), np.int64)
-    count[order] = np.repeat(times, times)
-    stops = np.cumsum(n)
-    for r, a, b in zip(found, stops - n, stops):
-        own = np.flatnonzero(count[a:b] > 1)
-        if len(own):
-            doc = ranges.from_planes(r["head"], r["n"], "<u2")[own]
-            # the document counts matter only for the order of rarity
-            df = np.minimum(count[a:b][own], 65535)
-            out.append((r["rng"], r["batch"], 0, len(own), ranges.planes(doc, "<u2") + ranges.planes(df, "<u2"), ranges.low48(h[a:b][own])))
-    return out
+
+    return count
 
 
 _CANDIDATES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("prefix", pa.int32()), ("shingles", pa.binary())])
 
 
-def _collect(percent: int):
+def _collect(percent: int, bits: int):
     def collect(found: list[dict]) -> pa.RecordBatch:
         info = next(r for r in found if r["kind"] == 1)
         k = info["n"]
@@ -154,7 +157,7 @@ def _collect(percent: int):
         if parts:
             doc = np.concatenate([ranges.from_planes(r["head"][: 2 * r["n"]], r["n"], "<u2") for r in parts]).astype(np.int64)
             df = np.concatenate([ranges.from_planes(r["head"][2 * r["n"] :], r["n"], "<u2") for r in parts])
-            h = np.concatenate([ranges.from48(r["blob"], r["n"]) | (U64(r["rng"]) << U64(48)) for r in parts])
+            h = np.concatenate([ranges.with_range(r["blob"], r["n"], r["rng"], bits) for r in parts])
         else:
             doc, df, h = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
         shared = np.bincount(doc, minlength=k)
@@ -331,8 +334,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     bits = ranges.range_bits(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_send(bits), ranges.BLOBS)
-    answers = ranges.by_range(sent, _count)
-    rows = kept(ranges.by_batch(answers, _collect(percent), CANDIDATES), "jaccard-sets")
+    answers = ranges.by_range(sent, _count(bits))
+    rows = kept(ranges.by_batch(answers, _collect(percent, bits), CANDIDATES), "jaccard-sets")
 
     candidates = rows.filter("shingles is not null")
     keys = ["key1", "key2", "n_shingles"]
@@ -354,4 +357,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     members = rows.select("doc_id", "n_shingles", "key1", "key2").join(firsts, keys, "left")
     node = found.select(F.col("node").alias("first"), "component_id")
-    return members.join(node, "first", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "first", "doc_id").alias("component_id"))
+    labels = members.join(node, "first", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "first", "doc_id").alias("component_id"))
+    labels = kept(labels, "jaccard-labels")
+    drop(rows)
+    return labels

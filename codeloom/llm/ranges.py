@@ -42,6 +42,19 @@ def from48(data: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel().astype(U64)
 
 
+def rest(x: np.ndarray, bits: int) -> bytes:
+    """The bytes of each value that the number of its range does not tell: with that number, all 64 bits."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 - bits // 8]).tobytes()
+
+
+def with_range(data: bytes, n: int, rng: int, bits: int) -> np.ndarray:
+    """The values whose ``rest`` was sent to range ``rng``."""
+    size = 8 - bits // 8
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8, size * n).reshape(n, size)
+    return out.view("<u8").ravel().astype(U64) | (U64(rng) << U64(64 - bits))
+
+
 def planes(x: np.ndarray, kind: str) -> bytes:
     """The first bytes of all values, then the second, ..: high bytes of small numbers compress to nothing."""
     x = x.astype(kind)

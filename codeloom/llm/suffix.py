@@ -13,7 +13,8 @@ equal windows take equal suffixes. Neighbouring windows with one suffix form a s
 3. Repeated windows become spans of bytes to remove; overlapping ones are one.
 
 A document is a doc_id and a 64-bit digest of its text. Its order is the doc_id, then the digest, then the place; all is
-judged on the input, not on what is left. Fingerprints have 64 bits.
+judged on the input, not on what is left. Windows are equal when 64 bits of their fingerprints are, segments when 64 bits
+mixed of two fingerprints are. Texts longer than ``PIECE`` are read in overlapping pieces.
 
 Null text: empty. Null doc_id: before all others. Repeated rows: rows with one doc_id (or none) and one text are one
 document and get the same result; rows with one doc_id, or none, and other texts are documents of their own. Empty table:
@@ -38,17 +39,17 @@ from codeloom.llm.storage import drop, kept
 SPAN = 100
 GRAM = 24
 FLUSH = 1 << 22
+PIECE = 1 << 20
 NO_ID = -(2**63)
 REPEAT, CONTESTED = 1, 2
 
 
 def segments(buf: np.ndarray, off: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Document, first window, number of windows, gram and segment fingerprints of the segments of a chunk."""
+    """Document, first window, number of windows, gram and segment fingerprints of the segments of a chunk, which holds
+    less than 2**28 bytes."""
     none = np.zeros(0, np.int64)
     if len(buf) < span:
         return none, none, none, none.astype(U64), none.astype(U64)
-    if len(buf) >= 1 << 28:
-        raise ValueError("a text of 256 MB or more")
     f = windows_hash(buf, gram)
     low = U64((1 << 28) - 1)
     least = (f & ~low) | np.arange(len(f), dtype=U64)
@@ -77,6 +78,20 @@ def segments(buf: np.ndarray, off: np.ndarray, span: int, gram: int) -> tuple[np
     return doc[head], begin, n, mix(f[at[head]] + U64(1)), whole
 
 
+def _pieces(off: np.ndarray, span: int, piece: int) -> Iterator[tuple[int, int, int, int]]:
+    """Documents i to j and the bytes to read: whole documents, or the windows of a long one ``piece`` at a time.
+
+    A segment that a piece cuts in two is contested, as both parts have its gram, so nothing is lost at the edges.
+    """
+    for i, j in chunks(off):
+        a, e = int(off[i]), int(off[j])
+        if j - i > 1 or e - a < piece + span:
+            yield i, j, a, e
+            continue
+        for s in range(a, e - span + 1, piece):
+            yield i, j, s, min(e, s + piece + span - 1)
+
+
 class Family:
     """Sorted arrays of distinct keys, each with its first place; equal-sized levels merge."""
 
@@ -169,7 +184,7 @@ def _ids(column: pa.Array) -> np.ndarray:
     return pc.fill_null(column.cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False)
 
 
-def _send(bits: int, span: int, gram: int):
+def _send(bits: int, span: int, gram: int, piece: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = ranges.numbered()
         parts: list[tuple[np.ndarray, ...]] = []
@@ -190,12 +205,11 @@ def _send(bits: int, span: int, gram: int):
         for batch in batches:
             ids, digests = _ids(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
             buf, off = flat(batch.column(2))
-            for i, j in chunks(off):
-                a = off[i]
-                doc, begin, n, f, whole = segments(buf[a : off[j]], off[i : j + 1] - a, span, gram)
+            for i, j, a, e in _pieces(off, span, piece):
+                doc, begin, n, f, whole = segments(buf[a:e], off[i : j + 1].clip(a, e) - a, span, gram)
                 if len(doc):
-                    parts.append((ids[i + doc], digests[i + doc], begin - (off[i + doc] - a), n, f, whole))
-                held += int(off[j] - a)
+                    parts.append((ids[i + doc], digests[i + doc], begin + a - off[i + doc], n, f, whole))
+                held += e - a
                 if held >= FLUSH and parts:
                     yield ranges.rows(flush())
         if parts:
@@ -251,7 +265,7 @@ def _gather(found: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[cuts]), pa.array(texts[cuts]), *(pa.array(k, pa.binary()) for k in kinds)], schema=_SPANS)
 
 
-def _send_windows(bits: int, span: int):
+def _send_windows(bits: int, span: int, piece: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = ranges.numbered()
         parts: list[tuple[np.ndarray, ...]] = []
@@ -263,45 +277,54 @@ def _send_windows(bits: int, span: int):
             doc, texts, place, f = (np.concatenate(c) for c in zip(*parts))
             parts.clear()
             held = 0
-            return [(r, batch, 0, len(at), None, _blob(doc[at], texts[at], place[at], ranges.low48(f[at]))) for r, at in ranges.dealt(f, bits)]
+            return [(r, batch, 0, len(at), None, _blob(doc[at], texts[at], place[at], ranges.rest(f[at], bits))) for r, at in ranges.dealt(f, bits)]
 
         for batch in batches:
             ids, digests = _ids(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
             buf, off = flat(batch.column(2))
             for i, contested in enumerate(batch.column(3).to_pylist()):
                 pairs = np.frombuffer(contested, "<u4").reshape(-1, 2).astype(np.int64)
+                pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
                 text = buf[off[i] : off[i + 1]]
-                f = windows_hash(text, span)
-                at = np.unique(np.repeat(pairs[:, 0], pairs[:, 1]) + runs(pairs[:, 1]))
-                at = at[at < len(f)]
-                parts.append((np.full(len(at), ids[i]), np.full(len(at), digests[i]), at, f[at]))
-                held += len(at)
-                if held >= FLUSH // 8:
-                    yield ranges.rows(flush())
+                for s in range(0, len(text), piece):
+                    own = pairs[slice(*np.searchsorted(pairs[:, 0], [s, s + piece]))]
+                    if not len(own):
+                        continue
+                    # a segment has at most 255 windows
+                    f = windows_hash(text[s : s + piece + 255 + span], span)
+                    at = np.unique(np.repeat(own[:, 0], own[:, 1]) + runs(own[:, 1])) - s
+                    at = at[at < len(f)]
+                    parts.append((np.full(len(at), ids[i]), np.full(len(at), digests[i]), at + s, f[at]))
+                    held += len(at)
+                    if held >= FLUSH // 8:
+                        yield ranges.rows(flush())
         if parts and held:
             yield ranges.rows(flush())
 
     return send
 
 
-def _scan_windows(found: list[dict]) -> list[tuple]:
-    cols = [_unblob(r["blob"], r["n"]) for r in found]
-    n = np.array([r["n"] for r in found])
-    base = np.cumsum(n) - n
-    doc, texts, place = (np.concatenate([c[k] for c in cols]) for k in (0, 1, 2))
-    number = _numbers(doc, texts)
-    key = np.concatenate([ranges.from48(c[3], r["n"]) for c, r in zip(cols, found)])
-    repeat = np.zeros(len(doc), bool)
-    family = Family()
-    for group in _batches(np.array([c[4] for c in cols]), np.array([c[5] for c in cols])):
-        own = np.concatenate([np.arange(base[i], base[i] + n[i]) for i in group])
-        repeat[own[family.add(key[own], key[own], number[own], place[own], own)]] = True
-    out = []
-    for r, a, e in zip(found, base, base + n):
-        at = np.flatnonzero(repeat[a:e]) + a
-        if len(at):
-            out.append((r["rng"], r["batch"], 0, len(at), None, _blob(doc[at], texts[at], place[at], bytes([REPEAT]) * len(at) + b"\x01" * len(at))))
-    return out
+def _scan_windows(bits: int):
+    def scan(found: list[dict]) -> list[tuple]:
+        cols = [_unblob(r["blob"], r["n"]) for r in found]
+        n = np.array([r["n"] for r in found])
+        base = np.cumsum(n) - n
+        doc, texts, place = (np.concatenate([c[k] for c in cols]) for k in (0, 1, 2))
+        number = _numbers(doc, texts)
+        key = np.concatenate([ranges.with_range(c[3], r["n"], r["rng"], bits) for c, r in zip(cols, found)])
+        repeat = np.zeros(len(doc), bool)
+        family = Family()
+        for group in _batches(np.array([c[4] for c in cols]), np.array([c[5] for c in cols])):
+            own = np.concatenate([np.arange(base[i], base[i] + n[i]) for i in group])
+            repeat[own[family.add(key[own], key[own], number[own], place[own], own)]] = True
+        out = []
+        for r, a, e in zip(found, base, base + n):
+            at = np.flatnonzero(repeat[a:e]) + a
+            if len(at):
+                out.append((r["rng"], r["batch"], 0, len(at), None, _blob(doc[at], texts[at], place[at], bytes([REPEAT]) * len(at) + b"\x01" * len(at))))
+        return out
+
+    return scan
 
 
 def _cover(pieces: list[bytes], span: int) -> np.ndarray:
@@ -319,18 +342,18 @@ def _document() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("digest")]
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, piece: int = PIECE) -> DataFrame:
     """``key`` (doc_id), ``digest`` and ``spans`` (32-bit starts and ends of the bytes to remove) of documents with any."""
     bits = ranges.range_bits(docs.sparkSession)
     texts = docs.select(*_document(), "text")
     ddl = "key long, digest long, repeats binary, contested binary"
-    scanned = ranges.by_range(texts.mapInArrow(_send(bits, span, gram), ranges.BLOBS), _scan)
+    scanned = ranges.by_range(texts.mapInArrow(_send(bits, span, gram, piece), ranges.BLOBS), _scan)
     marks = kept(ranges.by_batch(scanned, _gather, ddl), "suffix-segments")
     contested = marks.filter("contested is not null").groupBy("key", "digest").agg(F.array_join(F.collect_set(F.hex("contested")), "").alias("contested"))
     contested = contested.select("key", "digest", F.unhex("contested").alias("contested"))
     # merge joins at every size: the side of the marks grows with the corpus
-    asked = texts.join(contested.hint("merge"), ["key", "digest"]).mapInArrow(_send_windows(bits, span), ranges.BLOBS)
-    windows = ranges.by_batch(ranges.by_range(asked, _scan_windows), _gather, ddl)
+    asked = texts.join(contested.hint("merge"), ["key", "digest"]).mapInArrow(_send_windows(bits, span, piece), ranges.BLOBS)
+    windows = ranges.by_batch(ranges.by_range(asked, _scan_windows(bits)), _gather, ddl)
     pieces = marks.select("key", "digest", "repeats").unionByName(windows.select("key", "digest", "repeats")).filter("repeats is not null")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ import random
 import numpy as np
 from odd import no_rows, odd_frame, odd_rows
 
-from codeloom.llm import suffix
+from codeloom.llm import ranges, suffix
 from codeloom.llm.queries import QUERIES
 
 
@@ -55,6 +55,28 @@ def test_passages_at_all_offsets(spark):
     assert found(suffix.suffix_digests(df)) == expected(docs)
 
 
+def test_long_texts_in_pieces(spark):
+    """Pieces of a few hundred bytes: repeats across their edges, inside one text and between texts."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9)))
+    pool = [" ".join(word() for _ in range(60)) for _ in range(6)]
+    docs = {k: " ".join(rng.choice(pool)[rng.randrange(80) :] if rng.random() < 0.5 else word() for _ in range(40)) for k in range(20)}
+    docs[99] = "xyz" * 2000
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    want = expected(docs)
+    for piece in (77, 256, 1000):
+        spans = {r.key: r.spans for r in suffix.repeated_spans(df, piece=piece).collect()}
+        got = {d: suffix.cut(t.encode(), spans.get(d)) for d, t in docs.items()}
+        assert {d: (len(docs[d].encode()), n, k, hashlib.sha256(left).hexdigest()) for d, (left, n, k) in got.items()} == want
+
+
+def test_fingerprints_keep_all_bits():
+    x = np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64)
+    for bits in (4, 7, 8, 12, 16):
+        for r, at in ranges.dealt(x, bits):
+            assert (ranges.with_range(ranges.rest(x[at], bits), len(at), r, bits) == x[at]).all()
+
+
 def test_shorter_spans(spark):
     rng = random.Random(2)
     docs = {k: "".join(rng.choice("ab") for _ in range(rng.randrange(0, 300))) for k in range(60)}
