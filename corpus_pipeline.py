@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import jaccard, langid, mixing, packing, queries, suffix
-from codeloom.llm.storage import kept, ship
+from codeloom.llm.storage import drop, kept, ship
 
 #: A text whose words speak, each for its own, for no language more than by half is not a text in known languages.
 LEAST_SCORE = 0.5
@@ -80,6 +80,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
