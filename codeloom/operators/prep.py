@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from codeloom.functions import lookups as K
@@ -10,6 +10,7 @@ from codeloom.functions import rand
 from codeloom.functions import text as X
 from codeloom.functions.arrays import compute_once, join_tokens, words
 from codeloom.operators import rewrites as R
+from codeloom.sources import writers
 
 
 def wrap_php(function: Column, lang: Column) -> Column:
@@ -90,24 +91,57 @@ def rewritten(
     )
 
 
+def directed(
+    rows: DataFrame, bidirection: bool | str = K.BIDIRECTION, valid_share: float = K.VALID_SHARE, seed: int = rand.DEFAULT_SEED
+) -> DataFrame:
+    """(id, lang, split, source, target, transformer) of those rows of ``rewritten`` that have a rewrite."""
+    out = rows.where(F.col("transformer").isNotNull())
+    pair = pair_direction(F.col("norm"), F.col("changed"), F.col("transformer"), F.col("id"), bidirection, seed)
+    out = out.select("id", "lang", split_of(F.col("id"), valid_share, seed).alias("split"), pair.alias("p"))
+    return out.select("id", "lang", "split", "p.source", "p.target", "p.transformer")
+
+
 def prepare_pairs(
     df: DataFrame, rewrites: list[R.Rewrite] | None = None, bidirection: bool | str = K.BIDIRECTION,
     valid_share: float = K.VALID_SHARE, seed: int = rand.DEFAULT_SEED, max_words: int = K.MAX_FUNCTION_LENGTH,
 ) -> DataFrame:
     """The whole job as one narrow stage: (id, lang, split, source, target, transformer)."""
-    out = rewritten(df, rewrites, seed, max_words).where(F.col("transformer").isNotNull())
-    pair = pair_direction(F.col("norm"), F.col("changed"), F.col("transformer"), F.col("id"), bidirection, seed)
-    out = out.select("id", "lang", split_of(F.col("id"), valid_share, seed).alias("split"), pair.alias("p"))
-    return out.select("id", "lang", "split", "p.source", "p.target", "p.transformer")
+    return directed(rewritten(df, rewrites, seed, max_words), bidirection, valid_share, seed)
+
 
+def prepare_and_count(
+    df: DataFrame, path: str, rewrites: list[R.Rewrite] | None = None, bidirection: bool | str = K.BIDIRECTION,
+    valid_share: float = K.VALID_SHARE, seed: int = rand.DEFAULT_SEED, max_words: int = K.MAX_FUNCTION_LENGTH,
+) -> DataFrame:
+    """Write the pairs of ``prepare_pairs`` below ``path`` and return the usage of the rewrites, from the same pass.
 
-def rewrite_usage(df: DataFrame) -> DataFrame:
+    The tasks that write also count (an observation, to which a repeated task adds nothing), so the corpus is read and
+    rewritten once. There is a counter for each known language and each rewrite; other languages count as ``other``.
+    """
+    langs = (*K.LANGUAGES, "nl")
+    names = (*(r.name for r in rewrites or R.default_registry()), "SyntacticNoisingTransformation")
+    cells = [(lang, name) for lang in (*langs, None) for name in (*dict.fromkeys(names), None)]
+    lang = F.when(F.col("lang").isin(*langs), F.col("lang"))
+    counters = [
+        F.count_if(lang.eqNullSafe(F.lit(a)) & F.col("transformer").eqNullSafe(F.lit(b))).alias(f"c{i}") for i, (a, b) in enumerate(cells)
+    ]
+    seen = Observation()
+    rows = rewritten(df, rewrites, seed, max_words).observe(seen, *counters)
+    writers.write_pairs(directed(rows, bidirection, valid_share, seed), path)
+    found = [(a or "other", b, seen.get[f"c{i}"]) for i, (a, b) in enumerate(cells)]
+    counts = df.sparkSession.createDataFrame([r for r in found if r[2]], "lang string, transformer string, n long")
+    return rewrite_usage(counts, F.sum("n"))
+
+
+def rewrite_usage(df: DataFrame, n: Column | None = None) -> DataFrame:
     """Rows per language and transformer with totals; null transformer means no rewrite.
 
-    Expects (lang, transformer); ``lang`` and ``transformer`` are ``*`` in total rows.
+    Expects (lang, transformer); ``lang`` and ``transformer`` are ``*`` in total rows. ``n``: another aggregate than the
+    number of rows.
     """
-    named = df.select("lang", F.coalesce(F.col("transformer"), F.lit("none")).alias("transformer"))
-    rolled = named.rollup("lang", "transformer").agg(F.count(F.lit(1)).alias("n"))
+    kept = [c for c in df.columns if c not in ("lang", "transformer")]
+    named = df.select("lang", F.coalesce(F.col("transformer"), F.lit("none")).alias("transformer"), *kept)
+    rolled = named.rollup("lang", "transformer").agg((F.count(F.lit(1)) if n is None else n).alias("n"))
     return rolled.select(
         F.coalesce("lang", F.lit("*")).alias("lang"), F.coalesce("transformer", F.lit("*")).alias("transformer"), "n"
     )

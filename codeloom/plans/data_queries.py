@@ -293,12 +293,13 @@ def _sink_predictions(spark, sf):
     ),
 )
 def _sink_text(spark, sf):
-    """Predictions as ordered text, and the metrics of the run with their sample count as JSON (line -1)."""
+    """Predictions as ordered text, and the metrics of the run, counted in the same pass, as JSON (line -1)."""
     path, metrics = scratch_path(spark, "text"), scratch_path(spark, "metrics")
     df = T.prediction_pairs(spark, sf).select(F.col("id").alias("idx"), F.concat("pred", F.lit("  ")).alias("pred"))
-    writers.write_text_predictions(df, path)
-    writers.write_metric_json(df.agg(F.sum(P.word_count(F.col("pred"))).alias("predict_words"), F.count(F.lit(1)).alias("predict_samples")), metrics)
-    return readers.numbered_lines(spark, path).unionByName(spark.read.text(metrics).select(F.lit(-1).cast("bigint").alias("line"), "value"))
+    seen = writers.write_text_predictions(df, path, words=F.sum(P.word_count(F.col("pred"))))
+    row = spark.createDataFrame([(seen["words"], seen["n"])], "predict_words long, predict_samples long")
+    writers.write_metric_json(row, metrics)
+    return readers.numbered_lines(spark, f"{path}/value").unionByName(spark.read.text(metrics).select(F.lit(-1).cast("bigint").alias("line"), "value"))
 
 
 _SIX = ("em", "bleu", "wbleu", "syntax", "dataflow", "codebleu")

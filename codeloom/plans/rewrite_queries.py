@@ -148,4 +148,5 @@ def _sink_pairs(spark, sf):
     ),
 )
 def _usage(spark, sf):
-    return P.rewrite_usage(P.rewritten(code_corpus(spark, sf)))
+    """Counted while the pairs are written."""
+    return P.prepare_and_count(code_corpus(spark, sf), scratch_path(spark, "pairs"), valid_share=0.05)

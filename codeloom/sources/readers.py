@@ -5,6 +5,9 @@ Schemas are given, never inferred: inference would read every file twice.
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,14 +37,29 @@ def natural(path: Column) -> Column:
     return F.regexp_replace(widened, r"\d*(\d{20})", "$1")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def first_files(spark: SparkSession, path: str, lines: int) -> list[str]:
+    """The first files of ``path`` in the order of ``numbered_lines`` that hold so many lines together (all, if they hold
+    fewer). They are counted four times as many at a time, and no further than needed."""
+    files = sorted(map(unquote, spark.read.text(path).inputFiles()), key=lambda f: (re.sub(r"\d+", lambda m: m[0].zfill(20)[-20:], f), f))
+    files = [re.sub(r"([][{}*?\\])", r"\\\1", f) for f in files]
+    taken, have, step = 0, 0, 1
+    while taken < len(files) and have < lines:
+        more = files[taken : taken + step]
+        have += spark.read.text(more).limit(lines - have).count()
+        taken, step = taken + len(more), step * 4
+    return files[:taken]
+
+
+def numbered_lines(spark: SparkSession, path: str, first: int = -1) -> DataFrame:
     """(line, value): text lines with their 0-based number in file order, parts in natural order of their names.
 
     Lines are counted per file split, and one number per split is put in order; a line's number is that of its split's
     first line and its place in the split. Both scans are of one file listing and so see the same splits. Whether the
-    table of splits is small enough to send to all tasks is left to the planner.
+    table of splits is small enough to send to all tasks is left to the planner. With ``first``, only the first files are
+    opened that hold so many lines.
     """
-    raw = spark.read.text(path).select(
+    files = path if first < 0 else first_files(spark, path, first) or path
+    raw = spark.read.text(files).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
@@ -68,28 +86,28 @@ def join_positional(left: DataFrame, right: DataFrame, check_length: bool = Fals
 
 def read_line_pairs(spark: SparkSession, source_path: str, target_path: str, data_num: int = -1) -> DataFrame:
     """(idx, source, target) of two parallel text files."""
-    both = join_positional(numbered_lines(spark, source_path), numbered_lines(spark, target_path))
+    both = join_positional(numbered_lines(spark, source_path, data_num), numbered_lines(spark, target_path, data_num))
     return limit_lines(both, data_num).select(
         F.col("line").alias("idx"), strip(F.col("source")).alias("source"), strip(F.col("target")).alias("target")
     )
 
 
-def _json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with their line number."""
-    parsed = numbered_lines(spark, path).select("line", F.from_json("value", schema).alias("js"))
+def _json_lines(spark: SparkSession, path: str, schema: str, first: int = -1) -> DataFrame:
+    """JSON lines with their line number; at least the ``first`` ones."""
+    parsed = numbered_lines(spark, path, first).select("line", F.from_json("value", schema).alias("js"))
     return parsed.select("line", "js.*")
 
 
 def read_nl_code(spark: SparkSession, path: str, data_num: int = -1) -> DataFrame:
     """(idx, source, target) of ``nl``/``code`` records."""
-    rows = limit_lines(_json_lines(spark, path, "nl string, code string"), data_num)
+    rows = limit_lines(_json_lines(spark, path, "nl string, code string", data_num), data_num)
     return rows.select(F.col("line").alias("idx"), strip(F.col("nl")).alias("source"), strip(F.col("code")).alias("target"))
 
 
 def read_summarize(spark: SparkSession, path: str, data_num: int = -1) -> DataFrame:
     """(idx, source, target) of token records; a missing ``idx`` is the line number."""
     schema = "idx bigint, code_tokens array<string>, docstring_tokens array<string>"
-    rows = limit_lines(_json_lines(spark, path, schema), data_num)
+    rows = limit_lines(_json_lines(spark, path, schema, data_num), data_num)
     code = _collapse(F.replace(join_tokens(F.col("code_tokens")), F.lit("\n"), F.lit(" ")))
     text = _collapse(F.replace(join_tokens(F.col("docstring_tokens")), F.lit("\n"), F.lit("")))
     return rows.select(F.coalesce("idx", "line").alias("idx"), code.alias("source"), text.alias("target"))
@@ -104,7 +122,7 @@ def read_defect(spark: SparkSession, path: str, data_num: int = -1) -> DataFrame
     if data_num == -1:
         rows = spark.read.schema(schema).json(path)
     else:
-        rows = limit_lines(_json_lines(spark, path, schema), data_num)
+        rows = limit_lines(_json_lines(spark, path, schema, data_num), data_num)
     return rows.select("idx", _collapse(F.col("func")).alias("source"), "target")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.arrays import strip
+from codeloom.sources.aligned import write_aligned
 
 
 def write_pairs(pairs: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -27,19 +27,18 @@ def prediction_lines(df: DataFrame, task: Column) -> DataFrame:
 def write_predictions(lines: DataFrame, path: str) -> None:
     """Three parallel text folders: line n of each belongs together, in order of ``idx`` (ties by text).
 
-    The rows are sorted once and kept on disk while the three are written.
+    One sort and one pass: a task writes its part of all three.
     """
-    ordered = lines.orderBy("idx", "output", "gold", "src").persist(StorageLevel.DISK_ONLY)
-    try:
-        for name in ("output", "gold", "src"):
-            ordered.select(F.col(name).alias("value")).write.text(f"{path}/{name}")
-    finally:
-        ordered.unpersist()
+    write_aligned(lines.orderBy("idx", "output", "gold", "src").select("output", "gold", "src"), path)
 
 
-def write_text_predictions(df: DataFrame, path: str, text: str = "pred") -> None:
-    """Text lines in order of ``idx``."""
-    df.orderBy("idx", text).select(strip(F.col(text)).alias("value")).write.text(path)
+def write_text_predictions(df: DataFrame, path: str, text: str = "pred", **counts: Column) -> dict[str, int]:
+    """Text lines in order of ``idx`` below ``path/value``; returns aggregates ``counts`` over the rows, taken while they
+    are written (``n``, the number of rows, is always there)."""
+    seen = Observation()
+    rows = df.orderBy("idx", text).observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in counts.items()])
+    write_aligned(rows.select(strip(F.col(text)).alias("value")), path)
+    return seen.get
 
 
 def write_metrics(rows: DataFrame, path: str) -> None:

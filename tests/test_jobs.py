@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,11 +13,11 @@ from codeloom.operators import bleu as B
 from codeloom.operators import codebleu as C
 from codeloom.functions import text as X
 from codeloom.functions.arrays import compute_once
-from codeloom.operators import curves, sampling, stats, structure
+from codeloom.operators import curves, prep, sampling, stats, structure
 from codeloom.plans import frames as T
 from codeloom.plans.corpus import code_corpus
-from codeloom.session import scratch_path
-from codeloom.sources import readers, writers
+from codeloom.session import place, scratch_path
+from codeloom.sources import aligned, readers, writers
 from codeloom.streaming.pairs import pair_stream
 
 
@@ -80,6 +81,92 @@ def test_predictions_stay_aligned_when_ids_repeat(spark):
     assert len(rows) == 2000 and all(r.output[1:] == r.gold[1:] == r.src[1:] for r in rows)
 
 
+def test_parts_of_lost_and_repeated_tasks_are_not_read(spark):
+    """What a lost task leaves behind has a hidden name, so line n still belongs to one row in both folders."""
+    path = scratch_path(spark, "retried")
+    text = spark.range(3000, numPartitions=6).selectExpr("concat('o', id) as output", "concat('g', id) as gold")
+    aligned.write_aligned(text, path)
+    files, at = place(path)
+    # what a lost task leaves: a hidden part without a commit
+    with files.open_output_stream(f"{at}/gold/.part-00000-left.txt") as out:
+        out.write(b"left\n")
+    both = readers.join_positional(*[readers.numbered_lines(spark, f"{path}/{c}") for c in ("output", "gold")], check_length=True)
+    rows = both.orderBy("line").collect()
+    assert [(r.line, r.source, r.target) for r in rows] == [(i, f"o{i}", f"g{i}") for i in range(3000)]
+    with pytest.raises(FileExistsError):
+        aligned.write_aligned(text, path)
+
+
+def test_commit_shows_only_committed_parts(tmp_path):
+    writer = aligned.AlignedWriter(str(tmp_path), ["a", "b"])
+    for c in "ab":
+        (tmp_path / c).mkdir()
+        for name in ("part-00000-x.txt", "part-00000-lost.txt"):
+            (tmp_path / c / f".{name}").write_text(f"{c} {name}\n")
+    writer.commit([aligned.Part("part-00000-x.txt"), aligned.Part(None), None])
+    for c in "ab":
+        assert sorted(f.name for f in (tmp_path / c).iterdir()) == ["_SUCCESS", "part-00000-x.txt"]
+    (tmp_path / "a" / ".part-00001-y.txt").write_text("y\n")
+    writer.abort([])
+    assert sorted(f.name for f in (tmp_path / "a").iterdir()) == ["_SUCCESS", "part-00000-x.txt"]
+
+
+def test_aligned_text_of_nulls_and_of_no_rows(spark):
+    path = scratch_path(spark, "nulls")
+    aligned.write_aligned(spark.createDataFrame([("x", None), (None, "y")], "a string, b string").coalesce(1), path)
+    assert [r.value for r in readers.numbered_lines(spark, f"{path}/a").orderBy("line").collect()] == ["x", ""]
+    assert [r.value for r in readers.numbered_lines(spark, f"{path}/b").orderBy("line").collect()] == ["", "y"]
+    none = scratch_path(spark, "none")
+    aligned.write_aligned(spark.createDataFrame([], "a string"), none)
+    assert readers.numbered_lines(spark, f"{none}/a").count() == 0
+
+
+def test_predictions_are_written_in_one_pass(spark):
+    """The rows pass the sort once for all three outputs (its sample of keys aside), and nothing is cached."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def tally(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    path = scratch_path(spark, "once")
+    lines = spark.range(1000, numPartitions=2).selectExpr("id as idx", "'o' as output", "'g' as gold", "'s' as src")
+    writers.write_predictions(lines.mapInArrow(tally, lines.schema), path)
+    assert seen.value <= 2000
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+    counted = writers.write_text_predictions(lines, scratch_path(spark, "counted"), "gold", top=F.max("idx"))
+    assert counted == {"n": 1000, "top": 999}
+
+
+def test_usage_is_counted_by_the_job_that_writes(spark, sf):
+    corpus = code_corpus(spark, sf).limit(300).withColumn("lang", F.when(F.col("id") % 50 == 0, "cobol").otherwise(F.col("lang")))
+    corpus = spark.createDataFrame(corpus.collect(), corpus.schema)  # one set of rows
+    path = scratch_path(spark, "pairs")
+    key = lambda rows: sorted((r.lang, r.transformer, r.n) for r in rows)
+    got = key(prep.prepare_and_count(corpus, path, valid_share=0.05).collect())
+    lang = F.when(F.col("lang") == "cobol", "other").otherwise(F.col("lang"))
+    assert got == key(prep.rewrite_usage(prep.rewritten(corpus).withColumn("lang", lang)).collect())
+    written = readers.read_pairs(spark, path)
+    total = next(n for lang, name, n in got if (lang, name) == ("*", "*"))
+    assert written.count() == total - sum(n for lang, name, n in got if lang != "*" and name == "none")
+    want = prep.prepare_pairs(corpus, valid_share=0.05).select(*written.columns)
+    assert sorted(written.collect()) == sorted(want.collect())
+
+
+def test_a_limit_opens_only_the_first_files(spark, tmp_path):
+    for n in (9, 10, 11, 100):
+        (tmp_path / f"part-{n} [a].txt").write_text("".join(f"{n}.{i}\n" for i in range(3)))
+    path = str(tmp_path)
+    opened = [re.findall(r"part-(\d+)", f)[0] for f in readers.first_files(spark, path, 4)]
+    assert opened == ["9", "10", "11", "100"]  # the second step takes up to four
+    assert len(readers.first_files(spark, path, 3)) == 1
+    got = readers.read_line_pairs(spark, path, path, 5).orderBy("idx").collect()
+    assert [(r.idx, r.source) for r in got] == [(0, "9.0"), (1, "9.1"), (2, "9.2"), (3, "10.0"), (4, "10.1")]
+    one = readers.numbered_lines(spark, path, 2)
+    assert len(one.inputFiles()) == 1 and one.count() == 3
+
+
 def test_floor_division_is_no_comment(spark):
     """A python text keeps what follows ``//``; the known quirk is an option."""
     code = "x = a // 2 NEWLINE y = x + 1 NEWLINE return y"
