@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.components import components
-from codeloom.llm.storage import drop, kept
+from codeloom.llm.storage import folder, kept, opened, publish
+from codeloom.session import place
 
 M = 12
 INSERT = 256
@@ -426,18 +427,32 @@ class Shard:
         return count, list(zip(ids[row[hit]].tolist(), self.centre_id[node[hit]].tolist())), recall
 
 
-def near_links(vectors: DataFrame, threshold: float = 0.9, shards: int | None = None, shard_rows: int = 1 << 18, target: float = 0.98) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def shard_count(vectors: int, dim: int, shard_rows: int, shard_bytes: int) -> int:
+    """Shards of at most about ``shard_rows`` vectors and ``shard_bytes``: a vector takes two forms in double and one in
+    single precision, and its links."""
+    return max(4, -(-vectors // max(1, min(shard_rows, shard_bytes // (20 * dim + 300)))))
+
+
+def near_links(
+    vectors: DataFrame, threshold: float = 0.9, shards: int | None = None, shard_rows: int = 1 << 18, target: float = 0.98,
+    shard_bytes: int = 1 << 29,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Links per vector (vec_id, n_links), connecting edges (a, b) and all vectors (vec_id, dim, unit) of ``vec_id,
-    embedding``, and the audit of each shard (dim, shard, nodes, width, found, links). ``shards``: at least four, and so
-    many that one holds about ``shard_rows`` vectors."""
+    embedding``, and the audit of each shard (dim, shard, graph, nodes, width, found, links). ``shards``: at least four, and
+    so many that one holds about ``shard_rows`` vectors and ``shard_bytes``, whatever their dimension.
+
+    A graph is a file of the shared folder. The queries of a shard are dealt to a few tasks, which open its graph once.
+    """
+    spark = vectors.sparkSession
     fields = f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, dim int, unit binary"
     all_units = vectors.select("vec_id", "embedding").mapInArrow(unit_vectors, fields).withColumn("vec_id", F.col("vec_id").cast("long"))
     units = all_units.filter("vec_id is not null").groupBy("vec_id").agg(F.max(F.struct("dim", "unit")).alias("v")).select("vec_id", "v.*")
     units = kept(units, "vectors")
     valid = units.filter("unit is not null")
-    n = valid.count()
-    shards = shards or max(4, -(-n // shard_rows))
+    n, widest = valid.agg(F.count(F.lit(1)), F.coalesce(F.max("dim"), F.lit(1))).first()
+    shards = shards or shard_count(n, widest, shard_rows, shard_bytes)
     sharded = valid.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    graphs = folder(spark, "graphs")
 
     def build(table: pa.Table, drawn: pa.Table) -> pa.Table:
         if not len(table):
@@ -447,47 +462,52 @@ def near_links(vectors: DataFrame, threshold: float = 0.9, shards: int | None =
         shard = Shard(table["vec_id"].to_numpy(), unit, threshold)
         some = units(drawn) if len(drawn) else unit[:0]
         audit = shard.audit(drawn["vec_id"].to_numpy() if len(drawn) else np.zeros(0, np.int64), some, target)
-        values = [table["shard"][0].as_py(), table["dim"][0].as_py(), shard.save(), shard.graph.n, *audit]
+        values = [table["shard"][0].as_py(), table["dim"][0].as_py(), publish(graphs, ".graph", [shard.save()]), shard.graph.n, *audit]
         return pa.table({n: pa.array([v], t) for (n, t), v in zip(built, values)})
 
-    built = [("shard", pa.int32()), ("dim", pa.int32()), ("graph", pa.binary()), *((c, pa.int64()) for c in ("nodes", "width", "found", "links"))]
+    built = [("shard", pa.int32()), ("dim", pa.int32()), ("graph", pa.string()), *((c, pa.int64()) for c in ("nodes", "width", "found", "links"))]
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     share = min(1.0, AUDIT / max(1, n))
     drawn = valid.filter(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).withColumn("shard", every)
     pairs = sharded.groupBy("dim", "shard").cogroup(drawn.groupBy("dim", "shard"))
-    graphs = kept(pairs.applyInArrow(build, "shard int, dim int, graph binary, nodes long, width long, found long, links long"), "graphs")
-    audits = kept(graphs.drop("graph"), "audits")
-    blocks = max(1, -(-n // (QUERIES * 8)))
-    asked = sharded.withColumnRenamed("shard", "own").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("shard", every)
-    given = graphs.select("shard", "dim", "graph", "width").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # the names of a repeated task's files differ; those in the kept table are the ones that count
+    audits = kept(pairs.applyInArrow(build, "shard int, dim int, graph string, nodes long, width long, found long, links long"), "audits")
+    # a few tasks a shard, at least one a core of the cluster
+    runs = max(1, -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
+    run = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(runs)).cast("int")
+    asked = sharded.select("vec_id", "dim", "unit", F.col("shard").alias("own"), run.alias("run")).withColumn("shard", every)
+    asked = asked.join(audits.select("shard", "dim", "graph", "width"), ["shard", "dim"])
+    asked = asked.repartitionById(shards * runs, F.col("shard") * runs + F.col("run")).sortWithinPartitions("graph")
     schema = pa.schema([("vec_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
-    def ask(queries: pa.Table, graph: pa.Table) -> pa.Table:
-        if not len(queries) or not len(graph):
-            return schema.empty_table()
-        shard = Shard.load(graph["graph"][0].as_py())
-        number, width = graph["shard"][0].as_py(), graph["width"][0].as_py()
-        ids, own = queries["vec_id"].to_numpy(), queries["own"].to_numpy() == number
-        unit = np.frombuffer(b"".join(queries["unit"].to_pylist()), "<f8").reshape(len(ids), -1)
-        counts, edges = [], []
-        for mine in (True, False):
-            at = np.flatnonzero(own == mine)
-            for i in range(0, len(at), QUERIES):
-                part = at[i : i + QUERIES]
-                count, found, _ = shard.links(ids[part], unit[part], target, mine, width)
-                hit = np.flatnonzero(count)
-                counts += zip(ids[part[hit]].tolist(), count[hit].tolist())
-                edges += found
-        a = [c[0] for c in counts] + [None] * len(edges)
-        n_ = [c[1] for c in counts] + [None] * len(edges)
-        x = [None] * len(counts) + [e[0] for e in edges]
-        y = [None] * len(counts) + [e[1] for e in edges]
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (a, n_, x, y)], schema=schema)
-
-    asking = asked.groupBy("dim", "shard", "block").cogroup(given.groupBy("dim", "shard", "block"))
-    found = kept(asking.applyInArrow(ask, "vec_id long, n long, a long, b long"), "links")
-    drop(graphs)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, loaded = None, None
+        for batch in batches:
+            uris = np.array(batch["graph"].to_pylist(), object)
+            for uri in dict.fromkeys(uris.tolist()):
+                if uri != loaded:
+                    shard = None  # not two at a time
+                    with opened(uri) as f:
+                        shard, loaded = Shard.load(f.read()), uri
+                rows = batch.take(pa.array(np.flatnonzero(uris == uri)))
+                ids, own, width = rows["vec_id"].to_numpy(), rows["own"].to_numpy() == rows["shard"].to_numpy(), rows["width"][0].as_py()
+                unit = np.frombuffer(b"".join(rows["unit"].to_pylist()), "<f8").reshape(len(ids), -1)
+                for mine in (True, False):
+                    at = np.flatnonzero(own == mine)
+                    for i in range(0, len(at), QUERIES):
+                        part = at[i : i + QUERIES]
+                        count, edges, _ = shard.links(ids[part], unit[part], target, mine, width)
+                        hit = np.flatnonzero(count)
+                        none = [None] * len(hit)
+                        ends = list(zip(*edges)) or [(), ()]
+                        blank = [None] * len(edges)
+                        columns = ([*ids[part[hit]].tolist(), *blank], [*count[hit].tolist(), *blank], [*none, *ends[0]], [*none, *ends[1]])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+
+    found = kept(asked.mapInArrow(ask, "vec_id long, n long, a long, b long"), "links")
+    files, path = place(graphs)
+    if n:
+        files.delete_dir(path)
     links = found.filter("n is not null").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     return links, found.filter("a is not null").select("a", "b"), units, audits
 

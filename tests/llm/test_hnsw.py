@@ -181,3 +181,32 @@ def test_queries_that_no_beam_answers_are_compared_with_all_nodes():
     q = shard.unit[:200]
     count, _, _ = shard.links(np.arange(200) + 10**6, q, 0.98, False)
     assert (count == (q @ shard.unit.T >= 0.5).sum(1)).all()
+
+
+def test_shards_hold_so_many_bytes_whatever_the_dimension():
+    assert hnsw.shard_count(1 << 20, 64, 1 << 18, 1 << 29) == 4
+    for dim in (768, 4096, 100_000):
+        shards = hnsw.shard_count(1 << 20, dim, 1 << 18, 1 << 29)
+        assert (1 << 20) / shards * 20 * dim <= 1.01 * (1 << 29)
+    assert hnsw.shard_count(0, 1, 1 << 18, 1 << 29) == 4
+
+
+def test_a_graph_is_no_larger_than_reckoned():
+    for dim in (16, 64, 256):
+        x = np.random.default_rng(8).normal(size=(2000, dim))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        assert len(hnsw.Shard(np.arange(2000), x, 0.9).save()) <= 2000 * (20 * dim + 300) + 10_000
+
+
+def test_the_queries_move_no_graph(spark):
+    """What the asking stage shuffles are the vectors, once for each shard, and no graph file is left behind."""
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist(), 1, 2, 3) for i, v in enumerate(rng.normal(size=(400, 8)).astype(np.float32))]
+    rows += [(1000 + i, [2.0 * c for c in rows[i][1]], 1, 2, 3) for i in range(50)]
+    links, _, _, audits = hnsw.near_links(spark.createDataFrame(rows, SCHEMA), shards=5)
+    assert links.filter("vec_id >= 1000").count() == 50
+    uris = [r.graph for r in audits.collect()]
+    assert len(uris) == 5 and len(set(uris)) == 5
+    for uri in uris:
+        with pytest.raises(FileNotFoundError):
+            hnsw.opened(uri)
