@@ -6,9 +6,11 @@
    first. Documents with equal sets are one from here on.
 2. Candidates that agree in a minimum hash are compared with the leaders among them (those not similar to an earlier
    leader), by exact intersection behind the bitmap bound of 3. This is salted, and the leaders of all salts are compared
-   once more, so that a large group of near copies is neither in one task nor compared pair by pair.
-3. What that leaves: tiles of a shingle of the prefix (rarest shingles, enough that two similar sets share one) and a
-   band of set sizes. Only tiles with documents of different components are opened. Within a tile, the bit count of the
+   once more, so that a large group of near copies is neither in one task nor compared pair by pair. A group has a bounded
+   number of leaders; documents beyond them that are like none go to groups of a second minimum hash, twice at most.
+3. What that leaves, whatever it is: tiles of a shingle of the prefix (rarest shingles, enough that two similar sets share
+   one) and a band of set sizes. Only tiles with documents of different components are opened. A tile of a frequent shingle
+   is cut into blocks of documents, and each two blocks meet in a group of their own. Within a tile, the bit count of the
    XOR of two parity bitmaps bounds the overlap from above; pairs that pass are intersected exactly as sorted arrays.
 
 So no link between components is lost, and pairs inside a component are not enumerated.
@@ -19,6 +21,7 @@ one node. Null doc_id: not joined with others, component_id null. Empty table: n
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,11 @@ DOCS = 60_000
 BITMAP = 1024
 SALTS = 64
 HASHES = 3
+#: Most leaders of a group, and most shingles that they hold.
+LEADERS = 256
+HELD = 1 << 22
+#: Documents of a block of a tile.
+TILE = 1024
 CANDIDATES = "doc_id long, n_shingles long, key1 long, key2 long, prefix int, shingles binary"
 
 
@@ -204,54 +212,94 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], schema=_EDGE)
 
 
-def _leaders(sets: DataFrame, percent: int, partitions: int) -> tuple[DataFrame, DataFrame]:
-    """Verified edges from documents to leaders of those that share a minimum hash, and the kept table they read."""
+_GROUP = pa.schema([("least", pa.int64()), ("salt", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("shingles", pa.binary())])
+_ENDS = pa.schema([*_EDGE, *_GROUP])
+ACROSS = -1  # the salt of groups in which the leaders of all salts meet
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            out = []
-            for k in range(HASHES):
-                for r in rows:
-                    least = mix(np.frombuffer(r["shingles"], "<u8") + U64(0xABCDEF * (k + 1))).min()
-                    out.append((int(least.view(np.int64)), r["doc_id"] % SALTS, r["doc_id"], r["n_shingles"], r["shingles"]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, [pa.int64()] * 4 + [pa.binary()])], ["least", "salt", "doc_id", "n_shingles", "shingles"])
 
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def _least(data: bytes, seed: int) -> int:
+    return int(mix(np.frombuffer(data, "<u8") + mix(np.array([seed % (1 << 64)], U64))).min().view(np.int64))
+
+
+class _Leaders:
+    """The leaders of one group: sets, bitmaps and sizes, at most ``most`` of them."""
+
+    def __init__(self, percent: int, most: int):
+        self.percent, self.most, self.held = percent, most, 0
+        self.ids: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.maps, self.sizes = np.zeros((0, BITMAP // 64), U64), np.zeros((0, 2), np.int64)
+
+    def like(self, own: np.ndarray, bits: np.ndarray, n: int) -> list[int]:
+        """Leaders similar to a set of ``n`` shingles of which ``own`` are shared."""
+        k = len(self.ids)
+        most = overlap_bound(self.maps[:k], bits, self.sizes[:k, 1], len(own))
+        near = np.flatnonzero(100 * most >= self.percent * (self.sizes[:k, 0] + n - most)).tolist()
+        return [self.ids[i] for i in near if similar(self.sets[i], own, int(self.sizes[i, 0]), n, self.percent)]
+
+    def add(self, doc: int, own: np.ndarray, bits: np.ndarray, n: int) -> bool:
+        """Whether there was room for one more; a first leader of any size has room."""
+        k = len(self.ids)
+        if k and (k >= self.most or self.held + len(own) > HELD):
+            return False
+        if k == len(self.maps):
+            self.maps = np.concatenate([self.maps, np.zeros((k + 4, self.maps.shape[1]), U64)])
+            self.sizes = np.concatenate([self.sizes, np.zeros((k + 4, 2), np.int64)])
+        self.maps[k], self.sizes[k] = bits, (n, len(own))
+        self.ids.append(doc)
+        self.sets.append(own)
+        self.held += len(own)
+        return True
+
+
+def _compare(percent: int, most: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows of edges, and of each group's leaders, which meet those of other salts next
-        group, leaders = None, []
+        """Rows of edges, and rows for the next pass: leaders of a salt go where those of the other salts are, and
+        documents that found no room to a group of a further minimum hash."""
+        group, leaders = None, _Leaders(percent, most)
         for batch in batches:
-            edges, heads = [], []
+            out: list[tuple] = []
             for r in batch.to_pylist():
                 if (r["least"], r["salt"]) != group:
-                    group, leaders, maps, sizes = (r["least"], r["salt"]), [], np.zeros((0, BITMAP // 64), U64), np.zeros((0, 2), np.int64)
+                    group, leaders = (r["least"], r["salt"]), _Leaders(percent, most)
                 own = _set(r["shingles"])
                 bits = bitmap(own)
-                linked = False
-                if leaders:
-                    most = overlap_bound(maps[: len(leaders)], bits, sizes[: len(leaders), 1], len(own))
-                    for k in np.flatnonzero(100 * most >= percent * (sizes[: len(leaders), 0] + r["n_shingles"] - most)).tolist():
-                        if similar(leaders[k][1], own, int(sizes[k, 0]), r["n_shingles"], percent):
-                            edges.append((r["doc_id"], leaders[k][0], None, None, None, None, None))
-                            linked = True
-                if not linked:
-                    if len(leaders) == len(maps):
-                        maps = np.concatenate([maps, np.zeros((len(maps) + 4, maps.shape[1]), U64)])
-                        sizes = np.concatenate([sizes, np.zeros((len(sizes) + 4, 2), np.int64)])
-                    maps[len(leaders)], sizes[len(leaders)] = bits, (r["n_shingles"], len(own))
-                    leaders.append((r["doc_id"], own))
-                    heads.append((None, None, r["least"], 0, r["doc_id"], r["n_shingles"], r["shingles"]))
-            out = edges + heads
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, [pa.int64()] * 6 + [pa.binary()])], ["a", "b", "least", "salt", "doc_id", "n_shingles", "shingles"])
+                near = leaders.like(own, bits, r["n_shingles"])
+                out += [(r["doc_id"], a, *[None] * 5) for a in near]
+                rest = (r["doc_id"], r["n_shingles"], r["shingles"])
+                if near:
+                    continue
+                if not leaders.add(r["doc_id"], own, bits, r["n_shingles"]):
+                    out.append((None, None, _least(r["shingles"], r["least"]) ^ r["least"], r["salt"], *rest))
+                elif r["salt"] != ACROSS:
+                    out.append((None, None, r["least"], ACROSS, *rest))
+            yield _table(out, _ENDS)
+
+    return compare
+
+
+def _leaders(sets: DataFrame, percent: int, partitions: int, most: int) -> tuple[list[DataFrame], DataFrame]:
+    """Verified edges from documents to leaders of those that share a minimum hash, and the kept tables they read."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            yield _table([(_least(r["shingles"], k), r["doc_id"] % SALTS, r["doc_id"], r["n_shingles"], r["shingles"]) for k in range(HASHES) for r in rows], _GROUP)
 
     fields = "least long, salt long, doc_id long, n_shingles long, shingles binary"
-    keyed = sets.select("doc_id", "n_shingles", "shingles").mapInArrow(keys, fields)
-    sort = lambda df: df.repartition(partitions, "least", "salt").sortWithinPartitions("least", "salt", "doc_id")
-    ends = "a long, b long, " + fields
-    salted = kept(sort(keyed).mapInArrow(compare, ends), "jaccard-salted")
-    firsts = salted.filter("a is null").select("least", "salt", "doc_id", "n_shingles", "shingles")
-    across = sort(firsts).mapInArrow(compare, ends)
-    return salted, salted.unionByName(across).filter("a is not null").select("a", "b")
+    rows, passes = sets.select("doc_id", "n_shingles", "shingles").mapInArrow(keys, fields), []
+    # salts; all salts, and a further hash; all salts of the further hash
+    for _ in range(3):
+        dealt = rows.repartition(partitions, "least", "salt").sortWithinPartitions("least", "salt", "doc_id")
+        passes.append(kept(dealt.mapInArrow(_compare(percent, most), "a long, b long, " + fields), "jaccard-leaders"))
+        rows = passes[-1].filter("a is null").select("least", "salt", "doc_id", "n_shingles", "shingles")
+        if rows.isEmpty():
+            break
+    return passes, functools.reduce(DataFrame.unionByName, passes).filter("a is not null").select("a", "b")
 
 
 def _tile_pairs(percent: int):
@@ -268,9 +316,12 @@ def _tile_pairs(percent: int):
             ids = np.array([r["doc_id"] for r in tile])
             home = np.array([r["home"] for r in tile])
             bits = np.frombuffer(b"".join(r["bitmap"] for r in tile), "<u8").reshape(len(tile), -1)
+            block = np.array([r["block"] for r in tile])
+            # two blocks: only pairs across them; each block by itself is a group of its own
+            own = key[2] == key[3]
             out = []
             for i in range(len(tile) - 1):
-                j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (home[i + 1 :] | home[i])) + i + 1
+                j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (home[i + 1 :] | home[i]) & (own | (block[i + 1 :] != block[i]))) + i + 1
                 if not len(j):
                     continue
                 most = overlap_bound(bits[j], bits[i], held[j], int(held[i]))
@@ -281,9 +332,9 @@ def _tile_pairs(percent: int):
         for batch in batches:
             found: list[tuple[int, int]] = []
             for r in batch.to_pylist():
-                if (r["shingle"], r["tile"]) != key:
+                if (r["shingle"], r["tile"], r["x"], r["y"]) != key:
                     found += closed()
-                    key, tile = (r["shingle"], r["tile"]), []
+                    key, tile = (r["shingle"], r["tile"], r["x"], r["y"]), []
                 tile.append(r)
             yield _edges(list(dict.fromkeys(found)))
         yield _edges(closed())
@@ -291,7 +342,7 @@ def _tile_pairs(percent: int):
     return pairs
 
 
-def _tiles(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
+def _tiles(sets: DataFrame, percent: int, partitions: int, block: int) -> DataFrame:
     """Candidate pairs of different components, from tiles of ``sets`` with a ``component_id``."""
     fields = "shingle long, band int, doc_id long, component_id long, n_shingles long, n_shared long, bitmap binary"
     names = [f.split()[0] for f in fields.split(", ")]
@@ -309,11 +360,15 @@ def _tiles(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(own, types)], names)
 
     rows = sets.select("doc_id", "component_id", "n_shingles", "prefix", "shingles").mapInArrow(prefixes, fields)
-    mixed = rows.groupBy("shingle").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).filter("lo <> hi").select("shingle")
-    open_rows = rows.join(mixed, "shingle")
+    mixed = rows.groupBy("shingle").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.count(F.lit(1)).alias("n"))
+    blocks = F.ceil(F.col("n") / block).cast("int").alias("blocks")
+    open_rows = rows.join(mixed.filter("lo <> hi").select("shingle", blocks), "shingle").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     both = F.array(F.struct(F.col("band").alias("tile"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("tile"), F.lit(False).alias("home")))
-    tiles = open_rows.select("*", F.inline(both)).drop("band")
-    return tiles.repartition(partitions, "shingle", "tile").sortWithinPartitions("shingle", "tile").mapInArrow(_tile_pairs(percent), "a long, b long").distinct()
+    meets = F.explode(F.expr("sequence(0, blocks - 1)")).alias("with")
+    tiles = open_rows.select("*", F.inline(both)).drop("band").select("*", meets)
+    tiles = tiles.withColumns({"x": F.least("block", "with"), "y": F.greatest("block", "with")}).drop("with", "blocks")
+    keys = ["shingle", "tile", "x", "y"]
+    return tiles.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(_tile_pairs(percent), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -328,8 +383,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(check, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of ``doc_id, text``."""
+def jaccard_components(docs: DataFrame, percent: int = 75, leaders: int = LEADERS, block: int = TILE) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of ``doc_id, text``.
+
+    ``leaders`` bounds the leaders of a group, ``block`` is about the number of documents in a block of a tile; neither
+    changes the result.
+    """
     spark = docs.sparkSession
     bits = ranges.range_bits(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -343,12 +402,12 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     sets = candidates.join(firsts.select(*keys, F.col("first").alias("doc_id")), [*keys, "doc_id"]).dropDuplicates(["doc_id", "key1"])
     sets = kept(sets.select("doc_id", "n_shingles", "prefix", "shingles"), "jaccard-firsts")
 
-    salted, edges = _leaders(sets, percent, partitions)
+    passes, edges = _leaders(sets, percent, partitions, leaders)
     near = kept(edges.distinct(), "jaccard-near")
-    drop(salted)
+    drop(*passes)
     found = components(near).withColumnRenamed("node", "doc_id")
     labelled = sets.join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    pairs = kept(_tiles(labelled, percent, partitions), "jaccard-pairs")
+    pairs = kept(_tiles(labelled, percent, partitions, block), "jaccard-pairs")
     rest = _verified(pairs, sets, percent)
     same_id = candidates.groupBy("doc_id").agg(F.collect_set(F.struct(*keys)).alias("k")).filter("size(k) > 1").select("doc_id", F.inline("k"))
     same_id = same_id.join(firsts, keys).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))

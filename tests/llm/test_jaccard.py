@@ -109,3 +109,35 @@ def test_bitmap_bounds_overlap_from_above():
                 x[hash(v) % 64] ^= 1
             bits.append(x)
         assert len(a & b) <= (len(a) + len(b) - int((bits[0] ^ bits[1]).sum())) // 2
+
+
+def test_frequent_shingles_and_crowded_groups_lose_no_link(spark):
+    # one passage in most documents, few or none of whose other words are shared: large tiles and groups of many leaders
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(30))
+    docs, n = {}, 0
+    for base in range(120):
+        tail = [f"t{rng.randrange(60)}" for _ in range(rng.randrange(6, 20))]
+        for _ in range(rng.choice([1, 1, 2, 4])):
+            own = list(tail)
+            own[rng.randrange(len(own))] = f"t{rng.randrange(60)}"
+            docs[n] = passage + " " + " ".join(own)
+            n += 1
+    want = expected(docs)
+    assert len({c for _, c in want.values()}) > 20
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    for leaders, block in [(2, 16), (256, 40), (1, 1000)]:
+        assert found(jaccard.jaccard_components(df, leaders=leaders, block=block)) == want
+
+
+def test_leaders_have_a_bound(spark):
+    sets = [np.sort(np.random.default_rng(k).integers(0, 1 << 60, 40).astype(np.uint64)) for k in range(30)]
+    rows = [(7, k % 2 - 1, k, 40, bytearray(s.astype("<u8").tobytes())) for k, s in enumerate(sets)]
+    rows.sort(key=lambda r: r[1])
+    batch = jaccard._table([(*r[:4], bytes(r[4])) for r in rows], jaccard._GROUP)
+    out = pa.Table.from_batches(list(jaccard._compare(75, 4)(iter([batch])))).to_pylist()
+    on = [r for r in out if r["a"] is None and r["least"] == 7]
+    further = [r for r in out if r["a"] is None and r["least"] != 7]
+    # four leaders of salt 0 meet others; 11 of each group found no room, and keep their salt
+    assert len(on) == 4 and {r["salt"] for r in on} == {jaccard.ACROSS}
+    assert sorted(r["salt"] for r in further) == [-1] * 11 + [0] * 11
