@@ -15,6 +15,8 @@ from codeloom.plans import oracle_base as O
 from codeloom.plans import oracle_values as V
 from codeloom.plans.corpus import code_corpus, table
 from codeloom.plans.registry import register
+from codeloom.session import scratch_path
+from codeloom.sources import features as feature_tables
 
 J = O.join
 
@@ -304,12 +306,12 @@ def _unmask_labels(spark, sf):
     ),
 )
 def _pair_features(spark, sf):
-    ids = encoded(spark, sf).select("id", "ids")
+    """The corpus is encoded once into buckets of its ids; both ends of a pair read them."""
     pairs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("url1"), F.col("o_custkey").alias("url2"))
-    first = ids.select(F.col("id").alias("url1"), F.col("ids").alias("a"))
-    second = ids.select(F.col("id").alias("url2"), F.col("ids").alias("b"))
-    both = pairs.join(first, "url1").join(second, "url2")
-    return both.select("url1", "url2", _ints(FT.pair_features(F.col("a"), F.col("b"))).alias("ids"))
+    vocab = FT.vocabulary(T.tokens(spark, sf), "tokens", VOCAB)
+    made_of = {"vocabulary": FT.vocabulary_key(vocab), "length": str(MAX_LEN), "input": feature_tables.input_print(table(spark, sf, "orders"))}
+    features = feature_tables.feature_table(encoded(spark, sf).select("id", "ids"), "id", scratch_path(spark, "features"), made_of)
+    return feature_tables.join_pair_features(pairs, features).select("url1", "url2", _ints(F.col("ids")).alias("ids"))
 
 
 @register("exact_match", O.query(f"SELECT id, lang, ({O.strip('pred')} = {O.strip('gold')})::INT AS em FROM pairs", "pairs"))

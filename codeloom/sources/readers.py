@@ -196,16 +196,17 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def join_pred_gold(preds: DataFrame, golds: DataFrame) -> DataFrame:
-    """(id, pred, golds): all golds of each predicted id; the last prediction of an id counts.
+    """(id, pred, golds): all golds of each predicted id in line order; the last prediction of an id counts.
 
-    The last prediction is an aggregate (one struct per id), not a sort; golds are collected
-    per id in line order.
+    One aggregate over both, so rows are shuffled once. Rows without id go, as do ids with only golds or only predictions.
     """
-    last = preds.groupBy("id").agg(F.max_by("text", "line").alias("pred"))
-    refs = golds.join(last.select("id"), "id", "left_semi").groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("line", "text"))).alias("g")
+    rows = preds.select("id", "line", "text", F.lit(True).alias("own")).unionByName(golds.select("id", "line", "text", F.lit(False).alias("own")))
+    found = rows.where(F.col("id").isNotNull()).groupBy("id").agg(
+        F.count_if("own").alias("n"),
+        F.max_by("text", F.when(F.col("own"), F.col("line"))).alias("pred"),
+        F.array_sort(F.collect_list(F.when(~F.col("own"), F.struct("line", "text")))).alias("g"),
     )
-    return last.join(refs, "id").select("id", "pred", F.transform("g", lambda x: x["text"]).alias("golds"))
+    return found.where((F.col("n") > 0) & (F.size("g") > 0)).select("id", "pred", F.transform("g", lambda x: x["text"]).alias("golds"))
 
 
 def read_curve(spark: SparkSession, path: str) -> DataFrame:

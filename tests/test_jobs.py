@@ -414,3 +414,12 @@ def test_signed_rank_p_is_exact_only_without_ties_and_zeros(spark):
     for g in ("ties", "zero", "many"):
         assert got[g].p == pytest.approx(stats.normal_two_sided_p(got[g].z))
     assert "zeros" not in got and (got["zero"].n, got["many"].n) == (2, 51)
+
+
+def test_predictions_meet_golds_in_one_shuffle(spark):
+    preds = spark.createDataFrame([(1, 0, "a"), (1, 2, "b"), (2, 1, None), (3, 1, "c"), (None, 4, "x")], "id long, line long, text string")
+    golds = spark.createDataFrame([(1, 5, "q"), (1, 4, "p"), (1, 4, "p"), (2, 9, ""), (4, 0, "z"), (None, 1, "y")], "id long, line long, text string")
+    out = readers.join_pred_gold(preds, golds)
+    assert sorted((r.id, r.pred, r.golds) for r in out.collect()) == [(1, "b", ["p", "p", "q"]), (2, None, [""])]
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+    assert readers.join_pred_gold(preds.limit(0), golds).count() == 0
