@@ -29,7 +29,7 @@ PER_LANG = 400
 CHARS = 3000
 LENGTH = 48
 NGRAMS = (1, 2, 3, 4)
-BATCH = 1 << 22
+BATCH = 1 << 21  # bytes predicted at a time: some ten arrays of a number per word and language stand at once
 UND = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = _LETTER[ord("A") : ord("Z") + 1] = True
@@ -63,8 +63,8 @@ def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 def emissions(weights: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sum of the weights of each word's features."""
     out = np.empty((len(starts), weights.shape[1]), np.float32)
-    for i in range(0, len(starts), 1 << 15):
-        j = min(len(starts), i + (1 << 15))
+    for i in range(0, len(starts), 1 << 13):
+        j = min(len(starts), i + (1 << 13))
         f, n = features(buf, starts[i:j], ends[i:j])
         out[i:j] = np.add.reduceat(weights[f], np.cumsum(n) - n, axis=0)
     return out
@@ -102,6 +102,7 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, move: np.ndarray,
         if t:
             b = (local[cut] * b) @ move.T
             back[: active[t]] = b / b.sum(1, keepdims=True)
+    del local
     ahead /= ahead.sum(1, keepdims=True)
     return ahead[place]
 
@@ -156,9 +157,12 @@ class Model:
             a = off[i]
             own, cut = buf[a : off[j]], off[i : j + 1] - a
             first, voiced, p = self.word_probabilities(own, cut)
-            votes = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(p * voiced[:, None], axis=0)])
+            p *= voiced[:, None]
+            top = np.concatenate([[0], np.cumsum(p.max(1))])
+            votes = np.zeros((len(p) + 1, len(self.langs)))
+            np.cumsum(p, axis=0, out=votes[1:])
+            del p
             votes = votes[first[1:]] - votes[first[:-1]]
-            top = np.concatenate([[0], np.cumsum(p.max(1) * voiced)])
             n = np.diff(np.concatenate([[0], np.cumsum(voiced)])[first])
             ascii_letters = np.diff(np.concatenate([[0], np.cumsum(_LETTER[own] & (own < 0x80))])[cut])
             share = votes / np.maximum(n, 1)[:, None]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -113,3 +114,19 @@ def test_nothing_to_learn_from(spark):
     assert {r.lang_pred for r in langid.identify(odd_frame(spark), model).collect()} == {"und"}
     one = langid.train(odd_frame(spark).filter("lang = 'fr'"), F.col("doc_id"))
     assert {r.lang_pred for r in langid.identify(odd_frame(spark), one).collect()} == {"und", "fr"}
+
+
+def test_memory_of_a_prediction(spark):
+    """Arrays of a number per word and language stand for a part of a batch at a time, and few of them at once."""
+    rng = np.random.default_rng(3)
+    langs = ["a", "b", "c", "d"]
+    model = langid.Model(langs, rng.normal(size=(langid.BUCKETS, 4)).astype(np.float32), np.ones((4, 4)) + np.eye(4), np.ones(4))
+    words = [f"w{i}" for i in range(3000)]
+    buf, off = flat(pa.array([" ".join(rng.choice(words, 400)) for _ in range(4000)]))
+    model.predict(buf[: off[1]], off[:2])
+    tracemalloc.start()
+    try:
+        model.predict(buf, off)
+        assert tracemalloc.get_traced_memory()[1] < 80e6
+    finally:
+        tracemalloc.stop()
