@@ -319,7 +319,8 @@ _SCORES = f"avg(em) AS em, {score_oracles.BLEU} AS bleu, {score_oracles.WBLEU} A
 def _sink_metrics(spark, sf):
     """The six metrics of every row as CSV and a line of scores per language as text, both read back."""
     path, lines = scratch_path(spark, "metrics"), scratch_path(spark, "summary")
-    pairs = CB.pair_scores(T.reference_pairs(spark, sf), ["id", "lang"])
+    # two outputs read the sums of the pairs: a few dozen numbers a row are kept, rather than scored twice
+    pairs = writers.materialise(CB.pair_scores(T.reference_pairs(spark, sf), ["id", "lang"]), scratch_path(spark, "scores"))
     scores = CB.score_columns()
     rows = B.sums_per_row(pairs).select("id", "lang", "em", *[c.alias(k) for k, c in scores.items()])
     writers.write_metrics(rows.select("id", "lang", *[_r6(F.col(k), k) for k in _SIX]), path)

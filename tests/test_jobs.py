@@ -423,3 +423,20 @@ def test_predictions_meet_golds_in_one_shuffle(spark):
     assert sorted((r.id, r.pred, r.golds) for r in out.collect()) == [(1, "b", ["p", "p", "q"]), (2, None, [""])]
     assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
     assert readers.join_pred_gold(preds.limit(0), golds).count() == 0
+
+
+def test_metrics_of_a_run_score_each_pair_once(spark, sf, monkeypatch):
+    """The rows and the lines per language come from one pass over the pairs."""
+    from codeloom.plans import data_queries
+
+    seen = spark.sparkContext.accumulator(0)
+    pairs = data_queries.T.reference_pairs(spark, sf)
+
+    def tally(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(data_queries.T, "reference_pairs", lambda *_: pairs.mapInArrow(tally, pairs.schema))
+    rows = data_queries._sink_metrics(spark, sf)
+    assert rows.where("id is not null").count() == seen.value == pairs.count()
