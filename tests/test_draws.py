@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from codeloom.functions import draws, rand
+from codeloom.functions.arrays import compute_once
 from codeloom.operators import rewrites as R
 
 
@@ -39,3 +40,11 @@ def test_draws_are_made_in_batches(spark):
     got = draws.below(0.15, pa.array(["5|"]), np.array([400]), "mask", 42)
     digest = lambda i: hashlib.md5(f"5|{i}|mask|42".encode()).hexdigest()
     assert got.tolist() == [int(digest(i)[:8], 16) / rand.SCALE < 0.15 for i in range(400)]
+
+
+def test_computed_columns_are_made_below_the_generator(spark):
+    """The generator only passes values on; made inside of it, they would be interpreted."""
+    df = compute_once(spark.range(3).withColumn("y", F.lit(1)), x=F.md5(F.col("id").cast("string")), y=F.col("y") + 1)
+    plan = df.where(F.col("x") > "a")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and not any("md5(" in line for line in plan.split("\n") if "Generate" in line)
+    assert sorted((r.id, r.x, r.y) for r in df.collect()) == [(i, hashlib.md5(str(i).encode()).hexdigest(), 2) for i in range(3)]
