@@ -208,6 +208,103 @@ def dataflow_of(tokens: list[str], lang: str) -> list[str]:
     return out
 
 
+# --- edges of a batch ----------------------------------------------------------------------
+
+SLICE = 100_000  # tokens linked at a time
+
+
+def edges_of_batch(tokens: pa.ListArray, lang: pa.Array, connected: bool) -> pa.ListArray:
+    """``edges_of`` the rows of a batch, or the ``connected_of`` them, on number arrays."""
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = (np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE, append=-1)) + 1).tolist() or [0]
+    parts = [_linked(tokens[a:b], lang[a:b], sizes[a:b], connected) for a, b in zip([0, *ends[:-1]], ends)]
+    return pa.concat_arrays(parts)
+
+
+def _words_in(found: frozenset | tuple, number: dict[str, int], n: int) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[[number[w] for w in found if w in number]] = True
+    return out
+
+
+def _latest(marked: np.ndarray) -> np.ndarray:
+    """Per place the last marked one up to it, -1 if there is none."""
+    return np.maximum.accumulate(np.where(marked, np.arange(len(marked)), -1))
+
+
+def _occurrences(code: np.ndarray, texts: list, row: np.ndarray, lang: pa.Array) -> tuple[np.ndarray, ...]:
+    """Places of the variables among all tokens, which are targets, which are steps, and the statement of each."""
+    number, n = {t: i for i, t in enumerate(texts)}, len(texts)
+    end, assign, step = (_words_in(w, number, n)[code] for w in (_ends, _assigns, _steps))
+    name = np.fromiter((bool(t) and (t[0].isalpha() or t[0] in "_$") and t not in _ends for t in texts), bool, n)
+    langs = lang.dictionary_encode()
+    known = np.array([*(_words_in(_reserved.get(la, frozenset()), number, n) for la in langs.dictionary.to_pylist()), np.zeros(n, bool)])
+    own = pc.fill_null(langs.indices, len(known) - 1).to_numpy(zero_copy_only=False)
+    named = name[code] & ~known[own[row], code]
+    more = np.append(row[1:] == row[:-1], False)  # a token of the row follows
+    after = lambda flags: more & np.append(flags[1:], False)
+    at = np.flatnonzero(named & ~after(code == number.get("(", -1)) & ~after(named))
+    before = np.append(False, step[:-1] & more[:-1])
+    statement = np.cumsum(end) - end + row
+    return at, after(assign)[at], (after(step) | before)[at], statement[at]
+
+
+def _definitions(key: np.ndarray, statement: np.ndarray, target: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Per occurrence the latest definition of its variable (``key``) before it, -1 if there is none: a target counts
+    from the next statement on, a step at once."""
+    order = np.argsort(key, kind="stable")
+    begins = np.ones(len(order), bool)
+    begins[1:] = key[order][1:] != key[order][:-1]
+    parts = begins.copy()
+    parts[1:] |= statement[order][1:] != statement[order][:-1]
+    steps = np.append(-1, _latest((step & ~target)[order]))[:-1]
+    targets = np.append(-1, _latest(target[order]))[_latest(parts)]
+    found = np.maximum(steps, targets)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.where(found >= _latest(begins), order[found], -1)
+    return out
+
+
+def _linked(tokens: pa.ListArray, lang: pa.Array, sizes: np.ndarray, connected: bool) -> pa.ListArray:
+    coded = tokens.flatten().cast(pa.string()).dictionary_encode(null_encoding="encode")
+    code, row = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+    at, target, step, statement = _occurrences(code, coded.dictionary.to_pylist(), row, lang)
+    n, width, name = len(at), max(len(coded.dictionary), 1), code[at]
+    known = _definitions(row[at] * width + name, statement, target, step)
+    goal = np.append(-1, _latest(target))[:-1]
+    goal[statement[goal] != statement] = -1
+    # (child, parent): a step comes from itself, another use from its definition, a target from the right side
+    uses, right = np.flatnonzero(~target & ~step & (known >= 0)), np.flatnonzero(goal >= 0)
+    children = np.concatenate([np.flatnonzero(step), uses, goal[right]])
+    links = np.sort(children * max(n, 1) + np.concatenate([np.flatnonzero(step), known[uses], right]))
+    child, parent = links // max(n, 1), links % max(n, 1)
+    # of parents of one name the first gives it
+    by_name = np.argsort(child * width + name[parent], kind="stable")
+    spoken = child[by_name] * width + name[parent[by_name]]
+    first = np.zeros(len(links), bool)
+    first[by_name[np.append(True, spoken[1:] != spoken[:-1])[: len(links)]]] = True
+    kept = np.ones(n, bool)
+    if connected:
+        kept[:] = False
+        kept[child] = kept[parent] = True
+
+    def lists(of: np.ndarray, values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(_offsets(np.bincount(of, minlength=n)[kept]), values)
+
+    place = (at - (np.cumsum(sizes) - sizes)[row[at]]).astype(np.int32)
+    relations = pa.array(["comesFrom", "computedFrom"]).take(pa.array((target | step)[kept].astype(np.int32)))
+    columns = [
+        pa.array(place[kept]), coded.dictionary.take(pa.array(name[kept])), relations,
+        lists(child[first], coded.dictionary.take(pa.array(name[parent[first]]))), lists(child, pa.array(place[parent])),
+    ]
+    found = pa.StructArray.from_arrays(columns, [f.name for f in _pa_edge])
+    return pa.ListArray.from_arrays(_offsets(np.bincount(row[at][kept], minlength=len(sizes))), found)
+
+
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+
+
 # --- columns -------------------------------------------------------------------------------
 
 _OCCURRENCE = "struct<pos:int,name:string,target:boolean,step:boolean,tgt:int,def:int>"
@@ -301,15 +398,9 @@ def raw_edges(tokens: Column, lang: Column) -> Column:
 def edges(tokens: Column, lang: Column, connected: bool = False) -> Column:
     """One edge per variable position, by position; ``connected`` leaves out those without any link."""
 
-    def of(t: list[str], la: str) -> list[tuple]:
-        found = edges_of(raw_edges_of(occurrences_of(t, la)))
-        return connected_of(found) if connected else found
-
-    run = _batch(of, pa.list_(_pa_edge))
-
     @F.arrow_udf(f"array<{_EDGE}>")
     def merged(tokens: pa.Array, lang: pa.Array) -> pa.Array:
-        return run(tokens, lang)
+        return edges_of_batch(tokens, lang, connected)
 
     return merged(tokens, lang)
 
