@@ -40,8 +40,6 @@ def levelled(text: Column) -> Column:
 
 def unlevelled(text: Column, opening: str, closing: str) -> Column:
     """Marks of all kinds back to words."""
-    if len(opening) == len(closing) == 1:
-        return F.translate(text, _OPENS + _CLOSES + OPEN + CLOSE, (opening * LEVELS) + (closing * LEVELS) + opening + closing)
     text = F.regexp_replace(text, f"[{OPEN}{OPENS}]", opening)
     return F.regexp_replace(text, f"[{CLOSE}{_CLOSES[0]}-{_CLOSES[-1]}]", closing)
 

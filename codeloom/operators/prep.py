@@ -23,7 +23,8 @@ def word_count(text: Column) -> Column:
 
 
 def filter_length(df: DataFrame, text: str = "norm", max_words: int = K.MAX_FUNCTION_LENGTH) -> DataFrame:
-    return df.where(word_count(F.col(text)) <= max_words)
+    # n words take 2 n - 1 characters at least, so a short text needs no count
+    return df.where((F.length(text) < 2 * max_words) | (word_count(F.col(text)) <= max_words))
 
 
 def filter_languages(df: DataFrame, languages: list[str]) -> DataFrame:
