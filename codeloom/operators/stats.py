@@ -59,20 +59,20 @@ def _range_of(value: Column, bounds: Column) -> Column:
     return search(F.lit(0), RANGES // 2)
 
 
-def ranged(rows: DataFrame, by: list[str], value: str, size: Column, **counts: Column) -> DataFrame:
+def ranged(rows: DataFrame, by: list[str], value: str, size: Column, totals: dict[str, Column] | None = None, **counts: Column) -> DataFrame:
     """(by, value, counts, _range, _before, _in, _n): counts per distinct value, the range of the value, and the ``size`` (of
-    the counts) of the ranges before it, of its own and of all.
+    the counts) of the ranges before it, of its own and of all. ``totals``: further aggregates of a group's values and counts.
 
     The bounds of a group's ranges are equally deep by a mergeable quantile sketch of its distinct values, so values that lie
     far out or close together spread over as many ranges as any. The rows are shuffled once, to their distinct values; the
     sketch and the counts read that exchange again. One row a group (bounds) and one a range come back by joins that are
     broadcast as long as they are small.
     """
-    found = rows.groupBy(*by, value).agg(*[c.alias(k) for k, c in counts.items()])
+    # all counts stay in each branch below, also those it doesn't read, so that all read one exchange
+    found = compute_once(rows.groupBy(*by, value).agg(*[c.alias(k) for k, c in counts.items()]), **{k: F.col(k) for k in counts})
     shares = [F.lit((i + 1) / RANGES) for i in range(RANGES - 1)]
     cuts = F.array_sort(F.array_distinct(F.percentile_approx(value, F.array(*shares), ACCURACY)))
-    # the sum keeps the counts in this branch, so that it reads the same exchange
-    ends = found.groupBy(*by).agg(cuts.alias("_bounds"), F.sum(size).alias("_n"))
+    ends = found.groupBy(*by).agg(cuts.alias("_bounds"), F.sum(size).alias("_n"), *[c.alias(k) for k, c in (totals or {}).items()])
     placed = found.join(ends, by).withColumn("_range", _range_of(F.col(value), F.col("_bounds"))).drop("_bounds")
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.groupBy(*by, "_range").agg(F.sum(size).alias("_in"))
@@ -91,7 +91,8 @@ def metric_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     # computed once, or the filter below would compute the value a second time
     rows = compute_once(rows.select(*by, "value"), value=F.col("value")).where(F.col("value").isNotNull())
-    found = ranged(rows, by, "value", F.col("cnt"), cnt=F.count(F.lit(1)))
+    mean = F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")
+    found = ranged(rows, by, "value", F.col("cnt"), {"mean": mean}, cnt=F.count(F.lit(1)))
     ranks = [edge(F.lit(share) * (F.col("_n") - 1)) for share in shares.values() for edge in (F.floor, F.ceil)]
     wanted = functools.reduce(lambda a, b: a | b, [(r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")) for r in ranks])
     held = cumulative(found.where(wanted), by, "value", F.col("cnt"))
@@ -99,15 +100,13 @@ def metric_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     for i, name in enumerate(shares):
         for rank, end in zip(ranks[2 * i : 2 * i + 2], ("lo", "hi")):
             picks.append(F.min(F.when(F.col("upto") > rank, F.col("value"))).alias(f"_{name}_{end}"))
-    chosen = held.groupBy(*by).agg(F.max("_n").alias("_n"), *picks)
-    means = rows.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("cnt"))
-    means = means.groupBy(*by).agg((F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"))
+    chosen = held.groupBy(*by).agg(F.max("_n").alias("_n"), F.max("mean").alias("mean"), *picks)
     out = []
     for name, share in shares.items():
         place = F.lit(share) * (F.col("_n") - 1)
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         out.append((lo + (place - F.floor(place)) * (hi - lo)).alias(name))
-    return chosen.join(means, by).select(*by, "mean", *out)
+    return chosen.select(*by, "mean", *out)
 
 
 def ttest(rows: DataFrame, by: list[str], group: str, first: str, second: str) -> DataFrame:

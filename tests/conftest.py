@@ -23,3 +23,11 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SF
+
+
+@pytest.fixture(autouse=True)
+def nothing_cached_by_others(request):
+    """A test that looks for cached tables sees its own only."""
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").catalog.clearCache()
