@@ -24,10 +24,11 @@ from codeloom.plans import frames as T
 from codeloom.plans import oracle_base as O
 from codeloom.plans import score_oracles
 from codeloom.plans import text_queries as TQ
-from codeloom.plans.corpus import code_corpus, table
+from codeloom.plans.corpus import code_corpus, ordered, placed, table
 from codeloom.plans.registry import register
 from codeloom.session import scratch_path
 from codeloom.sources import catalog, readers, writers
+from codeloom.sources.aligned import write_aligned
 
 
 def _r6(c, name):
@@ -64,35 +65,30 @@ def _scan_pairs(spark, sf):
     return readers.read_pair_files(spark, path)
 
 
-def _write_lines(df, column, path):
-    """Text lines in id order: the files of a range sort keep the order by their names."""
-    df.orderBy("id").select(F.col(column).alias("value")).write.text(path)
+def _write_lines(spark, sf, **lines):
+    """Folders of text lines in id order, one for each column made from the prediction pairs: the pairs are computed once,
+    in the order of their ids, and a task writes its part of all folders."""
+    path = scratch_path(spark, "lines")
+    pairs = T.prediction_pairs(spark, sf, code_corpus(spark, sf, ordered))
+    write_aligned(pairs.select(*[c.alias(k) for k, c in lines.items()]), path)
+    return [f"{path}/{k}" for k in lines]
 
 
 @register("scan_line_pairs", O.query("SELECT row_number() OVER (ORDER BY id) - 1 AS idx, pred AS source, gold AS target FROM pairs", "pairs"))
 def _line_pairs(spark, sf):
-    src, trg = scratch_path(spark, "src"), scratch_path(spark, "trg")
-    df = T.prediction_pairs(spark, sf)
-    _write_lines(df.withColumn("line", F.concat(F.lit("  "), "pred", F.lit(" "))), "line", src)
-    _write_lines(df, "gold", trg)
+    src, trg = _write_lines(spark, sf, src=F.concat(F.lit("  "), "pred", F.lit(" ")), trg=F.col("gold"))
     return readers.read_line_pairs(spark, src, trg)
 
 
 @register("join_positional", O.query("SELECT row_number() OVER (ORDER BY id) - 1 AS line, pred AS source, gold AS target FROM pairs", "pairs"))
 def _positional(spark, sf):
-    src, trg = scratch_path(spark, "src"), scratch_path(spark, "trg")
-    df = T.prediction_pairs(spark, sf)
-    _write_lines(df, "pred", src)
-    _write_lines(df, "gold", trg)
+    src, trg = _write_lines(spark, sf, src=F.col("pred"), trg=F.col("gold"))
     return readers.join_positional(readers.numbered_lines(spark, src), readers.numbered_lines(spark, trg), check_length=True)
 
 
 @register("limit_data_num", O.query("SELECT * FROM (SELECT row_number() OVER (ORDER BY id) - 1 AS idx, pred AS source, gold AS target FROM pairs) AS t WHERE idx < 700", "pairs"))
 def _limit(spark, sf):
-    src, trg = scratch_path(spark, "src"), scratch_path(spark, "trg")
-    df = T.prediction_pairs(spark, sf)
-    _write_lines(df, "pred", src)
-    _write_lines(df, "gold", trg)
+    src, trg = _write_lines(spark, sf, src=F.col("pred"), trg=F.col("gold"))
     return readers.read_line_pairs(spark, src, trg, data_num=700)
 
 
