@@ -351,20 +351,29 @@ O.cte(
 )
 
 
-def _golds(spark, sf):
-    w = T.normalized(spark, sf)
-    second = w.where(F.col("lang") != "c").select(
-        "id", (2 * F.col("id") + 1).alias("line"), join_tokens(R.noise_delete(F.col("w"), F.col("id"), seed=43)).alias("text")
-    )
-    return w.select("id", (2 * F.col("id")).alias("line"), F.col("norm").alias("text")).unionByName(second)
+def _golds(spark, sf, corpus=None):
+    """(id, line, text), from one pass over the code."""
+    w = T.normalized(spark, sf, corpus)
+    second = join_tokens(R.noise_delete(F.when(F.col("lang") != "c", F.col("w")), F.col("id"), seed=43))
+    first = F.struct((2 * F.col("id")).alias("line"), F.col("norm").alias("text"))
+    both = w.withColumn("second", second).withColumn("first", first)
+    more = F.array("first", F.struct((2 * F.col("id") + 1).alias("line"), F.col("second").alias("text")))
+    return both.select("id", F.inline(F.when(F.col("lang") != "c", more).otherwise(F.array("first"))))
+
+
+def _predicted(spark, sf):
+    """The part of the corpus that has predictions."""
+    return code_corpus(spark, sf).where(F.col("lang") != "go")
 
 
 def _preds(spark, sf):
-    w = T.normalized(spark, sf)
-    last = w.where(~F.col("lang").isin("go", "php")).select(
-        "id", (2 * F.col("id") + 1).alias("line"), join_tokens(R.noise_mask(F.col("w"), F.col("id"))).alias("text")
-    )
-    return w.where(F.col("lang") != "go").select("id", (2 * F.col("id")).alias("line"), F.lit("").alias("text")).unionByName(last)
+    """(id, line, text), from one pass over the code."""
+    w = T.normalized(spark, sf, _predicted(spark, sf))
+    last = join_tokens(R.noise_mask(F.when(F.col("lang") != "php", F.col("w")), F.col("id")))
+    first = F.struct((2 * F.col("id")).alias("line"), F.lit("").alias("text"))
+    both = w.withColumn("last", last).withColumn("first", first)
+    more = F.array("first", F.struct((2 * F.col("id") + 1).alias("line"), F.col("last").alias("text")))
+    return both.select("id", F.inline(F.when(F.col("lang") != "php", more).otherwise(F.array("first"))))
 
 
 @register(
@@ -382,7 +391,10 @@ def _pred_gold(spark, sf):
 
 @register("filter_known_ids", O.query("SELECT id, line, text FROM golds WHERE id IN (SELECT id FROM preds)", "preds", "golds"))
 def _known_ids(spark, sf):
-    return _golds(spark, sf).join(_preds(spark, sf).select("id"), "id", "left_semi").select("id", "line", "text")
+    """Known ids are told apart before any code is made and lexed; those of the predictions need neither."""
+    known = _predicted(spark, sf).select("id")
+    corpus = code_corpus(spark, sf, lambda seeds, key: placed(seeds, key).join(known, key, "left_semi"))
+    return _golds(spark, sf, corpus).select("id", "line", "text")
 
 
 @register("distinct_languages", O.query("SELECT DISTINCT lang FROM corpus", "corpus"))

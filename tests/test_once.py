@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import stats
+from codeloom.plans.all import QUERIES
 
 
 def _tallied(spark, df):
@@ -30,3 +32,36 @@ def test_statistics_compute_their_rows_once(spark):
     rows, seen = _tallied(spark, df)
     assert stats.metric_summary(rows, ["g"]).count() == 3
     assert seen.value == 1000
+
+
+def _spied(spark, monkeypatch, name):
+    """Tally the rows of a frame that queries start from."""
+    from codeloom.plans import frames
+
+    made, seen = getattr(frames, name), spark.sparkContext.accumulator(0)
+
+    def tally(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    def spied(*args):
+        df = made(*args)
+        return df.mapInArrow(tally, df.schema)
+
+    monkeypatch.setattr(frames, name, spied)
+    return seen
+
+
+@pytest.mark.parametrize("query", ["scan_line_pairs", "join_positional"])
+def test_parallel_lines_are_computed_once(spark, sf, monkeypatch, query):
+    """Both folders are written in one pass, without a sort of the finished rows."""
+    seen = _spied(spark, monkeypatch, "prediction_pairs")
+    rows = QUERIES[query](spark, sf).count()
+    assert rows > 0 and seen.value == rows
+
+
+def test_known_ids_are_found_before_the_code_is_lexed(spark, sf, monkeypatch):
+    seen = _spied(spark, monkeypatch, "normalized")
+    ids = QUERIES["filter_known_ids"](spark, sf).select("id").distinct().count()
+    assert ids > 0 and seen.value == ids
