@@ -354,7 +354,7 @@ O.cte(
 def _golds(spark, sf, corpus=None):
     """(id, line, text), from one pass over the code."""
     w = T.normalized(spark, sf, corpus)
-    second = join_tokens(R.noise_delete(F.when(F.col("lang") != "c", F.col("w")), F.col("id"), seed=43))
+    second = join_tokens(R.noise_delete(F.when(F.col("lang") != "c", F.col("w")), F.col("id"), seed=43, texts=True))
     first = F.struct((2 * F.col("id")).alias("line"), F.col("norm").alias("text"))
     both = w.withColumn("second", second).withColumn("first", first)
     more = F.array("first", F.struct((2 * F.col("id") + 1).alias("line"), F.col("second").alias("text")))

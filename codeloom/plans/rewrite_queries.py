@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from codeloom.functions.arrays import compute_once, join_tokens
@@ -62,7 +64,7 @@ def _topk_rename(spark, sf):
 
 
 O.cte("docwords", f"SELECT doc_id AS id, lang, text, {O.words('text')} AS w FROM documents")
-_NOISE = {"noise_mask": (R.noise_mask, O.noise_mask), "noise_delete": (R.noise_delete, O.noise_delete), "noise_infill": (R.noise_infill, O.noise_infill)}
+_NOISE = {"noise_mask": (R.noise_mask, O.noise_mask), "noise_delete": (partial(R.noise_delete, texts=True), O.noise_delete), "noise_infill": (R.noise_infill, O.noise_infill)}
 
 
 def _noise(name: str) -> None:
